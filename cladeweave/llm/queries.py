@@ -5,16 +5,36 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cladeweave.llm import sentencepiece_codec
+from cladeweave.llm import exact_dedup, sentencepiece_codec, token_store
 from cladeweave.llm.shared import read_table
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.store_and_read(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
+    "op3_exact_dedup": op3_exact_dedup,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_token_store": op8_token_store,
 }
 
-ORACLES: dict[str, str] = {}
+OP3_SQL = r"""
+WITH normalised AS (
+    SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents
+), grouped AS (
+    SELECT body, min(doc_id) AS keep_id, count(*) AS group_size FROM normalised GROUP BY body
+)
+SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.body) AS text_sha256
+FROM normalised n JOIN grouped g ON n.body = g.body
+"""
+
+ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
