@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cladeweave.llm import exact_dedup, sentencepiece_codec, token_store
+from cladeweave.llm import exact_dedup, jaccard_join, sentencepiece_codec, token_store
 from cladeweave.llm.shared import read_table
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(read_table(spark, sf_dir, "documents"), k=4, num=85, den=100).drop("kept")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,7 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op3_exact_dedup": op3_exact_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_token_store": op8_token_store,

@@ -128,8 +128,8 @@ def shingle_hash(words: np.ndarray, k: int) -> np.ndarray:
 
 def whole_hash(words: np.ndarray) -> np.ndarray:
     """One hash for a sequence of fewer words than a shingle has."""
-    total = (words * PLACE[: len(words)]).sum(dtype=np.uint64) + _U(len(words)) * PLACE[63]
-    return mix64(np.array([total], dtype=np.uint64))
+    terms = np.append(words * PLACE[: len(words)], PLACE[63:64] * _U(len(words)))
+    return mix64(terms.sum(dtype=np.uint64, keepdims=True))
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
