@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cladeweave.llm import exact_dedup, jaccard_join, sentencepiece_codec, token_store
+from cladeweave.llm import exact_dedup, jaccard_join, language_id, quality, sentencepiece_codec, token_store, toxicity
 from cladeweave.llm.shared import read_table
 
 
@@ -13,10 +13,18 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read_table(spark, sf_dir, "documents"), k=4, num=85, den=100).drop("kept")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -25,11 +33,18 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_read(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_quality": op4_quality,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_token_store": op8_token_store,
+    "op10_language_id": op10_language_id,
 }
 
 OP3_SQL = r"""
