@@ -24,6 +24,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ from cladeweave.llm.shared import bits_for, ceil_div, new_folder
 
 MAGIC = b"BITPACK1"
 BLOCK_IDS = 1 << 16
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 1_000_000
 NO_ID = -(1 << 63)
 
 #: The pre-tokenisation rule of the byte-level vocabulary, for texts whose characters all stand in
@@ -63,12 +64,20 @@ def unpack(data: bytes | memoryview, bits: int, n: int) -> np.ndarray:
     return (flat.astype(np.uint32) << np.arange(bits, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: printable bytes stand for
+    themselves, the others follow from 256 on in their order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class TokenTable:
     """The tokenizers library behind a bounded table of distinct pre-tokens.
 
-    Byte-level BPE never merges across pre-tokens, so ids of a text are the ids of its pre-tokens.
-    Texts with other characters than ``_KNOWN`` allows, or with the text of a special token, go to
-    the library whole.
+    Byte-level BPE never merges across pre-tokens, so ids of a text are the ids of its pre-tokens,
+    and the library's model segments each new pre-token once.  Texts with other characters than
+    ``_KNOWN`` allows, or with the text of a special token, go to the library whole.
     """
 
     def __init__(self, file: str, entries: int = TABLE_ENTRIES):
@@ -76,27 +85,39 @@ class TokenTable:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(file)
+        self.model = self.lib.model
         self.size = self.lib.get_vocab_size()
+        self.width = "<u2" if self.size <= 1 << 16 else "<u4"
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        probe = "It's  a test\n\n of 12'll ***tables  "
-        kind = self.lib.pre_tokenizer.pre_tokenize_str(probe)
-        self.by_table = self.lib.normalizer is None and [probe[a:b] for _, (a, b) in kind] == _SPLIT.findall(probe)
+        self.letters = _byte_letters()
         self.entries, self.table = entries, {}
+        probe = "It's  a tést\n\n of 12'll ***tables  "
+        self.by_table = self.lib.normalizer is None and self._split(probe) == self._library(probe)
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype=self.width).tobytes()
 
     def _miss(self, piece: str) -> bytes:
-        made = np.array(self.lib.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(piece) <= 64:
+        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+        made = array("H" if self.width == "<u2" else "I", [t.id for t in tokens]).tobytes()
+        if len(piece) <= 48:
             if len(self.table) >= self.entries:
                 self.table.clear()
             self.table[piece] = made
         return made
 
-    def ids(self, text: str) -> np.ndarray:
-        """Ids of a text as the library gives them without special tokens added."""
-        if not self.by_table or _KNOWN.search(text) or any(s in text for s in self.special):
-            return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4")
+    def _split(self, text: str) -> bytes:
         get, miss = self.table.get, self._miss
-        return np.frombuffer(b"".join([get(p) or miss(p) for p in _SPLIT.findall(text)]), dtype="<u4")
+        return b"".join([get(p) or miss(p) for p in _SPLIT.findall(text)])
+
+    def raw(self, text: str) -> bytes:
+        """Ids of a text, as the library gives them without special tokens added, as integers of ``width``."""
+        if not self.by_table or _KNOWN.search(text) or any(s in text for s in self.special):
+            return self._library(text)
+        return self._split(text)
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.frombuffer(self.raw(text), dtype=self.width).astype(np.uint32)
 
 
 _tables: dict[str, TokenTable] = {}
@@ -113,12 +134,16 @@ def encode_packed(docs: DataFrame, tokenizer_file: str, bits: int, end_id: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_table(tokenizer_file)
-        end = np.array([end_id], dtype="<u4")
+        width = np.dtype(table.width).itemsize
+        end = np.array([end_id], dtype=table.width).tobytes()
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
-                rows = [np.concatenate([table.ids(t.as_py() or ""), end]) for t in part.column(1)]
-                yield pa.record_batch([part.column(0), pa.array([len(r) for r in rows], pa.int64()), pa.array([pack(r, bits) for r in rows], pa.binary())], names=["doc_id", "n", "packed"])
+                rows = [table.raw(t or "") + end for t in part.column(1).to_pylist()]
+                n = [len(r) // width for r in rows]
+                if bits != 8 * width:
+                    rows = [pack(np.frombuffer(r, table.width), bits) for r in rows]
+                yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "n", "packed"])
 
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, packed binary")
 
@@ -187,13 +212,20 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def write_files(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_files(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> DataFrame:
     """Write token files below ``folder`` (a URI that every executor can open).
 
     Returns the manifest ``file_no, file, ids, documents``, one row for each file, with files
     numbered in ascending ``doc_id`` order.
     """
     bits = bits_for(token_table(tokenizer_file).size)
+    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"))
+    parts = files or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # Bounds come from the id column alone, so no text is encoded only to find them.
+    bounds = sorted({int(x) for x in ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts)}) if parts > 1 else []
+    place = F.lit(0)
+    if bounds:
+        place = F.size(F.filter(F.lit(bounds).cast("array<bigint>"), lambda x: x < F.col("doc_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -216,7 +248,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int,
 
     return (
         encode_packed(docs, tokenizer_file, bits, end_id, id_col, text_col)
-        .repartitionByRange("doc_id")
+        .repartitionById(len(bounds) + 1, place.cast("int"))
         .sortWithinPartitions("doc_id")
         .mapInArrow(run, "file_no long, file string, ids long, documents long")
     )
