@@ -134,7 +134,16 @@ def align(windows: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
     return best
 
 
-def _block_leaks(docs: DataFrame, rows: list[tuple[int, str | None]], least_score: float, chance: float, id_col: str, text_col: str) -> DataFrame:
+@dataclass
+class Index:
+    """What the executors need of a block: its items and its seeds by size."""
+
+    items: Items
+    tables: list[tuple[int, Lookup, np.ndarray, np.ndarray, np.ndarray]]
+    least_score: float
+
+
+def build_index(docs: DataFrame, rows: list[tuple[int, str | None]], least_score: float, chance: float, text_col: str) -> Index:
     items = Items.read(rows)
     vocabulary = np.unique(items.words)
     log_p = np.log(word_chances(docs, vocabulary, text_col))[np.searchsorted(vocabulary, items.words)] if len(vocabulary) else np.empty(0)
@@ -153,46 +162,49 @@ def _block_leaks(docs: DataFrame, rows: list[tuple[int, str | None]], least_scor
         order = np.argsort(h, kind="stable")
         unique, begin = np.unique(h[order], return_index=True)
         tables.append((size, Lookup(unique), np.append(begin, len(h)), item[order], place[order]))
-    sent = docs.sparkSession.sparkContext.broadcast((items, tables))
+    return Index(items, tables, least_score)
+
+
+def leaks_of(column: pa.Array, index: Index) -> list[tuple[int, int, float, int]]:
+    """Row, item, score and first word of every leak in a column of whole texts."""
+    items, out = index.items, []
+    lengths = np.diff(items.of)
+    for row, h, of in _words(column):
+        hits = []
+        for size, lookup, begins, item, place in index.tables:
+            at, seed = lookup.find(spans.shingle_hash(h, size))
+            doc = np.searchsorted(of, at, "right") - 1
+            inside = at + size <= of[doc + 1]
+            at, seed, doc = at[inside], seed[inside], doc[inside]
+            counts = begins[seed + 1] - begins[seed]
+            post = spans.ranges(begins[seed], counts)
+            hits.append(np.stack((np.repeat(doc, counts), item[post], np.repeat(at, counts) - place[post])))
+        hits = np.unique(np.concatenate(hits, axis=1), axis=1)
+        if not hits.shape[1]:
+            continue
+        # Windows around the diagonals of one document and item; close ones become one.
+        doc, item, diagonal = hits
+        slack = np.maximum(4, lengths[item] // 3)
+        lo = np.maximum(diagonal - slack, of[doc])
+        hi = np.minimum(diagonal + lengths[item] + slack, of[doc + 1])
+        new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (lo[1:] > hi[:-1])))
+        begin = np.flatnonzero(new)
+        end = np.append(begin[1:], len(new)) - 1
+        windows = [h[x:y] for x, y in zip(lo[begin], hi[end], strict=True)]
+        scores = align(windows, [items.words[items.of[i] : items.of[i + 1]] for i in item[begin]])
+        rows = zip(doc[begin], item[begin], scores, lo[begin] - of[doc[begin]], strict=True)
+        out += [(row + int(d), int(i), float(s / lengths[i]), int(x)) for d, i, s, x in rows if s >= index.least_score * lengths[i]]
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, tables = sent.value
-        lengths = np.diff(items.of)
-        for b in batches:
-            out: list[tuple[int, int, float, int]] = []
-            for row, h, of in _words(b.column(1)):
-                hits = []
-                for size, lookup, begins, item, place in tables:
-                    at, seed = lookup.find(spans.shingle_hash(h, size))
-                    doc = np.searchsorted(of, at, "right") - 1
-                    inside = at + size <= of[doc + 1]
-                    at, seed, doc = at[inside], seed[inside], doc[inside]
-                    counts = begins[seed + 1] - begins[seed]
-                    post = spans.ranges(begins[seed], counts)
-                    hits.append(np.stack((np.repeat(doc, counts), item[post], np.repeat(at, counts) - place[post])))
-                hits = np.unique(np.concatenate(hits, axis=1), axis=1)
-                if not hits.shape[1]:
-                    continue
-                # Windows around the diagonals of one document and item; close ones become one.
-                doc, item, diagonal = hits
-                slack = np.maximum(4, lengths[item] // 3)
-                lo = np.maximum(diagonal - slack, of[doc])
-                hi = np.minimum(diagonal + lengths[item] + slack, of[doc + 1])
-                new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (lo[1:] > hi[:-1])))
-                begin = np.flatnonzero(new)
-                end = np.append(begin[1:], len(new)) - 1
-                windows = [h[x:y] for x, y in zip(lo[begin], hi[end], strict=True)]
-                scores = align(windows, [items.words[items.of[i] : items.of[i + 1]] for i in item[begin]])
-                out += [(row + int(d), int(i), s / lengths[i], int(x)) for d, i, s, x in zip(doc[begin], item[begin], scores, lo[begin] - of[doc[begin]], strict=True) if s >= least_score * lengths[i]]
-            if out:
-                at, item, score, word = zip(*out, strict=True)
-                yield pa.record_batch(
-                    [b.column(0).take(pa.array(at)), pa.array([items.ids[i] for i in item], pa.int64()), pa.array(score, pa.float64()), pa.array(word, pa.int64())],
-                    names=["doc_id", "item_id", "score", "first_word"],
-                )
-
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, item_id long, score double, first_word long")
-    return found.groupBy("doc_id", "item_id").agg(F.round(F.max("score"), 6).alias("score"), F.min("first_word").alias("first_word"))
+
+def _indexes(docs: DataFrame, benchmark: DataFrame, least_score: float, chance: float, text_col: str) -> Iterator[Index]:
+    """An index for each block of the benchmark."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    chars = items.agg(F.sum(F.length("text") + 1)).first()[0] or 0
+    blocks = max(1, math.ceil(chars / BLOCK_CHARS))
+    for k in range(blocks):
+        rows = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()]
+        yield build_index(docs, rows, least_score, chance, text_col)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.5, chance: float = 2e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,18 +213,37 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.5,
     ``score`` is the best alignment score as a share of the item's words; ``first_word`` is where the
     first aligned window of the document begins.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    chars = items.agg(F.sum(F.length("text") + 1)).first()[0] or 0
-    blocks = max(1, math.ceil(chars / BLOCK_CHARS))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for k in range(blocks):
-        rows = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()]
-        found = _block_leaks(docs, rows, least_score, chance, id_col, text_col)
+    for index in _indexes(docs, benchmark, least_score, chance, text_col):
+        sent = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if found := leaks_of(b.column(1), sent.value):
+                    at, item, score, word = zip(*found, strict=True)
+                    ids = sent.value.items.ids
+                    yield pa.record_batch(
+                        [b.column(0).take(pa.array(at)), pa.array([ids[i] for i in item], pa.int64()), pa.array(score, pa.float64()), pa.array(word, pa.int64())],
+                        names=["doc_id", "item_id", "score", "first_word"],
+                    )
+
+        found = rows.mapInArrow(run, "doc_id long, item_id long, score double, first_word long")
         out = found if out is None else out.unionByName(found)
-    return out
+    return out.groupBy("doc_id", "item_id").agg(F.round(F.max("score"), 6).alias("score"), F.min("first_word").alias("first_word"))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.5, chance: float = 2e-6) -> DataFrame:
+    """``docs`` without the documents that leak an item, in one pass for each block, without a shuffle."""
+    at, kept = docs.columns.index("text"), docs
+    for index in _indexes(docs, benchmark, least_score, chance, "text"):
+        sent = docs.sparkSession.sparkContext.broadcast(index)
 
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keep = np.ones(b.num_rows, dtype=bool)
+                keep[[row for row, _, _, _ in leaks_of(b.column(at), sent.value)]] = False
+                yield b.filter(pa.array(keep))
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """``docs`` without the documents that leak an item."""
-    leaking = find_leaks(docs, benchmark, least_score).select(F.col("doc_id").alias("_leaking_id")).distinct()
-    return docs.join(leaking, docs["doc_id"].eqNullSafe(F.col("_leaking_id")), "left_anti")
+        kept = kept.mapInArrow(run, docs.schema)
+    return kept

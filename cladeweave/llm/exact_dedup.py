@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeweave.llm.shared import IdFilter, cut
+from cladeweave.llm.shared import IdFilter, cut, drop_ids
 
 MEMTABLE_ROWS = 200_000
 _ODD = re.compile(rb"[\x09-\x0D]|\x20{2}")
@@ -150,5 +150,4 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Ids are taken to be unique, as in ``documents``; rows that repeat an id with an equal text stay
     together, so callers with such rows should drop repeated rows first.
     """
-    dropped = exact_groups(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_dropped_id"))
-    return docs.join(dropped, docs[id_col].eqNullSafe(F.col("_dropped_id")), "left_anti")
+    return drop_ids(docs, id_col, exact_groups(docs, id_col, text_col).where("NOT kept").select("doc_id"))

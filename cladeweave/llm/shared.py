@@ -103,6 +103,25 @@ class IdFilter:
         return keep
 
 
+def drop_ids(docs: DataFrame, id_col: str, dropped: DataFrame, bits: int = 24) -> DataFrame:
+    """``docs`` without the rows whose id is in the first column of ``dropped``.
+
+    A bitmap of ``2**bits`` places over hashed ids (4 MB at most, whatever the input is) is broadcast
+    as a table of words; rows that it excludes pass without a shuffle, and only the others meet the
+    exact anti join.  Rows without id stay.
+    """
+    ids = dropped.select(F.col(dropped.columns[0]).cast("long").alias("__drop_id")).where("__drop_id IS NOT NULL")
+    place = F.pmod(F.xxhash64("__drop_id"), F.lit(1 << bits))
+    words = ids.select(F.shiftright(place, 6).alias("__drop_word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(__drop_id), {1 << bits}) % 64 as int))").alias("_bit"))
+    words = F.broadcast(words.groupBy("__drop_word").agg(F.bit_or("_bit").alias("__drop_bits")))
+    marked = docs.withColumn("__drop_id", F.col(id_col).cast("long")).withColumn("__drop_word", F.shiftright(place, 6)).join(words, "__drop_word", "left")
+    bit = F.expr(f"shiftright(__drop_bits, cast(pmod(xxhash64(__drop_id), {1 << bits}) % 64 as int)) & 1")
+    hit = F.col("__drop_id").isNotNull() & F.coalesce(bit == 1, F.lit(False))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rest = marked.where(hit).join(ids.distinct(), "__drop_id", "left_anti")
+    return marked.where(~hit).select(*columns).union(rest.select(*columns))
+
+
 def require(ok: bool, message: str) -> None:
     """Raise ``ValueError`` unless ``ok``."""
     if not ok:

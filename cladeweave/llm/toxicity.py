@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ from cladeweave.llm import features, spans
 
 BITS = 20
 STEMS = (5, 7, 9)
+#: Labelled rows of each class that are learned at most.
+BOUND = 4000
 U = np.uint64
 
 
@@ -46,7 +49,7 @@ def term_groups(buf: np.ndarray, offs: np.ndarray) -> Iterator[features.Group]:
 
 
 def distinct_terms(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    buf, offs = spans.text_buffers(column)
+    buf, offs = spans.text_buffers(pc.utf8_lower(column))
     for lo, hi in spans.slices(offs):
         groups = list(term_groups(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]))
         for d in range(hi - lo):
@@ -85,7 +88,7 @@ class Ftrl:
         return -np.sign(z) * np.maximum(np.abs(z) - self.l1, 0) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = 6000, label: str = "toxic", least_documents: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND, label: str = "toxic", least_documents: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
     """Non-zero buckets, their weights, and the bias.
 
     Terms in fewer than ``least_documents`` documents of the sample are not learned.
@@ -102,37 +105,51 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 6000, label: str = "tox
     return at, weights[at], float(weights[-1])
 
 
+def probabilities(column: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
+    """Probability of label 1 for each whole text of a column."""
+    buf, offs = spans.text_buffers(pc.utf8_lower(column))
+    total = np.full(len(offs) - 1, bias)
+    for lo, hi in spans.slices(offs):
+        docs_at, terms = [], []
+        for buckets, begins in term_groups(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]):
+            hit = np.flatnonzero(table[buckets])
+            docs_at.append(np.searchsorted(begins, hit, "right") - 1)
+            terms.append(buckets[hit])
+        # Each term counts once in a document.
+        pairs = np.unique(np.stack((np.concatenate(docs_at), np.concatenate(terms).astype(np.int64)), axis=1), axis=0)
+        np.add.at(total, lo + pairs[:, 0], table[pairs[:, 1]])
+    return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
+
+
+def _dense(model: tuple[np.ndarray, np.ndarray, float]) -> np.ndarray:
+    table = np.zeros(1 << BITS, dtype=np.float64)
+    table[model[0]] = model[1]
+    return table
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row of ``docs``."""
-    at, weights, bias = model
-    sent = docs.sparkSession.sparkContext.broadcast((at, weights, bias))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def of(column: pa.Array) -> dict[str, pa.Array]:
-        at, weights, bias = sent.value
-        table = np.zeros(1 << BITS, dtype=np.float64)
-        table[at] = weights
-        buf, offs = spans.text_buffers(column)
-        total = np.full(len(offs) - 1, bias)
-        for lo, hi in spans.slices(offs):
-            docs_at, terms = [], []
-            for buckets, begins in term_groups(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]):
-                hit = np.flatnonzero(table[buckets])
-                docs_at.append(np.searchsorted(begins, hit, "right") - 1)
-                terms.append(buckets[hit])
-            # Each term counts once in a document.
-            pairs = np.unique(np.stack((np.concatenate(docs_at), np.concatenate(terms).astype(np.int64)), axis=1), axis=0)
-            np.add.at(total, lo + pairs[:, 0], table[pairs[:, 1]])
-        p = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
+        p = probabilities(column, _dense(sent.value), sent.value[2])
         return {"score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32))}
 
     return features.score_rows(docs, of, "score double, predicted int")
 
 
-def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, bound: int = 6000) -> DataFrame:
+def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> DataFrame:
     return score(docs, fit(docs, labels, bound))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, bound: int = 6000) -> DataFrame:
-    """``docs`` without the documents that are predicted toxic; rows without id stay unless toxic."""
-    flagged = score(docs, fit(docs, labels, bound)).where("predicted = 1").select(F.col("doc_id").alias("_flagged_id")).distinct()
-    return docs.join(flagged, docs["doc_id"].eqNullSafe(F.col("_flagged_id")), "left_anti")
+def keep_clean(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> DataFrame:
+    """``docs`` without the documents that are predicted toxic, in one pass and without a shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, bound))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _dense(sent.value)
+        for b in batches:
+            yield b.filter(pa.array(probabilities(b.column(at), table, sent.value[2]) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
