@@ -406,5 +406,5 @@ def annotation_registry(nodes: DataFrame, tips: DataFrame, main_values: list[str
 
 def augment_nodes(nodes: DataFrame, registry: DataFrame, layers: list[str]) -> DataFrame:
     """Nodes with the labels of each layer, sorted and joined by a bar."""
-    wide = registry.groupBy("tree_id", F.col("mrca").alias("node_id")).pivot("layer", layers).agg(F.nullif(F.array_join(F.array_sort(F.collect_set("grp")), " | "), F.lit("")))
+    wide = registry.groupBy("tree_id", F.col("mrca").alias("node_id")).pivot("layer", layers).agg(F.when(F.count("grp") > 0, F.array_join(F.array_sort(F.collect_set("grp")), " | ")))
     return nodes.join(wide, KEY, "left")

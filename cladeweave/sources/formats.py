@@ -133,7 +133,7 @@ def format_newick(nodes: list[tuple]) -> str:
     parts, stack = [], [(children[None][0], False)]
     while stack:
         n, done = stack.pop()
-        below = children.get(n[0], [])
+        below = children.get(n[0], []) if n[0] is not None else []
         if done:
             parts.append(")" + name(n))
         elif below:
