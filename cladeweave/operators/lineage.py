@@ -1,23 +1,25 @@
-"""Cutting the lineage of iterative plans through the shared checkpoint folder."""
+"""Cutting the lineage of iterative plans through tables in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the folder in ``spark.checkpoint.dir`` and read from there.
+    """``df`` written once as a table below ``spark.checkpoint.dir`` and read from there.
 
-    Only where the setting is absent (tests on one machine) a temporary folder takes its place.
+    A written table has its true size; a checkpoint would keep the size estimate of its plan, and such
+    estimates multiply at every join of an iteration.  Only where the setting is absent (tests on one
+    machine) a temporary folder takes its place.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        try:
-            folder = spark.conf.get("spark.checkpoint.dir")
-        except Exception:  # noqa: BLE001  the JVM raises for an unknown key
-            folder = None
-        context.setCheckpointDir(folder or f"file://{tempfile.gettempdir()}/checkpoints")
-    return df.checkpoint(eager=True)
+    try:
+        folder = spark.conf.get("spark.checkpoint.dir")
+    except Exception:  # noqa: BLE001  the JVM raises for an unknown key
+        folder = None
+    path = f"{(folder or f'file://{tempfile.gettempdir()}/checkpoints').rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
