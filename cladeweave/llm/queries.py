@@ -75,4 +75,40 @@ SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n
 FROM normalised n JOIN grouped g ON n.body = g.body
 """
 
-ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
+OP1_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS l FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, s FROM (
+        SELECT doc_id, unnest(CASE WHEN len(l) >= 4 THEN list_transform(range(1, len(l) - 2), lambda i: array_to_string(l[i:i + 3], ' ')) WHEN len(l) > 0 THEN [array_to_string(l, ' ')] ELSE [] END) AS s FROM words)
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+    SELECT x, y FROM pairs JOIN sizes a ON x = a.doc_id JOIN sizes b ON y = b.doc_id WHERE 100 * i >= 85 * (a.n + b.n - i)
+), reach AS (
+    SELECT doc_id, doc_id AS r FROM documents
+    UNION
+    SELECT reach.doc_id, e.y FROM reach JOIN (SELECT x, y FROM links UNION ALL SELECT y, x FROM links) e ON reach.r = e.x
+)
+SELECT m.doc_id, coalesce(sizes.n, 0) AS n_shingles, m.component_id
+FROM (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) m LEFT JOIN sizes ON m.doc_id = sizes.doc_id
+"""
+
+_CONTROL_SQL = " + ".join(f"(length(x) - length(replace(x, '{c}', ''))) // {len(c)}" for c in ("<s>", "</s>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]", "[OUT]", "[ROLE=", "[/ROLE]"))
+OP5_SQL = f"""
+WITH said AS (
+    SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+    SELECT *, length(x) + (length(x) - length(replace(x, chr(92), ''))) + {_CONTROL_SQL}
+        + CASE r WHEN 'user' THEN 15 WHEN 'assistant' THEN 11 WHEN 'system' THEN 19 ELSE 16 + length(r) END AS n FROM said
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, r, x)) AS turns_sha256,
+    CAST(coalesce(sum(length(x)) FILTER (WHERE r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, r, x) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256, CAST(3 + sum(n) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {"op1_jaccard_join": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op5_chat_format": OP5_SQL}
