@@ -13,16 +13,21 @@ least one slice is the same set in both and the pair meets in its region: nothin
 follows from the size class, and a document also visits the classes of all smaller sizes that a
 partner may have.  Slices that are empty count only where a document has no more than ``D`` others.
 
-**Inside the regions** pivots are documents.  Each document first goes to one home pivot, the
-smallest document it meets (Voronoi step), and distances to the pivot are computed exactly.  Documents within ``r``
-join the pivot's component.  Regions in which everything belongs to one component are finished.  The
-others are joined again, recursively: each region takes new pivots, all documents that are not yet
-in the pivot's component are compared with it, except those outside the triangle window
-``|d(p, x) - d(p, y)| <= r`` of the pivot before, and a pivot that has met everything leaves the
-region.  The recursion ends when no region holds two components, so the result is exact.
-
-Equal sets are one node throughout, and a task joins equal slices of its own documents before it
-sends them, so groups of copies and near copies leave it as one row for a slice.
+**Windows.**  Two documents of a region can only link if their sizes allow it and if the L1 distance
+of their count vectors (shingles counted in 128 hash ranges) is at most ``D``: the map from sets to
+count vectors does not enlarge differences, so this window loses nothing.  Each region is cut into
+the connected parts of its window graph, and parts that share documents are joined to one region.
+
+**Recursion.**  A region that is small enough is joined exactly in memory.  A larger one takes one of
+its documents as pivot ``p``; exact distances to it cut the region into rings of width ``r``, and by the
+triangle inequality a document can only link within its ring and the next: rings are joined with
+themselves and with the boundary documents of their neighbour.  Rings are split into cells by size
+class (sets link only if their sizes differ by less than the threshold) and, if a cell is still too
+large, by hash; pairs of cells within the windows are joined in memory, each in a task of its own, and
+give only the edges that span their components.  No pair of different texts is lost, and no task
+holds more than two cells.
+
+Equal sets are one node throughout, so a group of copies leaves a task as one document.
 
 Defined results: a null or empty text, or one without words, has no shingles, links with nothing and
 is its own component.  A text with fewer words than a shingle has its whole word sequence as its one
@@ -32,6 +37,7 @@ and its component is null if those have no id either.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -42,10 +48,13 @@ from pyspark.sql import functions as F
 
 from cladeweave.llm import spans
 from cladeweave.llm.components import components
-from cladeweave.llm.shared import IdFilter, ceil_div, cut
+from cladeweave.llm.shared import IdFilter, ceil_div, cut, drop_ids
 
 U = np.uint64
-FLUSH_ROWS = 1 << 21
+FLUSH_ROWS = 1 << 18
+VECTOR = 128
+MEMORY_NODES = 1024
+MEMORY_SHINGLES = 1 << 20
 CLASS_GROWTH = 1.6
 
 
@@ -121,21 +130,6 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
                 yield spans.whole_hash(words[a:z]) if z > a else np.empty(0, U)
 
 
-def _combine(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One row for each signature; other nodes of the task under it become edges of their own."""
-    order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
-    new_sig = np.concatenate(([True], sig[1:] != sig[:-1]))
-    new = new_sig | np.concatenate(([True], node[1:] != node[:-1]))
-    first = node[np.maximum.accumulate(np.where(new_sig, np.arange(len(sig)), 0))]
-    extra = new & ~new_sig
-    if extra.any():
-        pairs = np.unique(np.stack((first[extra], node[extra]), axis=1), axis=0)
-        link = spans.mix64(pairs[:, 0].view(U) * U(0x9E3779B97F4A7C15) ^ spans.mix64(pairs[:, 1].view(U))).view(np.int64)
-        return np.concatenate((sig[new_sig], link, link)), np.concatenate((node[new_sig], pairs[:, 0], pairs[:, 1]))
-    return sig[new_sig], node[new_sig]
-
-
 def _document_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -152,7 +146,7 @@ def _nodes(rows: DataFrame, k: int) -> DataFrame:
 
 
 def _signatures(rows: DataFrame, k: int, slicing: Slicing) -> DataFrame:
-    """``sig, node`` of each slice, combined within the task."""
+    """``sig, node`` of each slice; equal sets of a task are sent once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -161,8 +155,8 @@ def _signatures(rows: DataFrame, k: int, slicing: Slicing) -> DataFrame:
         rows_held = 0
 
         def flush() -> pa.RecordBatch:
-            sig, node = _combine(np.concatenate(sigs), np.repeat(np.array(nodes, dtype=np.int64), [len(s) for s in sigs]))
-            return pa.record_batch([pa.array(sig), pa.array(node)], names=["sig", "node"])
+            node = np.repeat(np.array(nodes, dtype=np.int64), [len(s) for s in sigs])
+            return pa.record_batch([pa.array(np.concatenate(sigs)), pa.array(node)], names=["sig", "node"])
 
         for b in batches:
             for h in shingle_sets(b.column(1), k):
@@ -183,8 +177,15 @@ def _signatures(rows: DataFrame, k: int, slicing: Slicing) -> DataFrame:
     return rows.mapInArrow(run, "sig long, node long")
 
 
+def _runs(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin, and the end."""
+    if not len(sorted_keys):
+        return np.zeros(1, np.int64)
+    return np.append(np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1]))), len(sorted_keys))
+
+
 def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate edges of one shuffle partition: all nodes under a signature with its smallest."""
+    """Members of the slices that more than one node has; slices with the same members once."""
     sig, node = [], []
     for b in batches:
         sig.append(b.column(0).to_numpy())
@@ -193,18 +194,169 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     sig, node = np.concatenate(sig), np.concatenate(node)
     order = np.argsort(sig, kind="stable")
-    s = sig[order]
-    same = s[1:] == s[:-1]
+    sig = sig[order]
+    same = sig[1:] == sig[:-1]
     keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-    s, n = s[keep], node[order[keep]]
-    if not len(s):
+    sig, node = sig[keep], node[order[keep]]
+    order = np.lexsort((node, sig))
+    sig, node = sig[order], node[order]
+    fresh = np.concatenate(([True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])))[: len(sig)]
+    sig, node = sig[fresh], node[fresh]
+    runs = _runs(sig)
+    sizes = np.diff(runs)
+    if not len(sizes):
         return
-    order = np.lexsort((n, s))
-    s, n = s[order], n[order]
-    new = np.concatenate(([True], s[1:] != s[:-1]))
-    first = n[np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))]
-    pairs = np.unique(np.stack((first, n), axis=1)[n != first], axis=0)
-    yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    # The same members meet in many slices: one of these regions is enough.
+    members = np.add.reduceat(spans.mix64(node.view(U)), runs[:-1])
+    _, first = np.unique(members ^ sizes.astype(U), return_index=True)
+    chosen = first[sizes[first] > 1]
+    at = spans.ranges(runs[chosen], sizes[chosen])
+    region = np.repeat(members[chosen].view(np.int64), sizes[chosen])
+    for lo in range(0, len(at), 1 << 16):
+        yield pa.record_batch([pa.array(region[lo : lo + (1 << 16)]), pa.array(node[at[lo : lo + (1 << 16)]])], names=["sig", "node"])
+
+
+def count_vector(h: np.ndarray) -> np.ndarray:
+    """Shingles in each hash range, at most 255; neither step enlarges a difference."""
+    return np.minimum(np.bincount((h >> U(57)).astype(np.int64), minlength=VECTOR), 255).astype(np.uint8)
+
+
+def window_forest(node: np.ndarray, n: np.ndarray, vectors: np.ndarray, slicing: Slicing) -> list[tuple[int, int]]:
+    """Edges that span the connected parts of a region's window graph."""
+    order = np.argsort(n, kind="stable")
+    node, n, vectors = node[order], n[order].astype(np.int64), vectors[order].astype(np.int16)
+    left, found = np.arange(len(node)), []
+    while len(left) > 1:
+        frontier, left = [left[0]], left[1:]
+        while frontier and len(left):
+            x = frontier.pop()
+            lo = np.searchsorted(n[left], ceil_div(slicing.num * int(n[x]), slicing.den), "left")
+            hi = np.searchsorted(n[left], slicing.den * int(n[x]) // slicing.num, "right")
+            near = left[lo:hi]
+            most = (slicing.den - slicing.num) * np.minimum(n[near], n[x]) // slicing.num
+            close = np.abs(vectors[near] - vectors[x]).sum(axis=1) <= most
+            if close.any():
+                met = near[close]
+                found += [(int(node[x]), int(node[y])) for y in met]
+                frontier += list(met)
+                left = np.concatenate((left[:lo], near[~close], left[hi:]))
+    return found
+
+
+def _window_edges(members: DataFrame, sets: DataFrame, slicing: Slicing) -> DataFrame:
+    """``a, b``: a forest over the window graph of each region."""
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = [np.frombuffer(x.as_buffer(), dtype=U) for x in b.column(1)]
+            yield pa.record_batch([b.column(0), pa.array([len(x) for x in h], pa.int64()), pa.array([count_vector(x).tobytes() for x in h], pa.binary())], names=["node", "n", "vector"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches, schema=schema)
+        if not table.num_rows:
+            return
+        sig, node, n = (table.column(k).to_numpy() for k in range(3))
+        raw = np.frombuffer(b"".join(table.column(3).to_pylist()), dtype=np.uint8).reshape(-1, VECTOR)
+        order = np.argsort(sig, kind="stable")
+        runs = _runs(sig[order])
+        edges: set[tuple[int, int]] = set()
+        for lo, hi in zip(runs[:-1].tolist(), runs[1:].tolist(), strict=True):
+            at = order[lo:hi]
+            edges.update(window_forest(node[at], n[at], raw[at], slicing))
+        pairs = np.array(sorted(edges), dtype=np.int64).reshape(-1, 2)
+        yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    schema = pa.schema([("sig", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("vector", pa.binary())])
+    described = sets.mapInArrow(vectors, "node long, n long, vector binary")
+    rows = members.join(described, "node").select("sig", "node", "n", "vector")
+    return rows.repartition("sig").mapInArrow(run, "a long, b long")
+
+
+def links_between(sets: list[np.ndarray], slicing: Slicing, split: int | None = None) -> list[tuple[int, int]]:
+    """Edges that span the components of linked sets, found exactly in memory.
+
+    With ``split`` only sets before it are compared with sets from it on.
+    """
+    label = list(range(len(sets)))
+    sizes = np.array([len(h) for h in sets])
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    begins = np.concatenate(([0], np.cumsum(sizes)))
+    marked, edges = np.zeros(len(values), dtype=np.int32), []
+
+    def root(x: int) -> int:
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    for k in range(split if split is not None else len(sets) - 1):
+        first = k + 1 if split is None else split
+        own = at[begins[k] : begins[k + 1]]
+        marked[own] = 1
+        common = np.add.reduceat(marked[at[begins[first] :]], begins[first:-1] - begins[first])
+        marked[own] = 0
+        union = sizes[k] + sizes[first:] - common
+        for j in np.flatnonzero(slicing.den * common >= slicing.num * union):
+            a, b = root(k), root(first + int(j))
+            if a != b:
+                label[max(a, b)] = min(a, b)
+                edges.append((k, first + int(j)))
+    return edges
+
+
+def _join_in_memory(rows: DataFrame, slicing: Slicing) -> DataFrame:
+    """``a, b``: spanning links of each group of ``(group, side, node, shingles)``.
+
+    Where a group has rows of side 1, only pairs of different sides are compared.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, sides, nodes, sets = None, [], [], []
+
+        def flush() -> pa.RecordBatch:
+            split = sides.index(1) if 1 in sides else None
+            found = links_between(sets, slicing, split) if split != 0 else []
+            return pa.record_batch([pa.array([nodes[x] for x, _ in found], pa.int64()), pa.array([nodes[y] for _, y in found], pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            for g, side, node, raw in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3), strict=True):
+                if g != group and nodes:
+                    yield flush()
+                    sides, nodes, sets = [], [], []
+                group = g
+                sides.append(side)
+                nodes.append(node)
+                sets.append(np.frombuffer(raw.as_buffer().to_pybytes(), dtype=U))
+        if nodes:
+            yield flush()
+
+    ordered = rows.select("group", "side", "node", "shingles").repartition("group").sortWithinPartitions("group", "side", "node")
+    return ordered.mapInArrow(run, "a long, b long")
+
+
+def _join_rings(placed: DataFrame, sets: DataFrame, slicing: Slicing, cell_nodes: int) -> DataFrame:
+    """``a, b``: spanning links of the cells of large regions ``placed(region, node, n)``."""
+    pivots = placed.groupBy("region").agg(F.min_by("node", F.xxhash64("node")).alias("pivot"))
+    paired = placed.join(pivots, "region")
+    edges = paired.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    away = _distances(edges, sets, slicing).select(F.col("b").alias("node"), "d")
+    radius = (slicing.den - slicing.num) / slicing.den + 1e-9
+    ringed = paired.join(away, "node", "left").select(
+        "region", "node",
+        F.floor(F.coalesce("d", F.lit(0.0)) / radius).alias("ring"),
+        F.floor(F.log(F.col("n")) / math.log(slicing.den / slicing.num + 1e-9)).alias("size_class"),
+    )
+    ringed = cut(ringed)
+    counts = ringed.groupBy("region", "ring", "size_class").agg(F.ceil(F.count("*") / cell_nodes).alias("parts"))
+    celled = ringed.join(counts, ["region", "ring", "size_class"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    celled = cut(celled.withColumn("cell", F.concat_ws("/", "region", "ring", "size_class", "part")).select("node", "cell", "region", "ring", "size_class"))
+    cells = celled.select("cell", "region", "ring", "size_class").distinct()
+    x, y = cells.alias("x"), cells.alias("y")
+    near = (F.col("x.region") == F.col("y.region")) & (F.abs(F.col("x.ring") - F.col("y.ring")) <= 1)
+    near &= (F.abs(F.col("x.size_class") - F.col("y.size_class")) <= 1) & (F.col("x.cell") <= F.col("y.cell"))
+    pairs = x.join(y, near).select(F.concat_ws(" ", "x.cell", "y.cell").alias("group"), F.col("x.cell").alias("one"), F.col("y.cell").alias("two"))
+    sides = pairs.select("group", F.col("one").alias("cell"), F.lit(0).alias("side")).union(pairs.where("one != two").select("group", F.col("two").alias("cell"), F.lit(1).alias("side")))
+    return _join_in_memory(celled.select("node", "cell").join(sides, "cell").join(sets, "node"), slicing)
 
 
 def _fetch_sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -248,74 +400,7 @@ def _distances(edges: DataFrame, sets: DataFrame, slicing: Slicing) -> DataFrame
     return pairs.mapInArrow(run, "a long, b long, d double, linked boolean")
 
 
-def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after the components of linked nodes have been joined."""
-    a = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
-    b = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    joined = links.join(a, "a").join(b, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    found = components(joined).select(F.col("node").alias("label"), "root")
-    return cut(labels.join(found, "label", "left").select("node", F.coalesce("root", "label").alias("label")))
-
-
-def _settle(labels: DataFrame, candidates: DataFrame, sets: DataFrame, slicing: Slicing) -> DataFrame:
-    """Recursive joins of the regions that still hold more than one component."""
-    # A region is a star of candidate edges: it holds one component if no edge joins two.
-    a = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
-    b = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    if candidates.join(a, "a").join(b, "b").where("la != lb").isEmpty():
-        return labels
-    region = components(candidates).select("node", F.col("root").alias("region"))
-    placed = cut(labels.join(region, "node"))
-    open_regions = placed.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
-    active = placed.join(open_regions.select("region"), "region", "left_semi").select("node")
-    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for node, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                sig = slice_signatures(np.frombuffer(raw.as_buffer(), dtype=U), slicing)
-                yield pa.record_batch([pa.array(sig), pa.array(np.full(len(sig), node, np.int64))], names=["sig", "node"])
-
-    members = sets.join(active, "node", "left_semi").mapInArrow(signatures, "sig long, node long")
-    shared = members.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("sig")
-    members = cut(members.join(shared, "sig", "left_semi").withColumn("seen", F.lit(None).cast("double")))
-    radius = (slicing.den - slicing.num) / slicing.den + 1e-12
-    pivots, sampling = 1, True
-    while True:
-        labelled = members.join(labels, "node")
-        mixed = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("sig")
-        labelled = cut(labelled.join(mixed, "sig", "left_semi"))
-        if labelled.isEmpty():
-            return labels
-        if sampling:
-            # One pair of different components for each region: most regions close at once.
-            ends = labelled.groupBy("sig").agg(F.min(F.struct("label", "node")).alias("x"), F.max(F.struct("label", "node")).alias("y"))
-            links = cut(_distances(ends.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), sets, slicing).where("linked"))
-            if links.isEmpty():
-                sampling = False
-            else:
-                labels = _relabel(labels, links.select("a", "b"))
-            continue
-        # Pivots come from the smallest components of a region, so the rest is met in few rounds.
-        sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
-        ranked = labelled.join(sizes, "label").withColumn("slot", F.pmod(F.xxhash64("node"), F.lit(pivots)))
-        chosen = ranked.groupBy("sig", "slot").agg(F.min(F.struct("size", "node", "label", "seen")).alias("p"))
-        chosen = cut(chosen.select("sig", F.col("p.node").alias("pivot"), F.col("p.label").alias("pivot_label"), F.col("p.seen").alias("pivot_seen")))
-        met = labelled.join(chosen, "sig").where("node != pivot AND label != pivot_label")
-        met = met.where(F.coalesce(F.abs(F.col("seen") - F.col("pivot_seen")) <= radius, F.lit(True)))
-        pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        verified = cut(_distances(pairs, sets, slicing))
-        left = labelled.join(chosen.select("sig", F.col("pivot").alias("node")), ["sig", "node"], "left_anti").drop("label")
-        if pivots == 1:
-            either = verified.select("a", "b", "d").union(verified.select("b", "a", "d"))
-            either = either.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "d")
-            left = left.join(chosen.select("sig", "pivot"), "sig").join(either, ["node", "pivot"], "left").select("sig", "node", F.col("d").alias("seen"))
-        else:
-            left = left.select("sig", "node", F.lit(None).cast("double").alias("seen"))
-        members = cut(left)
-        labels = _relabel(labels, verified.where("linked").select("a", "b"))
-        pivots = min(pivots * 4, 256)
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", memory_nodes: int = MEMORY_NODES) -> DataFrame:
     """Per document ``doc_id, n_shingles, component_id, kept``.
 
     Documents link when ``den * |x & y| >= num * |x | y|`` over their sets of ``k``-word shingles;
@@ -324,19 +409,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     slicing = Slicing(num, den)
     rows = _document_rows(docs, id_col, text_col)
     folder = cut(_nodes(rows, k))
-    candidates = cut(_signatures(rows, k, slicing).repartition("sig").mapInArrow(_meeting, "a long, b long").distinct())
-    keepers = folder.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    involved = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = cut(keepers.join(involved, "node", "left_semi").where("doc_id IS NOT NULL").select("doc_id", "node"))
-    sets = cut(_fetch_sets(rows, wanted, k))
-    # Home regions: every node with the smallest pivot that it meets.
-    home = candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = cut(_distances(home, sets, slicing).where("linked").select("a", "b"))
-    labels = cut(sets.select("node", F.col("node").alias("label")))
-    labels = _relabel(labels, links)
-    labels = _settle(labels, candidates, sets, slicing)
+    members = cut(_signatures(rows, k, slicing).repartition("sig").mapInArrow(_meeting, "sig long, node long").distinct())
+    keepers = folder.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
+    wanted = cut(keepers.join(members.select("node").distinct(), "node", "left_semi").where("doc_id IS NOT NULL"))
+    sets = cut(_fetch_sets(rows, wanted.select("doc_id", "node"), k))
+    regions = components(_window_edges(members, sets, slicing)).select("node", F.col("root").alias("region"))
+    placed = regions.join(wanted.select("node", "n"), "node")
+    sizes = placed.groupBy("region").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles"))
+    small = (F.col("nodes") <= memory_nodes) & (F.col("shingles") <= MEMORY_SHINGLES)
+    placed = cut(placed.join(sizes.select("region", small.alias("small")), "region").select("region", "node", "n", "small"))
+    one = placed.where("small").select(F.col("region").cast("string").alias("group"), F.lit(0).alias("side"), "node")
+    links = _join_in_memory(one.join(sets, "node"), slicing)
+    large = placed.where("NOT small")
+    if not large.isEmpty():
+        links = links.union(_join_rings(large, sets, slicing, max(1, memory_nodes // 2)))
+    labels = components(links).select("node", F.col("root").alias("label"))
     placed = folder.join(labels, "node", "left").withColumn("label", F.coalesce("label", F.when(F.col("n") > 0, F.col("node"))))
-    ids = keepers.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("doc_id").alias("component_id"))
+    ids = keepers.select("node", "doc_id").join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("doc_id").alias("component_id"))
     linked = placed.where("n > 0").join(ids, "label").select("doc_id", "n", "component_id")
     alone = placed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return linked.union(alone).select(
@@ -346,5 +435,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document, the one with the smallest id, of each component."""
-    dropped = near_duplicates(docs, k, num, den, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_dropped_id"))
-    return docs.join(dropped, docs[id_col] == F.col("_dropped_id"), "left_anti")
+    return drop_ids(docs, id_col, near_duplicates(docs, k, num, den, id_col, text_col).where("NOT kept").select("doc_id"))

@@ -32,12 +32,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once and read it from there."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder once and read it from there.
+
+    A written table has its true size.  A checkpoint would keep the estimate of the plan that made it,
+    and these estimates multiply at every join of an iteration until the numbers alone fill the driver.
+    """
+    spark, path = df.sparkSession, new_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
