@@ -25,7 +25,7 @@ from cladeweave.llm import features, spans
 BITS = 20
 STEMS = (5, 7, 9)
 #: Labelled rows of each class that are learned at most.
-BOUND = 4000
+BOUND = 2500
 U = np.uint64
 
 
