@@ -71,6 +71,7 @@ def splits(nodes: DataFrame, common: DataFrame | None = None) -> DataFrame:
     below = tips_below(nodes)
     if common is not None:
         below = below.join(common.select("tip"), "tip", "left_semi")
+    below = cut(below)  # read five times
     every = below.groupBy("tree_id").agg(F.min("tip").alias("first"), F.countDistinct("tip").alias("n"))
     sides = below.groupBy(*KEY).agg(F.array_sort(F.collect_set("tip")).alias("tips")).join(every, "tree_id")
     inner = sides.where((F.size("tips") >= 2) & (F.size("tips") <= F.col("n") - 2))
@@ -106,14 +107,15 @@ def group_nodes(nodes: DataFrame, groups: DataFrame, min_tips: int = 2) -> DataF
     ``groups``: ``grp, tip``.  The ancestor is the node with the fewest tips among those above all the
     group's tips; the group is monophyletic if that node has no other tips.
     """
-    below = tips_below(nodes)
+    closure = cut(ancestors(nodes))
+    below = cut(tips_below(nodes, closure))
     sizes = below.groupBy(*KEY).agg(F.count("*").alias("n_node"))
     placed = groups.distinct().join(nodes.where("is_tip").select("tree_id", F.col("label").alias("tip")), "tip")
     wanted = placed.groupBy("tree_id", "grp").agg(F.countDistinct("tip").alias("n_tips")).where(F.col("n_tips") >= min_tips)
     held = below.join(placed, ["tree_id", "tip"]).groupBy("tree_id", "grp", "node_id").agg(F.count("*").alias("n_group"))
     above = held.join(wanted, ["tree_id", "grp"]).where("n_group = n_tips").join(sizes, KEY)
     # Unary nodes have the same tips as their child: the deepest of them is the ancestor.
-    depth = ancestors(nodes).groupBy(*KEY).agg(F.max("steps").alias("level"))
+    depth = closure.groupBy(*KEY).agg(F.max("steps").alias("level"))
     best = above.join(depth, KEY).groupBy("tree_id", "grp", "n_tips").agg(F.min(F.struct("n_node", (-F.col("level")).alias("l"), "node_id")).alias("m"))
     return best.select("tree_id", "grp", "n_tips", F.col("m.node_id").alias("mrca"), F.col("m.n_node").alias("n_below"), (F.col("m.n_node") == F.col("n_tips")).alias("monophyletic"))
 
