@@ -243,14 +243,9 @@ def window_forest(node: np.ndarray, n: np.ndarray, vectors: np.ndarray, slicing:
     return found
 
 
-def _window_edges(members: DataFrame, sets: DataFrame, slicing: Slicing) -> DataFrame:
+def _window_edges(members: DataFrame, described: DataFrame, slicing: Slicing) -> DataFrame:
     """``a, b``: a forest over the window graph of each region."""
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = [np.frombuffer(x.as_buffer(), dtype=U) for x in b.column(1)]
-            yield pa.record_batch([b.column(0), pa.array([len(x) for x in h], pa.int64()), pa.array([count_vector(x).tobytes() for x in h], pa.binary())], names=["node", "n", "vector"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches, schema=schema)
         if not table.num_rows:
@@ -267,7 +262,6 @@ def _window_edges(members: DataFrame, sets: DataFrame, slicing: Slicing) -> Data
         yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     schema = pa.schema([("sig", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("vector", pa.binary())])
-    described = sets.mapInArrow(vectors, "node long, n long, vector binary")
     rows = members.join(described, "node").select("sig", "node", "n", "vector")
     return rows.repartition("sig").mapInArrow(run, "a long, b long")
 
@@ -323,6 +317,8 @@ def _join_in_memory(rows: DataFrame, slicing: Slicing) -> DataFrame:
                 if g != group and nodes:
                     yield flush()
                     sides, nodes, sets = [], [], []
+                elif nodes and nodes[-1] == node and sides[-1] == side:
+                    continue  # another document with the same set
                 group = g
                 sides.append(side)
                 nodes.append(node)
@@ -359,8 +355,12 @@ def _join_rings(placed: DataFrame, sets: DataFrame, slicing: Slicing, cell_nodes
     return _join_in_memory(celled.select("node", "cell").join(sides, "cell").join(sets, "node"), slicing)
 
 
-def _fetch_sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``node, shingles`` (sorted hashes as bytes) for ``wanted(doc_id, node)``."""
+def _known_documents(rows: DataFrame, wanted: DataFrame, k: int, make, schema: str, names: list[str]) -> DataFrame:
+    """``make(keys, sets)`` over the documents of ``wanted(doc_id)``, in one scan without a shuffle.
+
+    A Bloom filter over ids chooses the documents, so a few others may come along; keys are made from
+    the sets themselves.
+    """
     ask = rows.sparkSession.sparkContext.broadcast(IdFilter.build(wanted, "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,10 +369,21 @@ def _fetch_sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             known = ask.value.has(ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
             b = b.filter(pa.array(known))
             for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
-                yield pa.record_batch([part.column(0), pa.array([h.tobytes() for h in shingle_sets(part.column(1), k)], pa.binary())], names=["doc_id", "shingles"])
+                found = [h for h in shingle_sets(b.slice(lo, 1024).column(1), k) if len(h)]
+                yield pa.record_batch([pa.array([set_key(h) for h in found], pa.int64()), *make(found)], names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _fetch_sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """``node, shingles`` (sorted hashes as bytes)."""
+    return _known_documents(rows, wanted, k, lambda found: [pa.array([h.tobytes() for h in found], pa.binary())], "node long, shingles binary", ["node", "shingles"])
+
 
-    return rows.mapInArrow(run, "doc_id long, shingles binary").join(wanted, "doc_id").select("node", "shingles").dropDuplicates(["node"])
+def _fetch_vectors(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """``node, n, vector``: size and count vector."""
+    make = lambda found: [pa.array([len(h) for h in found], pa.int64()), pa.array([count_vector(h).tobytes() for h in found], pa.binary())]
+    return _known_documents(rows, wanted, k, make, "node long, n long, vector binary", ["node", "n", "vector"])
 
 
 def _distances(edges: DataFrame, sets: DataFrame, slicing: Slicing) -> DataFrame:
@@ -412,9 +423,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     members = cut(_signatures(rows, k, slicing).repartition("sig").mapInArrow(_meeting, "sig long, node long").distinct())
     keepers = folder.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
     wanted = cut(keepers.join(members.select("node").distinct(), "node", "left_semi").where("doc_id IS NOT NULL"))
-    sets = cut(_fetch_sets(rows, wanted.select("doc_id", "node"), k))
-    regions = components(_window_edges(members, sets, slicing)).select("node", F.col("root").alias("region"))
-    placed = regions.join(wanted.select("node", "n"), "node")
+    # Sets are made again from the texts when they are needed: that costs less than moving them twice.
+    edges = cut(_window_edges(members, _fetch_vectors(rows, wanted, k), slicing))
+    regions = components(edges).select("node", F.col("root").alias("region"))
+    placed = cut(regions.join(wanted.select("node", "doc_id", "n"), "node"))
+    sets = _fetch_sets(rows, placed, k)
     sizes = placed.groupBy("region").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles"))
     small = (F.col("nodes") <= memory_nodes) & (F.col("shingles") <= MEMORY_SHINGLES)
     placed = cut(placed.join(sizes.select("region", small.alias("small")), "region").select("region", "node", "n", "small"))
