@@ -229,6 +229,25 @@ def test_host_suffix_array_keeps_unique_runs(spark):
     assert [c.tolist() for c in covered] == [[True] * 4 + [False], [False] + [True] * 4, [True] * 4, [False, False], [True] * 4]
 
 
+def test_repeats_are_found_across_the_groups_of_a_large_host(spark):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(3000)]
+    own = [prose(rng, words, 20) for _ in range(120)]
+    thrice, twice, note = (prose(rng, words, 12) for _ in range(3))
+    bodies = [[x] for x in own]
+    for d in (3, 50, 99):
+        bodies[d].append(thrice)
+    for d in (7, 70):
+        bodies[d].append(twice)
+    bodies += [[note, own[0] + " tail"], [note, own[0] + " tail"], [note + " " + own[0] + " tail"], []]  # equal streams are one page
+    rows = [(d, f"http://big.org/{d}", "".join(f"<p>{x}</p>" for x in b)) for d, b in enumerate(bodies)]
+    rows += [(1000 + d, f"http://other.org/{d}", f"<p>{own[d]}</p><p>{twice}</p>") for d in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = [{r.page_id: r.text for r in html_extract.extract(df, group_pages=n).collect()} for n in (4, 1000)]
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+    assert found[0][3] == own[3] and found[0][7] == f"{own[7]}\n{twice}" and found[0][120] == f"{note}\n{own[0]} tail" and found[0][1000] == own[0]
+
+
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t▁aé<>s/"), st.characters(codec="utf-8", exclude_categories=["Cs"])), max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_sentencepiece_equals_library(text):
