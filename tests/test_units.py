@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 
 from cladeweave.functions import names
 from cladeweave.operators import concatenation, curation, dating, distances, integration, registry, sites, taxa, trees
+from cladeweave.plans import catalogue
 from cladeweave.sources import external, formats
 from cladeweave.streaming import cache
 
@@ -33,6 +34,14 @@ def test_accepted_names_and_the_compatible_form(spark):
     assert got == [(True, False), (True, True), (False, False), (False, False), (False, False), (False, False), (True, True)]
 
 
+def test_exclusion_terms_are_seen_in_whole_texts(spark, tmp_path):
+    long = "a plain beginning of more than forty characters "
+    rows = [(5, long + "unverified end"), (6, long), (11, long + "end"), (15, long + "end"), (17, None), (None, long + "(var.)")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in catalogue.QUERIES["excluded_records"](spark, str(tmp_path)).collect()}
+    assert got == {(5, True), (6, True), (11, False), (15, True), (17, False), (None, True)}
+
+
 def test_marker_pattern_is_longest_first(spark):
     pattern = names.marker_pattern(["trnL", "trnL-trnF", "trnS(GCU)-trnG(UUC)", "trnL", ""])
     got = values(spark, [("trnF trnL-trnF and trnL, trnL-trnF trnS(GCU)-trnG(UUC)",), (None,), ("none",)], "t string", names.marker_text("t", pattern))
