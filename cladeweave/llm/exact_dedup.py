@@ -25,12 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeweave.llm.shared import IdFilter, cut, drop_ids
+from cladeweave.llm.shared import LAST_ID, IdFilter, cut, keep_decided
 
 MEMTABLE_ROWS = 200_000
 _ODD = re.compile(rb"[\x09-\x0D]|\x20{2}")
 _RUN = re.compile(rb"[\x20\x09-\x0D]+")
-LAST_ID = (1 << 63) - 1
 
 
 def normalise(text: bytes) -> bytes:
@@ -91,8 +90,8 @@ def compact(runs: DataFrame) -> DataFrame:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
     """Per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
-    ``kept`` is true for one row of each group; of rows that repeat the smallest id, all but one
-    are dropped only by ``deduplicate``.
+    ``kept`` is true for one row of each group; of rows that repeat the smallest id or have none, all
+    but one are dropped only by ``deduplicate``.
     """
     hits = cut(compact(digest_runs(docs, id_col, text_col, digest_bits, memtable_rows)).where("n > 1"))
     keyed = hits.mapInArrow(_keys, "key long")
@@ -145,9 +144,12 @@ def _shaped(found: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts: the one with the smallest id.
+    """``docs`` with exactly one row of each group of equal texts: the one with the smallest id.
 
-    Ids are taken to be unique, as in ``documents``; rows that repeat an id with an equal text stay
-    together, so callers with such rows should drop repeated rows first.
+    Rows are told apart by id and text digest, so no other text goes with a copy of the same id.  Of rows
+    that share the smallest id and the text, and of groups without any id, one row stays.
     """
-    return drop_ids(docs, id_col, exact_groups(docs, id_col, text_col).where("NOT kept").select("doc_id"))
+    number = F.coalesce("doc_id", F.lit(LAST_ID)).alias("id")
+    groups = exact_groups(docs, id_col, text_col).where("group_size > 1").groupBy(number, "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    decided = groups.where("NOT kept OR n > 1").select("id", "text_sha256", "kept")
+    return keep_decided(docs, id_col, text_col, decided, lambda texts: pa.array([_digest(t, 256).hex() for t in _texts(texts)], pa.string()))

@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from cladeweave.llm import spans
 from cladeweave.llm.components import components
-from cladeweave.llm.shared import IdFilter, ceil_div, cut, drop_ids
+from cladeweave.llm.shared import LAST_ID, IdFilter, ceil_div, cut, keep_decided
 
 U = np.uint64
 FLUSH_ROWS = 1 << 18
@@ -417,6 +417,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     Documents link when ``den * |x & y| >= num * |x | y|`` over their sets of ``k``-word shingles;
     the component id is the smallest id that links reach, and that document is kept.
     """
+    return _components_of_rows(docs, k, num, den, id_col, text_col, memory_nodes).select(
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
+
+
+def _components_of_rows(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str, memory_nodes: int = MEMORY_NODES) -> DataFrame:
+    """Per document ``doc_id, n, component_id, node, first``: its set and the smallest ``(id, node)`` of its component."""
     slicing = Slicing(num, den)
     rows = _document_rows(docs, id_col, text_col)
     folder = cut(_nodes(rows, k))
@@ -438,14 +445,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         links = links.union(_join_rings(large, sets, slicing, max(1, memory_nodes // 2)))
     labels = components(links).select("node", F.col("root").alias("label"))
     placed = folder.join(labels, "node", "left").withColumn("label", F.coalesce("label", F.when(F.col("n") > 0, F.col("node"))))
-    ids = keepers.select("node", "doc_id").join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("doc_id").alias("component_id"))
-    linked = placed.where("n > 0").join(ids, "label").select("doc_id", "n", "component_id")
-    alone = placed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return linked.union(alone).select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
-    )
+    ids = keepers.select("node", "doc_id").join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label"))
+    ids = ids.agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "node")).alias("first"))
+    linked = placed.where("n > 0").join(ids, "label").select("doc_id", "n", "component_id", "node", "first")
+    alone = placed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "node", F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "node").alias("first"))
+    return linked.union(alone)
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document, the one with the smallest id, of each component."""
-    return drop_ids(docs, id_col, near_duplicates(docs, k, num, den, id_col, text_col).where("NOT kept").select("doc_id"))
+    """``docs`` with exactly one row, the one with the smallest id, of each component.
+
+    Rows are told apart by id and set, as ids may repeat or be missing.  Rows without shingles all stay.
+    """
+    number = F.coalesce("doc_id", F.lit(LAST_ID))
+    rows = _components_of_rows(docs, k, num, den, id_col, text_col).where("n > 0")
+    rows = rows.groupBy(number.alias("id"), "node").agg(F.max((number == F.col("first.id")) & (F.col("node") == F.col("first.node"))).alias("kept"), F.count("*").alias("rows"))
+    decided = rows.where("NOT kept OR rows > 1").select("id", "node", "kept")
+    return keep_decided(docs, id_col, text_col, decided, lambda texts: pa.array([set_key(h) for h in shingle_sets(texts, k)], pa.int64()))

@@ -5,10 +5,16 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Stands for a missing id: larger than any other.
+LAST_ID = (1 << 63) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -86,8 +92,6 @@ class IdFilter:
     @classmethod
     def build(cls, df: DataFrame, key: str, bits: int = 24) -> IdFilter:
         """Collect the filter of ``df[key]``: at most ``2**bits / 64`` words reach the driver."""
-        import pyarrow as pa
-
         def words(batches):
             full = np.zeros(1 << bits >> 6, dtype=np.uint64)
             for b in batches:
@@ -125,15 +129,44 @@ def drop_ids(docs: DataFrame, id_col: str, dropped: DataFrame, bits: int = 24) -
     exact anti join.  Rows without id stay.
     """
     ids = dropped.select(F.col(dropped.columns[0]).cast("long").alias("__drop_id")).where("__drop_id IS NOT NULL")
+    free, rest = _split_by_ids(docs, F.col(id_col).cast("long"), ids, bits)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return free.union(rest.join(ids.distinct(), "__drop_id", "left_anti").select(*columns))
+
+
+def _split_by_ids(docs: DataFrame, key: Column, ids: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` whose ``key`` is not in ``ids(__drop_id)``, and those, with ``__drop_id``, that may be in it."""
     place = F.pmod(F.xxhash64("__drop_id"), F.lit(1 << bits))
     words = ids.select(F.shiftright(place, 6).alias("__drop_word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(__drop_id), {1 << bits}) % 64 as int))").alias("_bit"))
     words = F.broadcast(words.groupBy("__drop_word").agg(F.bit_or("_bit").alias("__drop_bits")))
-    marked = docs.withColumn("__drop_id", F.col(id_col).cast("long")).withColumn("__drop_word", F.shiftright(place, 6)).join(words, "__drop_word", "left")
+    marked = docs.withColumn("__drop_id", key).withColumn("__drop_word", F.shiftright(place, 6)).join(words, "__drop_word", "left")
     bit = F.expr(f"shiftright(__drop_bits, cast(pmod(xxhash64(__drop_id), {1 << bits}) % 64 as int)) & 1")
     hit = F.col("__drop_id").isNotNull() & F.coalesce(bit == 1, F.lit(False))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    rest = marked.where(hit).join(ids.distinct(), "__drop_id", "left_anti")
-    return marked.where(~hit).select(*columns).union(rest.select(*columns))
+    return marked.where(~hit).select(*columns), marked.where(hit).select(*columns, "__drop_id")
+
+
+def keep_decided(docs: DataFrame, id_col: str, text_col: str, decided: DataFrame, keys: Callable[[pa.Array], pa.Array], bits: int = 24) -> DataFrame:
+    """``docs`` with the rows that ``decided(id, key, kept)`` names dropped, or one row of each name kept.
+
+    A row's name is its id, ``LAST_ID`` if it has none, and the key that ``keys`` makes of its text, so an
+    id that stands at several texts or is missing decides nothing alone.  Rows without an entry stay.  A
+    bitmap of ids, as in ``drop_ids``, lets the others pass without a shuffle; texts get keys behind it.
+    """
+    decided = cut(decided.toDF("__drop_id", "__key", "__kept"))
+    free, rest = _split_by_ids(docs, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), decided.select("__drop_id"), bits)
+    at, columns = docs.columns.index(text_col), [F.col(f"`{c}`") for c in docs.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.append_column("__key", keys(b.column(at)))
+
+    keyed = rest.mapInArrow(run, T.StructType([*rest.schema.fields, decided.schema["__key"]]))
+    names = ["__drop_id", "__key"]
+    out = free.union(keyed.join(decided, names, "left_anti").select(*columns))
+    if decided.where("__kept").isEmpty():
+        return out
+    return out.union(keyed.join(decided.where("__kept"), names, "left_semi").dropDuplicates(names).select(*columns))
 
 
 def require(ok: bool, message: str) -> None:

@@ -130,6 +130,16 @@ def test_exact_dedup_keeps_columns_and_first_rows(spark):
     assert exact_dedup.exact_groups(df.limit(0)).count() == 0
 
 
+ROWS = [(None, "a b c d e f"), (None, "a  b c d e f"), (1, "x y z u v w"), (1, "x y z u v w"), (1, "one text of its own"), (2, "x y z u v w"), (2, "and another one here"), (None, "x y z u v w"), (7, ""), (None, "k l m n o p")]
+
+
+@pytest.mark.parametrize("keep", [exact_dedup.deduplicate, jaccard_join.keep_one])
+def test_one_row_of_each_group_stays_with_repeated_and_null_ids(spark, keep):
+    kept = keep(spark.createDataFrame(ROWS, "doc_id long, text string")).collect()
+    want = [(None, "a b c d e f"), (1, "x y z u v w"), (1, "one text of its own"), (2, "and another one here"), (7, ""), (None, "k l m n o p")]
+    assert sorted((r.doc_id or -1, " ".join(r.text.split())) for r in kept) == sorted((d or -1, t) for d, t in want)
+
+
 def labelled(spark, n=900):
     rng = random.Random(5)
     words = [a + b for a in ("ther", "on", "ed", "re", "ing", "st") for b in ("an", "ti", "ou", "ha", "ly", "sh")]
