@@ -229,6 +229,13 @@ def test_html_structure(spark):
     assert got == {k: (t, len(t)) for k, t in want.items()}
 
 
+def test_html_attributes_are_read_one_by_one():
+    kept = ["href='/hidden-valley'", 'title="a hidden gem"', 'data-hidden="false"', 'href="/x?id=comments"', 'data-role="search"', "href=/a?class=ad", 'data-x="a" title=\'id="ad"\'']
+    gone = ["hidden", "HIDDEN=''", "aria-hidden = true", 'data-x="y" role="search"', "class='main-menu'", 'id=nav', 'style="color:red; display : none"', 'title="a"hidden', 'href=/x id="ads"']
+    page = "<article>" + "".join(f"<span {a}>k{n} </span>" for n, a in enumerate(kept)) + "".join(f"<span {a}>g{n} </span>" for n, a in enumerate(gone)) + "<p>so <math><mi>x</mi>=<mn>2</mn></math></p></article>"
+    assert html_extract.main_text(page) == " ".join(f"k{n}" for n in range(len(kept))) + "\nso x=2"
+
+
 def test_host_suffix_array_keeps_unique_runs(spark):
     shared = "welcome to our little site please read the rules before you post"
     rows = [(k, "http://h.org/%d" % k, f"<div>{shared}</div><p>{k} is the text of page {k}</p>") for k in range(9)]
