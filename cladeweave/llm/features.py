@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeweave.llm import spans
@@ -114,26 +114,26 @@ def counted(column: pa.Array, features: HashedText) -> Iterator[tuple[np.ndarray
             yield np.unique(np.concatenate([b[at[d] : at[d + 1]] for b, at in groups]), return_counts=True)
 
 
+SHARES = 64
+
+
 def sample_ids(labelled: DataFrame, bound: int, by: str | None = None) -> DataFrame:
     """At most ``bound`` labelled rows (of each value of ``by``) outside the held-out fold.
 
     ``labelled(doc_id, label)``; rows are taken in the order of a hash of their id, so the sample does
-    not depend on partitioning.  The result is bounded and may be broadcast.
+    not depend on partitioning.  The result is bounded, by rows for each value, and may be broadcast.
     """
     rows = labelled.where("doc_id IS NOT NULL AND label IS NOT NULL").where(fold_of("doc_id") != 0)
     rows = rows.groupBy("doc_id").agg(F.min("label").alias("label"))
 
-    def first(df: DataFrame) -> DataFrame:
-        return df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
     if by is None:
-        return first(rows)
-    values = [r[0] for r in rows.select("label").distinct().limit(1000).collect()]
-    parts = [first(rows.where(F.col("label") == v)) for v in sorted(values)]
-    out = parts[0] if parts else rows.limit(0)
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+        return rows.orderBy(*order).limit(bound)
+    # Ranked in shares of a label first, so that a frequent label is no single task; every label takes part.
+    for share in ([F.pmod(F.xxhash64("doc_id"), F.lit(SHARES))], []):
+        rank = F.row_number().over(Window.partitionBy("label", *share).orderBy(*order))
+        rows = rows.withColumn("rank", rank).where(F.col("rank") <= bound).drop("rank")
+    return rows
 
 
 def sample_features(docs: DataFrame, sample: DataFrame, make: Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray]]]) -> list[tuple[object, np.ndarray, np.ndarray]]:

@@ -13,9 +13,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cladeweave.llm import chat, decontaminate, exact_dedup, html_extract, jaccard_join, language_id, quality, sentencepiece_codec, token_store, toxicity
+from cladeweave.llm import chat, decontaminate, exact_dedup, features, html_extract, jaccard_join, language_id, quality, sentencepiece_codec, token_store, toxicity
 from cladeweave.llm.components import components
-from cladeweave.llm.shared import drop_ids
+from cladeweave.llm.shared import drop_ids, fold_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SP = public_tokenizers.path("piece_bpe_32k.model")
@@ -177,6 +177,17 @@ def test_models_without_labels(spark):
     assert {r.lang_pred for r in language_id.identify(docs.withColumn("lang", docs.lang.substr(9, 0)).where("false")).collect()} == set()
 
 
+def test_sample_takes_rows_of_every_label(spark):
+    df = spark.range(9000).selectExpr("id AS doc_id", "concat('l', CASE WHEN id < 4000 THEN 0 ELSE id % 1200 END) AS label")
+    got = features.sample_ids(df, 5, by="label").collect()
+    open_rows = df.where(fold_of("doc_id") != 0).selectExpr("*", "xxhash64(doc_id) AS h").collect()
+    want = {}
+    for r in sorted(open_rows, key=lambda r: (r.h, r.doc_id)):
+        want.setdefault(r.label, []).append(r.doc_id)
+    assert len(want) > 1000
+    assert {(r.label, r.doc_id) for r in got} == {(y, d) for y, ids in want.items() for d in ids[:5]} and len(got) == len(set(got))
+
+
 def test_language_hold_out_and_undefined(spark):
     rng = random.Random(9)
     tongues = {"en": ["the", "and", "thing", "which", "over"], "de": ["der", "und", "nicht", "schön", "über"], "fr": ["les", "qui", "être", "très", "vous"], "es": ["los", "que", "año", "más", "según"]}
