@@ -18,7 +18,8 @@ of their count vectors (shingles counted in 128 hash ranges) is at most ``D``: t
 count vectors does not enlarge differences, so this window loses nothing.  Each region is cut into
 the connected parts of its window graph, and parts that share documents are joined to one region.
 
-**Recursion.**  A region that is small enough is joined exactly in memory.  A larger one takes one of
+**Rings; no Voronoi regions and no recursion.**  Regions come from equal slice signatures, not from the
+nearest of several document pivots, and a large region is cut once.  A region that is small enough is joined exactly in memory.  A larger one takes one of
 its documents as pivot ``p``; exact distances to it cut the region into rings of width ``r``, and by the
 triangle inequality a document can only link within its ring and the next: rings are joined with
 themselves and with the boundary documents of their neighbour.  Rings are split into cells by size
