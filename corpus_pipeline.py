@@ -1,7 +1,7 @@
 """A corpus pipeline over ``documents``; it belongs to the subpackage ``cladeweave.llm``.
 
 Each stage takes all that its predecessor kept and returns the columns of ``documents``; the last one
-adds the token ids.
+adds the token ids and the text that they decode to.
 """
 
 from __future__ import annotations
@@ -34,8 +34,9 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, with the end id, of every document that is left, in column ``token_ids``."""
-    return sentencepiece_codec.encode_ids(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    """Token ids, with the end id, of every document that is left, in ``token_ids``; their text in ``decoded``."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return sentencepiece_codec.decode_ids(sentencepiece_codec.encode_ids(docs, model), model)
 
 
 STAGES = [

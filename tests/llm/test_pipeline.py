@@ -32,6 +32,13 @@ def test_pipeline_effects(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
 
 
+def test_last_stage_decodes_its_ids(spark):
+    docs = spark.createDataFrame([(1, "a text to read back", "en", "s", 0), (2, None, "en", "s", 0)], DOCS)
+    got = {r.doc_id: r for r in corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()}
+    assert (got[1].decoded, got[2].decoded) == ("a text to read back", "")
+    assert got[2].token_ids == [2]
+
+
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
