@@ -5,21 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a session in one process (tests) may do without, any other raises."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"file://{tempfile.gettempdir()}/checkpoints"
+    return found.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once as a table below ``spark.checkpoint.dir`` and read from there.
 
     A written table has its true size; a checkpoint would keep the size estimate of its plan, and such
-    estimates multiply at every join of an iteration.  Only where the setting is absent (tests on one
-    machine) a temporary folder takes its place.
+    estimates multiply at every join of an iteration.
     """
     spark = df.sparkSession
-    try:
-        folder = spark.conf.get("spark.checkpoint.dir")
-    except Exception:  # noqa: BLE001  the JVM raises for an unknown key
-        folder = None
-    path = f"{(folder or f'file://{tempfile.gettempdir()}/checkpoints').rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
