@@ -1,17 +1,22 @@
 """Exact deduplication with a log-structured merge index over text digests.
 
-* **Memtable and flush.**  While documents are scanned, each task keeps a table digest to
-  (smallest id, count).  A full table is flushed as a run of rows sorted by digest.  A group of
-  copies therefore leaves a task as a few rows, however large it is.
-* **Filter.**  Compaction finds the digests that occur more than once; their Bloom filter (of a
-  fixed size) is what the lookup asks first.  A document whose digest is not in it is unique.
-* **Compaction.**  Runs are merged by digest; the smallest identifier and the sum of counts stay.
-* **Byte verification.**  For every hit the normalised texts of a group are compared: the smallest
-  and the largest text under one digest must be the same bytes.  Groups for which that is not so
-  (a digest collision) are grouped again by their texts.
+* **Memtable and flush.**  While documents are scanned, each task keeps a table digest to (smallest
+  id, count) of bounded size.  A full table is flushed to the shared folder as a run: rows sorted by
+  digest, under a run number and a level.  A group of copies leaves a task as a few rows.
+* **Compaction.**  Runs are tiered.  ``FAN_IN`` runs of a level, or fewer, are merged in one pass over
+  their sorted digests into a run of the next level, in which the smallest identifier and the sum of
+  counts stay.  A merge sees a digest once for each of its runs, so a group that holds a third of all
+  rows is no hot key.  Digests are cut into shards (ranges of their first bytes) that are merged apart;
+  compaction ends when each shard has one run.
+* **Filter.**  Each last run has a Bloom filter of the digests that it holds more than once, sized by
+  their number.  A document asks the filter of its digest's shard first; if that says no, it is unique.
+  Where all filters together would be too large to send, documents go to the runs without asking.
+* **Byte verification.**  The normalised texts of a hit are compared byte by byte: within a task with
+  the first text under the digest, then the first texts of all tasks in two steps (salted by task, then
+  by digest).  Groups whose texts differ (a digest collision) are grouped again by their texts.
 
 Defined results: a null text is an empty text; equal rows are copies of each other; a null id is
-larger than any other id; other columns are not read.
+larger than any other id; an id may repeat; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,11 +30,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeweave.llm.shared import LAST_ID, IdFilter, cut, keep_decided
-
-MEMTABLE_ROWS = 200_000
+from cladeweave.llm.shared import LAST_ID, cut, discard, keep_decided, lean
+from cladeweave.llm.spans import mix64
+
+#: Entries of a memtable, and bytes of texts that a task holds for comparison.
+MEMTABLE_ROWS = 1 << 16
+HELD_BYTES = 16 << 20
+#: Runs that one merge takes, and entries of a shard.
+FAN_IN = 16
+SHARD_ROWS = 1 << 20
+#: Bytes of all filters that are sent to the executors.
+FILTER_BYTES = 16 << 20
+#: Groups that hold more than this share of all documents are joined by a table that is sent.
+HEAVY_SHARE = 1e-5
 _ODD = re.compile(rb"[\x09-\x0D]|\x20{2}")
 _RUN = re.compile(rb"[\x20\x09-\x0D]+")
+U = np.uint64
 
 
 def normalise(text: bytes) -> bytes:
@@ -40,7 +56,7 @@ def normalise(text: bytes) -> bytes:
 def _digest(text: bytes, bits: int) -> bytes:
     """SHA-256 of a text; fewer ``bits`` only make collisions, for tests."""
     full = hashlib.sha256(text).digest()
-    return full if bits == 256 else (int.from_bytes(full[:8], "big") >> (64 - bits)).to_bytes(8, "big")
+    return full if bits == 256 else ((int.from_bytes(full[:8], "big") >> (64 - bits)) << (64 - bits)).to_bytes(8, "big")
 
 
 def _texts(column: pa.Array) -> Iterator[bytes]:
@@ -48,19 +64,28 @@ def _texts(column: pa.Array) -> Iterator[bytes]:
         yield normalise(x.as_buffer().to_pybytes() if x.is_valid else b"")
 
 
-def _key(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little", signed=True)
+def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
 
+RUNS = "run long, digest binary, keep_id long, n long"
 
-def digest_runs(docs: DataFrame, id_col: str, text_col: str, bits: int, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
-    """Level 0: ``digest, keep_id, n``, sorted by digest within each flushed memtable."""
 
-    def flush(table: dict[bytes, list[int]]) -> pa.RecordBatch:
-        keys = sorted(table)
-        return pa.record_batch([pa.array(keys, pa.binary()), pa.array([table[k][0] for k in keys], pa.int64()), pa.array([table[k][1] for k in keys], pa.int64())], names=["digest", "keep_id", "n"])
+def flush_runs(docs: DataFrame, id_col: str, text_col: str, bits: int, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
+    """Level 0: ``run, digest, keep_id, n``; each run is one flushed memtable, sorted by digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: dict[bytes, list[int]] = {}
+        from pyspark import TaskContext
+
+        number, table = TaskContext.get().partitionId() << 32, {}
+
+        def flush() -> pa.RecordBatch:
+            keys = sorted(table)
+            return pa.record_batch(
+                [pa.array(np.full(len(keys), number)), pa.array(keys, pa.binary()), pa.array([table[k][0] for k in keys], pa.int64()), pa.array([table[k][1] for k in keys], pa.int64())],
+                names=["run", "digest", "keep_id", "n"],
+            )
+
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), _texts(b.column(1)), strict=True):
                 doc_id = LAST_ID if doc_id is None else doc_id
@@ -68,68 +93,217 @@ def digest_runs(docs: DataFrame, id_col: str, text_col: str, bits: int, memtable
                 if entry is None:
                     table[d] = [doc_id, 1]
                     if len(table) >= memtable_rows:
-                        yield flush(table)
-                        table = {}
+                        yield flush()
+                        number, table = number + 1, {}
                 else:
                     entry[0], entry[1] = min(entry[0], doc_id), entry[1] + 1
         if table:
-            yield flush(table)
+            yield flush()
 
-    return _columns(docs, id_col, text_col).mapInArrow(run, "digest binary, keep_id long, n long")
+    return _columns(docs, id_col, text_col).mapInArrow(lean(run), RUNS)
 
 
-def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _places(digests: list[bytes], bits: int) -> list[np.ndarray]:
+    """Two places of a Bloom filter of ``2**bits`` bits; the first bytes, which name the shard, are left out."""
+    keys = np.frombuffer(b"".join(d[-8:] for d in digests), dtype="<u8").astype(U)
+    mask = U((1 << bits) - 1)
+    return [mix64(keys) & mask, mix64(keys ^ U(0xA0761D6478BD642F)) & mask]
 
 
-def compact(runs: DataFrame) -> DataFrame:
-    """Merge runs: for each digest the smallest id and the number of documents."""
-    return runs.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+class RunFilter:
+    """A Bloom filter with eight bits or more for each of its digests."""
 
+    def __init__(self, digests: list[bytes]):
+        self.bits = max(6, (8 * len(digests)).bit_length())
+        self.words = np.zeros(1 << self.bits >> 6, dtype=U)
+        for p in _places(digests, self.bits):
+            np.bitwise_or.at(self.words, (p >> U(6)).astype(np.int64), U(1) << (p & U(63)))
+
+    def has(self, digests: list[bytes]) -> np.ndarray:
+        keep = np.ones(len(digests), dtype=bool)
+        for p in _places(digests, self.bits):
+            keep &= (self.words[(p >> U(6)).astype(np.int64)] >> (p & U(63))) & U(1) != 0
+        return keep
+
+    def to_bytes(self) -> bytes:
+        return self.words.tobytes()
+
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> RunFilter:
+        out = cls.__new__(cls)
+        out.words = np.frombuffer(raw, dtype=U)
+        out.bits = (len(out.words) << 6).bit_length() - 1
+        return out
+
+
+def shard_of(digest: bytes, shards: int) -> int:
+    """The range of first bytes that a digest lies in."""
+    return (int.from_bytes(digest[:4], "big") * shards) >> 32
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
-    """Per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
-    ``kept`` is true for one row of each group; of rows that repeat the smallest id or have none, all
-    but one are dropped only by ``deduplicate``.
+def _shard_column(shards: int):
+    first = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
+    return F.shiftright(first * F.lit(shards), 32).cast("int")
+
+
+def _merge(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
+    """Sorted ``shard, run, digest, keep_id, n`` to one row for each digest of a run.
+
+    For the last runs only digests that occur more than once are kept, and a row with the run's filter
+    (in the place of a digest, with ``n = 0``) follows each run.
+    """
+    names = ["shard", "run", "digest", "keep_id", "n"]
+    types = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    place, digest, keep, n = None, None, 0, 0
+    out: list[tuple] = []
+    hits: list[bytes] = []
+
+    def batch() -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    def entry() -> None:
+        if digest is not None and (n > 1 or not last):
+            out.append((*place, digest, keep, n))
+            if last:
+                hits.append(digest)
+
+    def close() -> None:
+        entry()
+        if last and place is not None and hits:
+            out.append((*place, RunFilter(hits).to_bytes(), None, 0))
+            hits.clear()
+
+    for b in batches:
+        for shard, run, d, i, m in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+            if place != (shard, run):
+                close()
+                place, digest = (shard, run), None
+            if d == digest:
+                keep, n = min(keep, i), n + m
+                continue
+            entry()
+            digest, keep, n = d, i, m
+            if len(out) >= 1 << 14:
+                yield batch()
+                out.clear()
+    close()
+    if out:
+        yield batch()
+
+
+def compact(runs: DataFrame, fan_in: int = FAN_IN, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
+    """``shard, run, digest, keep_id, n`` of the last runs, with their filters, and the number of shards.
+
+    ``runs`` are merged level by level, ``fan_in`` of each shard at a time, until each shard has one run.
+    """
+    about = runs.agg(F.count("*"), F.countDistinct("run")).first()
+    shards, left = max(1, -(-about[0] // shard_rows)), about[1]
+    level = runs.withColumn("shard", _shard_column(shards))
+    while True:
+        merges = max(1, -(-left // fan_in))
+        tier = level.withColumn("run", F.pmod(F.xxhash64("run"), F.lit(merges)))
+        dealt = tier.select("shard", "run", "digest", "keep_id", "n").repartition("shard", "run").sortWithinPartitions("shard", "run", "digest")
+        last = merges == 1
+        merged = cut(dealt.mapInArrow(lean(lambda batches, last=last: _merge(batches, last)), f"shard int, {RUNS}"))
+        discard(level)
+        if last:
+            return merged, shards
+        level, left = merged, merges
+
+
+def _hits(docs: DataFrame, id_col: str, text_col: str, bits: int, memtable_rows: int, fan_in: int, shard_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``digest, keep_id, n`` of the groups, and per document ``doc_id, text_sha256, digest, body, clash``.
+
+    ``digest`` is null for documents whose digest the filters exclude; ``body`` holds the first text that
+    a task has under a digest.
     """
-    hits = cut(compact(digest_runs(docs, id_col, text_col, digest_bits, memtable_rows)).where("n > 1"))
-    keyed = hits.mapInArrow(_keys, "key long")
-    known = docs.sparkSession.sparkContext.broadcast(IdFilter.build(keyed, "key"))
+    runs = cut(flush_runs(docs, id_col, text_col, bits, memtable_rows))
+    index, shards = compact(runs, fan_in, shard_rows)
+    discard(runs)
+    stored = index.where("n = 0").select("shard", "digest")
+    size = stored.agg(F.sum(F.length("digest"))).first()[0] or 0
+    sent = None
+    if size <= FILTER_BYTES:
+        sent = docs.sparkSession.sparkContext.broadcast({r[0]: bytes(r[1]) for r in stored.collect()})
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ask = known.value
+        filters = {s: RunFilter.from_bytes(raw) for s, raw in sent.value.items()} if sent is not None else None
+        first: dict[bytes, bytes] = {}
+        held = 0
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
-                texts = list(_texts(part.column(1)))
-                digests = [_digest(t, digest_bits) for t in texts]
-                maybe = ask.has(np.array([_key(d) for d in digests], dtype=np.int64))
-                shown = digests if digest_bits == 256 else [_digest(t, 256) for t in texts]
-                yield pa.record_batch(
-                    [part.column(0), pa.array([d.hex() for d in shown]), pa.array([d if m else None for d, m in zip(digests, maybe, strict=True)], pa.binary()), pa.array([t if m else None for t, m in zip(texts, maybe, strict=True)], pa.binary())],
-                    names=["doc_id", "text_sha256", "digest", "body"],
-                )
-
-    asked = cut(_columns(docs, id_col, text_col).mapInArrow(look_up, "doc_id long, text_sha256 string, digest binary, body binary"))
+            texts = list(_texts(b.column(1)))
+            digests = [_digest(t, bits) for t in texts]
+            maybe = np.ones(len(texts), dtype=bool)
+            if filters is not None:
+                maybe[:] = False
+                of = np.array([shard_of(d, shards) for d in digests], dtype=np.int64)
+                for s in np.unique(of).tolist():
+                    if s in filters:
+                        at = np.flatnonzero(of == s)
+                        maybe[at] = filters[s].has([digests[k] for k in at])
+            bodies, clash = [], []
+            for d, t, m in zip(digests, texts, maybe, strict=True):
+                known = first.get(d) if m else None
+                if m and known is None:
+                    if held + len(t) > HELD_BYTES:
+                        first, held = {}, 0
+                    first[d], held = t, held + len(t)
+                bodies.append(t if m and (known is None or known != t) else None)
+                clash.append(known is not None and known != t)
+            shown = digests if bits == 256 else [_digest(t, 256) for t in texts]
+            yield pa.record_batch(
+                [b.column(0), pa.array([d.hex() for d in shown], pa.string()), pa.array([d if m else None for d, m in zip(digests, maybe, strict=True)], pa.binary()), pa.array(bodies, pa.binary()), pa.array(clash, pa.bool_())],
+                names=["doc_id", "text_sha256", "digest", "body", "clash"],
+            )
+
+    asked = _columns(docs, id_col, text_col).mapInArrow(lean(look_up), "doc_id long, text_sha256 string, digest binary, body binary, clash boolean")
+    return index.where("n > 1").select("digest", "keep_id", "n"), cut(asked)
+
+
+def _verified(asked: DataFrame, hits: DataFrame) -> DataFrame:
+    """``digest, same`` of every hit: whether all texts under it are the same bytes."""
+    bodies = asked.where("body IS NOT NULL").select("digest", "body", "clash", F.pmod(F.spark_partition_id(), F.lit(16)).alias("salt"))
+    ends = [F.min("body").alias("low"), F.max("body").alias("high"), F.max("clash").alias("clash")]
+    part = bodies.groupBy("digest", "salt").agg(*ends)
+    whole = part.groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("clash").alias("clash"))
+    return whole.select("digest", ((F.col("low") == F.col("high")) & ~F.col("clash")).alias("same")).join(hits.select("digest"), "digest", "left_semi")
+
+
+def exact_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256,
+    memtable_rows: int = MEMTABLE_ROWS, fan_in: int = FAN_IN, shard_rows: int = SHARD_ROWS,
+) -> DataFrame:
+    """Per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
+
+    ``kept`` is true for the row with the smallest id of each group; of rows that repeat that id, or of
+    groups without any id, it is true for all, and ``deduplicate`` keeps one of them.
+    """
+    hits, asked = _hits(docs, id_col, text_col, digest_bits, memtable_rows, fan_in, shard_rows)
+    maybe = asked.where("digest IS NOT NULL").select("doc_id", "text_sha256", "digest")
     unique = asked.where("digest IS NULL").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).alias("n"), "text_sha256")
-    maybe = asked.where("digest IS NOT NULL")
-    # Byte verification by aggregation: partial minima and maxima of the bytes, no pairs.
-    checked = cut(maybe.join(hits.select("digest"), "digest", "left_semi").groupBy("digest").agg((F.min("body") == F.max("body")).alias("same")))
+    checked = cut(_verified(asked, hits))
+    # At most 1 / HEAVY_SHARE groups are heavy, so their table may be sent; light groups are no hot keys.
+    least = max(2, int((hits.agg(F.sum("n")).first()[0] or 0) * HEAVY_SHARE))
     sound = hits.join(checked.where("same"), "digest", "left_semi")
-    found = maybe.drop("body").join(sound, "digest", "left")
-    if checked.where("NOT same").isEmpty():
-        return _shaped(unique).unionByName(_shaped(found))
+    heavy = cut(sound.where(F.col("n") > least))
+    tagged = maybe.join(F.broadcast(heavy), "digest", "left")
+    found = tagged.where("n IS NOT NULL")
+    light = tagged.where("n IS NULL").drop("keep_id", "n").join(sound.where(F.col("n") <= least), "digest", "left")
     collided = checked.where("NOT same").select("digest")
-    clash = asked.join(collided, "digest", "left_semi")
-    regrouped = clash.groupBy("digest", "body").agg(F.min(F.coalesce("doc_id", F.lit(LAST_ID))).alias("keep_id"), F.count("*").alias("n"))
-    rest = found.join(collided, "digest", "left_anti")
-    return _shaped(unique).unionByName(_shaped(rest)).unionByName(_shaped(clash.join(regrouped, ["digest", "body"])))
+    if collided.isEmpty():
+        return _shaped(unique).unionByName(_shaped(found)).unionByName(_shaped(light))
 
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = list(_texts(b.column(1)))
+            rows = [b.column(0), pa.array([_digest(t, 256).hex() for t in texts]), pa.array([_digest(t, digest_bits) for t in texts], pa.binary()), pa.array(texts, pa.binary())]
+            yield pa.record_batch(rows, names=["doc_id", "text_sha256", "digest", "body"])
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.record_batch([pa.array([_key(d.as_py()) for d in b.column(0)], pa.int64())], names=["key"])
+    texts = _columns(docs, id_col, text_col).mapInArrow(lean(again), "doc_id long, text_sha256 string, digest binary, body binary")
+    clash = cut(texts.join(collided, "digest", "left_semi"))
+    regrouped = clash.groupBy("digest", "body").agg(F.min(F.coalesce("doc_id", F.lit(LAST_ID))).alias("keep_id"), F.count("*").alias("n"))
+    light = light.join(collided, "digest", "left_anti")
+    return _shaped(unique).unionByName(_shaped(found)).unionByName(_shaped(light)).unionByName(_shaped(clash.join(regrouped, ["digest", "body"])))
 
 
 def _shaped(found: DataFrame) -> DataFrame:

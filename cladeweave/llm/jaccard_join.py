@@ -15,18 +15,19 @@ partner may have.  Slices that are empty count only where a document has no more
 
 **Windows.**  Two documents of a region can only link if their sizes allow it and if the L1 distance
 of their count vectors (shingles counted in 128 hash ranges) is at most ``D``: the map from sets to
-count vectors does not enlarge differences, so this window loses nothing.  Each region is cut into
-the connected parts of its window graph, and parts that share documents are joined to one region.
-
-**Rings; no Voronoi regions and no recursion.**  Regions come from equal slice signatures, not from the
-nearest of several document pivots, and a large region is cut once.  A region that is small enough is joined exactly in memory.  A larger one takes one of
-its documents as pivot ``p``; exact distances to it cut the region into rings of width ``r``, and by the
-triangle inequality a document can only link within its ring and the next: rings are joined with
-themselves and with the boundary documents of their neighbour.  Rings are split into cells by size
-class (sets link only if their sizes differ by less than the threshold) and, if a cell is still too
-large, by hash; pairs of cells within the windows are joined in memory, each in a task of its own, and
-give only the edges that span their components.  No pair of different texts is lost, and no task
-holds more than two cells.
+count vectors does not enlarge differences, so this window loses nothing.  A region's members are dealt
+into blocks; each block is cut into the connected parts of its window graph, balls around the parts
+(centre, radius, sizes) stand for them, and balls of different blocks are joined unless the triangle
+inequality parts them.  Parts that share documents are joined to one region.
+
+**Voronoi regions and recursion.**  The documents of each region are joined exactly, by pivots among
+them.  Every document goes to its nearest pivot ``p`` and is replicated to pivot ``q`` if
+``d(x, q) - d(x, p) <= 2r``; by the triangle inequality every link lies within the cell of one of its
+ends.  Documents that link with their pivot are one component already, and only those within ``r`` of
+the distance of a document that does not are compared further.  Cells recurse with new pivots until they
+are leaves; cells that do not separate are compared pair by pair.  Regions of up to ``memory_nodes``
+documents are joined so in a task; larger ones in rounds over all tasks, first their distances to the
+pivots, then their cells as new regions.
 
 Equal sets are one node throughout, so a group of copies leaves a task as one document.
 
@@ -49,13 +50,16 @@ from pyspark.sql import functions as F
 
 from cladeweave.llm import spans
 from cladeweave.llm.components import components
-from cladeweave.llm.shared import LAST_ID, IdFilter, ceil_div, cut, keep_decided
+from cladeweave.llm.shared import LAST_ID, IdFilter, ceil_div, cut, discard, keep_decided, lean
 
 U = np.uint64
 FLUSH_ROWS = 1 << 18
 VECTOR = 128
 MEMORY_NODES = 1024
 MEMORY_SHINGLES = 1 << 20
+BLOCK_NODES = 512
+PIVOTS = 8
+LEAF = 4
 CLASS_GROWTH = 1.6
 
 
@@ -143,7 +147,7 @@ def _nodes(rows: DataFrame, k: int) -> DataFrame:
             found = [(set_key(h), len(h)) for h in shingle_sets(b.column(1), k)]
             yield pa.record_batch([b.column(0), pa.array([x for x, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], names=["doc_id", "node", "n"])
 
-    return rows.mapInArrow(run, "doc_id long, node long, n long")
+    return rows.mapInArrow(lean(run), "doc_id long, node long, n long")
 
 
 def _signatures(rows: DataFrame, k: int, slicing: Slicing) -> DataFrame:
@@ -175,7 +179,7 @@ def _signatures(rows: DataFrame, k: int, slicing: Slicing) -> DataFrame:
         if sigs:
             yield flush()
 
-    return rows.mapInArrow(run, "sig long, node long")
+    return rows.mapInArrow(lean(run), "sig long, node long")
 
 
 def _runs(sorted_keys: np.ndarray) -> np.ndarray:
@@ -185,36 +189,75 @@ def _runs(sorted_keys: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1]))), len(sorted_keys))
 
 
-def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of the slices that more than one node has; slices with the same members once."""
-    sig, node = [], []
+def _meeting(batches: Iterator[pa.RecordBatch], block_nodes: int) -> Iterator[pa.RecordBatch]:
+    """``region, block, many, node``: members of the slices that more than one node has, in sorted rows.
+
+    Slices with the same members make one region.  Members of a region are dealt into blocks of
+    ``block_nodes``; a run that is longer than a few blocks leaves block by block, so memory holds no
+    whole hot slice.
+    """
+    hold = max(1 << 15, 4 * block_nodes)
+    seen: set[int] = set()
+    carry_sig, carry_node = np.empty(0, np.int64), np.empty(0, np.int64)
+    begun: list[int] = []  # the slice that has left in part, and its blocks so far
+
+    def made(region: np.ndarray, block: np.ndarray, many: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(region), pa.array(block), pa.array(many), pa.array(node)], names=["region", "block", "many", "node"])
+
+    def part_of(sig: int, node: np.ndarray, first: int) -> pa.RecordBatch:
+        name = spans.mix64(np.array([sig], dtype=np.int64).view(U)).view(np.int64)[0]
+        return made(np.full(len(node), name), first + np.arange(len(node)) // block_nodes, np.ones(len(node), dtype=bool), node)
+
+    def complete(sig: np.ndarray, node: np.ndarray) -> pa.RecordBatch | None:
+        runs = _runs(sig)
+        sizes = np.diff(runs)
+        members = np.add.reduceat(spans.mix64(node.view(U)), runs[:-1]) ^ sizes.astype(U)
+        _, first = np.unique(members, return_index=True)
+        first = first[sizes[first] > 1]
+        fresh = [k for k, m in zip(first.tolist(), members[first].tolist(), strict=True) if m not in seen]
+        if len(seen) > 1 << 18:
+            seen.clear()
+        seen.update(members[fresh].tolist())
+        if not fresh:
+            return None
+        chosen = np.array(fresh)
+        at = spans.ranges(runs[chosen], sizes[chosen])
+        inner = np.arange(len(at)) - np.repeat(np.cumsum(sizes[chosen]) - sizes[chosen], sizes[chosen])
+        return made(np.repeat(members[chosen].view(np.int64), sizes[chosen]), inner // block_nodes, np.repeat(sizes[chosen] > block_nodes, sizes[chosen]), node[at])
+
     for b in batches:
-        sig.append(b.column(0).to_numpy())
-        node.append(b.column(1).to_numpy())
-    if not sig:
-        return
-    sig, node = np.concatenate(sig), np.concatenate(node)
-    order = np.argsort(sig, kind="stable")
-    sig = sig[order]
-    same = sig[1:] == sig[:-1]
-    keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-    sig, node = sig[keep], node[order[keep]]
-    order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
-    fresh = np.concatenate(([True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])))[: len(sig)]
-    sig, node = sig[fresh], node[fresh]
-    runs = _runs(sig)
-    sizes = np.diff(runs)
-    if not len(sizes):
-        return
-    # The same members meet in many slices: one of these regions is enough.
-    members = np.add.reduceat(spans.mix64(node.view(U)), runs[:-1])
-    _, first = np.unique(members ^ sizes.astype(U), return_index=True)
-    chosen = first[sizes[first] > 1]
-    at = spans.ranges(runs[chosen], sizes[chosen])
-    region = np.repeat(members[chosen].view(np.int64), sizes[chosen])
-    for lo in range(0, len(at), 1 << 16):
-        yield pa.record_batch([pa.array(region[lo : lo + (1 << 16)]), pa.array(node[at[lo : lo + (1 << 16)]])], names=["sig", "node"])
+        if not b.num_rows:
+            continue
+        sig, node = np.concatenate((carry_sig, b.column(0).to_numpy())), np.concatenate((carry_node, b.column(1).to_numpy()))
+        new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])))
+        sig, node = sig[new], node[new]
+        last = int(_runs(sig)[-2])
+        if begun:
+            end = int(np.searchsorted(sig != begun[0], True)) if sig[0] == begun[0] else 0
+            if end < len(sig):  # the long run is over
+                if end:
+                    yield part_of(begun[0], node[:end], begun[1])
+                begun = []
+                sig, node, last = sig[end:], node[end:], last - end
+        if last and (out := complete(sig[:last], node[:last])) is not None:
+            yield out
+        carry_sig, carry_node = sig[last:], node[last:]
+        if len(carry_sig) >= hold:
+            full = (len(carry_sig) - 1) // block_nodes * block_nodes  # the newest row stays, to drop its repeats
+            first = begun[1] if begun else 0
+            yield part_of(int(carry_sig[0]), carry_node[:full], first)
+            begun = [int(carry_sig[0]), first + full // block_nodes]
+            carry_sig, carry_node = carry_sig[full:], carry_node[full:]
+    if begun and len(carry_sig):
+        yield part_of(begun[0], carry_node, begun[1])
+    elif len(carry_sig) and (out := complete(carry_sig, carry_node)) is not None:
+        yield out
+
+
+def _members(rows: DataFrame, k: int, slicing: Slicing, block_nodes: int) -> DataFrame:
+    """``region, block, many, node`` of all documents whose slices meet."""
+    dealt = _signatures(rows, k, slicing).repartition("sig").sortWithinPartitions("sig", "node")
+    return dealt.mapInArrow(lean(lambda batches: _meeting(batches, block_nodes)), "region long, block long, many boolean, node long").distinct()
 
 
 def count_vector(h: np.ndarray) -> np.ndarray:
@@ -222,84 +265,226 @@ def count_vector(h: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((h >> U(57)).astype(np.int64), minlength=VECTOR), 255).astype(np.uint8)
 
 
-def window_forest(node: np.ndarray, n: np.ndarray, vectors: np.ndarray, slicing: Slicing) -> list[tuple[int, int]]:
-    """Edges that span the connected parts of a region's window graph."""
-    order = np.argsort(n, kind="stable")
-    node, n, vectors = node[order], n[order].astype(np.int64), vectors[order].astype(np.int16)
-    left, found = np.arange(len(node)), []
-    while len(left) > 1:
-        frontier, left = [left[0]], left[1:]
-        while frontier and len(left):
-            x = frontier.pop()
-            lo = np.searchsorted(n[left], ceil_div(slicing.num * int(n[x]), slicing.den), "left")
-            hi = np.searchsorted(n[left], slicing.den * int(n[x]) // slicing.num, "right")
-            near = left[lo:hi]
-            most = (slicing.den - slicing.num) * np.minimum(n[near], n[x]) // slicing.num
-            close = np.abs(vectors[near] - vectors[x]).sum(axis=1) <= most
-            if close.any():
-                met = near[close]
-                found += [(int(node[x]), int(node[y])) for y in met]
-                frontier += list(met)
-                left = np.concatenate((left[:lo], near[~close], left[hi:]))
-    return found
-
-
-def _window_edges(members: DataFrame, described: DataFrame, slicing: Slicing) -> DataFrame:
-    """``a, b``: a forest over the window graph of each region."""
+@dataclass
+class Balls:
+    """Balls in the space of count vectors: centre, radius, and the least and greatest size inside."""
+
+    node: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    radius: np.ndarray
+    vectors: np.ndarray
+
+    def gather(self, slicing: Slicing) -> tuple[list[tuple[int, int]], Balls]:
+        """Edges that span the connected parts of the window graph, and one ball around each part.
+
+        Two balls are joined unless sizes or the triangle inequality show that no document of one can
+        link with a document of the other, so no link leaves a part.
+        """
+        order = np.argsort(self.low, kind="stable")
+        node, low, high, radius = (x[order].astype(np.int64) for x in (self.node, self.low, self.high, self.radius))
+        vectors = self.vectors[order].astype(np.int16)
+        left, found, balls = np.arange(len(node)), [], []
+        while len(left):
+            first, frontier = left[0], [left[0]]
+            part, left = [left[0]], left[1:]
+            while frontier and len(left):
+                x = frontier.pop()
+                hi = np.searchsorted(low[left], slicing.den * int(high[x]) // slicing.num, "right")
+                near = left[:hi]
+                wide = slicing.num * low[x] <= slicing.den * high[near]
+                reach = radius[x] + radius[near] + (slicing.den - slicing.num) * np.minimum(high[near], high[x]) // slicing.num
+                close = wide & (np.abs(vectors[near] - vectors[x]).sum(axis=1) <= reach)
+                if close.any():
+                    met = near[close]
+                    found += [(int(node[x]), int(node[y])) for y in met]
+                    frontier += list(met)
+                    part += list(met)
+                    left = np.concatenate((near[~close], left[hi:]))
+            around = np.abs(vectors[part] - vectors[first]).sum(axis=1) + radius[part]
+            balls.append((first, low[part].min(), high[part].max(), around.max()))
+        at, lows, highs, radii = (np.array(x, dtype=np.int64) for x in zip(*balls, strict=True)) if balls else (np.empty(0, np.int64),) * 4
+        return found, Balls(node[at], lows, highs, radii, vectors[at].astype(np.uint8))
+
+
+BALLS = "region long, block long, node long, low long, high long, radius long, vector binary"
+GATHERED = "a long, b long, region long, node long, low long, high long, radius long, vector binary"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of ``BALLS`` of each (region, block), from rows in that order."""
+    carry: list[np.ndarray] | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(k).to_numpy() for k in range(6)]
+        columns.append(np.frombuffer(b"".join(b.column(6).to_pylist()), dtype=np.uint8).reshape(-1, VECTOR))
+        if carry:
+            columns = [np.concatenate((x, y)) for x, y in zip(carry, columns, strict=True)]
+        region, block = columns[:2]
+        begins = [0, *(np.flatnonzero((region[1:] != region[:-1]) | (block[1:] != block[:-1])) + 1).tolist()]
+        for lo, hi in zip(begins, begins[1:], strict=False):
+            yield [c[lo:hi] for c in columns]
+        carry = [c[begins[-1] :] for c in columns]
+    if carry:
+        yield carry
+
+
+def _gather(balls: DataFrame, slicing: Slicing, keep: bool) -> DataFrame:
+    """Edges of the parts of every block and, with ``keep``, the balls around the parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches, schema=schema)
-        if not table.num_rows:
-            return
-        sig, node, n = (table.column(k).to_numpy() for k in range(3))
-        raw = np.frombuffer(b"".join(table.column(3).to_pylist()), dtype=np.uint8).reshape(-1, VECTOR)
-        order = np.argsort(sig, kind="stable")
-        runs = _runs(sig[order])
-        edges: set[tuple[int, int]] = set()
-        for lo, hi in zip(runs[:-1].tolist(), runs[1:].tolist(), strict=True):
-            at = order[lo:hi]
-            edges.update(window_forest(node[at], n[at], raw[at], slicing))
-        pairs = np.array(sorted(edges), dtype=np.int64).reshape(-1, 2)
-        yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    schema = pa.schema([("sig", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("vector", pa.binary())])
-    rows = members.join(described, "node").select("sig", "node", "n", "vector")
-    return rows.repartition("sig").mapInArrow(run, "a long, b long")
-
-
-def links_between(sets: list[np.ndarray], slicing: Slicing, split: int | None = None) -> list[tuple[int, int]]:
-    """Edges that span the components of linked sets, found exactly in memory.
-
-    With ``split`` only sets before it are compared with sets from it on.
+        edges, kept = [], []
+
+        def flush() -> pa.RecordBatch:
+            pairs, m = np.array(edges, dtype=np.int64).reshape(-1, 2), sum(len(x.node) for _, x in kept)
+            joined = [np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*((np.full(len(x.node), r), x.node, x.low, x.high, x.radius) for r, x in kept), strict=True)] or [np.empty(0, np.int64)] * 5
+            vectors = [v.tobytes() for _, x in kept for v in x.vectors]
+            rows = [pa.concat_arrays([pa.array(pairs[:, k]), pa.nulls(m, pa.int64())]) for k in range(2)]
+            rows += [pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(x)]) for x in joined]
+            rows.append(pa.array([None] * len(pairs) + vectors, pa.binary()))
+            return pa.record_batch(rows, names=["a", "b", "region", "node", "low", "high", "radius", "vector"])
+
+        for region, _, *columns in _blocks(batches):
+            found, around = Balls(*columns).gather(slicing)
+            edges += found
+            if keep:
+                kept.append((region[0], around))
+            if len(edges) + len(kept) >= 1 << 14:
+                yield flush()
+                edges, kept = [], []
+        if edges or kept:
+            yield flush()
+
+    return balls.repartition("region", "block").sortWithinPartitions("region", "block").mapInArrow(lean(run), GATHERED)
+
+
+def _window_edges(members: DataFrame, described: DataFrame, slicing: Slicing, block_nodes: int) -> DataFrame:
+    """``a, b``: edges that span the connected parts of the window graph of every region.
+
+    A region's blocks are gathered apart; where a region has several, the balls around their parts are
+    dealt into new blocks, until one block holds a region or balls stop to merge.  Then all pairs of the
+    blocks that are left are gathered, each pair in a group of its own.  No group holds more than two blocks.
     """
-    label = list(range(len(sets)))
-    sizes = np.array([len(h) for h in sets])
-    values, at = np.unique(np.concatenate(sets), return_inverse=True)
-    begins = np.concatenate(([0], np.cumsum(sizes)))
-    marked, edges = np.zeros(len(values), dtype=np.int32), []
-
-    def root(x: int) -> int:
-        while label[x] != x:
-            label[x] = label[label[x]]
-            x = label[x]
+    balls = members.join(described, "node").select("region", "block", "many", "node", F.col("n").alias("low"), F.col("n").alias("high"), F.lit(0).cast("long").alias("radius"), "vector")
+    balls = cut(balls)
+    columns = [c.split()[0] for c in BALLS.split(", ")]
+    edges = [cut(_gather(balls.where("NOT many").select(columns), slicing, False).select("a", "b"))]
+    left = balls.where("many").select(columns)
+    deal, before = 0, left.count()
+    while before:
+        found = cut(_gather(left, slicing, True))
+        edges.append(found.where("a IS NOT NULL").select("a", "b"))
+        parts = found.where("region IS NOT NULL").drop("a", "b")
+        blocks = parts.groupBy("region").agg(F.ceil(F.count("*") / block_nodes).cast("long").alias("blocks"))
+        dealt = parts.join(blocks, "region").withColumn("block", F.pmod(F.xxhash64("node", F.lit(deal)), F.col("blocks")))
+        # A region that one block holds is gathered once more below and is done.
+        now, deal = parts.count(), deal + 1
+        if now > before // 2:
+            other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+            pairs = dealt.withColumn("other", other).withColumn("block", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other"))
+            edges.append(cut(_gather(pairs.select(columns), slicing, False).select("a", "b")))
+            break
+        edges.append(cut(_gather(dealt.where("blocks = 1").select(columns), slicing, False).select("a", "b")))
+        left = dealt.where("blocks > 1").select(columns)
+        before = left.count()
+    out = edges[0]
+    for more in edges[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+class Sets:
+    """Shingle sets in memory, as places in the sorted list of all their shingles."""
+
+    def __init__(self, sets: list[np.ndarray], slicing: Slicing):
+        self.slicing = slicing
+        self.sizes = np.array([len(h) for h in sets], dtype=np.int64)
+        values, at = np.unique(np.concatenate(sets), return_inverse=True)
+        self.at = at.astype(np.int32)
+        self.begins = np.concatenate(([0], np.cumsum(self.sizes)))
+        self.marked = np.zeros(len(values), dtype=np.int32)
+        self.label = list(range(len(sets)))
+        self.edges: list[tuple[int, int]] = []
+        self.cells = self.replicas = self.compared = 0
+
+    def root(self, x: int) -> int:
+        while self.label[x] != x:
+            self.label[x] = self.label[self.label[x]]
+            x = self.label[x]
         return x
 
-    for k in range(split if split is not None else len(sets) - 1):
-        first = k + 1 if split is None else split
-        own = at[begins[k] : begins[k + 1]]
-        marked[own] = 1
-        common = np.add.reduceat(marked[at[begins[first] :]], begins[first:-1] - begins[first])
-        marked[own] = 0
-        union = sizes[k] + sizes[first:] - common
-        for j in np.flatnonzero(slicing.den * common >= slicing.num * union):
-            a, b = root(k), root(first + int(j))
+    def distances(self, x: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distance of ``x`` to each of ``others``, and whether they link; links enter the components."""
+        own = self.at[self.begins[x] : self.begins[x + 1]]
+        self.marked[own] = 1
+        sizes = self.sizes[others]
+        common = np.add.reduceat(self.marked[self.at[spans.ranges(self.begins[others], sizes)]], np.concatenate(([0], np.cumsum(sizes)[:-1])))
+        self.marked[own] = 0
+        self.compared += len(others)
+        union = self.sizes[x] + sizes - common
+        linked = self.slicing.den * common >= self.slicing.num * union
+        for y in others[linked].tolist():
+            a, b = self.root(x), self.root(y)
             if a != b:
-                label[max(a, b)] = min(a, b)
-                edges.append((k, first + int(j)))
-    return edges
+                self.label[max(a, b)] = min(a, b)
+                self.edges.append((x, y))
+        return 1 - common / union, linked
+
+    def compare(self, left: np.ndarray, right: np.ndarray | None = None) -> None:
+        """All pairs within ``left``, or between ``left`` and ``right``, that are not yet in one component."""
+        for k, x in enumerate(left.tolist()):
+            others = left[k + 1 :] if right is None else right
+            own = self.root(x)
+            others = others[[self.root(y) != own for y in others.tolist()]]
+            if len(others):
+                self.distances(x, others)
+
+    def voronoi(self, pivots: int, leaf: int) -> None:
+        """Join all sets: regions of pivots, windows by the triangle inequality, recursion.
+
+        Pivots are chosen farthest first, ``pivots`` or as many more as it takes until every set is nearer
+        than ``1 - 2r`` to one (unrelated pivots then lie outside its window).  A set belongs to its nearest pivot's region and is replicated
+        to that of pivot ``q`` if ``d(x, q) - d(x, p) <= 2r``.  In the region of ``p`` sets that link with
+        ``p`` are one component already; of them only the boundary, ``d(x, p) >= d(u, p) - r`` for a set
+        ``u`` that does not link, stays to be compared.  Pivots are done.  A region whose cells would
+        hold more than half of its pairs again is compared directly.
+        """
+        r = (self.slicing.den - self.slicing.num) / self.slicing.den + 1e-9
+        waiting = [np.arange(len(self.sizes))]
+        while waiting:
+            cell = waiting.pop()
+            first = self.root(int(cell[0]))
+            if all(self.root(y) == first for y in cell.tolist()):
+                continue
+            if len(cell) <= leaf:
+                self.compare(cell)
+                continue
+            chosen, away, links, most = [0], [], [], max(2, len(cell) // 4)
+            while True:
+                d, linked = self.distances(int(cell[chosen[-1]]), cell)
+                away.append(d)
+                links.append(linked)
+                nearest = np.min(away, axis=0)
+                if len(chosen) == most or nearest.max() <= r or (len(chosen) >= pivots and nearest.max() < 1 - 2 * r):
+                    break
+                chosen.append(int(nearest.argmax()))
+            left = np.ones(len(cell), dtype=bool)
+            left[chosen] = False
+            cells = []
+            for d, linked in zip(away, links, strict=True):
+                inside = left & (d - nearest <= 2 * r)
+                self.cells += 1
+                self.replicas += int((inside & (d > nearest)).sum())
+                if (free := inside & ~linked).any():
+                    cells.append(cell[free | (inside & (d >= d[free].min() - r))])
+            if sum(len(c) ** 2 for c in cells) > len(cell) ** 2 // 2:
+                self.compare(cell[left])
+            else:
+                waiting += cells
 
 
-def _join_in_memory(rows: DataFrame, slicing: Slicing) -> DataFrame:
+def _join_in_memory(rows: DataFrame, slicing: Slicing, pivots: int, leaf: int) -> DataFrame:
     """``a, b``: spanning links of each group of ``(group, side, node, shingles)``.
 
     Where a group has rows of side 1, only pairs of different sides are compared.
@@ -309,9 +494,13 @@ def _join_in_memory(rows: DataFrame, slicing: Slicing) -> DataFrame:
         group, sides, nodes, sets = None, [], [], []
 
         def flush() -> pa.RecordBatch:
-            split = sides.index(1) if 1 in sides else None
-            found = links_between(sets, slicing, split) if split != 0 else []
-            return pa.record_batch([pa.array([nodes[x] for x, _ in found], pa.int64()), pa.array([nodes[y] for _, y in found], pa.int64())], names=["a", "b"])
+            join = Sets(sets, slicing)
+            if 1 in sides:
+                split = sides.index(1)
+                join.compare(np.arange(split), np.arange(split, len(sets)))
+            else:
+                join.voronoi(pivots, leaf)
+            return pa.record_batch([pa.array([nodes[x] for x, _ in join.edges], pa.int64()), pa.array([nodes[y] for _, y in join.edges], pa.int64())], names=["a", "b"])
 
         for b in batches:
             for g, side, node, raw in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3), strict=True):
@@ -328,52 +517,141 @@ def _join_in_memory(rows: DataFrame, slicing: Slicing) -> DataFrame:
             yield flush()
 
     ordered = rows.select("group", "side", "node", "shingles").repartition("group").sortWithinPartitions("group", "side", "node")
-    return ordered.mapInArrow(run, "a long, b long")
-
-
-def _join_rings(placed: DataFrame, sets: DataFrame, slicing: Slicing, cell_nodes: int) -> DataFrame:
-    """``a, b``: spanning links of the cells of large regions ``placed(region, node, n)``."""
-    pivots = placed.groupBy("region").agg(F.min_by("node", F.xxhash64("node")).alias("pivot"))
-    paired = placed.join(pivots, "region")
-    edges = paired.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    away = _distances(edges, sets, slicing).select(F.col("b").alias("node"), "d")
-    radius = (slicing.den - slicing.num) / slicing.den + 1e-9
-    ringed = paired.join(away, "node", "left").select(
-        "region", "node",
-        F.floor(F.coalesce("d", F.lit(0.0)) / radius).alias("ring"),
-        F.floor(F.log(F.col("n")) / math.log(slicing.den / slicing.num + 1e-9)).alias("size_class"),
-    )
-    ringed = cut(ringed)
-    counts = ringed.groupBy("region", "ring", "size_class").agg(F.ceil(F.count("*") / cell_nodes).alias("parts"))
-    celled = ringed.join(counts, ["region", "ring", "size_class"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    celled = cut(celled.withColumn("cell", F.concat_ws("/", "region", "ring", "size_class", "part")).select("node", "cell", "region", "ring", "size_class"))
-    cells = celled.select("cell", "region", "ring", "size_class").distinct()
-    x, y = cells.alias("x"), cells.alias("y")
-    near = (F.col("x.region") == F.col("y.region")) & (F.abs(F.col("x.ring") - F.col("y.ring")) <= 1)
-    near &= (F.abs(F.col("x.size_class") - F.col("y.size_class")) <= 1) & (F.col("x.cell") <= F.col("y.cell"))
-    pairs = x.join(y, near).select(F.concat_ws(" ", "x.cell", "y.cell").alias("group"), F.col("x.cell").alias("one"), F.col("y.cell").alias("two"))
-    sides = pairs.select("group", F.col("one").alias("cell"), F.lit(0).alias("side")).union(pairs.where("one != two").select("group", F.col("two").alias("cell"), F.lit(1).alias("side")))
-    return _join_in_memory(celled.select("node", "cell").join(sides, "cell").join(sets, "node"), slicing)
+    return ordered.mapInArrow(lean(run), "a long, b long")
+
+
+PLACED = "region long, node long, n long"
+
+
+def _voronoi_round(placed: DataFrame, sets: DataFrame, slicing: Slicing, pivots: int, memory_nodes: int, level: int) -> DataFrame:
+    """``region, pivot, node, n, d, linked``: the cells of every large region, replicas included.
+
+    Pivots are the nodes of smallest hash under several seeds, so they come from partial aggregation.  A
+    region is dealt over tasks by a hash; every task of a region gets its few pivots first and then
+    streams its sets.
+    """
+    smallest = [F.min_by("node", F.xxhash64("node", F.lit(level * pivots + k))) for k in range(pivots)]
+    size = F.greatest(F.ceil(F.count("*") / memory_nodes), F.ceil(F.sum("n") / MEMORY_SHINGLES)).cast("long").alias("tasks")
+    about = cut(placed.groupBy("region").agg(F.array_distinct(F.array(*smallest)).alias("pivots"), size))
+    own = placed.join(about.select("region", "tasks"), "region").select("region", F.pmod(F.xxhash64("node", F.lit(-1 - level)), F.col("tasks")).alias("task"), F.lit(1).alias("kind"), "node")
+    asked = about.select("region", "tasks", F.explode("pivots").alias("node")).select("region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("kind"), "node")
+    window = 2 * (slicing.den - slicing.num) / slicing.den + 1e-9
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, chosen, last = None, [], None
+        for b in batches:
+            out = []
+            for region, task, kind, node, raw in zip(*(b.column(k).to_pylist() for k in range(4)), b.column(4), strict=True):
+                if place != (region, task):
+                    place, chosen, last = (region, task), [], None
+                if last == (kind, node):
+                    continue  # another document with the same set
+                last, h = (kind, node), np.frombuffer(raw.as_buffer().to_pybytes(), dtype=U)
+                if kind == 0:
+                    chosen.append((node, h))
+                    continue
+                common = np.array([np.isin(h, p, assume_unique=True, kind="sort").sum() for _, p in chosen])
+                union = np.array([len(p) for _, p in chosen]) + len(h) - common
+                d = 1 - common / union
+                links = slicing.den * common >= slicing.num * union
+                for k in np.flatnonzero(d - d.min() <= window):
+                    out.append((region, chosen[k][0], node, len(h), float(d[k]), bool(links[k])))
+            if out:
+                columns = list(zip(*out, strict=True))
+                kinds = [pa.int64()] * 4 + [pa.float64(), pa.bool_()]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["region", "pivot", "node", "n", "d", "linked"])
+
+    rows = own.unionByName(asked).join(sets, "node").select("region", "task", "kind", "node", "shingles")
+    rows = rows.repartition("region", "task").sortWithinPartitions("region", "task", "kind", "node")
+    return rows.mapInArrow(lean(run), "region long, pivot long, node long, n long, d double, linked boolean")
+
+
+def _join_large(placed: DataFrame, sets: DataFrame, slicing: Slicing, pivots: int, leaf: int, memory_nodes: int) -> DataFrame:
+    """``a, b``: spanning links of large regions ``placed(region, node, n)``, by rounds of Voronoi cells.
+
+    As in ``Sets.voronoi``, of the sets that link with their pivot only the boundary stays, and pivots are
+    done.  Cells that fit are joined in memory; all others get new pivots in the next round.  A region
+    whose cells would hold more than half of its pairs again is cut into blocks by size and hash instead,
+    and near blocks are joined in pairs.
+    """
+    r = (slicing.den - slicing.num) / slicing.den + 1e-9
+    links, level = [], 0
+    while True:
+        cells = cut(_voronoi_round(placed, sets, slicing, 4 * pivots, memory_nodes, level))  # they are not chosen farthest first
+        links.append(cells.where("linked AND node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+        done = cells.select("region", F.col("pivot").alias("node")).distinct()
+        rest = cells.join(done, ["region", "node"], "left_anti")
+        free = rest.where("NOT linked").groupBy("region", "pivot").agg(F.min("d").alias("least"))
+        inside = rest.join(free, ["region", "pivot"]).where(~F.col("linked") | (F.col("d") >= F.col("least") - r))
+        inside = cut(inside.select("region", F.xxhash64("region", "pivot", F.lit(level)).alias("cell"), "node", "n"))
+        sizes = inside.groupBy("region", "cell").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles"))
+        pairs = sizes.groupBy("region").agg(F.sum(F.col("nodes").cast("double") * F.col("nodes")).alias("pairs"))
+        parents = placed.groupBy("region").agg(F.count("*").cast("double").alias("before"))
+        stuck = cut(pairs.join(parents, "region").where("pairs > before * before / 2").select("region"))
+        small = (F.col("nodes") <= memory_nodes) & (F.col("shingles") <= MEMORY_SHINGLES)
+        marked = cut(inside.join(sizes.select("cell", small.alias("small")), "cell").join(stuck, "region", "left_anti"))
+        one = marked.where("small").select(F.col("cell").cast("string").alias("group"), F.lit(0).alias("side"), "node")
+        links.append(cut(_join_in_memory(one.join(sets, "node"), slicing, pivots, leaf)))
+        if not stuck.isEmpty():
+            direct = placed.join(stuck, "region", "left_semi").join(done, ["region", "node"], "left_anti")
+            links.append(cut(_join_blocks(direct, sets, slicing, max(1, memory_nodes // 2))))
+        placed = marked.where("NOT small").select(F.col("cell").alias("region"), "node", "n")
+        if placed.isEmpty():
+            break
+        level += 1
+    out = links[0]
+    for more in links[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _join_blocks(placed: DataFrame, sets: DataFrame, slicing: Slicing, block_nodes: int) -> DataFrame:
+    """``a, b``: spanning links within blocks and between near blocks of regions ``placed(region, node, n)``."""
+    size_class = F.floor(F.log(F.col("n")) / math.log(slicing.den / slicing.num + 1e-9)).alias("size_class")
+    sized = placed.select("region", "node", "n", size_class)
+    part = F.greatest(F.ceil(F.count("*") / block_nodes), F.ceil(F.sum("n") * 2 / MEMORY_SHINGLES)).alias("parts")
+    counts = sized.groupBy("region", "size_class").agg(part)
+    blocks = sized.join(counts, ["region", "size_class"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    blocks = cut(blocks.withColumn("block", F.concat_ws("/", "region", "size_class", "part")).select("node", "block", "region", "size_class"))
+    every = blocks.select("block", "region", "size_class").distinct()
+    x, y = every.alias("x"), every.alias("y")
+    near = (F.col("x.region") == F.col("y.region")) & (F.abs(F.col("x.size_class") - F.col("y.size_class")) <= 1) & (F.col("x.block") <= F.col("y.block"))
+    pairs = x.join(y, near).select(F.concat_ws(" ", "x.block", "y.block").alias("group"), F.col("x.block").alias("one"), F.col("y.block").alias("two"))
+    sides = pairs.select("group", F.col("one").alias("block"), F.lit(0).alias("side")).union(pairs.where("one != two").select("group", F.col("two").alias("block"), F.lit(1).alias("side")))
+    return _join_in_memory(blocks.select("node", "block").join(sides, "block").join(sets, "node"), slicing, PIVOTS, LEAF)
 
 
 def _known_documents(rows: DataFrame, wanted: DataFrame, k: int, make, schema: str, names: list[str]) -> DataFrame:
-    """``make(keys, sets)`` over the documents of ``wanted(doc_id)``, in one scan without a shuffle.
+    """``make(keys, sets)`` over the documents of ``wanted(doc_id)``.
 
-    A Bloom filter over ids chooses the documents, so a few others may come along; keys are made from
-    the sets themselves.
+    A Bloom filter over ids, sized by their number, chooses the documents in one scan without a shuffle,
+    so a few others may come along; keys are made from the sets themselves.  Where there are too many ids
+    for a filter of bounded size, a semi join chooses them.
     """
-    ask = rows.sparkSession.sparkContext.broadcast(IdFilter.build(wanted, "doc_id"))
+    bits = IdFilter.bits_for(wanted.count())
+    ask = None
+    if bits is None:
+        rows = rows.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    else:
+        ask = rows.sparkSession.sparkContext.broadcast(IdFilter.build(wanted, "doc_id", bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0)
-            known = ask.value.has(ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
-            b = b.filter(pa.array(known))
-            for lo in range(0, b.num_rows, 1024):
-                found = [h for h in shingle_sets(b.slice(lo, 1024).column(1), k) if len(h)]
-                yield pa.record_batch([pa.array([set_key(h) for h in found], pa.int64()), *make(found)], names=names)
+            if ask is not None:
+                ids = b.column(0)
+                known = ask.value.has(ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
+                b = b.filter(pa.array(known))
+            found, held = [], 0
+            for h in shingle_sets(b.column(1), k):
+                if len(h):
+                    found.append(h)
+                    held += len(h)
+                if held >= FLUSH_ROWS:
+                    yield pa.record_batch([pa.array([set_key(h) for h in found], pa.int64()), *make(found)], names=names)
+                    found, held = [], 0
+            yield pa.record_batch([pa.array([set_key(h) for h in found], pa.int64()), *make(found)], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def _fetch_sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -387,64 +665,51 @@ def _fetch_vectors(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return _known_documents(rows, wanted, k, make, "node long, n long, vector binary", ["node", "n", "vector"])
 
 
-def _distances(edges: DataFrame, sets: DataFrame, slicing: Slicing) -> DataFrame:
-    """``a, b, d, linked`` with the exact distance of each pair."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            common, union = [], []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=U) for v in (x, y))
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                n = int((both[1:] == both[:-1]).sum())
-                common.append(n)
-                union.append(len(both) - n)
-            common, union = np.array(common, dtype=np.int64), np.array(union, dtype=np.int64)
-            yield pa.record_batch(
-                [b.column(0), b.column(1), pa.array(1 - common / np.maximum(union, 1)), pa.array(slicing.den * common >= slicing.num * union)],
-                names=["a", "b", "d", "linked"],
-            )
-
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    pairs = edges.join(right, "b").join(left, "a").select("a", "b", "x", "y")
-    return pairs.mapInArrow(run, "a long, b long, d double, linked boolean")
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", memory_nodes: int = MEMORY_NODES) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text",
+    memory_nodes: int = MEMORY_NODES, block_nodes: int = BLOCK_NODES, pivots: int = PIVOTS, leaf: int = LEAF,
+) -> DataFrame:
     """Per document ``doc_id, n_shingles, component_id, kept``.
 
     Documents link when ``den * |x & y| >= num * |x | y|`` over their sets of ``k``-word shingles;
-    the component id is the smallest id that links reach, and that document is kept.
+    the component id is the smallest id that links reach, and that document is kept.  ``memory_nodes``
+    (sets that a task joins), ``block_nodes`` (vectors that a task gathers), ``pivots`` and ``leaf`` change
+    the work, never the result.
     """
-    return _components_of_rows(docs, k, num, den, id_col, text_col, memory_nodes).select(
+    return _components_of_rows(docs, k, num, den, id_col, text_col, memory_nodes, block_nodes, pivots, leaf).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
 
 
-def _components_of_rows(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str, memory_nodes: int = MEMORY_NODES) -> DataFrame:
+def _components_of_rows(
+    docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str,
+    memory_nodes: int = MEMORY_NODES, block_nodes: int = BLOCK_NODES, pivots: int = PIVOTS, leaf: int = LEAF,
+) -> DataFrame:
     """Per document ``doc_id, n, component_id, node, first``: its set and the smallest ``(id, node)`` of its component."""
     slicing = Slicing(num, den)
     rows = _document_rows(docs, id_col, text_col)
     folder = cut(_nodes(rows, k))
-    members = cut(_signatures(rows, k, slicing).repartition("sig").mapInArrow(_meeting, "sig long, node long").distinct())
-    keepers = folder.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
+    keepers = cut(folder.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))
+    members = cut(_members(rows, k, slicing, block_nodes))
     wanted = cut(keepers.join(members.select("node").distinct(), "node", "left_semi").where("doc_id IS NOT NULL"))
     # Sets are made again from the texts when they are needed: that costs less than moving them twice.
-    edges = cut(_window_edges(members, _fetch_vectors(rows, wanted, k), slicing))
+    edges = cut(_window_edges(members, _fetch_vectors(rows, wanted, k), slicing, block_nodes).where("a != b").distinct())
+    discard(members)
     regions = components(edges).select("node", F.col("root").alias("region"))
+    discard(edges)
     placed = cut(regions.join(wanted.select("node", "doc_id", "n"), "node"))
+    discard(wanted)
     sets = _fetch_sets(rows, placed, k)
     sizes = placed.groupBy("region").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles"))
     small = (F.col("nodes") <= memory_nodes) & (F.col("shingles") <= MEMORY_SHINGLES)
-    placed = cut(placed.join(sizes.select("region", small.alias("small")), "region").select("region", "node", "n", "small"))
-    one = placed.where("small").select(F.col("region").cast("string").alias("group"), F.lit(0).alias("side"), "node")
-    links = _join_in_memory(one.join(sets, "node"), slicing)
-    large = placed.where("NOT small")
+    marked = cut(placed.join(sizes.select("region", small.alias("small")), "region").select("region", "node", "n", "small"))
+    one = marked.where("small").select(F.col("region").cast("string").alias("group"), F.lit(0).alias("side"), "node")
+    links = _join_in_memory(one.join(sets, "node"), slicing, pivots, leaf)
+    large = marked.where("NOT small").select("region", "node", "n")
     if not large.isEmpty():
-        links = links.union(_join_rings(large, sets, slicing, max(1, memory_nodes // 2)))
+        links = links.union(_join_large(large, cut(sets.join(large.select("node"), "node", "left_semi")), slicing, pivots, leaf, memory_nodes))
     labels = components(links).select("node", F.col("root").alias("label"))
+    discard(placed, marked)
     placed = folder.join(labels, "node", "left").withColumn("label", F.coalesce("label", F.when(F.col("n") > 0, F.col("node"))))
     ids = keepers.select("node", "doc_id").join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label"))
     ids = ids.agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "node")).alias("first"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
@@ -20,13 +21,12 @@ LAST_ID = (1 << 63) - 1
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests on one machine) a temporary folder takes its place.
+    Without the setting a session in one process (tests) gets a temporary folder; any other session
+    raises, because no folder is known that all its executors see.
     """
-    try:
-        found = spark.conf.get("spark.checkpoint.dir")
-    except Exception:  # noqa: BLE001  the JVM raises for an unknown key
-        found = None
+    found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        require(spark.sparkContext.master.startswith("local["), "set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.gettempdir()}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -46,17 +46,44 @@ def cut(df: DataFrame) -> DataFrame:
     spark, path = df.sparkSession, new_folder(df.sparkSession, "table")
     bound_batches(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._cut_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``cut`` wrote.  Everything made of them must have been written before."""
+    for table in tables:
+        if path := getattr(table, "_cut_path", None):
+            jvm = table.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most ``BATCH_ROWS`` rows: whole texts are long, and a worker holds a batch."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    """Arrow batches of at most ``BATCH_ROWS`` rows and about ``BATCH_BYTES``: texts and sets are long."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(key)).upper().rstrip("B")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, most)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` that gives its worker's free memory back at the end: workers outlive their task."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return wrapped
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,12 +99,20 @@ def fold_of(column: str | Column, folds: int = 5) -> Column:
 
 
 class IdFilter:
-    """A Bloom filter of fixed size over 64-bit keys, built by partial aggregation.
+    """A Bloom filter over 64-bit keys, built by partial aggregation.
 
-    The filter has ``2**bits`` bits whatever the input is (2 MB by default), so it may be sent
-    to every executor; a crowded filter only lets more rows pass to the exact join behind it.
+    The filter has ``2**bits`` bits, 2 MB by default and 8 MB at most, so it may be sent to every executor;
+    a crowded filter only lets more rows pass to the exact step behind it.
     """
 
+    MOST_BITS = 26
+
+    @classmethod
+    def bits_for(cls, keys: int) -> int | None:
+        """Bits that give each key eight places; ``None`` if that needs too large a filter."""
+        bits = max(16, (8 * keys).bit_length())
+        return bits if bits <= cls.MOST_BITS else None
+
     def __init__(self, words: np.ndarray, bits: int):
         self.words, self.bits = words, bits
 

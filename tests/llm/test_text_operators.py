@@ -70,13 +70,79 @@ def near_corpus(seed, n=14):
     return texts
 
 
-@pytest.mark.parametrize(("k", "num", "memory_nodes"), [(4, 85, 1024), (5, 80, 1024), (5, 80, 2)])
-def test_jaccard_components_match_brute_force(spark, k, num, memory_nodes):
+@pytest.mark.parametrize(
+    ("k", "num", "work"),
+    [(4, 85, {}), (5, 80, {}), (5, 80, {"memory_nodes": 2, "block_nodes": 3}), (4, 85, {"memory_nodes": 3, "block_nodes": 2, "pivots": 2, "leaf": 1})],
+)
+def test_jaccard_components_match_brute_force(spark, k, num, work):
     texts = near_corpus(k + num)
-    got = jaccard_join.near_duplicates(frame(spark, texts, extra=True), k, num, 100, memory_nodes=memory_nodes).collect()
+    got = jaccard_join.near_duplicates(frame(spark, texts, extra=True), k, num, 100, **work).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts, k, num, 100)
 
 
+def chained_sets(rng, families=12, steps=14, size=90):
+    """Sets that drift away from their family's first one, so that links form chains longer than the radius."""
+    out = []
+    for f in range(families):
+        now = set(range(1000 * f, 1000 * f + size))
+        for step in range(steps):
+            out.append(np.sort(jaccard_join.spans.mix64(np.array(sorted(now), dtype=np.uint64))))
+            gone = rng.sample(sorted(now), rng.choice([1, 3, 6, 12]))
+            now = (now - set(gone)) | {1000 * f + 500 + 20 * step + j for j in range(len(gone))}
+    rng.shuffle(out)
+    return out
+
+
+def components_of_sets(sets, num, den):
+    label = list(range(len(sets)))
+    for a, b in combinations(range(len(sets)), 2):
+        common = len(np.intersect1d(sets[a], sets[b]))
+        if den * common >= num * (len(sets[a]) + len(sets[b]) - common):
+            one, other = label[a], label[b]
+            label = [min(one, other) if x in (one, other) else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_voronoi_cells_find_every_component(seed):
+    rng = random.Random(seed)
+    sets, num = chained_sets(rng), rng.choice([70, 80, 90])
+    join = jaccard_join.Sets(sets, jaccard_join.Slicing(num, 100))
+    join.voronoi(rng.choice([2, 5, 8]), rng.choice([1, 4]))
+    want = components_of_sets(sets, num, 100)
+    assert [join.root(x) for x in range(len(sets))] == want
+    assert len(join.edges) == len(sets) - len(set(want))
+    # Cells did the work: far fewer comparisons than pairs, and boundary sets were replicated.
+    assert join.cells > 1 and join.replicas > 0 and join.compared < len(sets) * (len(sets) - 1) // 3
+
+
+def test_large_regions_are_joined_over_tasks(spark):
+    sets, slicing = chained_sets(random.Random(8), families=5), jaccard_join.Slicing(80, 100)
+    stored = spark.createDataFrame([(k, h.tobytes()) for k, h in enumerate(sets)], "node long, shingles binary")
+    placed = spark.createDataFrame([(k % 2, k, len(h)) for k, h in enumerate(sets)], "region long, node long, n long")
+    want = [set(components_of_sets([h if k % 2 == side else np.array([k], dtype=np.uint64) for k, h in enumerate(sets)], 80, 100)) for side in (0, 1)]
+    links = jaccard_join._join_large(placed, stored, slicing, 3, 2, 4).collect()
+    label = list(range(len(sets)))
+    for a, b in links:
+        one, other = label[a], label[b]
+        label = [min(one, other) if x in (one, other) else x for x in label]
+    assert set(label) == {x for x in want[0] if x % 2 == 0} | {x for x in want[1] if x % 2 == 1}
+
+
+def test_hot_slices_leave_in_blocks():
+    rng = np.random.default_rng(4)
+    runs = {7: np.arange(200_000), 9: np.arange(5), 11: np.arange(3), 13: np.arange(3), 15: np.array([1]), 2: np.arange(100_000, 140_000)}
+    sig = np.concatenate([np.repeat(s, 2 * len(x)) for s, x in sorted(runs.items())])
+    node = np.concatenate([np.repeat(x, 2) for _, x in sorted(runs.items())])
+    cuts = np.sort(rng.choice(len(sig), 40))
+    batches = [pa.record_batch([pa.array(sig[a:z]), pa.array(node[a:z])], names=["sig", "node"]) for a, z in zip([0, *cuts], [*cuts, len(sig)], strict=True)]
+    found = pa.Table.from_batches(jaccard_join._meeting(iter(batches), 512)).to_pandas()
+    assert found.groupby(["region", "block"]).size().max() <= 512
+    want = sorted([200_000, 40_000, 5, 3])  # equal members are one region, single members none
+    assert sorted(found.groupby("region").node.nunique()) == want and sorted(found.groupby("region").size()) == want
+    assert set(found[found.many].groupby("region").size()) == {200_000, 40_000}
+
+
 def test_jaccard_keeps_one_of_each_component(spark):
     texts = near_corpus(3, n=4)
     want = {d for d, (_, c) in brute_components(texts, 5, 80, 100).items() if d == c}
@@ -116,7 +182,7 @@ def test_drop_ids_is_exact_with_a_crowded_bitmap(spark):
 @pytest.mark.parametrize("bits", [256, 3])
 def test_exact_groups_even_when_digests_collide(spark, bits):
     texts = [*ODD_TEXTS, "a  b", "a b", "a\n b", "a b ", "c"] * 2
-    rows = exact_dedup.exact_groups(frame(spark, texts, extra=True), digest_bits=bits, memtable_rows=5).collect()
+    rows = exact_dedup.exact_groups(frame(spark, texts, extra=True), digest_bits=bits, memtable_rows=5, fan_in=2, shard_rows=7).collect()
     norm = [re.sub("[\x20\x09-\x0d]+", " ", t or "") for t in texts]
     want = {d: (norm.index(t), norm.count(t), norm.index(t) == d, hashlib.sha256(t.encode()).hexdigest()) for d, t in enumerate(norm)}
     assert {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in rows} == want
@@ -130,6 +196,41 @@ def test_exact_dedup_keeps_columns_and_first_rows(spark):
     assert exact_dedup.exact_groups(df.limit(0)).count() == 0
 
 
+def test_compaction_ends_with_one_sorted_run_of_each_shard(spark):
+    rng = random.Random(3)
+    entries = {}
+    for run in range(9):
+        for d in rng.sample(range(60), 25):
+            entries[run, hashlib.sha256(b"%d" % d).digest()] = (rng.randrange(999), rng.randrange(1, 4))
+    runs = spark.createDataFrame([(r, d, i, n) for (r, d), (i, n) in entries.items()], exact_dedup.RUNS)
+    merged, shards = exact_dedup.compact(runs, fan_in=2, shard_rows=20)
+    rows = merged.collect()
+    want = {}
+    for (_, d), (i, n) in entries.items():
+        keep, total = want.get(d, (i, 0))
+        want[d] = (min(keep, i), total + n)
+    assert {bytes(r.digest): (r.keep_id, r.n) for r in rows if r.n} == {d: x for d, x in want.items() if x[1] > 1}
+    for r in rows:
+        if not r.n:
+            held = [d for d, (_, n) in want.items() if n > 1 and exact_dedup.shard_of(d, shards) == r.shard]
+            assert exact_dedup.RunFilter.from_bytes(bytes(r.digest)).has(held).all()
+    assert shards > 1 and all(exact_dedup.shard_of(bytes(r.digest), shards) == r.shard for r in rows if r.n)
+
+
+def test_run_filters_exclude_most_others():
+    names = [hashlib.sha256(b"%d" % k).digest() for k in range(3000)]
+    f = exact_dedup.RunFilter.from_bytes(exact_dedup.RunFilter(names[:1000]).to_bytes())
+    assert f.has(names[:1000]).all() and f.has(names[1000:]).mean() < 0.1
+
+
+def test_bytes_are_compared_when_texts_are_not_held(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HELD_BYTES", 10)
+    monkeypatch.setattr(exact_dedup, "FILTER_BYTES", -1)
+    texts = ["some longer text"] * 3 + ["some other text"] * 2 + ["x"]
+    rows = exact_dedup.exact_groups(frame(spark, texts), digest_bits=1).collect()
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in rows} == {0: (0, 3), 1: (0, 3), 2: (0, 3), 3: (3, 2), 4: (3, 2), 5: (5, 1)}
+
+
 ROWS = [(None, "a b c d e f"), (None, "a  b c d e f"), (1, "x y z u v w"), (1, "x y z u v w"), (1, "one text of its own"), (2, "x y z u v w"), (2, "and another one here"), (None, "x y z u v w"), (7, ""), (None, "k l m n o p")]
 
 
