@@ -2,21 +2,27 @@
 
 File format (little endian)::
 
-    magic  8 bytes  b"BITPACK1"
-    header 6 uint64 bits per id, ids per block, ids, documents, blocks, first global id position
-    docs   documents x (int64 doc_id, int64 start inside the file)
-    blocks blocks x uint64 byte offset of the block inside the payload
-    payload         every block is ``ids * bits`` bits, least significant first, padded to a byte
+    magic   8 bytes  b"BITPACK2"
+    payload          blocks of ``BLOCK_IDS`` ids, ``bits`` bits each, least significant first, every block
+                     padded to a byte
+    docs    documents x (int64 doc_id, int64 start inside the file)
+    blocks  blocks x uint64 byte offset of the block inside the payload
+    trailer 6 uint64 bits per id, ids per block, ids, documents, blocks, bytes of the payload; then the magic
 
 A block always starts at a byte, so any block can be unpacked alone with vectorised numpy: that
 gives random access.  Files follow one another in ascending ``doc_id`` order.
 
-Encoding runs where the documents are scanned; only packed ids travel to the writer, ranged by
-``doc_id``.  A writer streams its rows into blocks, writes to a name of its own and then moves the
-file, so a repeated task leaves one file; the rows that come back to Spark are a manifest.
+Encoding runs where the documents are scanned; only packed ids travel to the writers, ranged by
+``doc_id``.  A writer streams its rows: a block goes to the file when it is full, so a task holds one block
+and the file's document table.  It writes to a name of its own and then moves the file, so a repeated task
+leaves one file; the rows that come back to Spark are a manifest.  The number of files follows from the
+number of characters (``FILE_CHARS`` for each, at least as many files as there are shuffle partitions).
+The bounds between files come from a sample of ``SAMPLED`` ids for each file; an id that stands at
+several bounds, because very many rows have it, is dealt over the files between them.
 
 Defined results: a null text is an empty text and has only the end id.  A null ``doc_id`` sorts
-first and is stored as the smallest long.  Rows that repeat are stored as often as they occur.
+first and is stored as the smallest long.  Rows that repeat are stored as often as they occur, in any
+order.  An empty table gives no file.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,12 +39,16 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeweave.llm.shared import bits_for, ceil_div, new_folder
+from cladeweave.llm.shared import bits_for, ceil_div, lean, new_folder
 
-MAGIC = b"BITPACK1"
+MAGIC = b"BITPACK2"
 BLOCK_IDS = 1 << 16
 TABLE_ENTRIES = 1_000_000
 NO_ID = -(1 << 63)
+#: Characters of text for each file, ids that are sampled for each file, and files at most.
+FILE_CHARS = 1 << 28
+SAMPLED = 50
+MOST_FILES = 100_000
 
 #: The pre-tokenisation rule of the byte-level vocabulary, for texts whose characters all stand in
 #: ``_KNOWN`` (letters and digits of ASCII and Latin, where the classes are the same everywhere).
@@ -129,51 +139,81 @@ def token_table(file: str) -> TokenTable:
     return _tables[file]
 
 
-def encode_packed(docs: DataFrame, tokenizer_file: str, bits: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, n, packed``: the ids of each text with the end id, packed."""
+def file_bounds(docs: DataFrame, id_col: str, text_col: str, files: int | None = None) -> np.ndarray:
+    """Ascending ids between files, from the sizes of texts and a sample of ids that is bounded by the number of files."""
+    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"))
+    if files is None:
+        chars = docs.agg(F.sum(F.length(F.col(text_col).cast("string")))).first()[0] or 0
+        files = max(ceil_div(chars, FILE_CHARS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    files = min(max(files, 1), MOST_FILES)
+    rows = ids.count()
+    share = min(1.0, files * SAMPLED / max(1, rows))
+    found = np.sort((ids if share == 1 else ids.sample(False, share, 7)).toArrow().column(0).to_numpy())
+    return found[[len(found) * k // files for k in range(1, files)]] if len(found) else found
+
+
+def encode_packed(docs: DataFrame, tokenizer_file: str, bits: int, end_id: int, id_col: str, text_col: str, bounds: np.ndarray) -> DataFrame:
+    """``file_no, doc_id, n, packed``: the ids of each text with the end id, packed, and the file they go to."""
+    sent = docs.sparkSession.sparkContext.broadcast(bounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_table(tokenizer_file)
+        table, done = token_table(tokenizer_file), 0
         width = np.dtype(table.width).itemsize
         end = np.array([end_id], dtype=table.width).tobytes()
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
-                rows = [table.raw(t or "") + end for t in part.column(1).to_pylist()]
-                n = [len(r) // width for r in rows]
-                if bits != 8 * width:
-                    rows = [pack(np.frombuffer(r, table.width), bits) for r in rows]
-                yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "n", "packed"])
-
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, packed binary")
+            ids = b.column(0).to_numpy()
+            low, high = np.searchsorted(sent.value, ids, "left"), np.searchsorted(sent.value, ids, "right")
+            place = low + (done + np.arange(len(ids))) % (high - low + 1)
+            done += len(ids)
+            rows, n, first, held = [], [], 0, 0
+            for k, text in enumerate(b.column(1)):
+                rows.append(table.raw(text.as_py() or "") + end)
+                n.append(len(rows[-1]) // width)
+                held += len(rows[-1])
+                if held >= 1 << 22 or k == b.num_rows - 1:
+                    if bits != 8 * width:
+                        rows = [pack(np.frombuffer(r, table.width), bits) for r in rows]
+                    columns = [pa.array(place[first : k + 1].astype(np.int32)), b.column(0).slice(first, k + 1 - first), pa.array(n, pa.int64()), pa.array(rows, pa.binary())]
+                    yield pa.record_batch(columns, names=["file_no", "doc_id", "n", "packed"])
+                    rows, n, first, held = [], [], k + 1, 0
+
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(lean(run), "file_no int, doc_id long, n long, packed binary")
 
 
 class _Writer:
-    """Collects one file's ids into packed blocks."""
+    """Streams one file's ids into packed blocks."""
 
-    def __init__(self, bits: int):
-        self.bits, self.docs, self.blocks, self.waiting, self.held, self.ids = bits, [], [], [], 0, 0
+    def __init__(self, to, bits: int):
+        self.to, self.bits, self.docs, self.offsets = to, bits, array("q"), array("Q")
+        self.waiting, self.held, self.ids, self.bytes = [], 0, 0, 0
+        to.write(MAGIC)
 
     def add(self, doc_id: int, ids: np.ndarray) -> None:
-        self.docs.append((doc_id, self.ids))
+        self.docs.extend((doc_id, self.ids))
         self.ids += len(ids)
         self.waiting.append(ids)
         self.held += len(ids)
         if self.held >= BLOCK_IDS:
             flat = np.concatenate(self.waiting)
             full = len(flat) // BLOCK_IDS * BLOCK_IDS
-            self.blocks += [pack(flat[lo : lo + BLOCK_IDS], self.bits) for lo in range(0, full, BLOCK_IDS)]
+            for lo in range(0, full, BLOCK_IDS):
+                self._block(flat[lo : lo + BLOCK_IDS])
             self.waiting, self.held = [flat[full:]], len(flat) - full
 
-    def write(self, to) -> None:
+    def _block(self, ids: np.ndarray) -> None:
+        raw = pack(ids, self.bits)
+        self.offsets.append(self.bytes)
+        self.bytes += len(raw)
+        self.to.write(raw)
+
+    def close(self) -> None:
         if self.held:
-            self.blocks.append(pack(np.concatenate(self.waiting), self.bits))
-        to.write(MAGIC)
-        to.write(np.array([self.bits, BLOCK_IDS, self.ids, len(self.docs), len(self.blocks), 0], "<u8").tobytes())
-        to.write(np.array(self.docs, "<i8").tobytes())
-        to.write(np.cumsum([0, *map(len, self.blocks)])[:-1].astype("<u8").tobytes())
-        for block in self.blocks:
-            to.write(block)
+            self._block(np.concatenate(self.waiting))
+        self.to.write(np.array(self.docs, "<i8").tobytes())
+        self.to.write(np.array(self.offsets, "<u8").tobytes())
+        self.to.write(np.array([self.bits, BLOCK_IDS, self.ids, len(self.docs) // 2, len(self.offsets), self.bytes], "<u8").tobytes())
+        self.to.write(MAGIC)
 
 
 class TokenFile:
@@ -181,12 +221,14 @@ class TokenFile:
 
     def __init__(self, stream):
         self.s = stream
-        assert self._at(0, 8) == MAGIC, "not a token file"
-        self.bits, self.block_ids, self.ids, docs, blocks, _ = (int(x) for x in np.frombuffer(self._at(8, 48), "<u8"))
-        table = np.frombuffer(self._at(56, docs * 16), "<i8").reshape(-1, 2)
+        stream.seek(0, 2)
+        end = stream.tell() - 56
+        assert end >= 8 and self._at(0, 8) == MAGIC and self._at(end + 48, 8) == MAGIC, "not a token file"
+        self.bits, self.block_ids, self.ids, docs, blocks, payload = (int(x) for x in np.frombuffer(self._at(end, 48), "<u8"))
+        table = np.frombuffer(self._at(8 + payload, docs * 16), "<i8").reshape(-1, 2)
         self.doc_ids, self.starts = table[:, 0], np.append(table[:, 1], self.ids)
-        self.offsets = np.frombuffer(self._at(56 + docs * 16, blocks * 8), "<u8").astype(np.int64)
-        self.payload = 56 + docs * 16 + blocks * 8
+        self.offsets = np.frombuffer(self._at(8 + payload + docs * 16, blocks * 8), "<u8").astype(np.int64)
+        self.payload = 8
 
     def _at(self, at: int, n: int) -> bytes:
         self.s.seek(at)
@@ -219,38 +261,35 @@ def write_files(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int,
     numbered in ascending ``doc_id`` order.
     """
     bits = bits_for(token_table(tokenizer_file).size)
-    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"))
-    parts = files or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # Bounds come from the id column alone, so no text is encoded only to find them.
-    bounds = sorted({int(x) for x in ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts)}) if parts > 1 else []
-    place = F.lit(0)
-    if bounds:
-        place = F.size(F.filter(F.lit(bounds).cast("array<bigint>"), lambda x: x < F.col("doc_id")))
+    bounds = file_bounds(docs, id_col, text_col, files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         context, out = TaskContext.get(), None
+        system, path = _open(folder)
+        name = f"{path}/part-{context.partitionId():06d}.ids"
+        own = f"{name}.{context.taskAttemptId()}"
         for b in batches:
             for d, n, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                out = out or _Writer(bits)
+                if out is None:
+                    system.create_dir(path, recursive=True)
+                    to = system.open_output_stream(own)
+                    out = _Writer(to, bits)
                 out.add(d, unpack(packed.as_buffer(), bits, n))
         if out is None:
             return
-        system, path = _open(folder)
-        system.create_dir(path, recursive=True)
-        name = f"{path}/part-{context.partitionId():05d}.ids"
-        own = f"{name}.{context.taskAttemptId()}"
-        with system.open_output_stream(own) as to:
-            out.write(to)
+        out.close()
+        to.close()
         system.move(own, name)
-        yield pa.record_batch([pa.array([context.partitionId()]), pa.array([f"{folder}/part-{context.partitionId():05d}.ids"]), pa.array([out.ids]), pa.array([len(out.docs)])], names=["file_no", "file", "ids", "documents"])
+        yield pa.record_batch([pa.array([context.partitionId()]), pa.array([f"{folder}/part-{context.partitionId():06d}.ids"]), pa.array([out.ids]), pa.array([len(out.docs) // 2])], names=["file_no", "file", "ids", "documents"])
 
     return (
-        encode_packed(docs, tokenizer_file, bits, end_id, id_col, text_col)
-        .repartitionById(len(bounds) + 1, place.cast("int"))
+        encode_packed(docs, tokenizer_file, bits, end_id, id_col, text_col, bounds)
+        .repartitionById(len(bounds) + 1, "file_no")
         .sortWithinPartitions("doc_id")
-        .mapInArrow(run, "file_no long, file string, ids long, documents long")
+        .select("doc_id", "n", "packed")
+        .mapInArrow(lean(run), "file_no long, file string, ids long, documents long")
     )
 
 
