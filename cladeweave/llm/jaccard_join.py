@@ -50,16 +50,17 @@ from pyspark.sql import functions as F
 
 from cladeweave.llm import spans
 from cladeweave.llm.components import components
-from cladeweave.llm.shared import LAST_ID, IdFilter, ceil_div, cut, discard, keep_decided, lean
+from cladeweave.llm.shared import LAST_ID, ceil_div, cut, discard, keep_decided, lean, split_by_ids
 
 U = np.uint64
 FLUSH_ROWS = 1 << 18
 VECTOR = 128
 MEMORY_NODES = 1024
-MEMORY_SHINGLES = 1 << 20
+MEMORY_SHINGLES = 1 << 21
 BLOCK_NODES = 512
 PIVOTS = 8
 LEAF = 4
+BITMAP = 24
 CLASS_GROWTH = 1.6
 
 
@@ -366,12 +367,14 @@ def _window_edges(members: DataFrame, described: DataFrame, slicing: Slicing, bl
     dealt into new blocks, until one block holds a region or balls stop to merge.  Then all pairs of the
     blocks that are left are gathered, each pair in a group of its own.  No group holds more than two blocks.
     """
-    balls = members.join(described, "node").select("region", "block", "many", "node", F.col("n").alias("low"), F.col("n").alias("high"), F.lit(0).cast("long").alias("radius"), "vector")
-    balls = cut(balls)
     columns = [c.split()[0] for c in BALLS.split(", ")]
-    edges = [cut(_gather(balls.where("NOT many").select(columns), slicing, False).select("a", "b"))]
-    left = balls.where("many").select(columns)
-    deal, before = 0, left.count()
+
+    def balls(which: str) -> DataFrame:
+        joined = members.where(which).select("region", "block", "node").join(described, "node")
+        return joined.select("region", "block", "node", F.col("n").alias("low"), F.col("n").alias("high"), F.lit(0).cast("long").alias("radius"), "vector")
+
+    edges = [cut(_gather(balls("NOT many"), slicing, False).select("a", "b"))]
+    left, deal, before = balls("many"), 0, members.where("many").count()
     while before:
         found = cut(_gather(left, slicing, True))
         edges.append(found.where("a IS NOT NULL").select("a", "b"))
@@ -484,10 +487,17 @@ class Sets:
                 waiting += cells
 
 
-def _join_in_memory(rows: DataFrame, slicing: Slicing, pivots: int, leaf: int) -> DataFrame:
-    """``a, b``: spanning links of each group of ``(group, side, node, shingles)``.
+def _sets_of(b: pa.RecordBatch, k: int, node: int, text: int) -> Iterator[np.ndarray | None]:
+    """The set of each row's text; none where it is not the row's node (another text of a repeated id)."""
+    for want, h in zip(b.column(node).to_pylist(), shingle_sets(b.column(text), k), strict=True):
+        yield h if len(h) and set_key(h) == want else None
+
+
+def _join_in_memory(rows: DataFrame, k: int, slicing: Slicing, pivots: int, leaf: int) -> DataFrame:
+    """``a, b``: spanning links of each group of ``(group, side, node, text)``.
 
-    Where a group has rows of side 1, only pairs of different sides are compared.
+    Where a group has rows of side 1, only pairs of different sides are compared.  Texts travel, as they
+    are smaller and compress; their sets are made here.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -503,34 +513,32 @@ def _join_in_memory(rows: DataFrame, slicing: Slicing, pivots: int, leaf: int) -
             return pa.record_batch([pa.array([nodes[x] for x, _ in join.edges], pa.int64()), pa.array([nodes[y] for _, y in join.edges], pa.int64())], names=["a", "b"])
 
         for b in batches:
-            for g, side, node, raw in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3), strict=True):
+            for g, side, node, h in zip(*(b.column(j).to_pylist() for j in range(3)), _sets_of(b, k, 2, 3), strict=True):
                 if g != group and nodes:
                     yield flush()
                     sides, nodes, sets = [], [], []
-                elif nodes and nodes[-1] == node and sides[-1] == side:
+                elif h is None or (nodes and nodes[-1] == node and sides[-1] == side):
                     continue  # another document with the same set
                 group = g
-                sides.append(side)
-                nodes.append(node)
-                sets.append(np.frombuffer(raw.as_buffer().to_pybytes(), dtype=U))
+                if h is not None:
+                    sides.append(side)
+                    nodes.append(node)
+                    sets.append(h)
         if nodes:
             yield flush()
 
-    ordered = rows.select("group", "side", "node", "shingles").repartition("group").sortWithinPartitions("group", "side", "node")
+    ordered = rows.select("group", "side", "node", "text").repartition("group").sortWithinPartitions("group", "side", "node")
     return ordered.mapInArrow(lean(run), "a long, b long")
 
 
-PLACED = "region long, node long, n long"
-
-
-def _voronoi_round(placed: DataFrame, sets: DataFrame, slicing: Slicing, pivots: int, memory_nodes: int, level: int) -> DataFrame:
+def _voronoi_round(placed: DataFrame, texts: DataFrame, k: int, slicing: Slicing, pivots: int, memory_nodes: int, level: int) -> DataFrame:
     """``region, pivot, node, n, d, linked``: the cells of every large region, replicas included.
 
     Pivots are the nodes of smallest hash under several seeds, so they come from partial aggregation.  A
     region is dealt over tasks by a hash; every task of a region gets its few pivots first and then
     streams its sets.
     """
-    smallest = [F.min_by("node", F.xxhash64("node", F.lit(level * pivots + k))) for k in range(pivots)]
+    smallest = [F.min_by("node", F.xxhash64("node", F.lit(level * pivots + j))) for j in range(pivots)]
     size = F.greatest(F.ceil(F.count("*") / memory_nodes), F.ceil(F.sum("n") / MEMORY_SHINGLES)).cast("long").alias("tasks")
     about = cut(placed.groupBy("region").agg(F.array_distinct(F.array(*smallest)).alias("pivots"), size))
     own = placed.join(about.select("region", "tasks"), "region").select("region", F.pmod(F.xxhash64("node", F.lit(-1 - level)), F.col("tasks")).alias("task"), F.lit(1).alias("kind"), "node")
@@ -541,12 +549,12 @@ def _voronoi_round(placed: DataFrame, sets: DataFrame, slicing: Slicing, pivots:
         place, chosen, last = None, [], None
         for b in batches:
             out = []
-            for region, task, kind, node, raw in zip(*(b.column(k).to_pylist() for k in range(4)), b.column(4), strict=True):
+            for region, task, kind, node, h in zip(*(b.column(j).to_pylist() for j in range(4)), _sets_of(b, k, 3, 4), strict=True):
                 if place != (region, task):
                     place, chosen, last = (region, task), [], None
-                if last == (kind, node):
+                if h is None or last == (kind, node):
                     continue  # another document with the same set
-                last, h = (kind, node), np.frombuffer(raw.as_buffer().to_pybytes(), dtype=U)
+                last = (kind, node)
                 if kind == 0:
                     chosen.append((node, h))
                     continue
@@ -554,19 +562,19 @@ def _voronoi_round(placed: DataFrame, sets: DataFrame, slicing: Slicing, pivots:
                 union = np.array([len(p) for _, p in chosen]) + len(h) - common
                 d = 1 - common / union
                 links = slicing.den * common >= slicing.num * union
-                for k in np.flatnonzero(d - d.min() <= window):
-                    out.append((region, chosen[k][0], node, len(h), float(d[k]), bool(links[k])))
+                for j in np.flatnonzero(d - d.min() <= window):
+                    out.append((region, chosen[j][0], node, len(h), float(d[j]), bool(links[j])))
             if out:
                 columns = list(zip(*out, strict=True))
                 kinds = [pa.int64()] * 4 + [pa.float64(), pa.bool_()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["region", "pivot", "node", "n", "d", "linked"])
 
-    rows = own.unionByName(asked).join(sets, "node").select("region", "task", "kind", "node", "shingles")
+    rows = own.unionByName(asked).join(texts, "node").select("region", "task", "kind", "node", "text")
     rows = rows.repartition("region", "task").sortWithinPartitions("region", "task", "kind", "node")
     return rows.mapInArrow(lean(run), "region long, pivot long, node long, n long, d double, linked boolean")
 
 
-def _join_large(placed: DataFrame, sets: DataFrame, slicing: Slicing, pivots: int, leaf: int, memory_nodes: int) -> DataFrame:
+def _join_large(placed: DataFrame, texts: DataFrame, k: int, slicing: Slicing, pivots: int, leaf: int, memory_nodes: int) -> DataFrame:
     """``a, b``: spanning links of large regions ``placed(region, node, n)``, by rounds of Voronoi cells.
 
     As in ``Sets.voronoi``, of the sets that link with their pivot only the boundary stays, and pivots are
@@ -577,7 +585,7 @@ def _join_large(placed: DataFrame, sets: DataFrame, slicing: Slicing, pivots: in
     r = (slicing.den - slicing.num) / slicing.den + 1e-9
     links, level = [], 0
     while True:
-        cells = cut(_voronoi_round(placed, sets, slicing, 4 * pivots, memory_nodes, level))  # they are not chosen farthest first
+        cells = cut(_voronoi_round(placed, texts, k, slicing, 4 * pivots, memory_nodes, level))  # they are not chosen farthest first
         links.append(cells.where("linked AND node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
         done = cells.select("region", F.col("pivot").alias("node")).distinct()
         rest = cells.join(done, ["region", "node"], "left_anti")
@@ -591,10 +599,10 @@ def _join_large(placed: DataFrame, sets: DataFrame, slicing: Slicing, pivots: in
         small = (F.col("nodes") <= memory_nodes) & (F.col("shingles") <= MEMORY_SHINGLES)
         marked = cut(inside.join(sizes.select("cell", small.alias("small")), "cell").join(stuck, "region", "left_anti"))
         one = marked.where("small").select(F.col("cell").cast("string").alias("group"), F.lit(0).alias("side"), "node")
-        links.append(cut(_join_in_memory(one.join(sets, "node"), slicing, pivots, leaf)))
+        links.append(cut(_join_in_memory(one.join(texts, "node"), k, slicing, pivots, leaf)))
         if not stuck.isEmpty():
             direct = placed.join(stuck, "region", "left_semi").join(done, ["region", "node"], "left_anti")
-            links.append(cut(_join_blocks(direct, sets, slicing, max(1, memory_nodes // 2))))
+            links.append(cut(_join_blocks(direct, texts, k, slicing, max(1, memory_nodes // 2))))
         placed = marked.where("NOT small").select(F.col("cell").alias("region"), "node", "n")
         if placed.isEmpty():
             break
@@ -605,7 +613,7 @@ def _join_large(placed: DataFrame, sets: DataFrame, slicing: Slicing, pivots: in
     return out
 
 
-def _join_blocks(placed: DataFrame, sets: DataFrame, slicing: Slicing, block_nodes: int) -> DataFrame:
+def _join_blocks(placed: DataFrame, texts: DataFrame, k: int, slicing: Slicing, block_nodes: int) -> DataFrame:
     """``a, b``: spanning links within blocks and between near blocks of regions ``placed(region, node, n)``."""
     size_class = F.floor(F.log(F.col("n")) / math.log(slicing.den / slicing.num + 1e-9)).alias("size_class")
     sized = placed.select("region", "node", "n", size_class)
@@ -618,51 +626,29 @@ def _join_blocks(placed: DataFrame, sets: DataFrame, slicing: Slicing, block_nod
     near = (F.col("x.region") == F.col("y.region")) & (F.abs(F.col("x.size_class") - F.col("y.size_class")) <= 1) & (F.col("x.block") <= F.col("y.block"))
     pairs = x.join(y, near).select(F.concat_ws(" ", "x.block", "y.block").alias("group"), F.col("x.block").alias("one"), F.col("y.block").alias("two"))
     sides = pairs.select("group", F.col("one").alias("block"), F.lit(0).alias("side")).union(pairs.where("one != two").select("group", F.col("two").alias("block"), F.lit(1).alias("side")))
-    return _join_in_memory(blocks.select("node", "block").join(sides, "block").join(sets, "node"), slicing, PIVOTS, LEAF)
+    return _join_in_memory(blocks.select("node", "block").join(sides, "block").join(texts, "node"), k, slicing, PIVOTS, LEAF)
 
 
-def _known_documents(rows: DataFrame, wanted: DataFrame, k: int, make, schema: str, names: list[str]) -> DataFrame:
-    """``make(keys, sets)`` over the documents of ``wanted(doc_id)``.
+def _chosen(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` joined with ``wanted(doc_id, ...)``.
 
-    A Bloom filter over ids, sized by their number, chooses the documents in one scan without a shuffle,
-    so a few others may come along; keys are made from the sets themselves.  Where there are too many ids
-    for a filter of bounded size, a semi join chooses them.
+    A bitmap of hashed ids, of a fixed size, goes to all tasks first, so that only rows that may be wanted
+    are shuffled; a crowded bitmap only lets more of them pass.
     """
-    bits = IdFilter.bits_for(wanted.count())
-    ask = None
-    if bits is None:
-        rows = rows.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
-    else:
-        ask = rows.sparkSession.sparkContext.broadcast(IdFilter.build(wanted, "doc_id", bits))
+    ids = wanted.select(F.col("doc_id").alias("__drop_id"))
+    return split_by_ids(rows, F.col("doc_id"), ids, BITMAP)[1].drop("__drop_id").join(wanted, "doc_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if ask is not None:
-                ids = b.column(0)
-                known = ask.value.has(ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
-                b = b.filter(pa.array(known))
-            found, held = [], 0
-            for h in shingle_sets(b.column(1), k):
-                if len(h):
-                    found.append(h)
-                    held += len(h)
-                if held >= FLUSH_ROWS:
-                    yield pa.record_batch([pa.array([set_key(h) for h in found], pa.int64()), *make(found)], names=names)
-                    found, held = [], 0
-            yield pa.record_batch([pa.array([set_key(h) for h in found], pa.int64()), *make(found)], names=names)
-
-    return rows.mapInArrow(lean(run), schema)
 
+def _vectors(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """``node, n, vector``: size and count vector of the documents of ``wanted(doc_id, node)``."""
 
-def _fetch_sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``node, shingles`` (sorted hashes as bytes)."""
-    return _known_documents(rows, wanted, k, lambda found: [pa.array([h.tobytes() for h in found], pa.binary())], "node long, shingles binary", ["node", "shingles"])
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(node, len(h), count_vector(h).tobytes()) for node, h in zip(b.column(0).to_pylist(), _sets_of(b, k, 0, 1), strict=True) if h is not None]
+            columns = zip(*found, strict=True) if found else ([], [], [])
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["node", "n", "vector"])
 
-def _fetch_vectors(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``node, n, vector``: size and count vector."""
-    make = lambda found: [pa.array([len(h) for h in found], pa.int64()), pa.array([count_vector(h).tobytes() for h in found], pa.binary())]
-    return _known_documents(rows, wanted, k, make, "node long, n long, vector binary", ["node", "n", "vector"])
+    return _chosen(rows, wanted.select("doc_id", "node")).select("node", "text").mapInArrow(lean(run), "node long, n long, vector binary")
 
 
 def near_duplicates(
@@ -692,22 +678,25 @@ def _components_of_rows(
     keepers = cut(folder.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))
     members = cut(_members(rows, k, slicing, block_nodes))
     wanted = cut(keepers.join(members.select("node").distinct(), "node", "left_semi").where("doc_id IS NOT NULL"))
-    # Sets are made again from the texts when they are needed: that costs less than moving them twice.
-    edges = cut(_window_edges(members, _fetch_vectors(rows, wanted, k), slicing, block_nodes).where("a != b").distinct())
-    discard(members)
+    # Sets are made again from the texts where they are needed: hashes are larger and do not compress.
+    vectors = cut(_vectors(rows, wanted, k))
+    edges = cut(_window_edges(members, vectors, slicing, block_nodes).where("a != b").distinct())
+    discard(members, vectors)
     regions = components(edges).select("node", F.col("root").alias("region"))
     discard(edges)
     placed = cut(regions.join(wanted.select("node", "doc_id", "n"), "node"))
     discard(wanted)
-    sets = _fetch_sets(rows, placed, k)
     sizes = placed.groupBy("region").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles"))
     small = (F.col("nodes") <= memory_nodes) & (F.col("shingles") <= MEMORY_SHINGLES)
-    marked = cut(placed.join(sizes.select("region", small.alias("small")), "region").select("region", "node", "n", "small"))
-    one = marked.where("small").select(F.col("region").cast("string").alias("group"), F.lit(0).alias("side"), "node")
-    links = _join_in_memory(one.join(sets, "node"), slicing, pivots, leaf)
-    large = marked.where("NOT small").select("region", "node", "n")
+    marked = cut(placed.join(sizes.select("region", small.alias("small")), "region").select("region", "node", "doc_id", "n", "small"))
+    one = marked.where("small").select(F.col("region").cast("string").alias("group"), F.lit(0).alias("side"), "node", "doc_id")
+    links = [cut(_join_in_memory(_chosen(rows, one), k, slicing, pivots, leaf))]
+    large = marked.where("NOT small").select("region", "node", "doc_id", "n")
     if not large.isEmpty():
-        links = links.union(_join_large(large, cut(sets.join(large.select("node"), "node", "left_semi")), slicing, pivots, leaf, memory_nodes))
+        texts = cut(_chosen(rows, large.select("doc_id", "node")).select("node", "text"))
+        links.append(cut(_join_large(large.drop("doc_id"), texts, k, slicing, pivots, leaf, memory_nodes)))
+        discard(texts)
+    links = links[0].unionByName(links[-1]) if len(links) > 1 else links[0]
     labels = components(links).select("node", F.col("root").alias("label"))
     discard(placed, marked)
     placed = folder.join(labels, "node", "left").withColumn("label", F.coalesce("label", F.when(F.col("n") > 0, F.col("node"))))

@@ -8,7 +8,6 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,64 +97,6 @@ def fold_of(column: str | Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary")) % F.lit(folds)
 
 
-class IdFilter:
-    """A Bloom filter over 64-bit keys, built by partial aggregation.
-
-    The filter has ``2**bits`` bits, 2 MB by default and 8 MB at most, so it may be sent to every executor;
-    a crowded filter only lets more rows pass to the exact step behind it.
-    """
-
-    MOST_BITS = 26
-
-    @classmethod
-    def bits_for(cls, keys: int) -> int | None:
-        """Bits that give each key eight places; ``None`` if that needs too large a filter."""
-        bits = max(16, (8 * keys).bit_length())
-        return bits if bits <= cls.MOST_BITS else None
-
-    def __init__(self, words: np.ndarray, bits: int):
-        self.words, self.bits = words, bits
-
-    @staticmethod
-    def _places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
-        from cladeweave.llm.spans import mix64
-
-        h = mix64(keys.astype(np.int64).view(np.uint64) ^ np.uint64(0x7F4A7C159E3779B9))
-        mask = np.uint64((1 << bits) - 1)
-        return [h & mask, (h >> np.uint64(32)) & mask]
-
-    @classmethod
-    def build(cls, df: DataFrame, key: str, bits: int = 24) -> IdFilter:
-        """Collect the filter of ``df[key]``: at most ``2**bits / 64`` words reach the driver."""
-        def words(batches):
-            full = np.zeros(1 << bits >> 6, dtype=np.uint64)
-            for b in batches:
-                keys = b.column(0).to_numpy(zero_copy_only=False)
-                for p in cls._places(keys, bits):
-                    np.bitwise_or.at(full, (p >> np.uint64(6)).astype(np.int64), np.uint64(1) << (p & np.uint64(63)))
-            at = np.flatnonzero(full)
-            for lo in range(0, len(at), 1 << 16):
-                part = at[lo : lo + (1 << 16)]
-                yield pa.record_batch([pa.array(part), pa.array(full[part].view(np.int64))], names=["word", "bits"])
-
-        rows = (
-            df.select(F.col(key).cast("long").alias("key")).where("key IS NOT NULL")
-            .mapInArrow(words, "word long, bits long")
-            .groupBy("word").agg(F.bit_or("bits").alias("bits"))
-            .toArrow()
-        )
-        full = np.zeros(1 << bits >> 6, dtype=np.uint64)
-        full[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
-        return cls(full, bits)
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        """Which keys may be members; never false for a member."""
-        keep = np.ones(len(keys), dtype=bool)
-        for p in self._places(keys, self.bits):
-            keep &= (self.words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) != 0
-        return keep
-
-
 def drop_ids(docs: DataFrame, id_col: str, dropped: DataFrame, bits: int = 24) -> DataFrame:
     """``docs`` without the rows whose id is in the first column of ``dropped``.
 
@@ -164,12 +105,12 @@ def drop_ids(docs: DataFrame, id_col: str, dropped: DataFrame, bits: int = 24) -
     exact anti join.  Rows without id stay.
     """
     ids = dropped.select(F.col(dropped.columns[0]).cast("long").alias("__drop_id")).where("__drop_id IS NOT NULL")
-    free, rest = _split_by_ids(docs, F.col(id_col).cast("long"), ids, bits)
+    free, rest = split_by_ids(docs, F.col(id_col).cast("long"), ids, bits)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return free.union(rest.join(ids.distinct(), "__drop_id", "left_anti").select(*columns))
 
 
-def _split_by_ids(docs: DataFrame, key: Column, ids: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+def split_by_ids(docs: DataFrame, key: Column, ids: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
     """Rows of ``docs`` whose ``key`` is not in ``ids(__drop_id)``, and those, with ``__drop_id``, that may be in it."""
     place = F.pmod(F.xxhash64("__drop_id"), F.lit(1 << bits))
     words = ids.select(F.shiftright(place, 6).alias("__drop_word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(__drop_id), {1 << bits}) % 64 as int))").alias("_bit"))
@@ -189,7 +130,7 @@ def keep_decided(docs: DataFrame, id_col: str, text_col: str, decided: DataFrame
     bitmap of ids, as in ``drop_ids``, lets the others pass without a shuffle; texts get keys behind it.
     """
     decided = cut(decided.toDF("__drop_id", "__key", "__kept"))
-    free, rest = _split_by_ids(docs, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), decided.select("__drop_id"), bits)
+    free, rest = split_by_ids(docs, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), decided.select("__drop_id"), bits)
     at, columns = docs.columns.index(text_col), [F.col(f"`{c}`") for c in docs.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

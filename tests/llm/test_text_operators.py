@@ -117,14 +117,16 @@ def test_voronoi_cells_find_every_component(seed):
 
 
 def test_large_regions_are_joined_over_tasks(spark):
-    sets, slicing = chained_sets(random.Random(8), families=5), jaccard_join.Slicing(80, 100)
-    stored = spark.createDataFrame([(k, h.tobytes()) for k, h in enumerate(sets)], "node long, shingles binary")
-    placed = spark.createDataFrame([(k % 2, k, len(h)) for k, h in enumerate(sets)], "region long, node long, n long")
-    want = [set(components_of_sets([h if k % 2 == side else np.array([k], dtype=np.uint64) for k, h in enumerate(sets)], 80, 100)) for side in (0, 1)]
-    links = jaccard_join._join_large(placed, stored, slicing, 3, 2, 4).collect()
+    texts = [" ".join(f"w{v}" for v in h.tolist()) for h in chained_sets(random.Random(8), families=5)]
+    sets = list(jaccard_join.shingle_sets(pa.array(texts), 1))
+    nodes = [jaccard_join.set_key(h) for h in sets]
+    stored = spark.createDataFrame([*zip(nodes, texts), (nodes[0], "another text of the id")], "node long, text string")
+    placed = spark.createDataFrame([(j % 2, nodes[j], len(h)) for j, h in enumerate(sets)], "region long, node long, n long")
+    want = [set(components_of_sets([h if j % 2 == side else np.array([j], dtype=np.uint64) for j, h in enumerate(sets)], 80, 100)) for side in (0, 1)]
+    links = jaccard_join._join_large(placed, stored, 1, jaccard_join.Slicing(80, 100), 3, 2, 4).collect()
     label = list(range(len(sets)))
     for a, b in links:
-        one, other = label[a], label[b]
+        one, other = label[nodes.index(a)], label[nodes.index(b)]
         label = [min(one, other) if x in (one, other) else x for x in label]
     assert set(label) == {x for x in want[0] if x % 2 == 0} | {x for x in want[1] if x % 2 == 1}
 
@@ -358,6 +360,51 @@ def test_host_suffix_array_keeps_unique_runs(spark):
     assert [c.tolist() for c in covered] == [[True] * 4 + [False], [False] + [True] * 4, [True] * 4, [False, False], [True] * 4]
 
 
+@given(st.lists(st.lists(st.integers(0, 2), max_size=12), min_size=1, max_size=6), st.integers(1, 4), st.integers(1, 3))
+@settings(max_examples=300, deadline=None)
+def test_suffix_array_and_repeats_against_brute_force(pages, least_tokens, least_pages):
+    flat = np.array([t for k, page in enumerate(pages) for t in [*page, -1 - k]])
+    order, common = html_extract.suffix_array(flat)
+    suffixes = [flat[k:].tolist() for k in range(len(flat))]
+    assert order.tolist() == sorted(range(len(flat)), key=lambda k: suffixes[k])
+    for k in range(1, len(order)):
+        a, b = suffixes[order[k - 1]], suffixes[order[k]]
+        assert common[k] == next((j for j, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    seen = {}
+    for page in pages:
+        for k in range(len(page) - least_tokens + 1):
+            seen.setdefault(tuple(page[k : k + least_tokens]), set()).add(tuple(page))
+    occurs = lambda w: sum(tuple(p[k : k + least_tokens]) == w for p in pages for k in range(len(p) - least_tokens + 1))
+    want = []
+    for page in pages:
+        drop = [False] * len(page)
+        for k in range(len(page) - least_tokens + 1):
+            w = tuple(page[k : k + least_tokens])
+            if len(seen[w]) >= least_pages and occurs(w) > 1:
+                drop[k : k + least_tokens] = [True] * least_tokens
+        want.append(drop)
+    got = html_extract.repeated_tokens([np.array(p, dtype=np.int64) for p in pages], least_tokens, least_pages)
+    assert [c.tolist() for c in got] == want
+
+
+def test_marked_pages_teach_the_host_its_boilerplate(spark):
+    note = "this site is kept by volunteers who like long evenings and tea"
+    rows = [(k, f"http://h.org/{k}", f"<div class='footer'>{note}</div><article><header><h1>T{k}</h1></header><p>{note} inside</p></article><!-- <article> -->") for k in range(3)]
+    rows += [(7, "http://h.org/7", f"<p>own words</p><div>{note}</div><!-- <article> no --><script>'<main>'</script>"), (8, "http://i.org/8", f"<p>own words</p><div>{note}</div>")]
+    rows += [(9, None, None), (9, None, None), (10, None, "<nav>only a menu</nav>"), (None, "x", "<p>" + "long " * 200_000 + "</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS host", "2 AS `key`", "3 AS body", "4 AS text")
+    got = html_extract.extract(df, group_pages=2).collect()
+    assert len(got) == len(rows) and html_extract.extract(df.limit(0)).count() == 0
+    text = {r.page_id: r.text for r in got}
+    assert [text[k] for k in range(3)] == [f"T{k}\n{note} inside" for k in range(3)]
+    # All streams of marked pages are equal, so they are one page; a second and a third are needed.
+    assert text[7] == f"own words\n{note}" and text[8] == f"own words\n{note}"
+    assert text[9] == "" and text[10] == "" and text[None] == " ".join(["long"] * 200_000)
+    rows = [(k, u, h.replace("</div>", f"</div><nav>{k} menu</nav>", 1) if k is not None and k < 3 else h) for k, u, h in rows]
+    more = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in more}[7] == "own words"
+
+
 def test_repeats_are_found_across_the_groups_of_a_large_host(spark):
     rng = random.Random(6)
     words = [f"w{k}" for k in range(3000)]
@@ -432,6 +479,24 @@ def test_token_files(spark, tmp_path, monkeypatch):
     assert token_store.store_and_read(spark, df.limit(0), BPE).count() == 0
 
 
+def test_token_files_with_null_and_hot_ids(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(None, "no id"), (None, None), (3, "three"), (3, "three"), *((40, f"text {k}") for k in range(300)), *((k, "word " * rng.randrange(9)) for k in range(50, 80)), (99, "long " * 150_000)]
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, n string").repartition(3)
+    manifest = token_store.write_files(df, f"file://{tmp_path}/ids", BPE, 2, files=8).collect()
+    assert sum(r.documents for r in manifest) == len(rows) and max(r.documents for r in manifest) < 200
+    lib = token_store.token_table(BPE).lib
+    got, last = [], None
+    for r in sorted(manifest):
+        with open(r.file.removeprefix("file://"), "rb") as f:
+            file = token_store.TokenFile(f)
+            for k, d in enumerate(file.doc_ids.tolist()):
+                assert last is None or last <= d
+                last = d
+                got.append((d, lib.decode(file.document(k)[:-1].tolist(), skip_special_tokens=False)))
+    assert sorted(got) == sorted((token_store.NO_ID if d is None else d, t or "") for d, t in rows)
+
+
 def test_leaks_against_brute_force(spark):
     rng = random.Random(2)
     words = [f"v{k}" for k in range(300)] + ["the", "of", "and"] * 60
