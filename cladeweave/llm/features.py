@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeweave.llm import spans
-from cladeweave.llm.shared import fold_of
+from cladeweave.llm.shared import fold_of, lean
 
 Group = tuple[np.ndarray, np.ndarray]
 
@@ -115,6 +115,8 @@ def counted(column: pa.Array, features: HashedText) -> Iterator[tuple[np.ndarray
 
 
 SHARES = 64
+#: Distinct buckets of a document that is learned from, at most.
+MOST_TERMS = 1 << 14
 
 
 def sample_ids(labelled: DataFrame, bound: int, by: str | None = None) -> DataFrame:
@@ -139,7 +141,9 @@ def sample_ids(labelled: DataFrame, bound: int, by: str | None = None) -> DataFr
 def sample_features(docs: DataFrame, sample: DataFrame, make: Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray]]]) -> list[tuple[object, np.ndarray, np.ndarray]]:
     """``(label, buckets, counts)`` of the sampled documents, in the order of their ids.
 
-    Only the sample's features reach the driver; their number is bounded by the sample's bound.
+    Only the sample's features reach the driver: at most the sample's rows times ``MOST_TERMS`` buckets.  A
+    document with more distinct buckets is not learned from (its features would outweigh many others').
+    Repeated ids are learned each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,8 +151,10 @@ def sample_features(docs: DataFrame, sample: DataFrame, make: Callable[[pa.Array
             for lo in range(0, b.num_rows, 64):
                 part = b.slice(lo, 64)
                 rows = list(make(part.column(1)))
+                fits = pa.array([len(x) <= MOST_TERMS for x, _ in rows], pa.bool_())
+                rows = [r for r in rows if len(r[0]) <= MOST_TERMS]
                 yield pa.record_batch(
-                    [part.column(0), part.column(2), pa.array([x.astype("<u4").tobytes() for x, _ in rows], pa.binary()), pa.array([np.minimum(n, 65535).astype("<u2").tobytes() for _, n in rows], pa.binary())],
+                    [part.column(0).filter(fits), part.column(2).filter(fits), pa.array([x.astype("<u4").tobytes() for x, _ in rows], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in rows], pa.binary())],
                     names=["doc_id", "label", "buckets", "counts"],
                 )
 
@@ -157,21 +163,25 @@ def sample_features(docs: DataFrame, sample: DataFrame, make: Callable[[pa.Array
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .join(F.broadcast(sample), "doc_id")
         .select("doc_id", "text", "label")
-        .mapInArrow(run, f"doc_id long, label {kind}, buckets binary, counts binary")
+        .mapInArrow(lean(run), f"doc_id long, label {kind}, buckets binary, counts binary")
         .toArrow()
         .sort_by("doc_id")
     )
-    return [(y.as_py(), np.frombuffer(b.as_buffer(), "<u4"), np.frombuffer(n.as_buffer(), "<u2")) for y, b, n in zip(found["label"], found["buckets"], found["counts"], strict=True)]
+    return [(y.as_py(), np.frombuffer(b.as_buffer(), "<u4"), np.frombuffer(n.as_buffer(), "<u4")) for y, b, n in zip(found["label"], found["buckets"], found["counts"], strict=True)]
 
 
-def score_rows(docs: DataFrame, score: Callable[[pa.Array], dict[str, pa.Array]], schema: str) -> DataFrame:
-    """``doc_id, held_out`` and the columns that ``score`` makes of each whole text."""
+def score_rows(docs: DataFrame, scorer: Callable[[], Callable[[pa.Array], dict[str, pa.Array]]], schema: str) -> DataFrame:
+    """``doc_id, held_out`` and the columns that a score makes of each whole text.
+
+    ``scorer`` is called once in each task, so tables that it builds serve all batches.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = scorer()
         for b in batches:
             made = score(b.column(2))
             yield pa.record_batch([b.column(0), b.column(1), *made.values()], names=["doc_id", "held_out", *made])
 
     held_out: Column = (fold_of("doc_id") == 0).alias("held_out")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out, F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, held_out boolean, {schema}")
+    return rows.mapInArrow(lean(run), f"doc_id long, held_out boolean, {schema}")

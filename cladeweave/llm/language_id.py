@@ -44,7 +44,8 @@ def svm(rows: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, size: int,
     """Weights and bias of a linear machine by averaged stochastic subgradient steps on the hinge loss."""
     rng = np.random.default_rng(seed)
     weights = {1: 0.5 * len(signs) / max((signs > 0).sum(), 1), -1: 0.5 * len(signs) / max((signs < 0).sum(), 1)}
-    w, total, last, scale, bias, bias_sum, t = np.zeros(size), np.zeros(size), np.zeros(size), 1.0, 0.0, 0.0, 0
+    # The iterate after a step is ``scale * w``; ``so_far`` adds up scales, so that coordinates are averaged when they change.
+    w, total, last, scale, so_far, bias, bias_sum, t = np.zeros(size), np.zeros(size), np.zeros(size), 1.0, 0.0, 0.0, 0.0, 0
     for _ in range(epochs):
         for k in rng.permutation(len(rows)):
             t += 1
@@ -53,13 +54,14 @@ def svm(rows: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, size: int,
             margin = y * (w[at] @ x * scale + bias)
             scale *= 1 - step * penalty
             if margin < 1:
-                total[at] += w[at] * (t - last[at])
-                last[at] = t
+                total[at] += w[at] * (so_far - last[at])
+                last[at] = so_far
                 w[at] += step * y * weights[int(y)] * x / scale
                 bias += 0.01 * step * penalty * y * weights[int(y)]
+            so_far += scale
             bias_sum += bias
-    total += w * (t - last)
-    return total / max(t, 1) * scale, bias_sum / max(t, 1)
+    total += w * (so_far - last)
+    return total / max(t, 1), bias_sum / max(t, 1)
 
 
 @dataclass(frozen=True)
@@ -134,7 +136,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def of(column: pa.Array) -> dict[str, pa.Array]:
-        model = sent.value
+        model = sent.value  # one object for all batches of a worker
         known = np.array([bool(t.is_valid and _LETTER.search(t.as_py())) for t in column], dtype=bool)
         if model is None:
             known[:] = False
@@ -143,7 +145,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             names, scores = decide(model, features.mean_scores(column, FEATURES, model.table) + model.bias)
         return {"lang_pred": pa.array([n if k else "und" for n, k in zip(names, known, strict=True)], pa.string()), "score": pa.array(np.where(known, scores, 0.0))}
 
-    return features.score_rows(docs, of, "lang_pred string, score double")
+    return features.score_rows(docs, lambda: of, "lang_pred string, score double")
 
 
 def identify(docs: DataFrame, bound: int = 1500) -> DataFrame:

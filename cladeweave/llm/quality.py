@@ -63,12 +63,16 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row of ``docs``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def of(column: pa.Array) -> dict[str, pa.Array]:
+    def scorer():
         table, bias = sent.value
-        p = 1 / (1 + np.exp(-np.clip(features.mean_scores(column, FEATURES, table[:, None])[:, 0] + bias, -35, 35)))
-        return {"score": pa.array(p), "predicted": pa.array((p >= CUT).astype(np.int32))}
 
-    return features.score_rows(docs, of, "score double, predicted int")
+        def of(column: pa.Array) -> dict[str, pa.Array]:
+            p = 1 / (1 + np.exp(-np.clip(features.mean_scores(column, FEATURES, table[:, None])[:, 0] + bias, -35, 35)))
+            return {"score": pa.array(p), "predicted": pa.array((p >= CUT).astype(np.int32))}
+
+        return of
+
+    return features.score_rows(docs, scorer, "score double, predicted int")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, bound: int = 6000) -> DataFrame:

@@ -1,12 +1,16 @@
 """Toxicity scores: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-The model is fitted on the driver on a bounded, class-balanced sample of labelled rows
-(``bound`` rows of each class).  Per-coordinate learning rates and L1 leave few non-zero weights,
-which are sent to the executors; every document is then scored on its whole text.
+Terms are words, their beginnings, word pairs and pairs that skip one word.  A term that a document has
+twice or more, or four times or more, is a further feature each (``AGAIN``): insulting stems come up again
+and again where others mention them once.  The model is fitted on the driver on a bounded,
+class-balanced sample of labelled rows (``bound`` rows of each class).  Per-coordinate learning rates and
+L1 leave few non-zero weights, which are sent to the executors; every document is then scored on its
+whole text.
 
 Defined results: a null or empty text has only the bias; repeated rows are scored each; rows without
-label are never learned; without labelled rows of both classes every score is the neutral 0.5 - the
-smallest step below, so nothing is predicted toxic.
+label or id are never learned; of an id with several labels the smallest counts; without labelled rows
+of both classes every score is the neutral 0.5 - the smallest step below, so nothing is predicted toxic.
+Documents need the columns ``doc_id`` and ``text``; others are not read.
 """
 
 from __future__ import annotations
@@ -21,9 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeweave.llm import features, spans
+from cladeweave.llm.shared import lean
 
 BITS = 20
 STEMS = (5, 7, 9)
+#: Counts from which on a term is a further feature.
+AGAIN = (2, 4)
 #: Labelled rows of each class that are learned at most.
 BOUND = 2500
 U = np.uint64
@@ -48,12 +55,19 @@ def term_groups(buf: np.ndarray, offs: np.ndarray) -> Iterator[features.Group]:
         yield (spans.mix64(a * spans.PLACE[gap] + b) >> top).astype(np.uint32), at
 
 
+def again(terms: np.ndarray, least: int) -> np.ndarray:
+    """The buckets of the features "this term ``least`` times or more"."""
+    return (spans.mix64(terms.astype(U) + U(least << 32)) >> U(64 - BITS)).astype(np.uint32)
+
+
 def distinct_terms(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     buf, offs = spans.text_buffers(pc.utf8_lower(column))
     for lo, hi in spans.slices(offs):
         groups = list(term_groups(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]))
         for d in range(hi - lo):
-            yield np.unique(np.concatenate([b[at[d] : at[d + 1]] for b, at in groups]), return_counts=True)
+            terms, counts = np.unique(np.concatenate([b[at[d] : at[d + 1]] for b, at in groups]), return_counts=True)
+            found = np.unique(np.concatenate([terms, *(again(terms[counts >= c], c) for c in AGAIN)]))
+            yield found, np.ones(len(found), dtype=np.int64)
 
 
 @dataclass
@@ -105,37 +119,50 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND, label: str = "to
     return at, weights[at], float(weights[-1])
 
 
-def probabilities(column: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
-    """Probability of label 1 for each whole text of a column."""
+def probabilities(column: pa.Array, tables: np.ndarray, bias: float) -> np.ndarray:
+    """Probability of label 1 for each whole text of a column.
+
+    ``tables`` has a row of weights of the terms and one for each count in ``AGAIN``, by the term's bucket.
+    """
     buf, offs = spans.text_buffers(pc.utf8_lower(column))
     total = np.full(len(offs) - 1, bias)
+    weighs = tables.any(axis=0)
     for lo, hi in spans.slices(offs):
         docs_at, terms = [], []
         for buckets, begins in term_groups(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]):
-            hit = np.flatnonzero(table[buckets])
+            hit = np.flatnonzero(weighs[buckets])
             docs_at.append(np.searchsorted(begins, hit, "right") - 1)
             terms.append(buckets[hit])
-        # Each term counts once in a document.
-        pairs = np.unique(np.stack((np.concatenate(docs_at), np.concatenate(terms).astype(np.int64)), axis=1), axis=0)
-        np.add.at(total, lo + pairs[:, 0], table[pairs[:, 1]])
+        key, counts = np.unique((np.concatenate(docs_at) << BITS) | np.concatenate(terms).astype(np.int64), return_counts=True)
+        doc, term = key >> BITS, key & ((1 << BITS) - 1)
+        np.add.at(total, lo + doc, tables[0][term])
+        for weights, least in zip(tables[1:], AGAIN, strict=True):
+            many = counts >= least
+            np.add.at(total, lo + doc[many], weights[term[many]])
     return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
 
 
 def _dense(model: tuple[np.ndarray, np.ndarray, float]) -> np.ndarray:
-    table = np.zeros(1 << BITS, dtype=np.float64)
+    table = np.zeros(1 << BITS)
     table[model[0]] = model[1]
-    return table
+    every = np.arange(1 << BITS, dtype=np.uint32)
+    return np.stack([table, *(table[again(every, c)] for c in AGAIN)])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row of ``docs``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def of(column: pa.Array) -> dict[str, pa.Array]:
-        p = probabilities(column, _dense(sent.value), sent.value[2])
-        return {"score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32))}
+    def scorer():
+        tables = _dense(sent.value)
+
+        def of(column: pa.Array) -> dict[str, pa.Array]:
+            p = probabilities(column, tables, sent.value[2])
+            return {"score": pa.array(p), "predicted": pa.array((p >= 0.5).astype(np.int32))}
+
+        return of
 
-    return features.score_rows(docs, of, "score double, predicted int")
+    return features.score_rows(docs, scorer, "score double, predicted int")
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> DataFrame:
@@ -148,8 +175,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> DataFr
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _dense(sent.value)
+        tables = _dense(sent.value)
         for b in batches:
-            yield b.filter(pa.array(probabilities(b.column(at), table, sent.value[2]) < 0.5))
+            yield b.filter(pa.array(probabilities(b.column(at), tables, sent.value[2]) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
