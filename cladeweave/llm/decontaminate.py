@@ -6,14 +6,17 @@
    two or three words is a rare seed if, with these frequencies, it would stand at a given place by
    chance with probability ``chance`` or less.  Rarity is computed from its words, not from how often
    it occurs, so a passage that leaked into a third of the corpus keeps its seeds.  Items without any
-   rare seed use all their n-grams.
+   rare seed use all their n-grams.  An item of one word has that word as its seed; if the word is not
+   rare, it counts only in documents that consist of it.
 3. Every document is scanned whole.  Seeds place an item on diagonals of the document; around them
    windows of the document are aligned with the item (match 1, other word or gap -0.6), batched over
    all windows of a slice.  A pair whose best score is ``least_score`` of the item's words or more is
    a leak.
 
-Defined results: null or empty texts and items without words match nothing; repeated documents are
-reported each, repeated items each; words are lower-cased and cut at ASCII non-alphanumerics.
+Defined results: null or empty texts and items without words match nothing; rows of one document id and
+item id are reported as one, with the best score and the first place, also if ids repeat or are null;
+words are lower-cased and cut at ASCII non-alphanumerics.  Documents of ``keep_clean`` need a column
+``text``; rows that repeat stay or go alike, and extra columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -29,9 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeweave.llm import spans
+from cladeweave.llm.shared import lean
 
 U = np.uint64
-SEED_SIZES = (2, 3)
+SEED_SIZES = (1, 2, 3)
 PENALTY = 0.6
 BLOCK_CHARS = 16_000_000
 FILTER_BITS = 20
@@ -136,10 +140,14 @@ def align(windows: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
 
 @dataclass
 class Index:
-    """What the executors need of a block: its items and its seeds by size."""
+    """What the executors need of a block: its items and its seeds by size.
+
+    A table has seed hashes, and for each the begin of its places; items, places in them, and whether the
+    seed counts only in a document of that many words.
+    """
 
     items: Items
-    tables: list[tuple[int, Lookup, np.ndarray, np.ndarray, np.ndarray]]
+    tables: list[tuple[int, Lookup, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     least_score: float
 
 
@@ -150,6 +158,9 @@ def build_index(docs: DataFrame, rows: list[tuple[int, str | None]], least_score
     index = []
     for size in SEED_SIZES:
         h, item, place = items.seeds(size)
+        if size == 1:
+            alone = np.diff(items.of)[item] == 1
+            h, item, place = h[alone], item[alone], place[alone]
         first = items.of[item] + place
         index.append([h, item, place, sum(log_p[first + j] for j in range(size)) <= math.log(chance) if len(h) else np.empty(0, bool)])
     usable = np.zeros(len(items.ids), dtype=bool)
@@ -158,10 +169,10 @@ def build_index(docs: DataFrame, rows: list[tuple[int, str | None]], least_score
     tables = []
     for size, (h, item, place, rare) in zip(SEED_SIZES, index, strict=True):
         keep = rare | ~usable[item]
-        h, item, place = h[keep], item[keep], place[keep]
+        h, item, place, whole = h[keep], item[keep], place[keep], ~rare[keep] & (size == 1)
         order = np.argsort(h, kind="stable")
         unique, begin = np.unique(h[order], return_index=True)
-        tables.append((size, Lookup(unique), np.append(begin, len(h)), item[order], place[order]))
+        tables.append((size, Lookup(unique), np.append(begin, len(h)), item[order], place[order], whole[order]))
     return Index(items, tables, least_score)
 
 
@@ -171,14 +182,16 @@ def leaks_of(column: pa.Array, index: Index) -> list[tuple[int, int, float, int]
     lengths = np.diff(items.of)
     for row, h, of in _words(column):
         hits = []
-        for size, lookup, begins, item, place in index.tables:
+        for size, lookup, begins, item, place, whole in index.tables:
             at, seed = lookup.find(spans.shingle_hash(h, size))
             doc = np.searchsorted(of, at, "right") - 1
             inside = at + size <= of[doc + 1]
             at, seed, doc = at[inside], seed[inside], doc[inside]
             counts = begins[seed + 1] - begins[seed]
             post = spans.ranges(begins[seed], counts)
-            hits.append(np.stack((np.repeat(doc, counts), item[post], np.repeat(at, counts) - place[post])))
+            doc, at = np.repeat(doc, counts), np.repeat(at, counts)
+            counted = ~whole[post] | (of[doc + 1] - of[doc] == size)
+            hits.append(np.stack((doc, item[post], at - place[post]))[:, counted])
         hits = np.unique(np.concatenate(hits, axis=1), axis=1)
         if not hits.shape[1]:
             continue
@@ -228,7 +241,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.5,
                         names=["doc_id", "item_id", "score", "first_word"],
                     )
 
-        found = rows.mapInArrow(run, "doc_id long, item_id long, score double, first_word long")
+        found = rows.mapInArrow(lean(run), "doc_id long, item_id long, score double, first_word long")
         out = found if out is None else out.unionByName(found)
     return out.groupBy("doc_id", "item_id").agg(F.round(F.max("score"), 6).alias("score"), F.min("first_word").alias("first_word"))
 
@@ -245,5 +258,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, least_score: float = 0.5,
                 keep[[row for row, _, _, _ in leaks_of(b.column(at), sent.value)]] = False
                 yield b.filter(pa.array(keep))
 
-        kept = kept.mapInArrow(run, docs.schema)
+        kept = kept.mapInArrow(lean(run), docs.schema)
     return kept
