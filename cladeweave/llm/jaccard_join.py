@@ -14,7 +14,7 @@ follows from the size class, and a document also visits the classes of all small
 partner may have.  Slices that are empty count only where a document has no more than ``D`` others.
 
 **Windows.**  Two documents of a region can only link if their sizes allow it and if the L1 distance
-of their count vectors (shingles counted in 128 hash ranges) is at most ``D``: the map from sets to
+of their count vectors (shingles counted in hash ranges, more of them for longer texts) is at most ``D``: the map from sets to
 count vectors does not enlarge differences, so this window loses nothing.  A region's members are dealt
 into blocks; each block is cut into the connected parts of its window graph, balls around the parts
 (centre, radius, sizes) stand for them, and balls of different blocks are joined unless the triangle
@@ -54,11 +54,11 @@ from cladeweave.llm.shared import LAST_ID, ceil_div, cut, discard, keep_decided,
 
 U = np.uint64
 FLUSH_ROWS = 1 << 18
-VECTOR = 128
 MEMORY_NODES = 1024
 MEMORY_SHINGLES = 1 << 21
 BLOCK_NODES = 512
 PIVOTS = 8
+MOST_PIVOTS = 1024
 LEAF = 4
 BITMAP = 24
 CLASS_GROWTH = 1.6
@@ -261,9 +261,26 @@ def _members(rows: DataFrame, k: int, slicing: Slicing, block_nodes: int) -> Dat
     return dealt.mapInArrow(lean(lambda batches: _meeting(batches, block_nodes)), "region long, block long, many boolean, node long").distinct()
 
 
-def count_vector(h: np.ndarray) -> np.ndarray:
-    """Shingles in each hash range, at most 255; neither step enlarges a difference."""
-    return np.minimum(np.bincount((h >> U(57)).astype(np.int64), minlength=VECTOR), 255).astype(np.uint8)
+def count_vector(h: np.ndarray) -> bytes:
+    """Shingles in each of ``V`` hash ranges, an eighth to a quarter as many ranges as shingles (128 at least).
+
+    Unrelated sets of ``n`` shingles then differ by about ``1.1 * sqrt(n * V)``, well above the ``D`` of a
+    link whatever ``n`` is.  The counts stand in 1, 2 or 4 bytes each; the first byte says which.
+    """
+    bits = max(7, (len(h) // 8).bit_length())
+    return _packed(np.bincount((h >> U(64 - bits)).astype(np.int64), minlength=1 << bits))
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    width = 1 if counts.max() < 1 << 8 else 2 if counts.max() < 1 << 16 else 4
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def _vectors_of(packed: list[bytes]) -> np.ndarray:
+    """Count vectors as rows of the coarsest resolution among them; sums of neighbours do not enlarge differences."""
+    rows = [np.frombuffer(v, f"<u{v[0]}", offset=1) for v in packed]
+    width = min(map(len, rows))
+    return np.stack([x if len(x) == width else x.reshape(width, -1).sum(axis=1) for x in rows]).astype(np.int32)
 
 
 @dataclass
@@ -284,7 +301,7 @@ class Balls:
         """
         order = np.argsort(self.low, kind="stable")
         node, low, high, radius = (x[order].astype(np.int64) for x in (self.node, self.low, self.high, self.radius))
-        vectors = self.vectors[order].astype(np.int16)
+        vectors = self.vectors[order].astype(np.int32)
         left, found, balls = np.arange(len(node)), [], []
         while len(left):
             first, frontier = left[0], [left[0]]
@@ -305,30 +322,29 @@ class Balls:
             around = np.abs(vectors[part] - vectors[first]).sum(axis=1) + radius[part]
             balls.append((first, low[part].min(), high[part].max(), around.max()))
         at, lows, highs, radii = (np.array(x, dtype=np.int64) for x in zip(*balls, strict=True)) if balls else (np.empty(0, np.int64),) * 4
-        return found, Balls(node[at], lows, highs, radii, vectors[at].astype(np.uint8))
+        return found, Balls(node[at], lows, highs, radii, vectors[at])
 
 
 BALLS = "region long, block long, node long, low long, high long, radius long, vector binary"
 GATHERED = "a long, b long, region long, node long, low long, high long, radius long, vector binary"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
     """The columns of ``BALLS`` of each (region, block), from rows in that order."""
-    carry: list[np.ndarray] | None = None
+    carry: list | None = None
     for b in batches:
         if not b.num_rows:
             continue
-        columns = [b.column(k).to_numpy() for k in range(6)]
-        columns.append(np.frombuffer(b"".join(b.column(6).to_pylist()), dtype=np.uint8).reshape(-1, VECTOR))
+        columns, vectors = [b.column(k).to_numpy() for k in range(6)], b.column(6).to_pylist()
         if carry:
-            columns = [np.concatenate((x, y)) for x, y in zip(carry, columns, strict=True)]
+            columns, vectors = [np.concatenate((x, y)) for x, y in zip(carry[:-1], columns, strict=True)], carry[-1] + vectors
         region, block = columns[:2]
         begins = [0, *(np.flatnonzero((region[1:] != region[:-1]) | (block[1:] != block[:-1])) + 1).tolist()]
         for lo, hi in zip(begins, begins[1:], strict=False):
-            yield [c[lo:hi] for c in columns]
-        carry = [c[begins[-1] :] for c in columns]
+            yield [*(c[lo:hi] for c in columns), _vectors_of(vectors[lo:hi])]
+        carry = [*(c[begins[-1] :] for c in columns), vectors[begins[-1] :]]
     if carry:
-        yield carry
+        yield [*carry[:-1], _vectors_of(carry[-1])]
 
 
 def _gather(balls: DataFrame, slicing: Slicing, keep: bool) -> DataFrame:
@@ -340,7 +356,7 @@ def _gather(balls: DataFrame, slicing: Slicing, keep: bool) -> DataFrame:
         def flush() -> pa.RecordBatch:
             pairs, m = np.array(edges, dtype=np.int64).reshape(-1, 2), sum(len(x.node) for _, x in kept)
             joined = [np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*((np.full(len(x.node), r), x.node, x.low, x.high, x.radius) for r, x in kept), strict=True)] or [np.empty(0, np.int64)] * 5
-            vectors = [v.tobytes() for _, x in kept for v in x.vectors]
+            vectors = [_packed(v) for _, x in kept for v in x.vectors]
             rows = [pa.concat_arrays([pa.array(pairs[:, k]), pa.nulls(m, pa.int64())]) for k in range(2)]
             rows += [pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(x)]) for x in joined]
             rows.append(pa.array([None] * len(pairs) + vectors, pa.binary()))
@@ -417,17 +433,26 @@ class Sets:
             x = self.label[x]
         return x
 
-    def distances(self, x: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distance of ``x`` to each of ``others``, and whether they link; links enter the components."""
+    def of(self, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``sets`` and their places one after the other, with begins."""
+        sizes = self.sizes[sets]
+        if sets[-1] - sets[0] == len(sets) - 1:  # cells are sorted
+            places = self.at[self.begins[sets[0]] : self.begins[sets[-1] + 1]]
+        else:
+            places = self.at[spans.ranges(self.begins[sets], sizes)]
+        return sets, places, np.concatenate(([0], np.cumsum(sizes)))
+
+    def distances(self, x: int, others: tuple[np.ndarray, np.ndarray, np.ndarray], first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Distance of ``x`` to the sets ``others``, from the ``first`` on, and whether they link; links enter the components."""
+        sets, places, begins = others
         own = self.at[self.begins[x] : self.begins[x + 1]]
         self.marked[own] = 1
-        sizes = self.sizes[others]
-        common = np.add.reduceat(self.marked[self.at[spans.ranges(self.begins[others], sizes)]], np.concatenate(([0], np.cumsum(sizes)[:-1])))
+        common = np.add.reduceat(self.marked[places[begins[first] :]], begins[first:-1] - begins[first])
         self.marked[own] = 0
-        self.compared += len(others)
-        union = self.sizes[x] + sizes - common
+        self.compared += len(common)
+        union = self.sizes[x] + self.sizes[sets[first:]] - common
         linked = self.slicing.den * common >= self.slicing.num * union
-        for y in others[linked].tolist():
+        for y in sets[first:][linked].tolist():
             a, b = self.root(x), self.root(y)
             if a != b:
                 self.label[max(a, b)] = min(a, b)
@@ -435,13 +460,12 @@ class Sets:
         return 1 - common / union, linked
 
     def compare(self, left: np.ndarray, right: np.ndarray | None = None) -> None:
-        """All pairs within ``left``, or between ``left`` and ``right``, that are not yet in one component."""
+        """All pairs within ``left``, or between ``left`` and ``right``, but of sets whose others are all in their component."""
+        others = self.of(left if right is None else right)
         for k, x in enumerate(left.tolist()):
-            others = left[k + 1 :] if right is None else right
-            own = self.root(x)
-            others = others[[self.root(y) != own for y in others.tolist()]]
-            if len(others):
-                self.distances(x, others)
+            first, own = (k + 1 if right is None else 0), self.root(x)
+            if any(self.root(y) != own for y in others[0][first:].tolist()):
+                self.distances(x, others, first)
 
     def voronoi(self, pivots: int, leaf: int) -> None:
         """Join all sets: regions of pivots, windows by the triangle inequality, recursion.
@@ -464,8 +488,9 @@ class Sets:
                 self.compare(cell)
                 continue
             chosen, away, links, most = [0], [], [], max(2, len(cell) // 4)
+            held = self.of(cell)
             while True:
-                d, linked = self.distances(int(cell[chosen[-1]]), cell)
+                d, linked = self.distances(int(cell[chosen[-1]]), held)
                 away.append(d)
                 links.append(linked)
                 nearest = np.min(away, axis=0)
@@ -534,36 +559,50 @@ def _join_in_memory(rows: DataFrame, k: int, slicing: Slicing, pivots: int, leaf
 def _voronoi_round(placed: DataFrame, texts: DataFrame, k: int, slicing: Slicing, pivots: int, memory_nodes: int, level: int) -> DataFrame:
     """``region, pivot, node, n, d, linked``: the cells of every large region, replicas included.
 
-    Pivots are the nodes of smallest hash under several seeds, so they come from partial aggregation.  A
-    region is dealt over tasks by a hash; every task of a region gets its few pivots first and then
-    streams its sets.
+    An eighth of a region's nodes, between ``pivots`` and ``MOST_PIVOTS`` and no more than a task can hold,
+    are pivots, by a hash.  A region is dealt over tasks by another hash; every task of a region gets the
+    pivots first and then streams its sets.  A node that is in the windows of many pivots (it is far from
+    all of them) has one row without pivot instead.
     """
-    smallest = [F.min_by("node", F.xxhash64("node", F.lit(level * pivots + j))) for j in range(pivots)]
-    size = F.greatest(F.ceil(F.count("*") / memory_nodes), F.ceil(F.sum("n") / MEMORY_SHINGLES)).cast("long").alias("tasks")
-    about = cut(placed.groupBy("region").agg(F.array_distinct(F.array(*smallest)).alias("pivots"), size))
-    own = placed.join(about.select("region", "tasks"), "region").select("region", F.pmod(F.xxhash64("node", F.lit(-1 - level)), F.col("tasks")).alias("task"), F.lit(1).alias("kind"), "node")
-    asked = about.select("region", "tasks", F.explode("pivots").alias("node")).select("region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("kind"), "node")
+    count, held = F.count("*"), F.ceil(MEMORY_SHINGLES * F.count("*") / F.sum("n"))
+    number = F.least(F.greatest(F.lit(pivots), F.floor(count / 8)), F.lit(MOST_PIVOTS), F.greatest(F.lit(2), held))
+    tasks = F.greatest(F.ceil(count / memory_nodes), F.ceil(F.sum("n") / MEMORY_SHINGLES)).cast("long")
+    about = cut(placed.groupBy("region").agg(F.greatest(F.lit(1), F.floor(count / number)).alias("step"), tasks.alias("tasks"), F.min_by("node", F.xxhash64("node", F.lit(level))).alias("first")))
+    known = placed.join(about, "region")
+    is_pivot = (F.pmod(F.xxhash64("node", F.lit(level)), F.col("step")) == 0) | (F.col("node") == F.col("first"))
+    own = known.select("region", F.pmod(F.xxhash64("node", F.lit(-1 - level)), F.col("tasks")).alias("task"), F.lit(1).alias("kind"), "node")
+    asked = known.where(is_pivot).select("region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("kind"), "node")
     window = 2 * (slicing.den - slicing.num) / slicing.den + 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, chosen, last = None, [], None
+        place, chosen, last, index = None, [], None, None
         for b in batches:
             out = []
             for region, task, kind, node, h in zip(*(b.column(j).to_pylist() for j in range(4)), _sets_of(b, k, 3, 4), strict=True):
                 if place != (region, task):
-                    place, chosen, last = (region, task), [], None
+                    place, chosen, last, index = (region, task), [], None, None
                 if h is None or last == (kind, node):
                     continue  # another document with the same set
                 last = (kind, node)
                 if kind == 0:
                     chosen.append((node, h))
                     continue
-                common = np.array([np.isin(h, p, assume_unique=True, kind="sort").sum() for _, p in chosen])
-                union = np.array([len(p) for _, p in chosen]) + len(h) - common
+                if index is None:
+                    sizes = np.array([len(p) for _, p in chosen])
+                    values, owner = np.concatenate([p for _, p in chosen]), np.repeat(np.arange(len(chosen)), sizes)
+                    order = np.argsort(values, kind="stable")
+                    index = values[order], owner[order], sizes
+                    del values, owner, order
+                lo, hi = np.searchsorted(index[0], h, "left"), np.searchsorted(index[0], h, "right")
+                common = np.bincount(index[1][spans.ranges(lo, hi - lo)], minlength=len(chosen))
+                union = index[2] + len(h) - common
                 d = 1 - common / union
                 links = slicing.den * common >= slicing.num * union
-                for j in np.flatnonzero(d - d.min() <= window):
-                    out.append((region, chosen[j][0], node, len(h), float(d[j]), bool(links[j])))
+                inside = np.flatnonzero(d - d.min() <= window)
+                if len(inside) > max(4, math.isqrt(len(chosen))):
+                    out.append((region, None, node, len(h), float(d.min()), False))
+                    inside = np.flatnonzero(links)
+                out += [(region, chosen[j][0], node, len(h), float(d[j]), bool(links[j])) for j in inside]
             if out:
                 columns = list(zip(*out, strict=True))
                 kinds = [pa.int64()] * 4 + [pa.float64(), pa.bool_()]
@@ -578,19 +617,21 @@ def _join_large(placed: DataFrame, texts: DataFrame, k: int, slicing: Slicing, p
     """``a, b``: spanning links of large regions ``placed(region, node, n)``, by rounds of Voronoi cells.
 
     As in ``Sets.voronoi``, of the sets that link with their pivot only the boundary stays, and pivots are
-    done.  Cells that fit are joined in memory; all others get new pivots in the next round.  A region
-    whose cells would hold more than half of its pairs again is cut into blocks by size and hash instead,
-    and near blocks are joined in pairs.
+    done.  Cells that fit are joined in memory; all others get new pivots in the next round.  Nodes that
+    are far from all pivots, and all nodes of a region whose cells would hold more than half of its pairs
+    again, are compared with every node of the region within the size window, in pairs of blocks.
     """
     r = (slicing.den - slicing.num) / slicing.den + 1e-9
     links, level = [], 0
     while True:
-        cells = cut(_voronoi_round(placed, texts, k, slicing, 4 * pivots, memory_nodes, level))  # they are not chosen farthest first
-        links.append(cells.where("linked AND node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-        done = cells.select("region", F.col("pivot").alias("node")).distinct()
-        rest = cells.join(done, ["region", "node"], "left_anti")
-        free = rest.where("NOT linked").groupBy("region", "pivot").agg(F.min("d").alias("least"))
-        inside = rest.join(free, ["region", "pivot"]).where(~F.col("linked") | (F.col("d") >= F.col("least") - r))
+        every = cut(_voronoi_round(placed, texts, k, slicing, pivots, memory_nodes, level))
+        links.append(every.where("linked AND node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+        done = every.where("pivot IS NOT NULL AND node = pivot").select("region", "node")
+        rest = every.join(done, ["region", "node"], "left_anti")
+        far = rest.where("pivot IS NULL").select("region", "node")
+        near = rest.join(far, ["region", "node"], "left_anti")
+        free = near.where("NOT linked").groupBy("region", "pivot").agg(F.min("d").alias("least"))
+        inside = near.join(free, ["region", "pivot"]).where(~F.col("linked") | (F.col("d") >= F.col("least") - r))
         inside = cut(inside.select("region", F.xxhash64("region", "pivot", F.lit(level)).alias("cell"), "node", "n"))
         sizes = inside.groupBy("region", "cell").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles"))
         pairs = sizes.groupBy("region").agg(F.sum(F.col("nodes").cast("double") * F.col("nodes")).alias("pairs"))
@@ -600,9 +641,10 @@ def _join_large(placed: DataFrame, texts: DataFrame, k: int, slicing: Slicing, p
         marked = cut(inside.join(sizes.select("cell", small.alias("small")), "cell").join(stuck, "region", "left_anti"))
         one = marked.where("small").select(F.col("cell").cast("string").alias("group"), F.lit(0).alias("side"), "node")
         links.append(cut(_join_in_memory(one.join(texts, "node"), k, slicing, pivots, leaf)))
-        if not stuck.isEmpty():
-            direct = placed.join(stuck, "region", "left_semi").join(done, ["region", "node"], "left_anti")
-            links.append(cut(_join_blocks(direct, texts, k, slicing, max(1, memory_nodes // 2))))
+        left = placed.join(done, ["region", "node"], "left_anti")
+        direct = cut(left.join(far, ["region", "node"], "left_semi").unionByName(left.join(stuck, "region", "left_semi")).distinct())
+        if not direct.isEmpty():
+            links.append(cut(_join_blocks(direct, left.join(direct.select("region").distinct(), "region", "left_semi"), texts, k, slicing, max(1, memory_nodes // 4))))
         placed = marked.where("NOT small").select(F.col("cell").alias("region"), "node", "n")
         if placed.isEmpty():
             break
@@ -613,20 +655,29 @@ def _join_large(placed: DataFrame, texts: DataFrame, k: int, slicing: Slicing, p
     return out
 
 
-def _join_blocks(placed: DataFrame, texts: DataFrame, k: int, slicing: Slicing, block_nodes: int) -> DataFrame:
-    """``a, b``: spanning links within blocks and between near blocks of regions ``placed(region, node, n)``."""
+def _join_blocks(direct: DataFrame, every: DataFrame, texts: DataFrame, k: int, slicing: Slicing, block_nodes: int) -> DataFrame:
+    """``a, b``: spanning links between the nodes ``direct`` and ``every`` (both ``region, node, n``) of regions.
+
+    Both are cut into blocks by size class and hash; blocks whose sizes allow links meet, each pair in a
+    group of its own.
+    """
     size_class = F.floor(F.log(F.col("n")) / math.log(slicing.den / slicing.num + 1e-9)).alias("size_class")
-    sized = placed.select("region", "node", "n", size_class)
-    part = F.greatest(F.ceil(F.count("*") / block_nodes), F.ceil(F.sum("n") * 2 / MEMORY_SHINGLES)).alias("parts")
-    counts = sized.groupBy("region", "size_class").agg(part)
-    blocks = sized.join(counts, ["region", "size_class"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    blocks = cut(blocks.withColumn("block", F.concat_ws("/", "region", "size_class", "part")).select("node", "block", "region", "size_class"))
-    every = blocks.select("block", "region", "size_class").distinct()
-    x, y = every.alias("x"), every.alias("y")
-    near = (F.col("x.region") == F.col("y.region")) & (F.abs(F.col("x.size_class") - F.col("y.size_class")) <= 1) & (F.col("x.block") <= F.col("y.block"))
-    pairs = x.join(y, near).select(F.concat_ws(" ", "x.block", "y.block").alias("group"), F.col("x.block").alias("one"), F.col("y.block").alias("two"))
-    sides = pairs.select("group", F.col("one").alias("block"), F.lit(0).alias("side")).union(pairs.where("one != two").select("group", F.col("two").alias("block"), F.lit(1).alias("side")))
-    return _join_in_memory(blocks.select("node", "block").join(sides, "block").join(texts, "node"), k, slicing, PIVOTS, LEAF)
+
+    def blocks(rows: DataFrame) -> DataFrame:
+        sized = rows.select("region", "node", "n", size_class)
+        parts = F.greatest(F.ceil(F.count("*") / block_nodes), F.ceil(F.sum("n") * 4 / MEMORY_SHINGLES)).alias("parts")
+        counts = sized.groupBy("region", "size_class").agg(parts)
+        return cut(sized.join(counts, ["region", "size_class"]).select("region", "size_class", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "node"))
+
+    here, there = blocks(direct), blocks(every)
+    names = ["region", "size_class", "part"]
+    x, y = here.select(names).distinct().alias("x"), there.select(names).distinct().alias("y")
+    near = (F.col("x.region") == F.col("y.region")) & (F.abs(F.col("x.size_class") - F.col("y.size_class")) <= 1)
+    group = F.concat_ws("/", "x.region", "x.size_class", "x.part", "y.size_class", "y.part").alias("group")
+    pairs = cut(x.join(y, near).select(group, F.struct("x.*").alias("one"), F.struct("y.*").alias("two")))
+    sides = pairs.select("group", "one.*").join(here, names).select("group", F.lit(0).alias("side"), "node")
+    sides = sides.unionByName(pairs.select("group", "two.*").join(there, names).select("group", F.lit(1).alias("side"), "node"))
+    return _join_in_memory(sides.join(texts, "node"), k, slicing, PIVOTS, LEAF)
 
 
 def _chosen(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -635,8 +686,8 @@ def _chosen(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     A bitmap of hashed ids, of a fixed size, goes to all tasks first, so that only rows that may be wanted
     are shuffled; a crowded bitmap only lets more of them pass.
     """
-    ids = wanted.select(F.col("doc_id").alias("__drop_id"))
-    return split_by_ids(rows, F.col("doc_id"), ids, BITMAP)[1].drop("__drop_id").join(wanted, "doc_id")
+    _, maybe, key = split_by_ids(rows, F.col("doc_id"), wanted.select("doc_id"), BITMAP)
+    return maybe.drop(key).join(wanted, "doc_id")
 
 
 def _vectors(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -644,7 +695,7 @@ def _vectors(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(node, len(h), count_vector(h).tobytes()) for node, h in zip(b.column(0).to_pylist(), _sets_of(b, k, 0, 1), strict=True) if h is not None]
+            found = [(node, len(h), count_vector(h)) for node, h in zip(b.column(0).to_pylist(), _sets_of(b, k, 0, 1), strict=True) if h is not None]
             columns = zip(*found, strict=True) if found else ([], [], [])
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["node", "n", "vector"])
 

@@ -2,19 +2,20 @@
 
 If no piece of a model has a white-space marker after another character, no piece crosses the
 start of a run of markers.  A text is then the concatenation of chunks (markers and the characters
-up to the next marker), and the ids of a text are the ids of its chunks in order.  Each Python
-worker keeps a bounded table of the chunks it has seen: a chunk is segmented by the library once,
+up to the next marker), and the ids of a text are the ids of its chunks in order.  Each task
+keeps a bounded table of the chunks it has seen: a chunk is segmented by the library once,
 and ids, their decimal digits and the decoded surface are joined back by position.
 
 Defined results: a null text is an empty text; an empty text has only the end id and decodes to an
-empty text.  Repeated rows, null ids and extra columns of any name pass through.
+empty text.  Repeated rows, null ids and extra columns pass through; a column of the name that is to be
+added is an error, so nothing is overwritten.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cladeweave.llm.shared import lean, require
+
 MARK = "▁"
 TABLE_ENTRIES = 300_000
 CHUNK_CHARS = 200
@@ -96,59 +99,80 @@ _codecs: dict[str, ChunkCodec] = {}
 
 
 def codec(model_file: str) -> ChunkCodec:
-    """The worker's codec of a model; its table lives as long as the worker."""
+    """The worker's codec of a model."""
     if model_file not in _codecs:
         _codecs[model_file] = ChunkCodec(model_file)
     return _codecs[model_file]
 
 
+def _task(model_file: str, run: Callable[[ChunkCodec, pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task over parts of batches; its chunk table is emptied at the end, as workers outlive their tasks."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(model_file)
+        try:
+            for b in batches:
+                for lo in range(0, b.num_rows, 512):
+                    yield run(c, b.slice(lo, 512))
+        finally:
+            c.table.clear()
+
+    return lean(over)
+
+
+def _lists(ids: list[list[int]]) -> pa.Array:
+    offsets = np.zeros(len(ids) + 1, np.int32)
+    np.cumsum([len(x) for x in ids], out=offsets[1:])
+    flat = np.fromiter((i for x in ids for i in x), np.int32, int(offsets[-1]))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
 def encode_ids(docs: DataFrame, model_file: str, text_col: str = "text", out: str = "token_ids") -> DataFrame:
     """``docs`` with the ids of each text (end id included) as an array of ints in column ``out``."""
-    if out in docs.columns:
-        docs = docs.drop(out)
+    require(out not in docs.columns, f"the documents have a column {out} already")
     at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model_file)
-        for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                ids = [c.encode(t) for t in part.column(at).to_pylist()]
-                offsets = np.zeros(len(ids) + 1, np.int32)
-                np.cumsum([len(x) for x in ids], out=offsets[1:])
-                flat = pa.array([i for x in ids for i in x], pa.int32())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), flat)], names=[*part.schema.names, out])
+    def run(c: ChunkCodec, part: pa.RecordBatch) -> pa.RecordBatch:
+        ids = _lists([c.encode(t) for t in part.column(at).to_pylist()])
+        return pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, out])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(_task(model_file, run), T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
 
 def decode_ids(docs: DataFrame, model_file: str, ids_col: str = "token_ids", out: str = "decoded") -> DataFrame:
     """``docs`` with the library's text for each array of ids; a null array decodes to empty text."""
-    if out in docs.columns:
-        docs = docs.drop(out)
+    require(out not in docs.columns, f"the documents have a column {out} already")
     at = docs.columns.index(ids_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model_file)
-        for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                texts = [c.decode([int(i) for i in x or ()]) for x in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out])
+    def run(c: ChunkCodec, part: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [c.decode([int(i) for i in x or ()]) for x in part.column(at).to_pylist()]
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out])
+
+    return docs.mapInArrow(_task(model_file, run), T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())]))
+
+
+def encode_and_decode(docs: DataFrame, model_file: str, text_col: str = "text", ids_out: str = "token_ids", text_out: str = "decoded") -> DataFrame:
+    """``docs`` with the ids of each text and with the library's text for these ids, in one pass."""
+    for out in (ids_out, text_out):
+        require(out not in docs.columns, f"the documents have a column {out} already")
+    at = docs.columns.index(text_col)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())]))
+    def run(c: ChunkCodec, part: pa.RecordBatch) -> pa.RecordBatch:
+        ids = [c.encode(t) for t in part.column(at).to_pylist()]
+        texts = pa.array([c.decode(x) for x in ids], pa.string())
+        return pa.RecordBatch.from_arrays([*part.columns, _lists(ids), texts], names=[*part.schema.names, ids_out, text_out])
+
+    added = [T.StructField(ids_out, T.ArrayType(T.IntegerType())), T.StructField(text_out, T.StringType())]
+    return docs.mapInArrow(_task(model_file, run), T.StructType([*docs.schema.fields, *added]))
 
 
 def round_trip_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model_file)
-        for b in batches:
-            rows = [c.digest(t.as_py()) for t in b.column(1)]
-            n, ids, texts = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+
+    def run(c: ChunkCodec, part: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [c.digest(t) for t in part.column(1).to_pylist()]
+        n, ids, texts = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(_task(model_file, run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

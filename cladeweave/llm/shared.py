@@ -97,6 +97,16 @@ def fold_of(column: str | Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary")) % F.lit(folds)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many ``_`` added as it takes to differ from all ``columns``."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def drop_ids(docs: DataFrame, id_col: str, dropped: DataFrame, bits: int = 24) -> DataFrame:
     """``docs`` without the rows whose id is in the first column of ``dropped``.
 
@@ -104,22 +114,24 @@ def drop_ids(docs: DataFrame, id_col: str, dropped: DataFrame, bits: int = 24) -
     as a table of words; rows that it excludes pass without a shuffle, and only the others meet the
     exact anti join.  Rows without id stay.
     """
-    ids = dropped.select(F.col(dropped.columns[0]).cast("long").alias("__drop_id")).where("__drop_id IS NOT NULL")
-    free, rest = split_by_ids(docs, F.col(id_col).cast("long"), ids, bits)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return free.union(rest.join(ids.distinct(), "__drop_id", "left_anti").select(*columns))
-
-
-def split_by_ids(docs: DataFrame, key: Column, ids: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``docs`` whose ``key`` is not in ``ids(__drop_id)``, and those, with ``__drop_id``, that may be in it."""
-    place = F.pmod(F.xxhash64("__drop_id"), F.lit(1 << bits))
-    words = ids.select(F.shiftright(place, 6).alias("__drop_word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(__drop_id), {1 << bits}) % 64 as int))").alias("_bit"))
-    words = F.broadcast(words.groupBy("__drop_word").agg(F.bit_or("_bit").alias("__drop_bits")))
-    marked = docs.withColumn("__drop_id", key).withColumn("__drop_word", F.shiftright(place, 6)).join(words, "__drop_word", "left")
-    bit = F.expr(f"shiftright(__drop_bits, cast(pmod(xxhash64(__drop_id), {1 << bits}) % 64 as int)) & 1")
-    hit = F.col("__drop_id").isNotNull() & F.coalesce(bit == 1, F.lit(False))
+    free, rest, key = split_by_ids(docs, F.col(id_col).cast("long"), dropped, bits)
+    ids = dropped.select(F.col(dropped.columns[0]).cast("long").alias(key)).where(F.col(key).isNotNull()).distinct()
+    return free.union(rest.join(ids, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns)))
+
+
+def split_by_ids(docs: DataFrame, key: Column, ids: DataFrame, bits: int) -> tuple[DataFrame, DataFrame, str]:
+    """Rows of ``docs`` whose ``key`` is not in the first column of ``ids``; those that may be in it, with
+    their key in one more column; and that column's name."""
+    name, word, held = fresh(docs.columns, "drop_id", "drop_word", "drop_bits")
+    one = ids.select(F.col(ids.columns[0]).cast("long").alias(name)).where(F.col(name).isNotNull())
+    place = F.pmod(F.xxhash64(name), F.lit(1 << bits))
+    low = f"cast(pmod(xxhash64({name}), {1 << bits}) % 64 as int)"
+    words = one.select(F.shiftright(place, 6).alias(word), F.expr(f"shiftleft(1L, {low})").alias("bit"))
+    words = F.broadcast(words.groupBy(word).agg(F.bit_or("bit").alias(held)))
+    marked = docs.withColumn(name, key).withColumn(word, F.shiftright(place, 6)).join(words, word, "left")
+    hit = F.col(name).isNotNull() & F.coalesce(F.expr(f"shiftright({held}, {low}) & 1") == 1, F.lit(False))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return marked.where(~hit).select(*columns), marked.where(hit).select(*columns, "__drop_id")
+    return marked.where(~hit).select(*columns), marked.where(hit).select(*columns, name), name
 
 
 def keep_decided(docs: DataFrame, id_col: str, text_col: str, decided: DataFrame, keys: Callable[[pa.Array], pa.Array], bits: int = 24) -> DataFrame:
@@ -129,20 +141,22 @@ def keep_decided(docs: DataFrame, id_col: str, text_col: str, decided: DataFrame
     id that stands at several texts or is missing decides nothing alone.  Rows without an entry stay.  A
     bitmap of ids, as in ``drop_ids``, lets the others pass without a shuffle; texts get keys behind it.
     """
-    decided = cut(decided.toDF("__drop_id", "__key", "__kept"))
-    free, rest = split_by_ids(docs, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), decided.select("__drop_id"), bits)
+    decided = cut(decided)
+    free, rest, name = split_by_ids(docs, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), decided, bits)
+    key, kept = fresh(rest.columns, "text_key", "is_kept")
+    decided = decided.toDF(name, key, kept)
     at, columns = docs.columns.index(text_col), [F.col(f"`{c}`") for c in docs.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.append_column("__key", keys(b.column(at)))
+            yield b.append_column(key, keys(b.column(at)))
 
-    keyed = rest.mapInArrow(run, T.StructType([*rest.schema.fields, decided.schema["__key"]]))
-    names = ["__drop_id", "__key"]
-    out = free.union(keyed.join(decided, names, "left_anti").select(*columns))
-    if decided.where("__kept").isEmpty():
+    keyed = rest.mapInArrow(lean(run), T.StructType([*rest.schema.fields, decided.schema[key]]))
+    both = [name, key]
+    out = free.union(keyed.join(decided, both, "left_anti").select(*columns))
+    if decided.where(kept).isEmpty():
         return out
-    return out.union(keyed.join(decided.where("__kept"), names, "left_semi").dropDuplicates(names).select(*columns))
+    return out.union(keyed.join(decided.where(kept), both, "left_semi").dropDuplicates(both).select(*columns))
 
 
 def require(ok: bool, message: str) -> None:

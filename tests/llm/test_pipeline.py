@@ -32,6 +32,19 @@ def test_pipeline_effects(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
 
 
+def test_stages_with_empty_tables_repeated_rows_and_clashing_columns(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    empty = spark.createDataFrame([], DOCS)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+    rows = [(1, "one text here", "en", "s", 0), (1, "one text here", "en", "s", 0), (None, None, None, None, None), (2, "a b c d e f g h", "en", "s", 0), (3, "a b c d e f g h", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "7 AS drop_id", "8 AS drop_word", "9 AS text_key", "10 AS is_kept", "11 AS node", "12 AS id")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+    assert sorted((r.doc_id or 0, r.drop_id, r.text_key) for r in docs.collect()) == [(0, 7, 9), (1, 7, 9), (2, 7, 9)]
+
+
 def test_last_stage_decodes_its_ids(spark):
     docs = spark.createDataFrame([(1, "a text to read back", "en", "s", 0), (2, None, "en", "s", 0)], DOCS)
     got = {r.doc_id: r for r in corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()}

@@ -272,6 +272,127 @@ def test_toxicity_and_quality_hold_out(spark):
     assert clean == {r.doc_id for r in scored if not r.predicted}
 
 
+def plain_ftrl(rows, size, epochs=3, seed=7, alpha=1.0, beta=1.0, l1=3.0, l2=1.0):
+    """The textbook algorithm, coordinate by coordinate."""
+    z, n, rng = {}, {}, np.random.default_rng(seed)
+
+    def weight(i):
+        if i == size:
+            return -z.get(i, 0.0) / ((beta + n.get(i, 0.0) ** 0.5) / alpha)
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * l1) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(epochs):
+        for k in rng.permutation(len(rows)):
+            y, terms = rows[k]
+            w = {i: weight(i) for i in [*terms.tolist(), size]}
+            g = 1 / (1 + np.exp(-np.clip(sum(w.values()), -35, 35))) - y
+            for i in w:
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return np.array([weight(i) for i in range(size + 1)])
+
+
+def test_ftrl_against_the_plain_algorithm():
+    rng = np.random.default_rng(3)
+    rows = [(int(k % 3 == 0), np.unique(np.concatenate((rng.integers(0, 30, 6), [31] if k % 3 == 0 else [30])))) for k in range(90)]
+    got = toxicity.Ftrl(size=33).fit(rows)
+    assert np.allclose(got, plain_ftrl(rows, 32)) and got[31] > 1 > -1 > got[30] and (got[:30] == 0).sum() > 3
+
+
+def test_toxicity_scores_against_plain_sums(spark):
+    docs, labels = labelled(spark, 300)
+    model = toxicity.fit(docs, labels)
+    weight = dict(zip(model[0].tolist(), model[1].tolist()))
+    assert weight
+    for r in toxicity.score(docs, model).join(docs, "doc_id").collect():
+        terms = next(iter(toxicity.distinct_terms(pa.array([r.text or ""]))))[0]
+        total = model[2] + sum(weight.get(int(t), 0.0) for t in terms)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-np.clip(total, -35, 35)))) and r.predicted == (r.score >= 0.5)
+
+
+def test_repeated_terms_are_features():
+    column = pa.array(["scumbag", "scumbag scumbags", "scumbag scumbags scumbaggy scumbagged"])
+    one, two, four = (set(t.tolist()) for t, _ in toxicity.distinct_terms(column))
+    buf = np.frombuffer(b"scumbag", np.uint8)
+    stem = next(iter([g for g in toxicity.term_groups(buf, np.array([0, 7]))][2][0]))  # the beginning of seven bytes
+    twice, often = (int(toxicity.again(np.array([stem], np.uint32), c)[0]) for c in toxicity.AGAIN)
+    assert int(stem) in one and twice not in one and twice in two and often not in two and {twice, often} <= four
+
+
+def plain_quality(rows, bits, epochs=6, rate=1.0, seed=11):
+    """Averages of bucket vectors, softmax and gradient steps, one number at a time."""
+    d = quality.DIMENSIONS
+    rng = np.random.default_rng(seed)
+    vectors = rng.uniform(-1 / d, 1 / d, (1 << bits, d)).astype(np.float32)
+    out, bias, done = np.zeros((2, d)), np.zeros(2), 0
+    for _ in range(epochs):
+        for k in rng.permutation(len(rows)):
+            y, at, counts = rows[k]
+            total = float(sum(counts))
+            h = [sum(float(np.float32(c / total)) * float(vectors[b, j]) for b, c in zip(at, counts)) for j in range(d)]
+            logits = [sum(out[c, j] * h[j] for j in range(d)) + bias[c] for c in (0, 1)]
+            e = np.exp(np.array(logits) - max(logits))
+            p = e / e.sum()
+            p[y] -= 1
+            step = rate * (1 - done / (epochs * len(rows)))
+            done += 1
+            move = [step * sum(p[c] * out[c, j] for c in (0, 1)) for j in range(d)]
+            for b, c in zip(at, counts):
+                for j in range(d):
+                    vectors[b, j] -= np.float32(min(np.float32(c / total) * 50, 1)) * np.float32(move[j])
+            for c in (0, 1):
+                out[c] -= step * p[c] * np.array(h)
+                bias[c] -= 0.1 * step * p[c]
+    return vectors, out, bias
+
+
+def test_quality_training_against_plain_gradient_descent():
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(24):
+        at = np.unique(np.append(rng.integers(0, 60, 5), 62 + k % 2))
+        rows.append((k % 2, at, rng.integers(1, 4, len(at))))
+    for a, b in zip(quality.train(rows, 6), plain_quality(rows, 6), strict=True):
+        assert np.allclose(a, b, atol=1e-4)
+
+
+def test_language_machine_against_plain_averaging():
+    rng = np.random.default_rng(2)
+    rows = [(np.unique(rng.integers(0, 20, 6)), None) for _ in range(40)]
+    rows = [(np.append(at, 20 + k % 2), rng.uniform(0.2, 1, len(at) + 1)) for k, (at, _) in enumerate(rows)]
+    signs = np.array([1 if k % 2 else -1 for k in range(40)])
+    w, bias = language_id.svm(rows, signs, 22, epochs=3)
+    v, b, mean, b_mean, t, order = np.zeros(22), 0.0, np.zeros(22), 0.0, 0, np.random.default_rng(5)
+    share = {1: 0.5 * 40 / 20, -1: 0.5 * 40 / 20}
+    for _ in range(3):
+        for k in order.permutation(40):
+            t += 1
+            (at, x), y = rows[k], signs[k]
+            step = 1 / (1e-4 * (t + 1e4))
+            margin = y * (v[at] @ x + b)
+            v = v * (1 - step * 1e-4)
+            if margin < 1:
+                v[at] += step * y * share[y] * x
+                b += 0.01 * step * 1e-4 * y * share[y]
+            mean, b_mean = mean + v, b_mean + b
+    assert np.allclose(w, mean / t) and bias == pytest.approx(b_mean / t)
+    assert all(np.sign(w[at] @ x + bias) == y for (at, x), y in zip(rows, signs))
+
+
+def test_empty_and_repeated_rows_in_classifiers(spark):
+    docs, labels = labelled(spark, 200)
+    more = docs.unionByName(docs.limit(5)).selectExpr("*", "1 AS score", "2 AS predicted", "3 AS held_out", "4 AS label")
+    for made in (toxicity.score_documents(spark, more, labels), quality.score_documents(more, labels), language_id.identify(more)):
+        rows = made.collect()
+        assert len(rows) == more.count() and len(set(rows)) == docs.count()
+    nothing = docs.limit(0)
+    assert toxicity.score_documents(spark, nothing, labels).count() == quality.score_documents(nothing, labels).count() == language_id.identify(nothing).count() == 0
+    assert toxicity.keep_clean(nothing, labels).count() == 0
+
+
 def test_models_without_labels(spark):
     docs, labels = labelled(spark, 30)
     none = labels.limit(0)
@@ -319,6 +440,14 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
 
+def test_chat_with_long_conversations_and_extra_columns(spark):
+    rows = [(1, k, "user" if k % 2 else "assistant", f"turn {k} " * (40_000 if k == 500 else 3), k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted long").selectExpr("*", "1 AS loss_start")
+    got = chat.read_back(chat.format_chats(df)).collect()
+    loss = "".join(t for _, _, r, t, _ in rows if r == "assistant")
+    assert [(r.n_turns, r.loss_chars, r.loss_sha256) for r in got] == [(3000, len(loss), hashlib.sha256(loss.encode()).hexdigest())]
+
+
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "x]"]), st.text(alphabet="\\[]<>/sINTOU ROLE=é\n", max_size=30)), max_size=6))
 @settings(max_examples=200, deadline=None)
 def test_chat_assembly_is_reversible(turns):
@@ -437,12 +566,21 @@ def test_sentencepiece_equals_library(text):
 def test_sentencepiece_frames(spark):
     df = frame(spark, ODD_TEXTS, extra=True)
     both = sentencepiece_codec.decode_ids(sentencepiece_codec.encode_ids(df, SP), SP)
+    assert sorted(both.collect()) == sorted(sentencepiece_codec.encode_and_decode(df, SP).collect())
     lib = sentencepiece_codec.codec(SP).sp
     for r in both.collect():
         assert r.token_ids == [*lib.encode(r.text or ""), 2] and r.decoded == lib.decode(lib.encode(r.text or ""))
     assert sentencepiece_codec.round_trip_digests(df.limit(0), SP).count() == 0
 
 
+def test_sentencepiece_refuses_to_overwrite_columns(spark):
+    df = spark.createDataFrame([(1, "a", "x", [1])], "doc_id long, text string, decoded string, token_ids array<int>")
+    with pytest.raises(ValueError, match="token_ids"):
+        sentencepiece_codec.encode_ids(df, SP)
+    with pytest.raises(ValueError, match="decoded"):
+        sentencepiece_codec.decode_ids(df, SP)
+
+
 def test_sentencepiece_table_is_bounded():
     c = sentencepiece_codec.ChunkCodec(SP, table_entries=5)
     text = " ".join(f"w{k}" for k in range(40))
@@ -518,6 +656,45 @@ def test_leaks_against_brute_force(spark):
     assert decontaminate.find_leaks(frame(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_leaks_against_all_pairs(spark):
+    rng = random.Random(11)
+    words = [f"u{k}" for k in range(250)] + ["the", "of"] * 30
+    items = [prose(rng, words, n) for n in (1, 2, 3, 6, 14, 25, 40, 60)]
+    items[0] = "word7"
+    texts = [prose(rng, words, 60) for _ in range(50)] + ["", None, "word7", "Word7!", "word7 and more words", items[1], items[2].upper()]
+    for d in range(0, 50, 2):
+        at, item = rng.randrange(50), items[3 + d % 5]
+        w = texts[d].split(" ")
+        texts[d] = " ".join([*w[:at], edited(rng, item, rng.choice([0, 0.1, 0.25])), *w[at:]])
+    texts += ["word7 " * 4] * 3
+    hashes = lambda t: [w for _, h, of in decontaminate._words(pa.array([t])) for w in [h]][0]
+    want = {}
+    for i, item in enumerate(items):
+        for d, text in enumerate(texts):
+            if text and len(hashes(text)):
+                score = decontaminate.align([hashes(text)], [hashes(item)])[0] / len(hashes(item))
+                # A common word alone is a leak only as the whole document; chance pairs of words are none.
+                if score >= 0.5 and (i or len(hashes(text)) == 1):
+                    want[d, i] = round(float(score), 6)
+    df = frame(spark, texts, extra=True)
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.find_leaks(df, spark.createDataFrame([*enumerate(items)], "item_id long, text string")).collect()}
+    assert {(52, 0), (53, 0)} <= set(got) and (54, 0) not in got
+    short = {k for k in want if k[1] in (1, 2)}  # one shared word is half of two or three words, but no seed
+    assert {k: want[k] for k in set(want) - short} == {k: x for k, x in got.items() if k[1] not in (1, 2)}
+    assert set(got) & short >= {(55, 1), (56, 2)} and all(got[k] == want[k] for k in set(got) & short)
+
+
+def test_repeated_and_null_ids_in_decontamination(spark):
+    leak = "seven quick words that leak from tests"
+    rows = [(1, leak), (1, "x " + leak), (None, leak), (None, "clean"), (2, "clean too"), (2, "clean too")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS score", "2 AS item_id")
+    bench = spark.createDataFrame([(0, leak), (0, leak), (None, "seven quick words that leak")], "item_id long, text string")
+    found = {(r.doc_id, r.item_id, r.first_word) for r in decontaminate.find_leaks(df, bench).collect()}
+    assert found == {(1, 0, 0), (None, 0, 0), (1, None, 0), (None, None, 0)}
+    kept = decontaminate.keep_clean(df, bench)
+    assert kept.columns == df.columns and sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "clean"), (2, "clean too"), (2, "clean too")]
+
+
 def test_alignment_scores_against_plain_smith_waterman():
     rng = np.random.default_rng(1)
     pairs = [(rng.integers(0, 4, rng.integers(1, 12)).astype(np.uint64), rng.integers(0, 4, rng.integers(1, 9)).astype(np.uint64)) for _ in range(60)]
@@ -530,3 +707,15 @@ def test_alignment_scores_against_plain_smith_waterman():
 
     got = decontaminate.align([a for a, _ in pairs], [b for _, b in pairs])
     assert np.allclose(got, [plain(a, b) for a, b in pairs])
+
+
+@given(st.integers(0, 10**6), st.integers(100, 6000), st.integers(0, 400))
+@settings(max_examples=60, deadline=None)
+def test_count_vectors_do_not_enlarge_differences(seed, size, changes):
+    rng = np.random.default_rng(seed)
+    a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2))
+    b = np.unique(np.concatenate((a[changes:], rng.integers(0, 1 << 63, changes * 2).astype(np.uint64))))
+    if len(a) and len(b):
+        one, two = jaccard_join._vectors_of([jaccard_join.count_vector(a), jaccard_join.count_vector(b)])
+        assert np.abs(one - two).sum() <= len(np.setxor1d(a, b)) and one.sum() == len(a) and two.sum() == len(b)
+        assert (jaccard_join._vectors_of([jaccard_join._packed(np.array([0, 300])), jaccard_join._packed(np.array([70000, 1, 2, 3]))]) == [[0, 300], [70001, 5]]).all()
