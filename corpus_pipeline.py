@@ -36,7 +36,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, with the end id, of every document that is left, in ``token_ids``; their text in ``decoded``."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return sentencepiece_codec.decode_ids(sentencepiece_codec.encode_ids(docs, model), model)
+    return sentencepiece_codec.encode_and_decode(docs, model)
 
 
 STAGES = [
