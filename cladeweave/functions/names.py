@@ -112,8 +112,8 @@ def is_accepted_name(c: str | Column, compat: bool = False) -> Column:
 
 
 def standardize_taxon(c: str | Column) -> Column:
-    """Trimmed name with white space and repeated ``_`` as single ``_``."""
-    return F.regexp_replace(F.regexp_replace(F.trim(_col(c)), r"\s+", "_"), "_+", "_")
+    """Name with runs of white space, dashes and ``_`` as single ``_``, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(_col(c), r"[\s_-]+", "_"), "^_|_$", "")
 
 
 def genus_of(c: str | Column) -> Column:
@@ -145,7 +145,10 @@ def excluded_record(title: str | Column, organism: str | Column, keywords: str |
 
 
 def unique_in_order(value: str | Column, order: str | Column, sep: str) -> Column:
-    """Aggregate: distinct non-null values in order of first appearance, joined."""
+    """Aggregate: distinct non-null values in order of first appearance, joined.
+
+    It collects the rows of a group: combine them to the first row of each value before.
+    """
     pairs = F.sort_array(F.collect_list(F.when(_col(value).isNotNull(), F.struct(_col(order).alias("o"), _col(value).cast("string").alias("v")))))
     return F.array_join(F.array_distinct(F.transform(pairs, lambda p: p["v"])), sep)
 

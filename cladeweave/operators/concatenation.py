@@ -28,7 +28,7 @@ def supermatrix(aln: DataFrame, ranges: DataFrame) -> DataFrame:
 
     The cross product is the result itself: taxa times the (short) table of markers.
     """
-    grid = aln.select("name").distinct().crossJoin(F.broadcast(ranges))
+    grid = aln.select("name").distinct().crossJoin(ranges)
     first = aln.groupBy("marker", "name").agg(F.min_by("seq", "ord").alias("seq"))
     width = F.col("end") - F.col("start") + 1
     cells = grid.join(first, ["marker", "name"], "left").select("name", "start", F.rpad(F.coalesce("seq", F.lit("")), width.cast("int"), F.lit("-")).alias("seq"))

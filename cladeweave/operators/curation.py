@@ -5,7 +5,7 @@ Members are rows ``cluster_id, sid, species, parent, ord``; ``ord`` is the order
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeweave.functions import names
@@ -20,32 +20,36 @@ def large_clusters(members: DataFrame, min_species: int, strict: bool = True) ->
 
 
 def accession_conflicts(members: DataFrame) -> DataFrame:
-    """Accessions with more than one row: number of rows, clusters and species in input order."""
-    return (
-        members.groupBy("sid")
-        .agg(F.count("*").alias("n_clusters"), names.unique_in_order("cluster_id", "ord", ",").alias("clusters"), names.unique_in_order("species", "ord", ",").alias("species"))
-        .where("n_clusters > 1")
-    )
+    """Accessions with more than one row: number of rows, clusters and species in input order.
+
+    Rows are first combined by (accession, cluster, species), so lists hold distinct values only.
+    """
+    pairs = members.groupBy("sid", "cluster_id", "species").agg(F.count("*").alias("n"), F.min("ord").alias("ord"))
+    out = pairs.groupBy("sid").agg(F.sum("n").alias("n_clusters"), names.unique_in_order("cluster_id", "ord", ",").alias("clusters"), names.unique_in_order("species", "ord", ",").alias("species"))
+    return out.where("n_clusters > 1")
+
+
+def _rules(members: DataFrame, preferred: str = "") -> DataFrame:
+    """Per accession with more than one row: whether any has the preferred parent, and the smallest cluster."""
+    counts = members.groupBy("sid").agg(F.count("*").alias("_n"), F.max(F.coalesce(F.col("parent") == preferred, F.lit(False))).alias("_any"), F.min("cluster_id").alias("_first"))
+    return counts.where("_n > 1").drop("_n")
 
 
 def conflicting_members(members: DataFrame) -> DataFrame:
     """Rows whose accession occurs more than once."""
-    n = F.count("*").over(Window.partitionBy("sid"))
-    return members.withColumn("_n", n).where("_n > 1").drop("_n")
+    return members.join(_rules(members).select("sid"), "sid", "left_semi").select(*members.columns)
 
 
 def keep_preferred_parent(members: DataFrame, preferred: str) -> DataFrame:
     """Ingroup rule: rows of the preferred parent if an accession has any, else its smallest cluster."""
-    w = Window.partitionBy("sid")
-    preferred_row = F.coalesce(F.col("parent") == preferred, F.lit(False))
-    keep = F.when(F.max(preferred_row).over(w), preferred_row).otherwise(F.col("cluster_id") == F.min("cluster_id").over(w))
-    return conflicting_members(members).withColumn("_keep", keep).where("_keep").select("cluster_id", "sid").distinct()
+    chosen = F.when(F.col("_any"), F.coalesce(F.col("parent") == preferred, F.lit(False))).otherwise(F.col("cluster_id") == F.col("_first"))
+    return members.join(_rules(members, preferred), "sid").where(chosen).select("cluster_id", "sid").distinct()
 
 
 def keep_first_ranked(members: DataFrame, preferred: str) -> DataFrame:
     """Outgroup rule: exactly one row for each accession, preferred parent first, then cluster."""
     rank = F.when(F.col("parent") == preferred, 0).otherwise(1)
-    best = conflicting_members(members).groupBy("sid").agg(F.min(F.struct(rank.alias("r"), F.col("cluster_id"))).alias("b"))
+    best = members.groupBy("sid").agg(F.count("*").alias("n"), F.min(F.struct(rank.alias("r"), F.col("cluster_id"))).alias("b")).where("n > 1")
     return best.select(F.col("b.cluster_id").alias("cluster_id"), "sid")
 
 
@@ -89,7 +93,8 @@ def cluster_markers(df: DataFrame) -> DataFrame:
 
 def species_clusters(df: DataFrame) -> DataFrame:
     """Per species: clusters in order, number of clusters."""
-    return df.groupBy("species").agg(names.unique_in_order("cluster_id", "ord", ",").alias("clusters"), F.countDistinct("cluster_id").alias("n_clusters"))
+    pairs = df.groupBy("species", "cluster_id").agg(F.min("ord").alias("ord"))
+    return pairs.groupBy("species").agg(names.unique_in_order("cluster_id", "ord", ",").alias("clusters"), F.count("cluster_id").alias("n_clusters"))
 
 
 def accession_matrix(df: DataFrame, clusters: list[int]) -> DataFrame:
@@ -98,13 +103,12 @@ def accession_matrix(df: DataFrame, clusters: list[int]) -> DataFrame:
     return wide.select("species", *(F.coalesce(F.col(str(c)), F.lit("")).alias(f"cid_{c}") for c in clusters))
 
 
-def cluster_counts(matrix: DataFrame, deleted: DataFrame, kept: DataFrame) -> DataFrame:
-    """Original, removed and final numbers for each cluster column of an accession matrix."""
-    columns = [c for c in matrix.columns if c.startswith("cid_")]
-    long = matrix.unpivot("species", columns, "cid", "sid").where("sid != ''")
-    n_original = long.groupBy(F.substring("cid", 5, 9).cast("int").alias("cluster_id")).agg(F.count("*").alias("n_original"))
+def cluster_counts(members: DataFrame, deleted: DataFrame) -> DataFrame:
+    """Per cluster: species with an accession, deleted rows, and rows that are left."""
+    pairs = members.where("sid != ''").groupBy("cluster_id", "species").agg(F.lit(1).alias("one"))
+    n_original = pairs.groupBy("cluster_id").agg(F.count("*").alias("n_original"))
     n_removed = deleted.groupBy("cluster_id").agg(F.count("*").alias("n_removed"))
-    n_final = kept.groupBy("cluster_id").agg(F.count("*").alias("n_final"))
+    n_final = without(members, deleted).groupBy("cluster_id").agg(F.count("*").alias("n_final"))
     out = n_original.join(n_removed, "cluster_id", "left").join(n_final, "cluster_id", "left")
     return out.select("cluster_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_original", "n_removed", "n_final")))
 

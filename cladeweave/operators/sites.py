@@ -84,16 +84,22 @@ def stage_stats(aln: DataFrame) -> DataFrame:
     )
 
 
-def _rebuild(cells: DataFrame) -> DataFrame:
-    ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "base"))), lambda c: c["base"]), "")
-    return cells.groupBy("marker", "name", "ord").agg(ordered.alias("seq"))
+def _keep_columns(aln: DataFrame, sites: DataFrame) -> DataFrame:
+    """Alignments with only the columns that ``sites(marker, pos, keep)`` keeps.
+
+    A marker's columns are one row, an array of flags, that meets its sequences; cells are not shuffled,
+    and sequences with equal, repeated or missing names stay apart.
+    """
+    flags = F.transform(F.sort_array(F.collect_list(F.struct("pos", "keep"))), lambda c: c["keep"])
+    masks = sites.groupBy("marker").agg(flags.alias("_mask"))
+    cells = F.zip_with(F.split(F.upper("seq"), ""), "_mask", lambda base, keep: F.when(keep, base).otherwise(""))
+    return aln.join(masks, "marker", "left").select("marker", "name", "ord", F.coalesce(F.array_join(cells, ""), F.lit("")).alias("seq"))
 
 
 def drop_common_gaps(aln: DataFrame) -> DataFrame:
     """Alignments without the columns that are gaps in all rows."""
-    kept = base_counts(aln).where("base != '-'").select("marker", "pos").distinct()
-    cells = explode_sites(aln, "name", "ord").join(kept, ["marker", "pos"], "left_semi")
-    return aln.select("marker", "name", "ord").join(_rebuild(cells), ["marker", "name", "ord"], "left").withColumn("seq", F.coalesce("seq", F.lit("")))
+    held = F.max(F.col("base") != "-").alias("keep")
+    return _keep_columns(aln, base_counts(aln).groupBy("marker", "pos").agg(held))
 
 
 def mask_columns(aln: DataFrame, max_gaps: float = 0.8, min_information: float = 0.2) -> DataFrame:
@@ -105,9 +111,8 @@ def mask_columns(aln: DataFrame, max_gaps: float = 0.8, min_information: float =
     sites = _by_site(base_counts(aln), F.col("base").isin("A", "C", "G", "T"))
     bits = (F.log("valid") - F.col("nlogn") / F.col("valid")) / F.log(F.lit(2.0))
     information = 2 - bits - 3 / (2 * F.log(F.lit(2.0)) * F.col("valid"))
-    kept = sites.where((F.col("gaps") / F.col("cells") <= max_gaps) & (F.col("valid") > 0) & (information >= min_information)).select("marker", "pos")
-    cells = explode_sites(aln, "name", "ord").join(kept, ["marker", "pos"], "left_semi")
-    return aln.select("marker", "name", "ord").join(_rebuild(cells), ["marker", "name", "ord"], "left").withColumn("seq", F.coalesce("seq", F.lit("")))
+    keep = (F.col("gaps") / F.col("cells") <= max_gaps) & (F.col("valid") > 0) & (information >= min_information)
+    return _keep_columns(aln, sites.select("marker", "pos", F.coalesce(keep, F.lit(False)).alias("keep")))
 
 
 def filter_sequences(aln: DataFrame, min_non_gap: float = 0.3, max_missing: float = 0.3) -> DataFrame:
@@ -125,8 +130,11 @@ def filter_sequences(aln: DataFrame, min_non_gap: float = 0.3, max_missing: floa
 STAGES = ("raw_input", "mafft_aligned", "common_gap_removed", "masked_alignment", "final_filtered")
 
 
-def manifest(stages: DataFrame, filtered: DataFrame) -> DataFrame:
-    """One wide row for each marker from ``stage`` rows of ``stage_stats`` and the filter log."""
+def manifest(stages: DataFrame, filtered: DataFrame, masking: bool | None = None) -> DataFrame:
+    """One wide row for each marker from ``stage`` rows of ``stage_stats`` and the filter log.
+
+    ``masking`` says whether masking was asked for; if not given, a missing masked stage says that it was not.
+    """
     values = {"n_sequences": "n_sequences", "alignment_length": "max_sequence_length", "mean_fraction_missing": "mean_fraction_missing", "mean_fraction_gaps": "mean_fraction_gaps"}
     wide = stages.groupBy("marker").pivot("stage", list(STAGES)).agg(*(F.first(c, True).alias(n) for n, c in values.items()))
     wide = wide.select("marker", *(F.col(f"{s}_{n}").alias(f"{n}_{s}") for n in values for s in STAGES))
@@ -136,6 +144,7 @@ def manifest(stages: DataFrame, filtered: DataFrame) -> DataFrame:
     raw, aligned, common, masked, final = STAGES
     share = lambda a, b: a / F.when(b > 0, b)
     zero = lambda x: F.coalesce(x, F.lit(0))
+    applied = c(n, masked).isNotNull() if masking is None else F.lit(masking)
     return wide.join(log, "marker", "left").select(
         *wide.columns,
         (c(n, raw) - c(n, final)).alias("n_sequences_removed_total"), zero(F.col("_low")).alias("n_sequences_removed_low_coverage"),
@@ -144,17 +153,30 @@ def manifest(stages: DataFrame, filtered: DataFrame) -> DataFrame:
         share(c(n, aligned), c(n, raw)).alias("pct_sequences_retained_after_mafft"), share(c(n, common), c(n, raw)).alias("pct_sequences_retained_after_common_gap_removal"),
         share(c(n, masked), c(n, raw)).alias("pct_sequences_retained_after_masking"), share(c(n, final), c(n, raw)).alias("pct_sequences_retained_final"),
         share(c(w, common), c(w, aligned)).alias("pct_sites_retained_after_common_gap_removal"), share(c(w, masked), c(w, aligned)).alias("pct_sites_retained_after_masking"), share(c(w, final), c(w, aligned)).alias("pct_sites_retained_final_vs_mafft"),
-        c(n, masked).isNotNull().alias("masking_applied"), (zero(c(n, final)) > 0).alias("final_alignment_written"),
-        F.when(zero(c(n, final)) == 0, "ZERO_RETAINED").when(c(n, masked).isNull(), "OK_NO_MASK").otherwise("OK").alias("status"),
+        applied.alias("masking_applied"), (zero(c(n, final)) > 0).alias("final_alignment_written"),
+        F.when(zero(c(n, final)) == 0, "ZERO_RETAINED").when(~applied, "OK_NO_MASK").otherwise("OK").alias("status"),
     )
 
 
-def resample_columns(aln: DataFrame, replicates: int) -> DataFrame:
-    """Bootstrap replicates: as many columns as the marker has, drawn with replacement.
+def bootstrap_columns(aln: DataFrame, replicates: int, seed: int = 111) -> DataFrame:
+    """``marker, replicate, columns``: as many columns as the marker has, drawn with replacement.
 
-    Draws come from an integer generator over (column, replicate), the same on every engine.
+    A draw is the MD5 of ``seed:replicate:marker:k`` (its first 60 bits) modulo the width, so that draws
+    are independent of each other and the same on every engine.
     """
-    n = F.length("seq")
-    draws = F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda k: F.substr("seq", ((k * 1103515245 + F.col("replicate") * 12345 + 7) % n + 1).cast("int"), F.lit(1)))
-    reps = aln.where(n > 0).select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    return reps.select("replicate", "marker", "name", F.array_join(draws, "").alias("seq"))
+    widths = aln.groupBy("marker").agg(F.max(F.length("seq")).cast("long").alias("w")).where("w > 0")
+    reps = widths.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    name = F.concat_ws(":", F.lit(seed), "replicate", F.coalesce("marker", F.lit("")))
+    draw = lambda k: F.conv(F.substring(F.md5(F.concat_ws(":", name, k)), 1, 15), 16, 10).cast("long")
+    return reps.select("marker", "replicate", F.transform(F.sequence(F.lit(1).cast("long"), "w"), lambda k: (draw(k) % F.col("w") + 1).cast("int")).alias("columns"))
+
+
+def resample_columns(aln: DataFrame, replicates: int, seed: int = 111) -> DataFrame:
+    """Bootstrap replicates: the drawn columns of every sequence; all sequences of a marker share the draws.
+
+    Sequences shorter than their marker count as ending in gaps; empty markers give no rows.
+    """
+    draws = bootstrap_columns(aln, replicates, seed)
+    cells = F.transform("columns", lambda p: F.substr("seq", p, F.lit(1)))
+    full = aln.where("seq IS NOT NULL").join(draws, aln["marker"].eqNullSafe(draws["marker"])).drop(draws["marker"]).withColumn("seq", F.rpad("seq", F.size("columns"), F.lit("-")))
+    return full.select("replicate", "marker", "name", "ord", F.array_join(cells, "").alias("seq"))

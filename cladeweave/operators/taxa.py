@@ -95,6 +95,40 @@ def comparison_sets(tips: DataFrame, trees: list[str], main: list[str]) -> DataF
     return a1.unionByName(a2).unionByName(a3).unionByName(a4)
 
 
+#: The four analyses: name, label, unit.
+ANALYSES = {
+    "A1": ("Shared species across all trees", "species"),
+    "A2": ("Shared species across the main trees", "species"),
+    "A3": ("All species within genera shared across all trees", "species_within_shared_genera"),
+    "A4": ("One representative per shared genus across all trees", "shared_genera_operational_terminals"),
+}
+
+
+def analysis_tips(tips: DataFrame, trees: list[str], main: list[str]) -> DataFrame:
+    """``analysis_id, tree, label, taxon``: tips of each analysis by their label in the tree and their name in it.
+
+    They differ in the last analysis, where a genus names its representative species.
+    """
+    sets = comparison_sets(tips, trees, main)
+    named = genus_representatives(tips, shared_genera(tips, len(trees)))
+    same = sets.where("analysis_id != 'A4'").select("analysis_id", "tree", F.col("taxon").alias("label"), "taxon")
+    return same.unionByName(named.select(F.lit("A4").alias("analysis_id"), "tree", F.col("representative").alias("label"), F.col("genus").alias("taxon")))
+
+
+def set_differences(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``side, taxon``: taxa that only one of two tip sets has; no rows if the sets are equal."""
+    a, b = left.select("taxon").distinct(), right.select("taxon").distinct()
+    only = lambda x, y, side: x.join(y, "taxon", "left_anti").select(F.lit(side).alias("side"), "taxon")
+    return only(a, b, "left").unionByName(only(b, a, "right"))
+
+
+def require_equal_sets(left: DataFrame, right: DataFrame, what: str = "constraint and alignment", shown: int = 10) -> None:
+    """Raise ``ValueError`` that names some taxa unless both have the same tips."""
+    found = set_differences(left, right).orderBy("side", "taxon").limit(shown).collect()
+    if found:
+        raise ValueError(f"tips of {what} differ: " + ", ".join(f"{r.taxon} (only {r.side})" for r in found))
+
+
 def clade_audit(alignment: DataFrame, constraints: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Taxa of an alignment that no constraint has, and species in more than one clade."""
     absent = alignment.select("taxon").distinct().join(constraints.select("taxon"), "taxon", "left_anti")

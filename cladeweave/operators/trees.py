@@ -3,7 +3,8 @@
 A tree is rows ``tree_id, node_id, parent_id, label, branch_length, support, is_tip``.  Depths and
 ancestor closures are iterative joins that double the distance covered, so the number of rounds is
 logarithmic in the number of levels; many replicate trees are handled by the same plans, keyed on
-``tree_id``.  Splits are unrooted and non-trivial: the side without the reference (smallest) tip.
+``tree_id``.  Splits are unrooted and non-trivial: the side without the reference (smallest) tip.  They
+are made of one tree in one Arrow task, as bit sets over numbered tips; names come back only for output.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeweave.operators.lineage import cut
@@ -63,42 +64,127 @@ def tips_below(nodes: DataFrame, closure: DataFrame | None = None) -> DataFrame:
     return closure.join(tips, KEY).select("tree_id", F.col("ancestor_id").alias("node_id"), "tip")
 
 
+def _masks(node: list, parent: list, tip: list) -> list[int]:
+    """For each inner node the bits of the tips below; ``tip`` has a tip's place, else None (or -1 for a tip that does not count)."""
+    at = {n: k for k, n in enumerate(node)}
+    up = [at.get(p) if p is not None else None for p in parent]
+    waiting = [0] * len(node)
+    for u in up:
+        if u is not None:
+            waiting[u] += 1
+    below = [1 << t if t is not None and t >= 0 else 0 for t in tip]
+    ready = [k for k, w in enumerate(waiting) if not w]
+    while ready:
+        k = ready.pop()
+        if (u := up[k]) is not None:
+            below[u] |= below[k]
+            waiting[u] -= 1
+            if not waiting[u]:
+                ready.append(u)
+    return [below[k] for k, t in enumerate(tip) if t is None]
+
+
+def _split_set(masks: list[int], n: int) -> set[int]:
+    """Distinct non-trivial splits over ``n`` tips, each the side without the first tip."""
+    full = (1 << n) - 1
+    return {full ^ m if m & 1 else m for m in masks if 2 <= m.bit_count() <= n - 2}
+
+
+def _names_of(mask: int, names: list[str]) -> list[str]:
+    return [t for k, t in enumerate(names) if mask >> k & 1]
+
+
+def _columns_of(tree: pa.Table) -> tuple[list, list, list, list]:
+    return tuple(tree[c].to_pylist() for c in ("node_id", "parent_id", "label", "is_tip"))
+
+
 def splits(nodes: DataFrame, common: DataFrame | None = None) -> DataFrame:
     """``tree_id, split, size``: distinct non-trivial splits, each the sorted tips of one side.
 
     ``common`` (one column ``tip``) restricts all trees to those tips.
     """
-    below = tips_below(nodes)
+
+    def one(tree: pa.Table) -> pa.Table:
+        node, parent, label, is_tip = _columns_of(tree)
+        names = sorted({x for x, t in zip(label, is_tip, strict=True) if t})
+        place = {x: k for k, x in enumerate(names)}
+        found = sorted(_split_set(_masks(node, parent, [place[x] if t else None for x, t in zip(label, is_tip, strict=True)]), len(names)))
+        sides = [_names_of(m, names) for m in found]
+        tree_id = pa.array([tree["tree_id"][0].as_py()] * len(found), pa.string())
+        return pa.table([tree_id, pa.array([",".join(x) for x in sides], pa.string()), pa.array([len(x) for x in sides], pa.int32())], names=["tree_id", "split", "size"])
+
+    rows = nodes.select(F.col("tree_id").cast("string"), "node_id", "parent_id", "label", "is_tip")
     if common is not None:
-        below = below.join(common.select("tip"), "tip", "left_semi")
-    below = cut(below)  # read five times
-    every = below.groupBy("tree_id").agg(F.min("tip").alias("first"), F.countDistinct("tip").alias("n"))
-    sides = below.groupBy(*KEY).agg(F.array_sort(F.collect_set("tip")).alias("tips")).join(every, "tree_id")
-    inner = sides.where((F.size("tips") >= 2) & (F.size("tips") <= F.col("n") - 2))
-    has_first = F.array_contains("tips", F.col("first"))
-    whole = below.groupBy("tree_id").agg(F.array_sort(F.collect_set("tip")).alias("all_tips"))
-    side = F.when(has_first, F.array_except("all_tips", "tips")).otherwise(F.col("tips"))
-    return inner.join(whole, "tree_id").select("tree_id", F.array_join(side, ",").alias("split"), F.size(side).alias("size")).distinct()
+        rows = rows.where("NOT is_tip").unionByName(rows.where("is_tip").join(common.select(F.col("tip").alias("label")).distinct(), "label", "left_semi"))
+    return rows.groupBy("tree_id").applyInArrow(one, "tree_id string, split string, size int")
 
 
-def pairwise_rf(all_splits: DataFrame, order: DataFrame) -> DataFrame:
-    """Normalised Robinson-Foulds distances of all pairs; ``tree_1`` is the later tree.
+def split_bits(nodes: DataFrame, names: list[str]) -> DataFrame:
+    """``tree_id, bits``: the splits of every tree over the sorted tips ``names``, as little-endian bit sets."""
+    width = (len(names) + 7) // 8
 
-    ``order``: ``tree_id, ord`` of the trees.  Splits must be restricted to common tips.
-    """
-    sizes = order.join(all_splits.groupBy("tree_id").agg(F.count("*").alias("n")), "tree_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    a, b = all_splits.alias("a"), all_splits.alias("b")
-    shared = a.join(b, F.col("a.split") == F.col("b.split")).groupBy(F.col("a.tree_id").alias("tree_1"), F.col("b.tree_id").alias("tree_2")).agg(F.count("*").alias("shared"))
-    later, earlier = sizes.select(*(F.col(c).alias(f"{c}1") for c in sizes.columns)), sizes.select(*(F.col(c).alias(f"{c}2") for c in sizes.columns))
-    pairs = later.join(earlier, F.col("ord1") > F.col("ord2")).select(F.col("tree_id1").alias("tree_1"), F.col("tree_id2").alias("tree_2"), F.col("n1"), F.col("n2"))
-    common = F.coalesce("shared", F.lit(0))
-    total = F.col("n1") + F.col("n2")
-    return pairs.join(shared, ["tree_1", "tree_2"], "left").select("tree_1", "tree_2", F.when(total > 0, (total - 2 * common) / F.nullif(total, F.lit(0))).otherwise(0.0).alias("distance"))
+    def one(tree: pa.Table) -> pa.Table:
+        node, parent, label, is_tip = _columns_of(tree)
+        place = {x: k for k, x in enumerate(names)}
+        masks = _masks(node, parent, [place.get(x, -1) if t else None for x, t in zip(label, is_tip, strict=True)])
+        found = sorted(_split_set(masks, len(names)))
+        tree_id = pa.array([tree["tree_id"][0].as_py()] * len(found), pa.string())
+        return pa.table([tree_id, pa.array([m.to_bytes(width, "little") for m in found], pa.binary())], names=["tree_id", "bits"])
+
+    rows = nodes.select(F.col("tree_id").cast("string"), "node_id", "parent_id", "label", "is_tip")
+    return rows.groupBy("tree_id").applyInArrow(one, "tree_id string, bits binary")
 
 
-def common_tips(nodes: DataFrame, trees: int) -> DataFrame:
-    """``tip``: labels in all ``trees`` trees."""
-    return nodes.where("is_tip").groupBy(F.col("label").alias("tip")).agg(F.countDistinct("tree_id").alias("n")).where(F.col("n") == trees).select("tip")
+def tip_names(nodes: DataFrame) -> list[str]:
+    """Sorted distinct tip labels of one tree (they are as many as the tree's rows at most)."""
+    return [r[0] for r in nodes.where("is_tip").select("label").distinct().orderBy("label").collect()]
+
+
+def pairwise_distances(nodes: DataFrame, sets: DataFrame, order: DataFrame, dpi: bool = True) -> DataFrame:
+    """``analysis_id, tree_1, tree_2, n_common_tips, rf, dpi`` of all pairs of trees of each analysis.
+
+    ``sets``: ``analysis_id, tree, label, taxon``: the tips of a tree that an analysis keeps, by label, and
+    the name that it gives them; ``order``: ``tree_id, ord``.  Every pair is compared on its own common
+    names; distances are null below three of them, and zero if neither tree then has a split.  ``tree_1``
+    is the later tree.  A pair of trees is one row and one task's work.
+    """
+    node = F.struct("node_id", "parent_id", "label", "is_tip")
+    tree = nodes.groupBy(F.col("tree_id").cast("string").alias("tree")).agg(F.collect_list(node).alias("nodes"))
+    kept = sets.groupBy("analysis_id", F.col("tree").cast("string").alias("tree")).agg(F.collect_set(F.struct("label", "taxon")).alias("tips"))
+    rows = cut(kept.join(tree, "tree").join(order.select(F.col("tree_id").cast("string").alias("tree"), "ord"), "tree"))
+    x, y = (rows.select(*(F.col(c).alias(f"{c}_{k}" if c != "analysis_id" else c) for c in rows.columns)) for k in (1, 2))
+    pairs = x.join(y, "analysis_id").where("ord_1 > ord_2").select("analysis_id", "tree_1", "tree_2", "nodes_1", "tips_1", "nodes_2", "tips_2")
+
+    def split_set(nodes: list[dict], tips: list[dict], names: list[str]) -> set[int]:
+        place = {x: k for k, x in enumerate(names)}
+        known = {t["label"]: place[t["taxon"]] for t in tips if t["taxon"] in place}
+        tip = [known.get(n["label"], -1) if n["is_tip"] else None for n in nodes]
+        return _split_set(_masks([n["node_id"] for n in nodes], [n["parent_id"] for n in nodes], tip), len(names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                r = b.slice(k, 1).to_pylist()[0]
+                names = sorted({t["taxon"] for t in r["tips_1"]} & {t["taxon"] for t in r["tips_2"]})
+                rf = info = None
+                if len(names) >= 3:
+                    one, two = (split_set(r[f"nodes_{i}"], r[f"tips_{i}"], names) for i in (1, 2))
+                    total = len(one) + len(two)
+                    rf = (total - 2 * len(one & two)) / total if total else 0.0
+                    info = phylogenetic_information_distance(*(_bit_rows(sorted(m), len(names)) for m in (one, two))) if dpi else None
+                yield pa.record_batch(
+                    [pa.array([r["analysis_id"]], pa.string()), pa.array([r["tree_1"]], pa.string()), pa.array([r["tree_2"]], pa.string()), pa.array([len(names)], pa.int64()), pa.array([rf], pa.float64()), pa.array([info], pa.float64())],
+                    names=["analysis_id", "tree_1", "tree_2", "n_common_tips", "rf", "dpi"],
+                )
+
+    return pairs.repartition("analysis_id", "tree_1", "tree_2").mapInArrow(run, "analysis_id string, tree_1 string, tree_2 string, n_common_tips long, rf double, dpi double")
+
+
+def rename_tips(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """Trees whose tips are the ``names(tree_id, label, taxon)``: other tips go, and labels become taxa."""
+    kept = prune(nodes, names.select("tree_id", F.col("label").alias("tip")))
+    renamed = kept.join(names.select("tree_id", "label", "taxon"), ["tree_id", "label"], "left")
+    return renamed.withColumn("label", F.when(F.col("is_tip"), F.col("taxon")).otherwise(F.col("label"))).select(*kept.columns)
 
 
 def group_nodes(nodes: DataFrame, groups: DataFrame, min_tips: int = 2) -> DataFrame:
@@ -146,18 +232,24 @@ def axis_breaks(depths: DataFrame, by: float = 5.0) -> DataFrame:
     return depths.select("tree_id", "max_depth", steps.alias("k")).select("tree_id", (F.col("k") * by).alias("age"), (F.col("max_depth") - F.col("k") * by).alias("x"))
 
 
-def reroot(nodes: DataFrame, outgroup: list[str]) -> DataFrame:
-    """Trees rooted on the edge above the common ancestor of their outgroup tips.
+def reroot(nodes: DataFrame, outgroup: list[str] | DataFrame) -> DataFrame:
+    """Trees rooted on the edge above the common ancestor of their outgroup tips (a list, or a column of tips).
 
     Trees without any outgroup tip, or in which the outgroup spans the root, stay as they are.  Whole
     trees are handled in a task each; ``note`` says what happened.
     """
     import pandas as pd
 
+    if isinstance(outgroup, list):
+        outgroup = nodes.sparkSession.createDataFrame([(x,) for x in outgroup], "label string")
+    marks = outgroup.toDF("label").distinct().withColumn("is_outgroup", F.lit(True))
+    nodes = nodes.join(marks, "label", "left").withColumn("is_outgroup", F.coalesce("is_outgroup", F.lit(False)) & F.col("is_tip"))
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         parent = {k: None if pd.isna(v) else int(v) for k, v in zip(pdf.node_id, pdf.parent_id, strict=True)}
         length = dict(zip(pdf.node_id, pdf.branch_length, strict=True))
-        out = [n for n, t, lab in zip(pdf.node_id, pdf.is_tip, pdf.label, strict=True) if t and lab in outgroup]
+        out = [n for n, t in zip(pdf.node_id, pdf.is_outgroup, strict=True) if t]
+        pdf = pdf.drop(columns="is_outgroup")
         if not out:
             return pdf.assign(note="outgroup absent")
 
@@ -184,18 +276,19 @@ def reroot(nodes: DataFrame, outgroup: list[str]) -> DataFrame:
         return both.assign(parent_id=both.parent_id.astype("Int64"))
 
     schema = "tree_id string, node_id long, parent_id long, label string, branch_length double, support double, is_tip boolean, note string"
-    typed = nodes.select(F.col("tree_id").cast("string"), F.col("node_id").cast("long"), F.col("parent_id").cast("long"), "label", F.col("branch_length").cast("double"), F.col("support").cast("double"), "is_tip")
+    typed = nodes.select(F.col("tree_id").cast("string"), F.col("node_id").cast("long"), F.col("parent_id").cast("long"), "label", F.col("branch_length").cast("double"), F.col("support").cast("double"), "is_tip", "is_outgroup")
     return typed.groupBy("tree_id").applyInPandas(one, schema)
 
 
 def prune(nodes: DataFrame, keep: DataFrame) -> DataFrame:
-    """Trees restricted to tips in ``keep(tip)``; nodes left with one child are merged into it.
+    """Trees restricted to tips in ``keep(tip)`` or ``keep(tree_id, tip)``; nodes left with one child are merged into it.
 
     Works on closures: kept nodes are tips and nodes with two or more kept children lineages, and each
     hangs on its nearest kept ancestor, with the lengths between summed.
     """
     closure = cut(ancestors(nodes))
-    tips = nodes.where("is_tip").join(keep.select(F.col("tip").alias("label")).distinct(), "label", "left_semi").select(*KEY)
+    by = ["tree_id", "label"] if "tree_id" in keep.columns else ["label"]
+    tips = nodes.where("is_tip").join(keep.withColumnRenamed("tip", "label").select(*by).distinct(), by, "left_semi").select(*KEY)
     alive = closure.join(tips, KEY, "left_semi").select("tree_id", F.col("ancestor_id").alias("node_id")).distinct()
     children = nodes.join(alive, KEY, "left_semi").where("parent_id IS NOT NULL").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("k"))
     kept = children.where("k >= 2").select(*KEY).union(tips).distinct()
@@ -280,31 +373,10 @@ def phylogenetic_information_distance(one: np.ndarray, two: np.ndarray) -> float
     return float((total - 2 * best) / total)
 
 
-def _matrix(split_lists: list[str], tips: list[str]) -> np.ndarray:
-    place = {t: k for k, t in enumerate(tips)}
-    out = np.zeros((len(split_lists), len(tips)), dtype=np.uint8)
-    for r, s in enumerate(split_lists):
-        out[r, [place[t] for t in s.split(",")]] = 1
-    return out
-
-
-def pairwise_dpi(all_splits: DataFrame, order: DataFrame, common: DataFrame) -> DataFrame:
-    """Phylogenetic-information distances of all pairs; each pair of trees is one task's work.
-
-    A row for each tree carries its splits and, as tips are common, the same list of tips.
-    """
-    tips = common.agg(F.array_sort(F.collect_set("tip")).alias("tips"))
-    trees = order.join(all_splits.groupBy("tree_id").agg(F.array_sort(F.collect_list("split")).alias("splits")), "tree_id", "left").withColumn("splits", F.coalesce("splits", F.array().cast("array<string>")))
-    x, y = trees.select(*(F.col(c).alias(f"{c}1") for c in trees.columns)), trees.select(*(F.col(c).alias(f"{c}2") for c in trees.columns))
-    pairs = x.join(y, F.col("ord1") > F.col("ord2")).crossJoin(F.broadcast(tips))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = b.to_pylist()
-            d = [phylogenetic_information_distance(_matrix(r["splits1"], r["tips"]), _matrix(r["splits2"], r["tips"])) for r in rows]
-            yield pa.record_batch([pa.array([r["tree_id1"] for r in rows], pa.string()), pa.array([r["tree_id2"] for r in rows], pa.string()), pa.array(d, pa.float64())], names=["tree_1", "tree_2", "distance"])
-
-    return pairs.repartition("tree_id1", "tree_id2").mapInArrow(run, "tree_1 string, tree_2 string, distance double")
+def _bit_rows(masks: list[int], n: int) -> np.ndarray:
+    """0/1 rows of bit sets over ``n`` tips."""
+    raw = b"".join(m.to_bytes((n + 7) // 8, "little") for m in masks)
+    return np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(masks), -1), axis=1, count=n, bitorder="little") if masks else np.zeros((0, n), np.uint8)
 
 
 def tree_space(distances: DataFrame) -> DataFrame:
@@ -331,53 +403,86 @@ def tree_space(distances: DataFrame) -> DataFrame:
     return spark.createDataFrame([(t, float(p[0]), float(p[1])) for t, p in zip(trees, points, strict=True)], schema)
 
 
-def support_fbp(reference: DataFrame, replicates: DataFrame) -> DataFrame:
-    """Share of replicate trees that have each split of the reference tree."""
-    n = replicates.agg(F.countDistinct("tree_id").alias("n"))
-    hits = replicates.select("tree_id", "split").distinct().groupBy("split").agg(F.count("*").alias("hits"))
-    out = reference.select("split", "size").join(hits, "split", "left").crossJoin(F.broadcast(n))
-    return out.select("split", "size", (F.coalesce("hits", F.lit(0)) / F.col("n")).alias("support"))
+def _reference_splits(reference: DataFrame) -> tuple[list[str], list[int]]:
+    """The tips of the reference tree and its splits; both are as many as the tree's rows at most."""
+    names = tip_names(reference)
+    return names, sorted(int.from_bytes(bytes(r[0]), "little") for r in split_bits(reference, names).select("bits").collect())
 
 
-def support_tbe(reference: DataFrame, replicates: DataFrame, tips: DataFrame) -> DataFrame:
-    """Transfer support: 1 - mean over replicates of the least transfer distance / (p - 1).
+def support_fbp(reference: DataFrame, replicates: DataFrame) -> DataFrame:
+    """``split, size, support``: share of replicate trees (nodes) that have each split of the reference tree (nodes).
 
-    Replicates are spread over tasks, and each task holds the reference splits and one replicate as 0/1
-    matrices; only sums for each reference split are shuffled.
+    Replicates count on the tips of the reference; their splits are counted by bit set, combined before
+    they are shuffled.
     """
     spark = reference.sparkSession
-    names = [r[0] for r in tips.select("tip").distinct().orderBy("tip").collect()]
-    wanted = [r[0] for r in reference.select("split").distinct().orderBy("split").collect()]
-    sent = spark.sparkContext.broadcast((names, wanted))
-    grouped = replicates.groupBy("tree_id").agg(F.collect_list("split").alias("splits"))
+    names, wanted = _reference_splits(reference)
+    width = (len(names) + 7) // 8
+    rows = [(m.to_bytes(width, "little"), ",".join(_names_of(m, names)), m.bit_count()) for m in wanted]
+    known = spark.createDataFrame(rows, "bits binary, split string, size int")
+    n = replicates.agg(F.countDistinct("tree_id").alias("n"))
+    hits = split_bits(replicates, names).groupBy("bits").agg(F.count("*").alias("hits"))
+    out = known.join(hits, "bits", "left").crossJoin(n)
+    return out.select("split", "size", (F.coalesce("hits", F.lit(0)) / F.nullif("n", F.lit(0))).alias("support"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, wanted = sent.value
-        ref = _matrix(wanted, names).astype(np.int32)
-        size = ref.sum(axis=1)
-        p = np.minimum(size, len(names) - size)
-        for b in batches:
-            for splits in b.column(0).to_pylist():
-                rep = _matrix(splits, names).astype(np.int32)
-                apart = size[:, None] + rep.sum(axis=1)[None, :] - 2 * (ref @ rep.T)
-                least = np.minimum(np.minimum(apart, len(names) - apart).min(axis=1), p - 1) if len(splits) else p - 1
-                yield pa.record_batch([pa.array(wanted), pa.array(1 - least / (p - 1))], names=["split", "t"])
 
-    sums = grouped.select("splits").mapInArrow(run, "split string, t double").groupBy("split").agg(F.avg("t").alias("support"))
-    return reference.select("split", "size").join(sums, "split")
+def support_tbe(reference: DataFrame, replicates: DataFrame) -> DataFrame:
+    """``split, size, support``: transfer support, 1 - mean over replicates of the least transfer distance / (p - 1).
 
+    ``p`` is the smaller side of the split.  Replicates are spread over tasks, each of which compares the
+    reference's splits with one replicate as 0/1 matrices; only sums for each split are shuffled.
+    """
+    names, wanted = _reference_splits(reference)
+    n = len(names)
+
+    def one(tree: pa.Table) -> pa.Table:
+        node, parent, label, is_tip = _columns_of(tree)
+        place = {x: k for k, x in enumerate(names)}
+        rep = _split_set(_masks(node, parent, [place.get(x, -1) if t else None for x, t in zip(label, is_tip, strict=True)]), n)
+        ref, other = _bit_rows(wanted, n).astype(np.int32), _bit_rows(sorted(rep), n).astype(np.int32)
+        size = ref.sum(axis=1)
+        p = np.minimum(size, n - size)
+        least = p - 1
+        if len(other):
+            apart = size[:, None] + other.sum(axis=1)[None, :] - 2 * (ref @ other.T)
+            least = np.minimum(np.minimum(apart, n - apart).min(axis=1), p - 1)
+        return pa.table([pa.array(np.arange(len(wanted))), pa.array(1 - least / (p - 1))], names=["k", "t"])
+
+    rows = replicates.select(F.col("tree_id").cast("string"), "node_id", "parent_id", "label", "is_tip")
+    sums = rows.groupBy("tree_id").applyInArrow(one, "k long, t double").groupBy("k").agg(F.avg("t").alias("support"))
+    known = reference.sparkSession.createDataFrame([(k, ",".join(_names_of(m, names)), m.bit_count()) for k, m in enumerate(wanted)], "k long, split string, size int")
+    return known.join(sums, "k").select("split", "size", "support")
+
+
+def convergence(replicates: DataFrame, permutations: int = 100, cutoff: float = 0.03, seed: int = 111) -> DataFrame:
+    """Bootstopping: weighted RF distances of random halves of the replicate trees (nodes), which have the same tips.
+
+    Each permutation deals the trees into two halves of equal size (of an odd number one tree sits out).
+    The statistic is the sum of absolute differences of split counts over the sum of counts; replicates
+    have converged if 99 % of the permutations stay within ``cutoff``.  Only the halves of numbered trees
+    (one byte for each tree and permutation) are sent; each split's trees are one row.
+    """
+    ids = sorted(r[0] for r in replicates.select(F.col("tree_id").cast("string")).distinct().collect())
+    rng, dealt = np.random.default_rng(seed), np.zeros((permutations, len(ids)), dtype=np.int8)
+    for row in dealt:
+        drawn = rng.permutation(len(ids))[: len(ids) // 2 * 2]
+        row[drawn[: len(drawn) // 2]], row[drawn[len(drawn) // 2 :]] = 1, -1
+    place = {t: k for k, t in enumerate(ids)}
+    of_split = split_bits(replicates, tip_names(replicates)).groupBy("bits").agg(F.collect_list("tree_id").alias("trees"))
 
-def convergence(replicates: DataFrame, permutations: int = 100, cutoff: float = 0.03) -> DataFrame:
-    """Bootstopping by weighted RF of random halves (public criterion over split frequencies).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apart, total = np.zeros(permutations, dtype=np.int64), np.zeros(permutations, dtype=np.int64)
+        for b in batches:
+            for trees in b.column(0).to_pylist():
+                own = dealt[:, [place[t] for t in trees]]
+                apart += np.abs(own.sum(axis=1, dtype=np.int64))
+                total += np.abs(own).sum(axis=1, dtype=np.int64)
+        yield pa.record_batch([pa.array(np.arange(permutations)), pa.array(apart), pa.array(total)], names=["perm", "apart", "total"])
 
-    For each permutation the replicates are dealt into halves by a hash; the statistic is the sum of
-    absolute differences of split counts over the total of splits.
-    """
-    half = F.pmod(F.xxhash64("tree_id", "perm"), F.lit(2))
-    dealt = replicates.select("tree_id", "split", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
-    per = dealt.groupBy("perm", "split").agg(F.sum(F.when(half == 0, 1).otherwise(0)).alias("a"), F.sum(F.when(half == 1, 1).otherwise(0)).alias("b"))
-    wrf = per.groupBy("perm").agg((F.sum(F.abs(F.col("a") - F.col("b"))) / F.sum(F.col("a") + F.col("b"))).alias("wrf"))
-    return wrf.agg(F.avg("wrf").alias("mean_wrf"), F.avg(F.when(F.col("wrf") <= cutoff, 1.0).otherwise(0.0)).alias("share_within")).withColumn("converged", F.col("share_within") >= 0.99)
+    sums = of_split.select("trees").mapInArrow(run, "perm long, apart long, total long").groupBy("perm").agg(F.sum("apart").alias("apart"), F.sum("total").alias("total"))
+    wrf = sums.select((F.col("apart") / F.nullif("total", F.lit(0))).alias("wrf"))
+    out = wrf.agg(F.avg("wrf").alias("mean_wrf"), F.avg(F.when(F.col("wrf") <= cutoff, 1.0).otherwise(0.0)).alias("share_within"))
+    return out.withColumn("converged", F.coalesce(F.col("share_within") >= 0.99, F.lit(False)))
 
 
 def annotate_tips(nodes: DataFrame, taxonomy: DataFrame, name: Column) -> DataFrame:
@@ -410,3 +515,53 @@ def augment_nodes(nodes: DataFrame, registry: DataFrame, layers: list[str]) -> D
     """Nodes with the labels of each layer, sorted and joined by a bar."""
     wide = registry.groupBy("tree_id", F.col("mrca").alias("node_id")).pivot("layer", layers).agg(F.when(F.count("grp") > 0, F.array_join(F.array_sort(F.collect_set("grp")), " | ")))
     return nodes.join(wide, KEY, "left")
+
+
+def node_positions(nodes: DataFrame) -> DataFrame:
+    """``tree_id, node_id, x, y``: distance from the root, and height in a drawing.
+
+    Tips stand at 1, 2, ... in the order of a walk that takes children by node id; an inner node stands in the
+    middle of its first and last child.  A tree is one task's work.
+    """
+
+    def one(tree: pa.Table) -> pa.Table:
+        node, parent, length = (tree[c].to_pylist() for c in ("node_id", "parent_id", "branch_length"))
+        children: dict = {}
+        for n, p in sorted(zip(node, parent, strict=True)):
+            children.setdefault(p, []).append(n)
+        long = dict(zip(node, length, strict=True))
+        x, y, tips, stack = {}, {}, 0, [(n, False) for n in reversed(children.get(None, []))]
+        up = dict(zip(node, parent, strict=True))
+        while stack:
+            n, done = stack.pop()
+            below = children.get(n, [])
+            if done:
+                y[n] = (y[below[0]] + y[below[-1]]) / 2
+                continue
+            x[n] = x[up[n]] + (long[n] or 0.0) if up[n] is not None else 0.0
+            if below:
+                stack.append((n, True))
+                stack += [(c, False) for c in reversed(below)]
+            else:
+                tips += 1
+                y[n] = float(tips)
+        return pa.table([pa.array([tree["tree_id"][0].as_py()] * len(x), pa.string()), pa.array(list(x), pa.int64()), pa.array(list(x.values()), pa.float64()), pa.array([y[n] for n in x], pa.float64())], names=["tree_id", "node_id", "x", "y"])
+
+    rows = nodes.select(F.col("tree_id").cast("string"), F.col("node_id").cast("long"), F.col("parent_id").cast("long"), F.col("branch_length").cast("double"))
+    return rows.groupBy("tree_id").applyInArrow(one, "tree_id string, node_id long, x double, y double")
+
+
+def clade_labels(nodes: DataFrame, registry: DataFrame, layers: list[str], offset: float = 0.03, offset_text: float = 0.004, descending: bool = True) -> DataFrame:
+    """Labels to draw for each layer of an annotation registry: ``layer, ord, node_id, label, n_tips, x, y, bar_x, text_x``.
+
+    One label for each node of a layer (the first by name), from the top of the drawing down or upwards, then
+    by number of tips; bars and texts stand right of the tree by shares of its width.
+    """
+    at = cut(node_positions(nodes))
+    width = at.groupBy("tree_id").agg(F.max("x").alias("right"), (F.max("x") - F.min("x")).alias("width"))
+    chosen = registry.where(F.col("layer").isin(layers)).groupBy("tree_id", "layer", F.col("mrca").alias("node_id")).agg(F.min(F.struct(F.col("grp").alias("label"), "n_tips")).alias("l"))
+    rows = chosen.select("tree_id", "layer", "node_id", "l.*").join(at, KEY).join(width, "tree_id")
+    order = [F.desc("y") if descending else F.col("y"), F.desc("n_tips"), F.col("label")]
+    bar = F.col("right") + F.col("width") * offset
+    ranked = rows.withColumn("ord", F.row_number().over(Window.partitionBy("tree_id", "layer").orderBy(*order)))
+    return ranked.select("tree_id", "layer", "ord", "node_id", "label", "n_tips", "x", "y", bar.alias("bar_x"), (bar + F.col("width") * offset_text).alias("text_x"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cladeweave.functions import names
 from cladeweave.operators import curation, dating, integration, registry
+from cladeweave.operators.lineage import cut
 from cladeweave.plans.catalogue import register
 from cladeweave.sources.adapters import canonical
 
@@ -19,11 +20,21 @@ def _member(s, d):
     return canonical(s, d, "member")
 
 
-def _removals(s, d):
-    m = _member(s, d)
+def _removals(s, d, members=None):
+    m = cut(_member(s, d)) if members is None else members  # read several times
     return curation.removals(m, curation.keep_preferred_parent(m, PREFERRED), canonical(s, d, "exclusion"))
 
 
+def _clean(s, d):
+    m = cut(_member(s, d))
+    return curation.without(m, _removals(s, d, m)).select("cluster_id", "sid", "species", "parent")
+
+
+def _cluster_counts(s, d):
+    m = cut(_member(s, d))
+    return curation.cluster_counts(m, cut(_removals(s, d, m)))
+
+
 _DUP = "dup AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY sid) AS n FROM member) WHERE n > 1)"
 _KEEP = (
     f"WITH {_DUP}, keepers AS (SELECT DISTINCT cluster_id, sid FROM (SELECT *, max(CASE WHEN parent = '3' THEN 1 ELSE 0 END) OVER (PARTITION BY sid) AS p, min(cluster_id) OVER (PARTITION BY sid) AS c FROM dup) "
@@ -47,7 +58,7 @@ register(
     f"WITH {_DUP} SELECT cluster_id, sid FROM (SELECT cluster_id, sid, row_number() OVER (PARTITION BY sid ORDER BY CASE WHEN parent = '3' THEN 0 ELSE 1 END, cluster_id) AS r FROM dup) WHERE r = 1", "member",
 )
 register("rows_to_delete", _removals, f"{_GONE} SELECT cluster_id, sid, reason FROM gone", "member exclusion")
-register("clean_members", lambda s, d: curation.without(_member(s, d), _removals(s, d)).select("cluster_id", "sid", "species", "parent"), f"{_GONE} SELECT cluster_id, sid, species, parent FROM clean", "member exclusion")
+register("clean_members", _clean, f"{_GONE} SELECT cluster_id, sid, species, parent FROM clean", "member exclusion")
 register(
     "large_clusters", lambda s, d: curation.large_clusters(_member(s, d), 20).groupBy("cluster_id").agg(F.count("*").alias("n")),
     "SELECT cluster_id, count(*) AS n FROM member GROUP BY cluster_id HAVING count(DISTINCT species) > 20", "member",
@@ -68,7 +79,7 @@ register(
     "SELECT species, " + ", ".join(f"coalesce(arg_min(sid, ord) FILTER (WHERE cluster_id = {c}), '') AS cid_{c}" for c in CLUSTERS) + " FROM member GROUP BY species", "member",
 )
 register(
-    "cluster_counts", lambda s, d: curation.cluster_counts(curation.accession_matrix(_member(s, d), CLUSTERS), _removals(s, d), curation.without(_member(s, d), _removals(s, d))),
+    "cluster_counts", _cluster_counts,
     f"""{_GONE} SELECT o.cluster_id, o.n_original, coalesce(r.n, 0) AS n_removed, coalesce(f.n, 0) AS n_final FROM (SELECT cluster_id, count(DISTINCT species) AS n_original FROM member GROUP BY cluster_id) o
     LEFT JOIN (SELECT cluster_id, count(*) AS n FROM gone GROUP BY cluster_id) r ON o.cluster_id = r.cluster_id LEFT JOIN (SELECT cluster_id, count(*) AS n FROM clean GROUP BY cluster_id) f ON o.cluster_id = f.cluster_id""", "member exclusion",
 )
@@ -98,16 +109,8 @@ register(
 )
 
 
-def _titles(s, d):
-    """The adapter's titles over whole texts; its SQL, which the oracle keeps, ends them after 40 characters."""
-    key = F.col("doc_id")
-    title = F.concat(F.when(key % 6 == 0, "PREDICTED: ").otherwise(""), "text")
-    organism = F.when(key % 7 == 1, "Opuntia sp.").when(key % 7 == 2, "Opuntia x rara").otherwise("Opuntia varia")
-    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", title.alias("title"), organism.alias("organism"))
-
-
 register(
-    "excluded_records", lambda s, d: _titles(s, d).select("doc_id", names.excluded_record("title", "organism", F.lit(""), F.lit("")).alias("excluded")),
+    "excluded_records", lambda s, d: canonical(s, d, "title").select("doc_id", names.excluded_record("title", "organism", F.lit(""), F.lit("")).alias("excluded")),
     """SELECT doc_id, regexp_matches(' ' || coalesce(title, '') || ' ', '(?i)[^A-Za-z0-9](predicted|whole genome shotgun|unverified|sp\\.|aff\\.|cf\\.|var\\.|var|variety|subsp\\.|subsp)[^A-Za-z0-9]')
     OR regexp_matches(' ' || organism || ' ', '(?i)[^A-Za-z0-9](synthetic construct|sp\\.|sp|aff|cf|var|var\\.|subsp\\.|subsp|subspecies|x)[^A-Za-z0-9]') AS excluded FROM title""", "title",
 )
@@ -289,8 +292,8 @@ register(
 
 def _sample_rename(s, d):
     tips, known = canonical(s, d, "sample"), canonical(s, d, "sample_map")
-    by_sample = F.broadcast(known.where("sample IS NOT NULL").select("sample", F.col("species_name").alias("a")))
-    by_run = F.broadcast(known.where("run IS NOT NULL").select("run", F.col("species_name").alias("b")))
+    by_sample = known.where("sample IS NOT NULL").select("sample", F.col("species_name").alias("a"))
+    by_run = known.where("run IS NOT NULL").select("run", F.col("species_name").alias("b"))
     df = tips.withColumn("sample", F.when(F.col("tip").contains("PAFTOL"), names.sample_id("tip")))
     return df.join(by_sample, "sample", "left").join(by_run, df["tip"] == by_run["run"], "left").select("event_id", F.coalesce("a", "b", "tip").alias("new_name"))
 
@@ -311,7 +314,18 @@ def _records(s, d):
     return s.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(text.alias("json")).select(F.concat(F.lit("User"), "user_id").alias("species_clean"), "json")
 
 
-register("conservation_flat", lambda s, d: registry.flatten_records(_records(s, d)))
+_EMPTY = ", ".join(f"CAST(NULL AS STRING) AS iucn_{x}" for x in (
+    "authority common_name synonyms year url category_name criteria population_trend population_trend_code habitat_names habitat_codes threat_names threat_codes system_names system_codes "
+    "realm_names realm_codes growth_form_names growth_form_codes use_trade_names use_trade_codes doc_range doc_habitats doc_threats doc_rationale").split())
+register(
+    "conservation_flat", lambda s, d: registry.flatten_records(_records(s, d)),
+    f"""WITH e AS (SELECT *, {_ASSESSED} AS t, 'L' || CAST(event_id % 9 AS STRING) AS l, 'c' || CAST(event_id % 9 AS STRING) AS c, event_id % 9 < 2 AS endemic FROM events)
+    SELECT 'User' || CAST(user_id AS STRING) AS species_clean, true AS iucn_found, 'F' || CAST(user_id % 7 AS STRING) AS iucn_family, {_EMPTY},
+    coalesce(arg_min(event_type, t) FILTER (WHERE event_type = 'view'), arg_min(event_type, t)) AS iucn_category, bool_or(event_type = 'view') AS iucn_latest,
+    string_agg(DISTINCT l, '; ' ORDER BY l) AS iucn_locations, string_agg(DISTINCT c, '; ' ORDER BY c) AS iucn_location_codes, CAST(count(DISTINCT l) AS INT) AS iucn_num_locations,
+    string_agg(DISTINCT l, '; ' ORDER BY l) FILTER (WHERE endemic) AS iucn_endemic_locations, string_agg(DISTINCT c, '; ' ORDER BY c) FILTER (WHERE endemic) AS iucn_endemic_location_codes,
+    CAST(count(DISTINCT l) FILTER (WHERE endemic) AS INT) AS iucn_num_endemic_locations, bool_or(endemic) AS iucn_is_endemic FROM e GROUP BY user_id""",
+)
 
 register(
     "calibration_config", lambda s, d: dating.calibration_lines(canonical(s, d, "calibration"), canonical(s, d, "taxonomy"), canonical(s, d, "listed"), ["clade", "family"]),
@@ -324,7 +338,7 @@ register("bootstrap_plan", lambda s, d: dating.bootstrap_plan(s), "SELECT CAST(i
 register(
     "replicate_configs", lambda s, d: dating.replicate_configs(canonical(s, d, "age").select(F.col("rep").alias("tree_no")), 100, 7, 0.1),
     """SELECT tree_no, printf('treefile = rep_%d.tre' || chr(10) || 'smooth = 0.1' || chr(10) || 'numsites = 12700' || chr(10) || 'outfile = rep_%d.dated.tre', tree_no, tree_no) AS config
-    FROM (SELECT rep AS tree_no FROM age ORDER BY (rep * 1103515245 + 7 * 12345) % 2147483647, rep LIMIT 100)""", "age",
+    FROM (SELECT rep AS tree_no FROM age ORDER BY md5('7:' || rep), rep LIMIT 100)""", "age",
 )
 register(
     "age_intervals", lambda s, d: dating.age_intervals(canonical(s, d, "age")),

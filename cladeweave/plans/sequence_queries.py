@@ -9,10 +9,15 @@ from cladeweave.operators import concatenation, curation, distances, registry, s
 from cladeweave.plans.catalogue import register
 from cladeweave.sources.adapters import SITES, canonical
 
-MARKERS = [f"src{k}" for k in range(20)]
+MARKERS = [f"src{k}" for k in range(20)]  # the columns of the SQL; the engine takes them from the table
 ALN = "alignment"
 
 
+def _markers(rows):
+    """All markers of a table in order; there is one column for each, so they are few."""
+    return [r[0] for r in rows.select("marker").distinct().orderBy(F.length("marker"), "marker").collect()]
+
+
 def _aln(s, d):
     return canonical(s, d, "alignment")
 
@@ -97,14 +102,22 @@ register(
     ALN,
     " ".join(f"mean_fraction_{n}_{s}" for n in ("missing", "gaps") for s in _S) + " pct_sequences_retained_after_mafft pct_sequences_retained_after_common_gap_removal pct_sequences_retained_after_masking pct_sequences_retained_final pct_sites_retained_after_common_gap_removal pct_sites_retained_after_masking pct_sites_retained_final_vs_mafft",
 )
-register("masked_columns", lambda s, d: sites.mask_columns(_aln(s, d)))
+_INFORMATION = "2 - (ln(valid) - nlogn / valid) / ln(2.0::DOUBLE) - 3 / (2 * ln(2.0::DOUBLE) * valid)"
+register(
+    "masked_columns", lambda s, d: sites.mask_columns(_aln(s, d)),
+    f"""{_STATE}, cols AS (SELECT marker, pos, sum(n) AS cells, coalesce(sum(n) FILTER (WHERE base = '-'), 0) AS gaps, sum(n) FILTER (WHERE {_ACGT}) AS valid, sum(n * ln(n)) FILTER (WHERE {_ACGT}) AS nlogn FROM st GROUP BY marker, pos),
+    held AS (SELECT marker, pos FROM cols WHERE gaps / cells::DOUBLE <= 0.8 AND valid > 0 AND {_INFORMATION} >= 0.2)
+    SELECT a.marker, a.name, a.ord, coalesce(x.seq, '') AS seq FROM alignment a LEFT JOIN (SELECT s.marker, s.ord, string_agg(base, '' ORDER BY s.pos) AS seq FROM site s JOIN held h ON s.marker = h.marker AND s.pos = h.pos GROUP BY s.marker, s.ord) x ON a.marker = x.marker AND a.ord = x.ord""", ALN,
+)
 register(
     "taxon_reconcile", lambda s, d: curation.reconcile_taxa(_aln(s, d), "name", _aln(s, d).where("marker = 'src3'").select(F.replace("name", F.lit("_"), F.lit(" ")).alias("pureName")), "pureName").select("marker", "name", "ord"),
     "SELECT marker, name, ord FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ord) AS r FROM alignment WHERE name IN (SELECT name FROM alignment WHERE marker = 'src3')) WHERE r = 1", ALN,
 )
+# Draws are with replacement: their definition is the MD5 of the seed, the replicate, the marker and the place.
 register(
     "bootstrap_resample", lambda s, d: sites.resample_columns(_aln(s, d), 3).select("replicate", "marker", "name", "seq"),
-    f"SELECT CAST(r AS INT) AS replicate, marker, name, array_to_string(list_transform(range(0, {SITES}), lambda k: substr(seq, CAST((k * 1103515245 + r * 12345 + 7) % {SITES} + 1 AS INT), 1)), '') AS seq FROM alignment, range(1, 4) t(r)", ALN,
+    f"""WITH drawn AS (SELECT marker, CAST(r AS INT) AS replicate, list_transform(range(1, {SITES + 1}), lambda k: CAST(('0x' || substr(md5('111:' || r || ':' || marker || ':' || k), 1, 15))::BIGINT % {SITES} + 1 AS INT)) AS at FROM (SELECT DISTINCT marker FROM alignment), range(1, 4) t(r))
+    SELECT d.replicate, a.marker, a.name, array_to_string(list_transform(d.at, lambda p: substr(a.seq, p, 1)), '') AS seq FROM alignment a JOIN drawn d ON a.marker = d.marker""", ALN,
 )
 
 _PAIR = (
@@ -149,13 +162,21 @@ register("name_crosswalk", lambda s, d: concatenation.name_crosswalk(canonical(s
 register("header_accessions", lambda s, d: canonical(s, d, "sequence_header").select("ord", names.header_accession("original_name").alias("sid")), f"SELECT ord, {_SID} AS sid FROM sequence_header", "sequence_header")
 
 
-def _occupancy(s, d):
+def _species_summary(s, d):
     rows = canonical(s, d, "sequence_header")
-    return rows.select("marker", "ord", names.clean_taxon_name("original_name").alias("species"), names.header_accession("original_name").alias("sid"))
+    rows = rows.select("marker", "ord", names.clean_taxon_name("original_name").alias("species"), names.header_accession("original_name").alias("sid"))
+    markers = _markers(rows)
+    return concatenation.occupancy(rows, len(markers)).join(concatenation.occupancy_matrix(rows, markers), "species")
+
+
+def _heatmap(s, d):
+    rows = _aln(s, d).select(F.col("name").alias("species"), "marker", "ord", F.concat(F.lit("S"), "ord").alias("sid"))
+    markers = _markers(rows)
+    return registry.marker_presence(concatenation.occupancy_matrix(rows, markers), markers)
 
 
 register(
-    "species_alignment_summary", lambda s, d: concatenation.occupancy(_occupancy(s, d), 20).join(concatenation.occupancy_matrix(_occupancy(s, d), MARKERS), "species"),
+    "species_alignment_summary", _species_summary,
     f"WITH {_CROSS}, h AS (SELECT c.marker, c.ord, c.cleaned_name AS species, {_SID} AS sid FROM cross_names c) SELECT species, count(*) AS retained_markers, round(100::DOUBLE * count(*) / 20, 2) AS pct_markers, "
     + ", ".join(f"coalesce(arg_min(sid, ord) FILTER (WHERE marker = '{m}'), '-') AS {m}" for m in MARKERS) + " FROM h GROUP BY species", "sequence_header",
 )
@@ -195,7 +216,7 @@ register(
     "SELECT retained_markers, count(*) AS n_species FROM (SELECT name, count(DISTINCT marker) AS retained_markers FROM alignment GROUP BY name) GROUP BY retained_markers", ALN,
 )
 register(
-    "presence_heatmap", lambda s, d: registry.marker_presence(concatenation.occupancy_matrix(_aln(s, d).select(F.col("name").alias("species"), "marker", "ord", F.concat(F.lit("S"), "ord").alias("sid")), MARKERS), MARKERS),
+    "presence_heatmap", _heatmap,
     "SELECT t.name AS species, m.marker, a.name IS NOT NULL AS present FROM (SELECT DISTINCT name FROM alignment) t, (SELECT 'src' || k AS marker FROM range(0, 20) r(k)) m LEFT JOIN (SELECT DISTINCT name, marker FROM alignment) a ON a.name = t.name AND a.marker = m.marker", ALN,
 )
 register(
@@ -205,5 +226,5 @@ register(
 register(
     "scalar_names", lambda s, d: canonical(s, d, "sequence_header").select("ord", names.clean_species_name("original_name").alias("clean"), names.header_species("original_name").alias("species"), names.first_binomial("original_name").alias("binomial"), names.clean_ambiguous("original_name").alias("bases"), names.standardize_taxon("original_name").alias("taxon")),
     """SELECT ord, trim(regexp_replace(replace(original_name, '.', ''), '\\s+', '_', 'g')) AS clean, regexp_replace(nullif(trim(split_part(original_name, '|', 1)), ''), '[ -]+', '_', 'g') AS species, regexp_replace(original_name, '^([^ ]+_[^ ]+).*', '\\1') AS binomial,
-    regexp_replace(upper(original_name), '[^ACGT-]', 'N', 'g') AS bases, regexp_replace(regexp_replace(trim(original_name), '\\s+', '_', 'g'), '_+', '_', 'g') AS taxon FROM sequence_header""", "sequence_header",
+    regexp_replace(upper(original_name), '[^ACGT-]', 'N', 'g') AS bases, regexp_replace(regexp_replace(original_name, '[\\s_-]+', '_', 'g'), '^_|_$', '', 'g') AS taxon FROM sequence_header""", "sequence_header",
 )

@@ -94,49 +94,126 @@ register(
 )
 
 
-def _common(s, d):
-    nodes = canonical(s, d, "trees")
-    return nodes, trees.common_tips(nodes, len(TREES))
+def _analyses(s, d):
+    return taxa.analysis_tips(canonical(s, d, "tip"), TREES, ["A", "B"])
 
 
-def _rf(s, d):
-    nodes, common = _common(s, d)
-    return trees.pairwise_rf(trees.splits(nodes, common), _order(s))
-
-
-def _dpi(s, d):
-    nodes, common = _common(s, d)
-    return trees.pairwise_dpi(trees.splits(nodes, common), _order(s), common)
+def _pairs(s, d, dpi=False):
+    return trees.pairwise_distances(canonical(s, d, "trees"), _analyses(s, d), _order(s), dpi)
 
 
+# A split is told apart by the number and the sum of hashes of the tips on the side without the first one.
+_SHARED = "(SELECT {0} AS v FROM tip GROUP BY v HAVING count(DISTINCT tree) = 3)"
+_SETS = f"""sets AS (SELECT 'A1' AS aid, tree, taxon AS label, taxon AS name FROM tip WHERE taxon IN {_SHARED.format('taxon')}
+    UNION ALL SELECT 'A2', tree, taxon, taxon FROM tip WHERE tree IN ('A', 'B') AND taxon IN (SELECT taxon FROM tip WHERE tree IN ('A', 'B') GROUP BY taxon HAVING count(DISTINCT tree) = 2)
+    UNION ALL SELECT 'A3', tree, taxon, taxon FROM tip WHERE split_part(taxon, '_', 1) IN {_SHARED.format("split_part(taxon, '_', 1)")}
+    UNION ALL SELECT 'A4', tree, min(taxon), split_part(taxon, '_', 1) FROM tip WHERE split_part(taxon, '_', 1) IN {_SHARED.format("split_part(taxon, '_', 1)")} GROUP BY tree, split_part(taxon, '_', 1))"""
+_PAIRS = (
+    _SETS + ", every AS (SELECT x.aid, x.tree AS t1, y.tree AS t2 FROM (SELECT DISTINCT aid, tree FROM sets) x JOIN (SELECT DISTINCT aid, tree FROM sets) y ON x.aid = y.aid AND x.tree > y.tree), "
+    "both_have AS (SELECT DISTINCT a.aid, a.tree AS t1, b.tree AS t2, a.name FROM sets a JOIN sets b ON a.aid = b.aid AND a.tree > b.tree AND a.name = b.name), "
+    "common AS (SELECT aid, t1, t2, count(*) AS n, min(name) AS first_name, sum(md5_number_lower(name)::HUGEINT) AS h FROM both_have GROUP BY aid, t1, t2)"
+)
+_RF = (
+    _BELOW.format("trees") + f", {_PAIRS}, sized AS (SELECT c.aid, c.t1, c.t2, s.tree, b.node_id, any_value(c.n) AS n, any_value(c.h) AS h, count(*) AS k, max(CASE WHEN p.name = c.first_name THEN 1 ELSE 0 END) AS has, sum(md5_number_lower(p.name)::HUGEINT) AS hk "
+    "FROM both_have p JOIN common c ON p.aid = c.aid AND p.t1 = c.t1 AND p.t2 = c.t2 JOIN sets s ON s.aid = p.aid AND s.name = p.name AND s.tree IN (p.t1, p.t2) JOIN below b ON b.tree_id = s.tree AND b.tip = s.label GROUP BY c.aid, c.t1, c.t2, s.tree, b.node_id), "
+    "sides AS (SELECT DISTINCT aid, t1, t2, tree, CASE WHEN has = 1 THEN n - k ELSE k END AS size, CASE WHEN has = 1 THEN h - hk ELSE hk END AS sig FROM sized WHERE k >= 2 AND k <= n - 2), "
+    "per AS (SELECT aid, t1, t2, count(*) AS total FROM sides GROUP BY aid, t1, t2), twice AS (SELECT aid, t1, t2, count(*) AS k FROM (SELECT aid, t1, t2, size, sig FROM sides GROUP BY ALL HAVING count(*) = 2) GROUP BY aid, t1, t2)"
+)
 register(
-    "pairwise_rf", _rf,
-    f"""{_SPLIT.format('trees')}, c AS (SELECT tree_id, count(*) AS n FROM splits GROUP BY tree_id), sh AS (SELECT a.tree_id AS t1, b.tree_id AS t2, count(*) AS k FROM splits a JOIN splits b ON a.split = b.split WHERE a.tree_id > b.tree_id GROUP BY 1, 2)
-    SELECT a.tree_id AS tree_1, b.tree_id AS tree_2, (a.n + b.n - 2 * coalesce(sh.k, 0)) / (a.n + b.n)::DOUBLE AS distance FROM c a JOIN c b ON a.tree_id > b.tree_id LEFT JOIN sh ON sh.t1 = a.tree_id AND sh.t2 = b.tree_id""", "trees", "distance",
+    "pairwise_rf", lambda s, d: _pairs(s, d).select("analysis_id", "tree_1", "tree_2", "n_common_tips", F.col("rf").alias("distance")),
+    f"""{_RF} SELECT e.aid AS analysis_id, e.t1 AS tree_1, e.t2 AS tree_2, coalesce(c.n, 0) AS n_common_tips, CASE WHEN coalesce(c.n, 0) < 3 THEN NULL WHEN coalesce(p.total, 0) = 0 THEN 0.0::DOUBLE ELSE (p.total - 2 * coalesce(w.k, 0)) / p.total::DOUBLE END AS distance
+    FROM every e LEFT JOIN common c ON e.aid = c.aid AND e.t1 = c.t1 AND e.t2 = c.t2 LEFT JOIN per p ON e.aid = p.aid AND e.t1 = p.t1 AND e.t2 = p.t2 LEFT JOIN twice w ON e.aid = w.aid AND e.t1 = w.t1 AND e.t2 = w.t2""", "trees tip", "distance",
 )
-register("pairwise_dpi", _dpi)
-register("tree_space_mds", lambda s, d: trees.tree_space(_rf(s, d)))
+register(
+    "common_tip_counts", lambda s, d: _pairs(s, d).select("analysis_id", "tree_1", "tree_2", "n_common_tips"),
+    f"WITH {_PAIRS} SELECT e.aid AS analysis_id, e.t1 AS tree_1, e.t2 AS tree_2, coalesce(c.n, 0) AS n_common_tips FROM every e LEFT JOIN common c ON e.aid = c.aid AND e.t1 = c.t1 AND e.t2 = c.t2", "tip",
+)
+register("pairwise_dpi", lambda s, d: _pairs(s, d, True).select("analysis_id", "tree_1", "tree_2", "n_common_tips", F.col("dpi").alias("distance")))
 
 
-def _reference(s, d):
-    return trees.splits(_a(s, d))
+def _space(s, d):
+    distances, out = trees.cut(_pairs(s, d)), None
+    for name in taxa.ANALYSES:
+        rows = trees.tree_space(distances.where(F.col("analysis_id") == name).withColumnRenamed("rf", "distance")).select(F.lit(name).alias("analysis_id"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
+register("tree_space_mds", _space)
 register(
-    "support_fbp", lambda s, d: trees.support_fbp(_reference(s, d), trees.splits(canonical(s, d, "replicate"))),
+    "support_fbp", lambda s, d: trees.support_fbp(_a(s, d), canonical(s, d, "replicate")),
     f"{_SPLIT.format('all_trees')} SELECT r.split, r.size, count(b.split) / 5::DOUBLE AS support FROM splits r LEFT JOIN (SELECT DISTINCT tree_id, split FROM splits WHERE tree_id <> 'A') b ON r.split = b.split WHERE r.tree_id = 'A' GROUP BY r.split, r.size".replace(
         "WITH RECURSIVE up", "WITH RECURSIVE all_trees AS (SELECT * FROM tree_a UNION ALL SELECT * FROM replicate), up"
     ), "tree_a replicate", "support",
 )
-register("support_tbe", lambda s, d: trees.support_tbe(_reference(s, d), trees.splits(canonical(s, d, "replicate")), _a(s, d).where("is_tip").select(F.col("label").alias("tip"))))
-register("bootstrap_convergence", lambda s, d: trees.convergence(trees.splits(canonical(s, d, "replicate"))))
-register("rerooted_tree", lambda s, d: trees.reroot(_a(s, d), ["NATION3_0", *[f"NATION3_{k}" for k in range(200)]]).select("tree_id", "node_id", "parent_id", "branch_length", "note"))
-register("pruned_tree", lambda s, d: trees.prune(_a(s, d), canonical(s, d, "listed").select(F.col("taxon").alias("tip"))).select("node_id", "parent_id", "branch_length"))
+# Transfer distance of splits as tip sets: tips on one side only, on either orientation.
+register(
+    "support_tbe", lambda s, d: trees.support_tbe(_a(s, d), canonical(s, d, "replicate")),
+    f"""{_SPLIT.format('all_trees')}, n AS (SELECT count(*) AS n FROM tree_a WHERE is_tip), cells AS (SELECT tree_id, split, size, unnest(string_split(split, ',')) AS tip FROM splits),
+    both_in AS (SELECT r.split, b.tree_id, b.split AS other, count(*) AS k FROM cells r JOIN cells b ON r.tip = b.tip AND r.tree_id = 'A' AND b.tree_id <> 'A' GROUP BY r.split, b.tree_id, b.split),
+    apart AS (SELECT r.split, r.size, o.tree_id, r.size + o.size - 2 * coalesce(k.k, 0) AS d FROM (SELECT * FROM splits WHERE tree_id = 'A') r CROSS JOIN (SELECT * FROM splits WHERE tree_id <> 'A') o LEFT JOIN both_in k ON k.split = r.split AND k.tree_id = o.tree_id AND k.other = o.split),
+    least AS (SELECT split, size, tree_id, least(min(least(d, n - d)), least(any_value(size), any_value(n) - any_value(size)) - 1) AS d, least(any_value(size), any_value(n) - any_value(size)) AS p FROM apart, n GROUP BY split, size, tree_id)
+    SELECT split, size, avg(1 - d / (p - 1)::DOUBLE) AS support FROM least GROUP BY split, size""".replace("WITH RECURSIVE up", "WITH RECURSIVE all_trees AS (SELECT * FROM tree_a UNION ALL SELECT * FROM replicate), up"), "tree_a replicate", "support",
+)
+register("bootstrap_convergence", lambda s, d: trees.convergence(canonical(s, d, "replicate")))
+
+
+def _rerooted(s, d):
+    clade = canonical(s, d, "taxonomy").where("clade = 'NATION3'").select("taxon")
+    return trees.reroot(_a(s, d), clade).select("tree_id", "node_id", "parent_id", "branch_length", "note")
+
+
+# The outgroup is one clade: the edge above it gets the root, and the line from there to the old root turns round.
+register(
+    "rerooted_tree", _rerooted,
+    """WITH RECURSIVE up AS (SELECT node_id, node_id AS anc, parent_id AS nxt, 0 AS steps FROM tree_a UNION ALL SELECT u.node_id, t.node_id, t.parent_id, u.steps + 1 FROM up u JOIN tree_a t ON u.nxt = t.node_id),
+    outg AS (SELECT node_id FROM tree_a WHERE is_tip AND label IN (SELECT taxon FROM taxonomy WHERE clade = 'NATION3')),
+    top AS (SELECT anc AS node_id FROM up WHERE node_id IN (SELECT node_id FROM outg) GROUP BY anc HAVING count(*) = (SELECT count(*) FROM outg) ORDER BY min(steps) LIMIT 1),
+    line AS (SELECT u.anc AS node_id, u.steps FROM up u WHERE u.node_id = (SELECT node_id FROM top) AND u.steps > 0),
+    fresh AS (SELECT max(node_id) + 1 AS node_id FROM tree_a), half AS (SELECT branch_length / 2 AS w FROM tree_a WHERE node_id = (SELECT node_id FROM top)),
+    turned AS (SELECT a.node_id, b.node_id AS parent_id, t.branch_length FROM line a JOIN line b ON b.steps = a.steps - 1 JOIN tree_a t ON t.node_id = b.node_id)
+    SELECT 'A' AS tree_id, t.node_id, CASE WHEN t.node_id = (SELECT node_id FROM top) OR l.steps = 1 THEN (SELECT node_id FROM fresh) WHEN l.steps > 1 THEN u.parent_id ELSE t.parent_id END AS parent_id,
+    CASE WHEN t.node_id = (SELECT node_id FROM top) OR l.steps = 1 THEN (SELECT w FROM half) WHEN l.steps > 1 THEN u.branch_length ELSE t.branch_length END AS branch_length, 'rooted' AS note
+    FROM tree_a t LEFT JOIN line l ON t.node_id = l.node_id LEFT JOIN turned u ON t.node_id = u.node_id UNION ALL SELECT 'A', node_id, NULL, NULL, 'rooted' FROM fresh""", "tree_a taxonomy", "branch_length",
+)
+register(
+    "pruned_tree", lambda s, d: trees.prune(_a(s, d), canonical(s, d, "listed").select(F.col("taxon").alias("tip"))).select("node_id", "parent_id", "branch_length"),
+    """WITH RECURSIVE up AS (SELECT node_id, node_id AS anc, parent_id AS nxt, 0 AS steps, 0.0::DOUBLE AS far, branch_length AS own FROM tree_a UNION ALL SELECT u.node_id, t.node_id, t.parent_id, u.steps + 1, u.far + u.own, t.branch_length FROM up u JOIN tree_a t ON u.nxt = t.node_id),
+    held AS (SELECT node_id FROM tree_a WHERE is_tip AND label IN (SELECT taxon FROM listed)), alive AS (SELECT DISTINCT anc AS node_id FROM up WHERE node_id IN (SELECT node_id FROM held)),
+    stays AS (SELECT node_id FROM held UNION SELECT parent_id FROM tree_a WHERE node_id IN (SELECT node_id FROM alive) AND parent_id IS NOT NULL GROUP BY parent_id HAVING count(*) >= 2),
+    above AS (SELECT node_id, arg_min(anc, steps) AS parent_id, min(steps) AS steps, arg_min(far, steps) AS far FROM up WHERE steps > 0 AND anc IN (SELECT node_id FROM stays) GROUP BY node_id)
+    SELECT s.node_id, a.parent_id, a.far AS branch_length FROM stays s LEFT JOIN above a ON s.node_id = a.node_id""", "tree_a listed", "branch_length",
+)
 register(
     "pruned_tips", lambda s, d: trees.prune(_a(s, d), canonical(s, d, "listed").select(F.col("taxon").alias("tip"))).where("is_tip").select("node_id", "label"),
     "SELECT node_id, label FROM tree_a WHERE label IN (SELECT taxon FROM listed)", "tree_a listed",
 )
 
+
+def _genus_trees(s, d):
+    sets = _analyses(s, d).where("analysis_id = 'A4'").select(F.col("tree").alias("tree_id"), "label", "taxon")
+    return trees.rename_tips(canonical(s, d, "trees"), sets).where("is_tip").select("tree_id", "node_id", "label")
+
+
+register(
+    "genus_tree_tips", _genus_trees,
+    f"WITH {_SETS} SELECT s.tree AS tree_id, t.node_id, s.name AS label FROM sets s JOIN trees t ON t.tree_id = s.tree AND t.label = s.label WHERE s.aid = 'A4'", "trees tip",
+)
+register(
+    "comparison_summary", lambda s, d: _analyses(s, d).groupBy("analysis_id", "tree").agg(F.countDistinct("taxon").alias("n_tips_retained"), F.countDistinct(names.genus_of("taxon")).alias("n_genera_retained")),
+    f"WITH {_SETS} SELECT aid AS analysis_id, tree, count(DISTINCT name) AS n_tips_retained, count(DISTINCT split_part(name, '_', 1)) AS n_genera_retained FROM sets GROUP BY aid, tree", "tip",
+)
+register(
+    "tip_set_differences", lambda s, d: taxa.set_differences(canonical(s, d, "listed"), canonical(s, d, "constraint")),
+    'SELECT DISTINCT \'left\' AS side, taxon FROM listed WHERE taxon NOT IN (SELECT taxon FROM "constraint") UNION ALL SELECT DISTINCT \'right\', taxon FROM "constraint" WHERE taxon NOT IN (SELECT taxon FROM listed)', "listed constraint",
+)
+
+register(
+    "node_positions", lambda s, d: trees.node_positions(_a(s, d)).where("node_id >= 1000").select("node_id", "x", "y"),
+    f"{_DEPTH} SELECT t.node_id, d.depth AS x, CAST(row_number() OVER (ORDER BY p.parent_id, t.parent_id, t.node_id) AS DOUBLE) AS y FROM tree_a t JOIN tree_a p ON t.parent_id = p.node_id JOIN down d ON t.node_id = d.node_id WHERE t.is_tip", "tree_a", "x y",
+)
+register("clade_labels", lambda s, d: trees.clade_labels(_a(s, d), _registry(s, d), LAYERS).select("layer", "node_id", "label", "n_tips"), f"{_REGISTRY} SELECT layer, mrca AS node_id, min(grp) AS label, arg_min(n_tips, grp) AS n_tips FROM reg WHERE layer IN ({', '.join(repr(x) for x in LAYERS)}) GROUP BY layer, mrca", "tree_a taxonomy")
+
 # Tip sets
 
 _CHECKED = "checked AS (SELECT tree, taxon FROM tip WHERE taxon IN (SELECT taxon FROM listed))"

@@ -109,7 +109,7 @@ ADAPTERS = {
         "SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'PAFTOL_' || CAST(100000 + user_id * 37 AS STRING) || '_x' WHEN user_id % 3 = 1 THEN 'SRR' || CAST(user_id AS STRING) ELSE event_type END AS tip FROM {events}"
     ),
     "sample_map": "SELECT DISTINCT 'P' || right(CAST(100000 + user_id * 37 AS STRING), 5) AS sample, CAST(NULL AS STRING) AS run, 'Species_' || CAST(user_id AS STRING) AS species_name FROM {events} WHERE user_id % 2 = 0 UNION SELECT DISTINCT CAST(NULL AS STRING), 'SRR' || CAST(user_id AS STRING), 'Run_' || CAST(user_id AS STRING) FROM {events} WHERE user_id % 5 <> 0",
-    "title": "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'PREDICTED: ' ELSE '' END || substr(text, 1, 40) AS title, CASE doc_id % 7 WHEN 1 THEN 'Opuntia sp.' WHEN 2 THEN 'Opuntia x rara' ELSE 'Opuntia varia' END AS organism FROM {documents}",
+    "title": "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'PREDICTED: ' ELSE '' END || text AS title, CASE doc_id % 7 WHEN 1 THEN 'Opuntia sp.' WHEN 2 THEN 'Opuntia x rara' ELSE 'Opuntia varia' END AS organism FROM {documents}",
 }
 _JOIN = {
     "spark": f"array_join(transform(sequence(1, {SITES}), pos -> \\1), '')",

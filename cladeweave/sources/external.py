@@ -6,6 +6,7 @@ and fails loudly.  Nothing here stands in for a program's results.
 
 from __future__ import annotations
 
+import json
 import shutil
 import subprocess
 import time
@@ -124,6 +125,55 @@ def fetch_metadata(wanted: DataFrame, cache: DataFrame, fetch: Callable[[list],
     return first.join(ids, "sid", "left_semi")
 
 
+def summary_url(ids: list[str], database: str = "nuccore") -> str:
+    """The address of a public sequence archive's summaries of accessions, as JSON."""
+    from urllib.parse import urlencode
+
+    return "https://eutils.ncbi.nlm.nih.gov/entrez/eutils/esummary.fcgi?" + urlencode({"db": database, "id": ",".join(ids), "retmode": "json"})
+
+
+def parse_summaries(text: str) -> list[tuple[str, str, str]]:
+    """``sid, species_gb, description_gb`` of such an answer."""
+    result = json.loads(text).get("result", {})
+    found = [result[u] for u in result.get("uids", []) if "error" not in result[u]]
+    return [(x.get("accessionversion") or x.get("caption"), x.get("organism"), x.get("title")) for x in found]
+
+
+def get(url: str, headers: dict[str, str] | None = None, timeout: float = 60.0) -> str:
+    from urllib.request import Request, urlopen
+
+    with urlopen(Request(url, headers=headers or {}), timeout=timeout) as answer:  # noqa: S310  https only
+        return answer.read().decode()
+
+
+def fetch_summaries(ids: list[str]) -> list[tuple[str, str, str]]:
+    """A fetcher for ``fetch_metadata``."""
+    return parse_summaries(get(summary_url(ids)))
+
+
+def fetch_records(species: DataFrame, fetch: Callable[[str], str | None], pause: float = 1.0) -> DataFrame:
+    """``species_clean, json`` of conservation records, one call for each species with a pause after it.
+
+    A call that fails gives a null record (``registry.flatten_records`` makes it a species that was not
+    found); the others go on.  Calls run in the tasks, so their number bounds the rate.
+    """
+
+    def run_all(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            rows = []
+            for name in pdf.species_clean:
+                try:
+                    rows.append((name, fetch(name)))
+                except Exception:  # noqa: BLE001  any failure of the service counts
+                    rows.append((name, None))
+                time.sleep(pause)
+            yield pd.DataFrame(rows, columns=["species_clean", "json"])
+
+    return species.select("species_clean").distinct().mapInPandas(run_all, "species_clean string, json string")
+
+
 def once(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
     """A stage table: read where it was completed before, else made and written (resume)."""
     jvm = spark.sparkContext._jvm

@@ -9,22 +9,24 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeweave.functions import names
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str, keep_file: bool = False) -> DataFrame:
     """``marker, name, ord, seq`` of all FASTA files under a path; wrapped lines are joined.
 
-    Records are split at ``>`` at the start of a line, so a file is never held whole.
+    Records are split at ``>`` at the start of a line, so a file is never held whole.  ``keep_file`` adds
+    the file's path as ``file``.
     """
     raw = spark.read.option("lineSep", "\n>").option("recursiveFileLookup", "true").text(path)
     file = F.col("_metadata.file_path")
     text = F.regexp_replace(F.regexp_replace("value", "^>", ""), "\r", "")
-    rows = raw.select(names.strip_marker_prefix(file).alias("marker"), F.monotonically_increasing_id().alias("ord"), text.alias("t")).where("trim(t) != ''")
-    return rows.select("marker", F.trim(F.split_part("t", F.lit("\n"), F.lit(1))).alias("name"), "ord", F.regexp_replace(F.regexp_replace("t", "^[^\n]*", ""), r"\s+", "").alias("seq"))
+    more = [file.alias("file")] if keep_file else []
+    rows = raw.select(names.strip_marker_prefix(file).alias("marker"), F.monotonically_increasing_id().alias("ord"), text.alias("t"), *more).where("trim(t) != ''")
+    return rows.select(*(["file"] if keep_file else []), "marker", F.trim(F.split_part("t", F.lit("\n"), F.lit(1))).alias("name"), "ord", F.regexp_replace(F.regexp_replace("t", "^[^\n]*", ""), r"\s+", "").alias("seq"))
 
 
 def write_fasta(aln: DataFrame, path: str, mode: str = "error") -> None:
@@ -33,6 +35,41 @@ def write_fasta(aln: DataFrame, path: str, mode: str = "error") -> None:
     aln.repartition("marker").sortWithinPartitions("marker", "ord").select("marker", lines).write.mode(mode).partitionBy("marker").text(path)
 
 
+def _files_below(spark: SparkSession, path: str) -> list[str]:
+    """All files below a path of any file system, empty ones too."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found, out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while found.hasNext():
+        out.append(re.sub("^([a-z0-9]+):/+", r"\1:/", found.next().getPath().toUri().toString()))
+    return sorted(out)
+
+
+def _plain_uri(file: Column) -> Column:
+    return F.regexp_replace(file, "^([a-z0-9]+):/+", "$1:/")
+
+
+def fasta_status(spark: SparkSession, path: str) -> DataFrame:
+    """``file, n_records, status`` of every file under a path: OK, EMPTY or NOT_FASTA (text before the first ``>``)."""
+    raw = spark.read.option("lineSep", "\n>").option("recursiveFileLookup", "true").text(path)
+    first = F.trim(F.col("value"))
+    per = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), first.alias("t")).where("t != ''")
+    bad = F.max((F.col("at") == 0) & F.col("head") & ~F.col("t").startswith(">"))
+    marked = per.withColumn("n", F.monotonically_increasing_id())
+    heads = marked.where("at = 0").groupBy("file").agg(F.min("n").alias("n")).withColumn("head", F.lit(True))
+    known = marked.join(heads, ["file", "n"], "left").withColumn("head", F.coalesce("head", F.lit(False))).groupBy("file").agg(F.count("*").alias("n_records"), bad.alias("bad"))
+    files = spark.createDataFrame([(f,) for f in _files_below(spark, path)], "key string")  # scans skip empty files
+    out = files.join(known.withColumn("key", _plain_uri(F.col("file"))).drop("file"), "key", "left").withColumnRenamed("key", "file")
+    status = F.when(F.col("n_records").isNull(), "EMPTY").when(F.col("bad"), "NOT_FASTA").otherwise("OK")
+    return out.select("file", F.when(status == "OK", F.col("n_records")).otherwise(0).alias("n_records"), status.alias("status"))
+
+
+def read_fasta_safe(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The sequences of all files that are FASTA, and the status of every file."""
+    status = fasta_status(spark, path)
+    rows = read_fasta(spark, path, keep_file=True).withColumn("file", _plain_uri(F.col("file"))).join(status.where("status = 'OK'").select("file"), "file", "left_semi")
+    return rows.drop("file"), status
+
+
 def phylip_lines(matrix: DataFrame) -> DataFrame:
     """``ord, line``: the header and one line for each taxon in order of names."""
     head = matrix.agg(F.concat_ws(" ", F.count("*").cast("string"), F.max(F.length("seq")).cast("string")).alias("line")).select(F.lit("").alias("ord"), "line")
@@ -65,6 +102,61 @@ def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = ",")
     return spark.read.csv(path, schema=schema, sep=sep, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, escape='"', multiLine=True)
 
 
+def read_table(spark: SparkSession, path: str, columns: list[str], header: bool = True) -> DataFrame:
+    """Text columns separated by runs of blanks; quotes around a field are dropped; short rows end in nulls."""
+    rows = spark.read.text(path).select(F.trim(F.col("value")).alias("v"), F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("n")).where("v != ''")
+    if header:
+        rows = rows.join(rows.groupBy("f").agg(F.min("n").alias("n")), ["f", "n"], "left_anti")
+    fields = F.regexp_extract_all("v", F.lit(r"\"[^\"]*\"|\S+"), F.lit(0))
+    return rows.select(fields.alias("x")).select(*(F.regexp_replace(F.get("x", F.lit(k)), "^\"|\"$", "").alias(c) for k, c in enumerate(columns)))
+
+
+def read_excel(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
+    """All cells of one sheet of a workbook as text, with the first row as column names.
+
+    A workbook is small by its format; the driver reads it.  Empty cells are null.
+    """
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    raw = spark.read.format("binaryFile").load(path).select("content").first()[0]
+    space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    with zipfile.ZipFile(io.BytesIO(bytes(raw))) as book:
+        shared = []
+        if "xl/sharedStrings.xml" in book.namelist():
+            shared = ["".join(t.text or "" for t in x.iter(f"{space}t")) for x in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{space}si")]
+        root = ElementTree.fromstring(book.read(f"xl/worksheets/sheet{sheet}.xml"))
+    rows = []
+    for row in root.iter(f"{space}row"):
+        cells = {}
+        for k, cell in enumerate(row.iter(f"{space}c")):
+            letters = re.match("[A-Z]*", cell.get("r", ""))[0]
+            at = k
+            if letters:
+                at = -1
+                for c in letters:
+                    at = (at + 1) * 26 + ord(c) - 65
+            value = cell.find(f"{space}v")
+            if cell.get("t") == "inlineStr":
+                cells[at] = "".join(t.text or "" for t in cell.iter(f"{space}t"))
+            elif value is not None:
+                cells[at] = shared[int(value.text)] if cell.get("t") == "s" else value.text
+        rows.append(cells)
+    if not rows:
+        raise ValueError(f"empty sheet {sheet} in {path}")
+    width = max(rows[0], default=-1) + 1
+    header = [rows[0].get(k) or f"column_{k + 1}" for k in range(width)]
+    schema = ", ".join(f"`{h}` string" for h in header)
+    return spark.createDataFrame([tuple(r.get(k) for k in range(width)) for r in rows[1:]], schema)
+
+
+def write_csv_dual(df: DataFrame, folder: str, legacy: str, standard: str, mode: str = "error") -> None:
+    """The same table under an old and a new name, nulls as empty fields."""
+    for name in dict.fromkeys((legacy, standard)):
+        df.write.mode(mode).csv(f"{folder}/{name}", header=True, nullValue="", emptyValue="")
+
+
 # Newick
 
 _NEWICK = re.compile(r"\[(?P<comment>[^\]]*)\]|'(?P<quoted>(?:[^']|'')*)'|(?P<mark>[(),:;])|(?P<plain>[^\s()\[\],:;']+)")
@@ -150,6 +242,15 @@ def format_newick(nodes: list[tuple]) -> str:
     return "".join(parts) + ";"
 
 
+def comment_values(comment: str | Column) -> Column:
+    """The ``key=value`` pairs of a node's comment ``&k=v,set={a,b}`` as a map of texts; null if there are none."""
+    c = F.col(comment) if isinstance(comment, str) else comment
+    pairs = F.regexp_extract_all(F.regexp_replace(c, "^&", ""), F.lit(r"([^,={}]+)=(\{[^}]*\}|\"[^\"]*\"|[^,]*)"), F.lit(0))
+    entries = F.transform(pairs, lambda p: F.struct(F.trim(F.split_part(p, F.lit("="), F.lit(1))), F.regexp_replace(F.regexp_replace(p, "^[^=]*=", ""), "^\"|\"$", "")))
+    first = F.filter(entries, lambda e, k: ~F.exists(F.slice(entries, F.lit(1), k), lambda x: x.col1 == e.col1))
+    return F.when(F.size(pairs) > 0, F.map_from_entries(first))
+
+
 def newick_nodes(trees: DataFrame) -> DataFrame:
     """Node rows of ``trees(tree_id, newick)``, parsed in Arrow tasks."""
 

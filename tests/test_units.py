@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from cladeweave.functions import names
 from cladeweave.operators import concatenation, curation, dating, distances, integration, registry, sites, taxa, trees
@@ -139,6 +140,10 @@ def test_newick_round_trip_and_errors():
             formats.parse_newick(bad)
 
 
+def spark_upper(column):
+    return F.upper(column)
+
+
 def nodes_of(spark, *texts):
     return formats.newick_nodes(spark.createDataFrame([(f"t{k}", t) for k, t in enumerate(texts)], "tree_id string, newick string"))
 
@@ -153,9 +158,35 @@ def split_sets(spark, *texts):
 def test_splits_ignore_the_root(spark):
     got = split_sets(spark, "((a,b),(c,(d,e)));", "(a,b,(c,(d,e)));", "(a,b,c,d,e);", "((a,c),(b,(d,e)));")
     assert got["t0"] == got["t1"] == {"c,d,e", "d,e"} and "t2" not in got and got["t3"] == {"b,d,e", "d,e"}
-    order = spark.createDataFrame([("t0", 0), ("t1", 1), ("t3", 2)], "tree_id string, ord int")
-    rf = {(r.tree_1, r.tree_2): r.distance for r in trees.pairwise_rf(trees.splits(nodes_of(spark, "((a,b),(c,(d,e)));", "(a,b,(c,(d,e)));", "(a);", "((a,c),(b,(d,e)));")), order).collect()}
-    assert rf == {("t1", "t0"): 0.0, ("t3", "t0"): 0.5, ("t3", "t1"): 0.5}
+
+
+def test_distances_are_over_the_common_tips_of_each_pair(spark):
+    texts = ["((a,b),(c,(d,e)));", "(a,b,(c,(d,e)));", "(a,(b,x));", "((a,c),(b,(d,(e,f))));", "((a,b),(c,d),g);"]
+    nodes = nodes_of(spark, *texts)
+    order = spark.createDataFrame([(f"t{k}", k) for k in range(5)], "tree_id string, ord int")
+    sets = nodes.where("is_tip").selectExpr("'X' AS analysis_id", "tree_id AS tree", "label", "label AS taxon")
+    got = {(r.tree_1, r.tree_2): (r.n_common_tips, r.rf, r.dpi) for r in trees.pairwise_distances(nodes, sets, order).collect()}
+    assert len(got) == 10
+    assert got["t1", "t0"][:2] == (5, 0.0) and got["t1", "t0"][2] == pytest.approx(0)
+    # f is left out against t0, x and c to e against t2; two common tips are too few.
+    assert got["t3", "t0"][:2] == (5, 0.5) and got["t2", "t0"] == (2, None, None)
+    assert got["t4", "t0"][:2] == (4, 0.0) and got["t4", "t3"][:2] == (4, 1.0)
+    renamed = sets.where("tree != 't2'").withColumn("taxon", spark_upper("label"))
+    again = {(r.tree_1, r.tree_2): r.rf for r in trees.pairwise_distances(nodes, renamed, order, dpi=False).collect()}
+    assert again == {k: v[1] for k, v in got.items() if "t2" not in k}
+    assert trees.pairwise_distances(nodes, sets.limit(0), order).count() == 0
+
+
+def test_genus_trees_and_tip_set_guards(spark):
+    nodes = nodes_of(spark, "(((G_a,G_b),H_a),(I_a,J_a));", "((G_b,H_b),I_a);")
+    tips = nodes.where("is_tip").selectExpr("tree_id AS tree", "label AS taxon")
+    sets = taxa.analysis_tips(tips, ["t0", "t1"], ["t0", "t1"])
+    assert {(r.tree, r.label, r.taxon) for r in sets.where("analysis_id = 'A4'").collect()} == {("t0", "G_a", "G"), ("t1", "G_b", "G"), ("t0", "H_a", "H"), ("t1", "H_b", "H"), ("t0", "I_a", "I"), ("t1", "I_a", "I")}
+    small = trees.rename_tips(nodes, sets.where("analysis_id = 'A4'").selectExpr("tree AS tree_id", "label", "taxon")).collect()
+    assert sorted((r.tree_id, r.label) for r in small if r.is_tip) == [(t, g) for t in ("t0", "t1") for g in "GHI"] and len(small) == 10
+    taxa.require_equal_sets(tips, tips)
+    with pytest.raises(ValueError, match="J_a"):
+        taxa.require_equal_sets(tips.where("tree = 't0'"), tips.where("tree = 't1'"), shown=20)
 
 
 @given(st.integers(1, 5), st.integers(0, 3), st.integers(0, 10**6))
@@ -197,12 +228,24 @@ def test_collapse_prune_depth_reroot(spark):
 
 
 def test_supports(spark):
-    ref = trees.splits(nodes_of(spark, "((a,b),(c,d),(e,(f,g)));"))
-    reps = trees.splits(nodes_of(spark, "((a,b),(c,d),(e,(f,g)));", "((a,c),(b,d),(e,(f,g)));"))
-    tips = spark.createDataFrame([(t,) for t in "abcdefg"], "tip string")
+    ref = nodes_of(spark, "((a,b),(c,d),(e,(f,g)));")
+    reps = nodes_of(spark, "((a,b),(c,d),(e,(f,g)));", "((a,c),(b,d),(e,(f,g)));")
     fbp = {r.split: r.support for r in trees.support_fbp(ref, reps).collect()}
-    tbe = {r.split: r.support for r in trees.support_tbe(ref, reps, tips).collect()}
+    tbe = {r.split: r.support for r in trees.support_tbe(ref, reps).collect()}
     assert fbp["f,g"] == tbe["f,g"] == 1 and fbp["c,d"] == 0.5 and all(tbe[s] >= fbp[s] - 1e-12 for s in fbp)
+    assert set(fbp) == set(tbe) == {r.split for r in trees.splits(ref).collect()}
+    # A replicate without any split counts.
+    star = trees.support_fbp(ref, nodes_of(spark, "((a,b),(c,d),(e,(f,g)));", "(a,b,c,d,e,f,g);")).collect()
+    assert {r.support for r in star} == {0.5}
+
+
+def test_bootstopping_halves(spark):
+    same = ["((a,b),(c,d),(e,(f,g)));"] * 6
+    r = trees.convergence(nodes_of(spark, *same)).collect()[0]
+    assert (r.mean_wrf, r.share_within, r.converged) == (0.0, 1.0, True)
+    r = trees.convergence(nodes_of(spark, *same[:3], *["((a,c),(b,d),(e,(f,g)));"] * 3), permutations=40).collect()[0]
+    # Halves of three and three: two of four splits differ in a third of the counts at least.
+    assert not r.converged and 1 / 6 <= r.mean_wrf <= 0.5
 
 
 def test_tree_space(spark):
