@@ -114,7 +114,6 @@ def counted(column: pa.Array, features: HashedText) -> Iterator[tuple[np.ndarray
             yield np.unique(np.concatenate([b[at[d] : at[d + 1]] for b, at in groups]), return_counts=True)
 
 
-SHARES = 64
 #: Distinct buckets of a document that is learned from, at most.
 MOST_TERMS = 1 << 14
 
@@ -124,18 +123,19 @@ def sample_ids(labelled: DataFrame, bound: int, by: str | None = None) -> DataFr
 
     ``labelled(doc_id, label)``; rows are taken in the order of a hash of their id, so the sample does
     not depend on partitioning.  The result is bounded, by rows for each value, and may be broadcast.
+    Values are as few as a model learns, so their counts are sent; from a count follows below which hash
+    about ``bound`` rows lie, so that no more than these meet in the task of a value.
     """
     rows = labelled.where("doc_id IS NOT NULL AND label IS NOT NULL").where(fold_of("doc_id") != 0)
     rows = rows.groupBy("doc_id").agg(F.min("label").alias("label"))
-
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     if by is None:
         return rows.orderBy(*order).limit(bound)
-    # Ranked in shares of a label first, so that a frequent label is no single task; every label takes part.
-    for share in ([F.pmod(F.xxhash64("doc_id"), F.lit(SHARES))], []):
-        rank = F.row_number().over(Window.partitionBy("label", *share).orderBy(*order))
-        rows = rows.withColumn("rank", rank).where(F.col("rank") <= bound).drop("rank")
-    return rows
+    counts = rows.groupBy("label").agg(F.count("*").alias("n"))
+    share = (F.xxhash64("doc_id").cast("double") + 2.0**63) / 2.0**64
+    near = rows.join(F.broadcast(counts), "label").where(share * F.col("n") <= 1.2 * bound + 100).drop("n")
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(*order))
+    return near.withColumn("rank", rank).where(F.col("rank") <= bound).drop("rank")
 
 
 def sample_features(docs: DataFrame, sample: DataFrame, make: Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray]]]) -> list[tuple[object, np.ndarray, np.ndarray]]:
