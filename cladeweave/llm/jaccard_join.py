@@ -29,7 +29,9 @@ are leaves; cells that do not separate are compared pair by pair.  Regions of up
 documents are joined so in a task; larger ones in rounds over all tasks, first their distances to the
 pivots, then their cells as new regions.
 
-Equal sets are one node throughout, so a group of copies leaves a task as one document.
+Equal sets are one node throughout, so a group of copies leaves a task as one document.  Sets are the
+same if 128 bits of hashes agree; shingles are told apart by 64 bits.  (Two different shingles of one
+pair of documents are taken for one with a chance of about ``n**2 / 2**64``.)
 
 Defined results: a null or empty text, or one without words, has no shingles, links with nothing and
 is its own component.  A text with fewer words than a shingle has its whole word sequence as its one
@@ -41,7 +43,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +52,7 @@ from pyspark.sql import functions as F
 
 from cladeweave.llm import spans
 from cladeweave.llm.components import components
-from cladeweave.llm.shared import LAST_ID, ceil_div, cut, discard, keep_decided, lean, split_by_ids
+from cladeweave.llm.shared import LAST_ID, ceil_div, cut, discard, keep_decided, lean, require, split_by_ids
 
 U = np.uint64
 FLUSH_ROWS = 1 << 18
@@ -61,6 +63,8 @@ PIVOTS = 8
 MOST_PIVOTS = 1024
 LEAF = 4
 BITMAP = 24
+SENT_ROWS = 500_000
+MOST_CLASHES = 10_000
 CLASS_GROWTH = 1.6
 
 
@@ -95,12 +99,41 @@ class Slicing:
         return [x for x in found if x[2] > 0]
 
 
-def set_key(h: np.ndarray) -> int:
+def set_key(h: np.ndarray, seed: int = 0xC2B2AE3D27D4EB4F) -> int:
     """A 64-bit key of a sorted shingle set."""
-    terms = np.append(spans.mix64(h ^ U(0xC2B2AE3D27D4EB4F)), spans.mix64(np.array([len(h)], dtype=U)))
+    terms = np.append(spans.mix64(h ^ U(seed)), spans.mix64(np.array([len(h)], dtype=U)))
     return int(spans.mix64(terms.sum(dtype=U, keepdims=True)).view(np.int64)[0])
 
 
+@dataclass(frozen=True)
+class Keys:
+    """What tells sets apart: shingles of ``k`` words, a key of ``bits`` bits, and the keys that clash.
+
+    Every set has a second, independent key.  Where sets of one key differ in it, their nodes are named by
+    both.  Fewer bits only make clashes, for tests.
+    """
+
+    k: int
+    bits: int = 64
+    clash: frozenset[int] = frozenset()
+
+    def sets(self, column: pa.Array) -> Iterator[np.ndarray]:
+        return shingle_sets(column, self.k)
+
+    def first(self, h: np.ndarray) -> int:
+        return set_key(h) >> (64 - self.bits)
+
+    def second(self, h: np.ndarray) -> int:
+        return set_key(h, 0x8EBC6AF09C88C6E3)
+
+    def node(self, h: np.ndarray) -> int:
+        key = self.first(h)
+        if key in self.clash:
+            both = np.array([key, self.second(h)], dtype=np.int64).view(U)
+            key = int(spans.mix64(both[:1] + spans.mix64(both[1:])).view(np.int64)[0])
+        return key
+
+
 def slice_signatures(h: np.ndarray, slicing: Slicing) -> np.ndarray:
     """Signatures of all slices of a sorted shingle set, over its classes."""
     out = []
@@ -140,18 +173,35 @@ def _document_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def _nodes(rows: DataFrame, k: int) -> DataFrame:
-    """``doc_id, node, n``: the set key and size of each document."""
+def _nodes(rows: DataFrame, keys: Keys) -> tuple[DataFrame, Keys]:
+    """``doc_id, node, n``: the key and size of each document's set; and the keys with those that clash.
+
+    Of the order of ``documents**2 / 2**65`` keys clash by chance, so the driver gets no more than a few.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(set_key(h), len(h)) for h in shingle_sets(b.column(1), k)]
-            yield pa.record_batch([b.column(0), pa.array([x for x, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], names=["doc_id", "node", "n"])
+            found = [(keys.first(h), keys.second(h), len(h)) for h in keys.sets(b.column(1))]
+            columns = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.record_batch([b.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "node", "second", "n"])
+
+    made = cut(rows.mapInArrow(lean(run), "doc_id long, node long, second long, n long"))
+    clash = made.where("n > 0").groupBy("node").agg(F.min("second").alias("a"), F.max("second").alias("b")).where("a != b").select("node")
+    found = clash.limit(MOST_CLASHES + 1).collect()
+    require(len(found) <= MOST_CLASHES, "too many set keys clash")
+    if not found:
+        return made.drop("second"), keys
+    keys = replace(keys, clash=frozenset(r[0] for r in found))
+
+    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = list(keys.sets(b.column(1)))
+            yield pa.record_batch([b.column(0), pa.array([keys.node(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64())], names=["doc_id", "node", "n"])
 
-    return rows.mapInArrow(lean(run), "doc_id long, node long, n long")
+    return cut(rows.mapInArrow(lean(rename), "doc_id long, node long, n long")), keys
 
 
-def _signatures(rows: DataFrame, k: int, slicing: Slicing) -> DataFrame:
+def _signatures(rows: DataFrame, keys: Keys, slicing: Slicing) -> DataFrame:
     """``sig, node`` of each slice; equal sets of a task are sent once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,8 +215,8 @@ def _signatures(rows: DataFrame, k: int, slicing: Slicing) -> DataFrame:
             return pa.record_batch([pa.array(np.concatenate(sigs)), pa.array(node)], names=["sig", "node"])
 
         for b in batches:
-            for h in shingle_sets(b.column(1), k):
-                if len(h) and (node := set_key(h)) not in seen:
+            for h in keys.sets(b.column(1)):
+                if len(h) and (node := keys.node(h)) not in seen:
                     if len(seen) >= 1 << 18:
                         seen.clear()
                     seen.add(node)
@@ -255,19 +305,19 @@ def _meeting(batches: Iterator[pa.RecordBatch], block_nodes: int) -> Iterator[pa
         yield out
 
 
-def _members(rows: DataFrame, k: int, slicing: Slicing, block_nodes: int) -> DataFrame:
+def _members(rows: DataFrame, keys: Keys, slicing: Slicing, block_nodes: int) -> DataFrame:
     """``region, block, many, node`` of all documents whose slices meet."""
-    dealt = _signatures(rows, k, slicing).repartition("sig").sortWithinPartitions("sig", "node")
+    dealt = _signatures(rows, keys, slicing).repartition("sig").sortWithinPartitions("sig", "node")
     return dealt.mapInArrow(lean(lambda batches: _meeting(batches, block_nodes)), "region long, block long, many boolean, node long").distinct()
 
 
 def count_vector(h: np.ndarray) -> bytes:
-    """Shingles in each of ``V`` hash ranges, an eighth to a quarter as many ranges as shingles (128 at least).
+    """Shingles in each of ``V`` hash ranges, an eighth to a quarter as many ranges as shingles (16 at least).
 
     Unrelated sets of ``n`` shingles then differ by about ``1.1 * sqrt(n * V)``, well above the ``D`` of a
     link whatever ``n`` is.  The counts stand in 1, 2 or 4 bytes each; the first byte says which.
     """
-    bits = max(7, (len(h) // 8).bit_length())
+    bits = max(4, (len(h) // 8).bit_length())
     return _packed(np.bincount((h >> U(64 - bits)).astype(np.int64), minlength=1 << bits))
 
 
@@ -512,13 +562,13 @@ class Sets:
                 waiting += cells
 
 
-def _sets_of(b: pa.RecordBatch, k: int, node: int, text: int) -> Iterator[np.ndarray | None]:
+def _sets_of(b: pa.RecordBatch, keys: Keys, node: int, text: int) -> Iterator[np.ndarray | None]:
     """The set of each row's text; none where it is not the row's node (another text of a repeated id)."""
-    for want, h in zip(b.column(node).to_pylist(), shingle_sets(b.column(text), k), strict=True):
-        yield h if len(h) and set_key(h) == want else None
+    for want, h in zip(b.column(node).to_pylist(), keys.sets(b.column(text)), strict=True):
+        yield h if len(h) and keys.node(h) == want else None
 
 
-def _join_in_memory(rows: DataFrame, k: int, slicing: Slicing, pivots: int, leaf: int) -> DataFrame:
+def _join_in_memory(rows: DataFrame, keys: Keys, slicing: Slicing, pivots: int, leaf: int) -> DataFrame:
     """``a, b``: spanning links of each group of ``(group, side, node, text)``.
 
     Where a group has rows of side 1, only pairs of different sides are compared.  Texts travel, as they
@@ -538,7 +588,7 @@ def _join_in_memory(rows: DataFrame, k: int, slicing: Slicing, pivots: int, leaf
             return pa.record_batch([pa.array([nodes[x] for x, _ in join.edges], pa.int64()), pa.array([nodes[y] for _, y in join.edges], pa.int64())], names=["a", "b"])
 
         for b in batches:
-            for g, side, node, h in zip(*(b.column(j).to_pylist() for j in range(3)), _sets_of(b, k, 2, 3), strict=True):
+            for g, side, node, h in zip(*(b.column(j).to_pylist() for j in range(3)), _sets_of(b, keys, 2, 3), strict=True):
                 if g != group and nodes:
                     yield flush()
                     sides, nodes, sets = [], [], []
@@ -556,7 +606,7 @@ def _join_in_memory(rows: DataFrame, k: int, slicing: Slicing, pivots: int, leaf
     return ordered.mapInArrow(lean(run), "a long, b long")
 
 
-def _voronoi_round(placed: DataFrame, texts: DataFrame, k: int, slicing: Slicing, pivots: int, memory_nodes: int, level: int) -> DataFrame:
+def _voronoi_round(placed: DataFrame, texts: DataFrame, keys: Keys, slicing: Slicing, pivots: int, memory_nodes: int, level: int) -> DataFrame:
     """``region, pivot, node, n, d, linked``: the cells of every large region, replicas included.
 
     An eighth of a region's nodes, between ``pivots`` and ``MOST_PIVOTS`` and no more than a task can hold,
@@ -578,7 +628,7 @@ def _voronoi_round(placed: DataFrame, texts: DataFrame, k: int, slicing: Slicing
         place, chosen, last, index = None, [], None, None
         for b in batches:
             out = []
-            for region, task, kind, node, h in zip(*(b.column(j).to_pylist() for j in range(4)), _sets_of(b, k, 3, 4), strict=True):
+            for region, task, kind, node, h in zip(*(b.column(j).to_pylist() for j in range(4)), _sets_of(b, keys, 3, 4), strict=True):
                 if place != (region, task):
                     place, chosen, last, index = (region, task), [], None, None
                 if h is None or last == (kind, node):
@@ -613,7 +663,7 @@ def _voronoi_round(placed: DataFrame, texts: DataFrame, k: int, slicing: Slicing
     return rows.mapInArrow(lean(run), "region long, pivot long, node long, n long, d double, linked boolean")
 
 
-def _join_large(placed: DataFrame, texts: DataFrame, k: int, slicing: Slicing, pivots: int, leaf: int, memory_nodes: int) -> DataFrame:
+def _join_large(placed: DataFrame, texts: DataFrame, keys: Keys, slicing: Slicing, pivots: int, leaf: int, memory_nodes: int) -> DataFrame:
     """``a, b``: spanning links of large regions ``placed(region, node, n)``, by rounds of Voronoi cells.
 
     As in ``Sets.voronoi``, of the sets that link with their pivot only the boundary stays, and pivots are
@@ -624,7 +674,7 @@ def _join_large(placed: DataFrame, texts: DataFrame, k: int, slicing: Slicing, p
     r = (slicing.den - slicing.num) / slicing.den + 1e-9
     links, level = [], 0
     while True:
-        every = cut(_voronoi_round(placed, texts, k, slicing, pivots, memory_nodes, level))
+        every = cut(_voronoi_round(placed, texts, keys, slicing, pivots, memory_nodes, level))
         links.append(every.where("linked AND node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
         done = every.where("pivot IS NOT NULL AND node = pivot").select("region", "node")
         rest = every.join(done, ["region", "node"], "left_anti")
@@ -640,11 +690,11 @@ def _join_large(placed: DataFrame, texts: DataFrame, k: int, slicing: Slicing, p
         small = (F.col("nodes") <= memory_nodes) & (F.col("shingles") <= MEMORY_SHINGLES)
         marked = cut(inside.join(sizes.select("cell", small.alias("small")), "cell").join(stuck, "region", "left_anti"))
         one = marked.where("small").select(F.col("cell").cast("string").alias("group"), F.lit(0).alias("side"), "node")
-        links.append(cut(_join_in_memory(one.join(texts, "node"), k, slicing, pivots, leaf)))
+        links.append(cut(_join_in_memory(one.join(texts, "node"), keys, slicing, pivots, leaf)))
         left = placed.join(done, ["region", "node"], "left_anti")
         direct = cut(left.join(far, ["region", "node"], "left_semi").unionByName(left.join(stuck, "region", "left_semi")).distinct())
         if not direct.isEmpty():
-            links.append(cut(_join_blocks(direct, left.join(direct.select("region").distinct(), "region", "left_semi"), texts, k, slicing, max(1, memory_nodes // 4))))
+            links.append(cut(_join_blocks(direct, left.join(direct.select("region").distinct(), "region", "left_semi"), texts, keys, slicing, max(1, memory_nodes // 4))))
         placed = marked.where("NOT small").select(F.col("cell").alias("region"), "node", "n")
         if placed.isEmpty():
             break
@@ -655,7 +705,7 @@ def _join_large(placed: DataFrame, texts: DataFrame, k: int, slicing: Slicing, p
     return out
 
 
-def _join_blocks(direct: DataFrame, every: DataFrame, texts: DataFrame, k: int, slicing: Slicing, block_nodes: int) -> DataFrame:
+def _join_blocks(direct: DataFrame, every: DataFrame, texts: DataFrame, keys: Keys, slicing: Slicing, block_nodes: int) -> DataFrame:
     """``a, b``: spanning links between the nodes ``direct`` and ``every`` (both ``region, node, n``) of regions.
 
     Both are cut into blocks by size class and hash; blocks whose sizes allow links meet, each pair in a
@@ -677,60 +727,64 @@ def _join_blocks(direct: DataFrame, every: DataFrame, texts: DataFrame, k: int,
     pairs = cut(x.join(y, near).select(group, F.struct("x.*").alias("one"), F.struct("y.*").alias("two")))
     sides = pairs.select("group", "one.*").join(here, names).select("group", F.lit(0).alias("side"), "node")
     sides = sides.unionByName(pairs.select("group", "two.*").join(there, names).select("group", F.lit(1).alias("side"), "node"))
-    return _join_in_memory(sides.join(texts, "node"), k, slicing, PIVOTS, LEAF)
+    return _join_in_memory(sides.join(texts, "node"), keys, slicing, PIVOTS, LEAF)
 
 
 def _chosen(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """``rows`` joined with ``wanted(doc_id, ...)``.
 
-    A bitmap of hashed ids, of a fixed size, goes to all tasks first, so that only rows that may be wanted
-    are shuffled; a crowded bitmap only lets more of them pass.
+    A table of a checked size is sent to all tasks.  Beyond it a bitmap of hashed ids, of a fixed size, is
+    sent, so that only rows that may be wanted are shuffled; a crowded bitmap lets more of them pass.
     """
+    if wanted.count() <= SENT_ROWS:
+        return rows.join(F.broadcast(wanted), "doc_id")
     _, maybe, key = split_by_ids(rows, F.col("doc_id"), wanted.select("doc_id"), BITMAP)
     return maybe.drop(key).join(wanted, "doc_id")
 
 
-def _vectors(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``node, n, vector``: size and count vector of the documents of ``wanted(doc_id, node)``."""
+def _vectors(rows: DataFrame, wanted: DataFrame, keys: Keys) -> DataFrame:
+    """``node, n, vector``: size and count vector of the documents of ``wanted(doc_id)``, and of a few others
+    that the bitmap of ids lets pass; no text is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(node, len(h), count_vector(h)) for node, h in zip(b.column(0).to_pylist(), _sets_of(b, k, 0, 1), strict=True) if h is not None]
+            found = [(keys.node(h), len(h), count_vector(h)) for h in keys.sets(b.column(0)) if len(h)]
             columns = zip(*found, strict=True) if found else ([], [], [])
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["node", "n", "vector"])
 
-    return _chosen(rows, wanted.select("doc_id", "node")).select("node", "text").mapInArrow(lean(run), "node long, n long, vector binary")
+    maybe = split_by_ids(rows, F.col("doc_id"), wanted.select("doc_id"), BITMAP)[1]
+    return maybe.select("text").mapInArrow(lean(run), "node long, n long, vector binary").dropDuplicates(["node"])
 
 
 def near_duplicates(
     docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text",
-    memory_nodes: int = MEMORY_NODES, block_nodes: int = BLOCK_NODES, pivots: int = PIVOTS, leaf: int = LEAF,
+    memory_nodes: int = MEMORY_NODES, block_nodes: int = BLOCK_NODES, pivots: int = PIVOTS, leaf: int = LEAF, key_bits: int = 64,
 ) -> DataFrame:
     """Per document ``doc_id, n_shingles, component_id, kept``.
 
     Documents link when ``den * |x & y| >= num * |x | y|`` over their sets of ``k``-word shingles;
     the component id is the smallest id that links reach, and that document is kept.  ``memory_nodes``
-    (sets that a task joins), ``block_nodes`` (vectors that a task gathers), ``pivots`` and ``leaf`` change
-    the work, never the result.
+    (sets that a task joins), ``block_nodes`` (vectors that a task gathers), ``pivots``, ``leaf`` and
+    ``key_bits`` change the work, never the result.
     """
-    return _components_of_rows(docs, k, num, den, id_col, text_col, memory_nodes, block_nodes, pivots, leaf).select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
-    )
+    found, _ = _components_of_rows(docs, Keys(k, key_bits), num, den, id_col, text_col, memory_nodes, block_nodes, pivots, leaf)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _components_of_rows(
-    docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str,
+    docs: DataFrame, keys: Keys, num: int, den: int, id_col: str, text_col: str,
     memory_nodes: int = MEMORY_NODES, block_nodes: int = BLOCK_NODES, pivots: int = PIVOTS, leaf: int = LEAF,
-) -> DataFrame:
-    """Per document ``doc_id, n, component_id, node, first``: its set and the smallest ``(id, node)`` of its component."""
+) -> tuple[DataFrame, Keys]:
+    """Per document ``doc_id, n, component_id, node, first``: its set and the smallest ``(id, node)`` of its
+    component; and the keys that name nodes."""
     slicing = Slicing(num, den)
     rows = _document_rows(docs, id_col, text_col)
-    folder = cut(_nodes(rows, k))
+    folder, keys = _nodes(rows, keys)
     keepers = cut(folder.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))
-    members = cut(_members(rows, k, slicing, block_nodes))
+    members = cut(_members(rows, keys, slicing, block_nodes))
     wanted = cut(keepers.join(members.select("node").distinct(), "node", "left_semi").where("doc_id IS NOT NULL"))
     # Sets are made again from the texts where they are needed: hashes are larger and do not compress.
-    vectors = cut(_vectors(rows, wanted, k))
+    vectors = cut(_vectors(rows, wanted, keys))
     edges = cut(_window_edges(members, vectors, slicing, block_nodes).where("a != b").distinct())
     discard(members, vectors)
     regions = components(edges).select("node", F.col("root").alias("region"))
@@ -741,11 +795,11 @@ def _components_of_rows(
     small = (F.col("nodes") <= memory_nodes) & (F.col("shingles") <= MEMORY_SHINGLES)
     marked = cut(placed.join(sizes.select("region", small.alias("small")), "region").select("region", "node", "doc_id", "n", "small"))
     one = marked.where("small").select(F.col("region").cast("string").alias("group"), F.lit(0).alias("side"), "node", "doc_id")
-    links = [cut(_join_in_memory(_chosen(rows, one), k, slicing, pivots, leaf))]
+    links = [cut(_join_in_memory(_chosen(rows, one), keys, slicing, pivots, leaf))]
     large = marked.where("NOT small").select("region", "node", "doc_id", "n")
     if not large.isEmpty():
         texts = cut(_chosen(rows, large.select("doc_id", "node")).select("node", "text"))
-        links.append(cut(_join_large(large.drop("doc_id"), texts, k, slicing, pivots, leaf, memory_nodes)))
+        links.append(cut(_join_large(large.drop("doc_id"), texts, keys, slicing, pivots, leaf, memory_nodes)))
         discard(texts)
     links = links[0].unionByName(links[-1]) if len(links) > 1 else links[0]
     labels = components(links).select("node", F.col("root").alias("label"))
@@ -755,7 +809,7 @@ def _components_of_rows(
     ids = ids.agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "node")).alias("first"))
     linked = placed.where("n > 0").join(ids, "label").select("doc_id", "n", "component_id", "node", "first")
     alone = placed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "node", F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "node").alias("first"))
-    return linked.union(alone)
+    return linked.union(alone), keys
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -764,7 +818,7 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col:
     Rows are told apart by id and set, as ids may repeat or be missing.  Rows without shingles all stay.
     """
     number = F.coalesce("doc_id", F.lit(LAST_ID))
-    rows = _components_of_rows(docs, k, num, den, id_col, text_col).where("n > 0")
-    rows = rows.groupBy(number.alias("id"), "node").agg(F.max((number == F.col("first.id")) & (F.col("node") == F.col("first.node"))).alias("kept"), F.count("*").alias("rows"))
+    found, keys = _components_of_rows(docs, Keys(k), num, den, id_col, text_col)
+    rows = found.where("n > 0").groupBy(number.alias("id"), "node").agg(F.max((number == F.col("first.id")) & (F.col("node") == F.col("first.node"))).alias("kept"), F.count("*").alias("rows"))
     decided = rows.where("NOT kept OR rows > 1").select("id", "node", "kept")
-    return keep_decided(docs, id_col, text_col, decided, lambda texts: pa.array([set_key(h) for h in shingle_sets(texts, k)], pa.int64()))
+    return keep_decided(docs, id_col, text_col, decided, lambda texts: pa.array([keys.node(h) for h in keys.sets(texts)], pa.int64()))

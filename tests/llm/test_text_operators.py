@@ -72,7 +72,7 @@ def near_corpus(seed, n=14):
 
 @pytest.mark.parametrize(
     ("k", "num", "work"),
-    [(4, 85, {}), (5, 80, {}), (5, 80, {"memory_nodes": 2, "block_nodes": 3}), (4, 85, {"memory_nodes": 3, "block_nodes": 2, "pivots": 2, "leaf": 1})],
+    [(4, 85, {}), (5, 80, {}), (5, 80, {"memory_nodes": 2, "block_nodes": 3}), (4, 85, {"memory_nodes": 3, "block_nodes": 2, "pivots": 2, "leaf": 1}), (5, 80, {"key_bits": 4, "memory_nodes": 4})],
 )
 def test_jaccard_components_match_brute_force(spark, k, num, work):
     texts = near_corpus(k + num)
@@ -123,7 +123,7 @@ def test_large_regions_are_joined_over_tasks(spark):
     stored = spark.createDataFrame([*zip(nodes, texts), (nodes[0], "another text of the id")], "node long, text string")
     placed = spark.createDataFrame([(j % 2, nodes[j], len(h)) for j, h in enumerate(sets)], "region long, node long, n long")
     want = [set(components_of_sets([h if j % 2 == side else np.array([j], dtype=np.uint64) for j, h in enumerate(sets)], 80, 100)) for side in (0, 1)]
-    links = jaccard_join._join_large(placed, stored, 1, jaccard_join.Slicing(80, 100), 3, 2, 4).collect()
+    links = jaccard_join._join_large(placed, stored, jaccard_join.Keys(1), jaccard_join.Slicing(80, 100), 3, 2, 4).collect()
     label = list(range(len(sets)))
     for a, b in links:
         one, other = label[nodes.index(a)], label[nodes.index(b)]
