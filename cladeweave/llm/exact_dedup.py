@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeweave.llm.shared import LAST_ID, cut, discard, keep_decided, lean
+from cladeweave.llm.shared import LAST_ID, cut, discard, join_counted, keep_decided, lean
 from cladeweave.llm.spans import mix64
 
 #: Entries of a memtable, and bytes of texts that a task holds for comparison.
@@ -41,8 +41,6 @@ FAN_IN = 16
 SHARD_ROWS = 1 << 20
 #: Bytes of all filters that are sent to the executors.
 FILTER_BYTES = 16 << 20
-#: Groups that hold more than this share of all documents are joined by a table that is sent.
-HEAVY_SHARE = 1e-5
 _ODD = re.compile(rb"[\x09-\x0D]|\x20{2}")
 _RUN = re.compile(rb"[\x20\x09-\x0D]+")
 U = np.uint64
@@ -282,16 +280,12 @@ def exact_groups(
     maybe = asked.where("digest IS NOT NULL").select("doc_id", "text_sha256", "digest")
     unique = asked.where("digest IS NULL").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).alias("n"), "text_sha256")
     checked = cut(_verified(asked, hits))
-    # At most 1 / HEAVY_SHARE groups are heavy, so their table may be sent; light groups are no hot keys.
-    least = max(2, int((hits.agg(F.sum("n")).first()[0] or 0) * HEAVY_SHARE))
-    sound = hits.join(checked.where("same"), "digest", "left_semi")
-    heavy = cut(sound.where(F.col("n") > least))
-    tagged = maybe.join(F.broadcast(heavy), "digest", "left")
-    found = tagged.where("n IS NOT NULL")
-    light = tagged.where("n IS NULL").drop("keep_id", "n").join(sound.where(F.col("n") <= least), "digest", "left")
+    sound = cut(hits.join(checked.where("same"), "digest", "left_semi"))
+    # Documents that the filters let pass without a hit are unique, too.
+    found = join_counted(maybe, sound, "digest", "n", sound.agg(F.sum("n")).first()[0] or 0, "left")
     collided = checked.where("NOT same").select("digest")
     if collided.isEmpty():
-        return _shaped(unique).unionByName(_shaped(found)).unionByName(_shaped(light))
+        return _shaped(unique).unionByName(_shaped(found))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -302,8 +296,8 @@ def exact_groups(
     texts = _columns(docs, id_col, text_col).mapInArrow(lean(again), "doc_id long, text_sha256 string, digest binary, body binary")
     clash = cut(texts.join(collided, "digest", "left_semi"))
     regrouped = clash.groupBy("digest", "body").agg(F.min(F.coalesce("doc_id", F.lit(LAST_ID))).alias("keep_id"), F.count("*").alias("n"))
-    light = light.join(collided, "digest", "left_anti")
-    return _shaped(unique).unionByName(_shaped(found)).unionByName(_shaped(light)).unionByName(_shaped(clash.join(regrouped, ["digest", "body"])))
+    found = found.join(collided, "digest", "left_anti")
+    return _shaped(unique).unionByName(_shaped(found)).unionByName(_shaped(clash.join(regrouped, ["digest", "body"])))
 
 
 def _shaped(found: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 
 from cladeweave.llm import spans
 from cladeweave.llm.components import components
-from cladeweave.llm.shared import LAST_ID, ceil_div, cut, discard, keep_decided, lean, require, split_by_ids
+from cladeweave.llm.shared import LAST_ID, ceil_div, cut, discard, join_counted, keep_decided, lean, require, split_by_ids
 
 U = np.uint64
 FLUSH_ROWS = 1 << 18
@@ -780,7 +780,7 @@ def _components_of_rows(
     slicing = Slicing(num, den)
     rows = _document_rows(docs, id_col, text_col)
     folder, keys = _nodes(rows, keys)
-    keepers = cut(folder.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))
+    keepers = cut(folder.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count("*").alias("docs")))
     members = cut(_members(rows, keys, slicing, block_nodes))
     wanted = cut(keepers.join(members.select("node").distinct(), "node", "left_semi").where("doc_id IS NOT NULL"))
     # Sets are made again from the texts where they are needed: hashes are larger and do not compress.
@@ -804,12 +804,16 @@ def _components_of_rows(
     links = links[0].unionByName(links[-1]) if len(links) > 1 else links[0]
     labels = components(links).select("node", F.col("root").alias("label"))
     discard(placed, marked)
-    placed = folder.join(labels, "node", "left").withColumn("label", F.coalesce("label", F.when(F.col("n") > 0, F.col("node"))))
-    ids = keepers.select("node", "doc_id").join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label"))
-    ids = ids.agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "node")).alias("first"))
-    linked = placed.where("n > 0").join(ids, "label").select("doc_id", "n", "component_id", "node", "first")
-    alone = placed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "node", F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "node").alias("first"))
-    return linked.union(alone), keys
+    name = F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "node")
+    tied = cut(keepers.join(labels, "node"))
+    ids = cut(tied.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(name).alias("first"), F.count("*").alias("nodes")))
+    named = join_counted(tied.select("label", "node", "docs"), ids, "label", "nodes", tied.count()).select("node", "docs", "component_id", "first")
+    alone = keepers.join(tied.select("node"), "node", "left_anti").select("node", "docs", F.col("doc_id").alias("component_id"), name.alias("first"))
+    named = cut(named.unionByName(alone))
+    total = named.agg(F.sum("docs")).first()[0] or 0
+    found = join_counted(folder.where("n > 0"), named, "node", "docs", total).select("doc_id", "n", "component_id", "node", "first")
+    empty = folder.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "node", name.alias("first"))
+    return found.union(empty), keys
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -159,6 +159,22 @@ def keep_decided(docs: DataFrame, id_col: str, text_col: str, decided: DataFrame
     return out.union(keyed.join(decided.where(kept), both, "left_semi").dropDuplicates(both).select(*columns))
 
 
+#: Keys that more than this share of all rows have are joined by a table that is sent.
+HEAVY_SHARE = 1e-5
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, how: str = "inner") -> DataFrame:
+    """Join (``inner`` or ``left``) of ``left`` with ``right``, whose ``key`` is unique and whose ``rows`` counts its rows in ``left``.
+
+    Keys with more than ``HEAVY_SHARE`` of the ``total`` rows of ``left`` are at most ``1 / HEAVY_SHARE``, so
+    their table may be sent, and the other keys are none that fill a task.
+    """
+    least = max(2, int(total * HEAVY_SHARE))
+    heavy = F.broadcast(right.where(F.col(rows) > least))
+    light = left.join(heavy.select(key), key, "left_anti").join(right.where(F.col(rows) <= least), key, how)
+    return left.join(heavy, key).unionByName(light)
+
+
 def require(ok: bool, message: str) -> None:
     """Raise ``ValueError`` unless ``ok``."""
     if not ok:
