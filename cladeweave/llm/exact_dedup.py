@@ -193,9 +193,10 @@ def compact(runs: DataFrame, fan_in: int = FAN_IN, shard_rows: int = SHARD_ROWS)
     """``shard, run, digest, keep_id, n`` of the last runs, with their filters, and the number of shards.
 
     ``runs`` are merged level by level, ``fan_in`` of each shard at a time, until each shard has one run.
+    There are as many shards as shuffle partitions, or more for ``shard_rows`` entries each.
     """
     about = runs.agg(F.count("*"), F.countDistinct("run")).first()
-    shards, left = max(1, -(-about[0] // shard_rows)), about[1]
+    shards, left = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-about[0] // shard_rows)), about[1]
     level = runs.withColumn("shard", _shard_column(shards))
     while True:
         merges = max(1, -(-left // fan_in))
