@@ -18,7 +18,8 @@ into a single preallocated buffer, which becomes an Arrow string array.  The los
 
 Defined results: turns are ordered by ``turn`` (nulls first), then role, then text; a null role or
 text is an empty one; rows that repeat are turns that repeat; a null conversation id is a conversation
-of its own; an empty table has no conversations.
+of its own; an empty table has no conversations; other columns are not read.  A conversation is one row
+and one string, so one of 2 GB or more is an error.
 """
 
 from __future__ import annotations
