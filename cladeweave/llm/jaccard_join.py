@@ -14,9 +14,9 @@ follows from the size class, and a document also visits the classes of all small
 partner may have.  Slices that are empty count only where a document has no more than ``D`` others.
 
 **Windows.**  Two documents of a region can only link if their sizes allow it and if the L1 distance
-of their count vectors (shingles counted in hash ranges, more of them for longer texts) is at most ``D``: the map from sets to
-count vectors does not enlarge differences, so this window loses nothing.  A region's members are dealt
-into blocks; each block is cut into the connected parts of its window graph, balls around the parts
+of their count vectors (shingles counted in hash ranges, more of them for longer texts) is at most
+``D``: the map from sets to count vectors does not enlarge differences, so this window loses nothing.
+A region's members are dealt into blocks; each block is cut into the connected parts of its window graph, balls around the parts
 (centre, radius, sizes) stand for them, and balls of different blocks are joined unless the triangle
 inequality parts them.  Parts that share documents are joined to one region.
 
