@@ -24,27 +24,37 @@ def raxml_check(msa: str, model: str, prefix: str, program: str = "raxml-ng") ->
     return [program, "--check", "--msa", msa, "--model", model, "--prefix", prefix]
 
 
-def raxml_search(msa: str, model: str, prefix: str, constraint: str | None = None, starts: str = "rand{25},pars{25}", seed: int = 111, threads: int = 4, program: str = "raxml-ng") -> list[str]:
-    tree = ["--tree-constraint", constraint] if constraint else []
-    return [program, "--search", "--msa", msa, "--model", model, *tree, "--tree", starts, "--seed", str(seed), "--threads", str(threads), "--prefix", prefix]
+def _options(**given: object) -> list[str]:
+    """``--name value`` for every option that is set."""
+    return [x for k, v in given.items() if v not in (None, "") for x in (f"--{k.replace('_', '-')}", str(v))]
 
 
-def raxml_bootstrap(msa: str, model: str, prefix: str, trees: int = 500, seed: int = 111, threads: int = 4, fixed_tree: str | None = None, program: str = "raxml-ng") -> list[str]:
-    """Bootstrap trees; with ``fixed_tree`` only branch lengths vary."""
-    fixed = ["--tree-constraint", fixed_tree] if fixed_tree else []
-    return [program, "--bootstrap", "--msa", msa, "--model", model, "--bs-trees", str(trees), "--seed", str(seed), "--threads", str(threads), *fixed, "--prefix", prefix]
+def raxml_search(
+    msa: str, model: str, prefix: str, constraint: str | None = None, starts: str = "rand{25},pars{25}", seed: int = 111, threads: int = 4, workers: int = 1,
+    outgroup: str | None = None, program: str = "raxml-ng",
+) -> list[str]:
+    """A search from several starting trees."""
+    return [program, "--search", *_options(msa=msa, model=model, tree_constraint=constraint, tree=starts, seed=seed, workers=workers, threads=threads, prefix=prefix, outgroup=outgroup)]
 
 
-def raxml_support(tree: str, replicates: str, prefix: str, metric: str = "tbe", program: str = "raxml-ng") -> list[str]:
-    return [program, "--support", "--tree", tree, "--bs-trees", replicates, "--bs-metric", metric, "--prefix", prefix]
+def raxml_bootstrap(
+    msa: str, model: str, prefix: str, trees: int = 500, seed: int = 111, threads: int = 4, workers: int | None = None, constraint: str | None = None,
+    outgroup: str | None = None, metric: str = "tbe", program: str = "raxml-ng",
+) -> list[str]:
+    """Bootstrap trees within a constraint; with a resolved tree as constraint only branch lengths vary."""
+    return [program, "--bootstrap", *_options(msa=msa, model=model, tree_constraint=constraint, bs_trees=trees, bs_metric=metric, seed=seed, workers=workers, threads=threads, prefix=prefix, outgroup=outgroup)]
+
+
+def raxml_support(tree: str, replicates: str, prefix: str, metric: str = "tbe", threads: int | None = None, program: str = "raxml-ng") -> list[str]:
+    return [program, "--support", *_options(tree=tree, bs_trees=replicates, bs_metric=metric, threads=threads, prefix=prefix)]
 
 
 def raxml_rf(trees: str, prefix: str, program: str = "raxml-ng") -> list[str]:
     return [program, "--rfdist", "--tree", trees, "--prefix", prefix]
 
 
-def raxml_converged(replicates: str, prefix: str, cutoff: float = 0.03, program: str = "raxml-ng") -> list[str]:
-    return [program, "--bsconverge", "--bs-trees", replicates, "--bs-cutoff", f"{cutoff:g}", "--prefix", prefix]
+def raxml_converged(replicates: str, prefix: str, cutoff: float = 0.03, metric: str = "tbe", seed: int = 111, threads: int = 4, program: str = "raxml-ng") -> list[str]:
+    return [program, "--bsconverge", *_options(bs_trees=replicates, bs_metric=metric, bs_cutoff=f"{cutoff:g}", seed=seed, threads=threads, prefix=prefix)]
 
 
 def modeltest(msa: str, partitions: str, output: str, threads: int = 4, program: str = "modeltest-ng") -> list[str]:

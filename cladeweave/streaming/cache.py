@@ -16,10 +16,14 @@ def grow_cache(arrivals: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     stays, so that it is defined which.  Only accessions are read of the rows that are known.
     """
 
+    def compacted(spark: SparkSession) -> bool:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=-1")
+        return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
     def merge(batch: DataFrame, number: int) -> None:
         rows = F.min(F.struct(*(c for c in batch.columns if c != "sid"))).alias("r")
         new = batch.groupBy("sid").agg(rows).select("sid", "r.*").select(*batch.columns)
-        if number:
+        if number or compacted(batch.sparkSession):
             known = _stored(batch.sparkSession, path, batch.schema).where(F.col("batch") < number)
             new = new.join(known.select("sid"), "sid", "left_anti")
         new.write.mode("overwrite").parquet(f"{path}/batch={number}")

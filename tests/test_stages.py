@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cladeweave.operators import dating, guards, sites, stages, trees
 from cladeweave.sources import external, formats
+from cladeweave.streaming import cache
 
 MEMBER = "cluster_id int, sid string, species string, parent string, ord int"
 SEQS = "marker string, name string, ord int, seq string"
@@ -207,3 +208,44 @@ def test_fetchers(spark):
 
     got = external.fetch_records(spark.createDataFrame([("a",), ("b",), ("a",)], "species_clean string"), fetch, pause=0.0).collect()
     assert {(r.species_clean, r.json) for r in got} == {("a", '{"assessments": []}'), ("b", None)}
+
+
+def test_commands_of_external_programs():
+    assert external.mafft("in.fa", "--auto --quiet") == ["mafft", "--auto", "--quiet", "in.fa"]
+    assert external.raxml_check("a", "m", "p")[1] == "--check" and external.raxml_rf("t", "p")[1:] == ["--rfdist", "--tree", "t", "--prefix", "p"]
+    search = external.raxml_search("a.phy", "p.txt", "out", constraint="c.tre", outgroup="Out_x", workers=2)
+    assert search == ["raxml-ng", "--search", *"--msa a.phy --model p.txt --tree-constraint c.tre --tree rand{25},pars{25} --seed 111 --workers 2 --threads 4 --prefix out --outgroup Out_x".split()]
+    boot = external.raxml_bootstrap("a", "m", "o", trees=7)
+    assert boot == ["raxml-ng", "--bootstrap", *"--msa a --model m --bs-trees 7 --bs-metric tbe --seed 111 --threads 4 --prefix o".split()]
+    assert external.raxml_converged("b", "o")[2:6] == ["--bs-trees", "b", "--bs-metric", "tbe"]
+    assert external.treepl("c") == ["treePL", "c"] and external.astral("j", "g", "o")[:3] == ["java", "-jar", "j"] and "ml" in external.modeltest("a", "p", "o")
+
+
+def test_files_round_trip(spark, tmp_path):
+    aln = spark.createDataFrame([("m1", "a", 1, "AC"), ("m1", "b", 2, "GT"), ("m2", "a", 3, "TT")], SEQS)
+    formats.write_fasta(aln, f"{tmp_path}/fa")
+    assert {(r.name, r.seq) for r in formats.read_fasta(spark, f"{tmp_path}/fa").collect()} == {("a", "AC"), ("b", "GT"), ("a", "TT")}
+    (tmp_path / "map.csv").write_text('search,replace\n"a, b", first\n c ,"x ""y"""\n')
+    assert [tuple(r) for r in formats.read_delimited(spark, f"{tmp_path}/map.csv", "search string, replace string").collect()] == [("a, b", "first"), ("c", 'x "y"')]
+    (tmp_path / "reps").mkdir()
+    (tmp_path / "reps" / "rep_1.raxml.bootstraps").write_text("(a,b);\n(a,(b,c));\n")
+    (tmp_path / "reps" / "rep_1.raxml.log").write_text("(not,a,tree);\n")
+    assert sorted(r.newick for r in formats.collect_bootstraps(spark, f"{tmp_path}/reps").collect()) == ["(a,(b,c));", "(a,b);"]
+
+
+def test_calibration_file(spark):
+    cal = spark.createDataFrame([("N1", "clade", "X", 1.0, 2.5, True), ("N2", "clade", "Y", 1.0, 2.0, True), ("N3", "clade", "X", 0.0, 9.0, False)], "mrca string, `column` string, `value` string, `min` double, `max` double, used_in_analysis boolean")
+    taxonomy = spark.createDataFrame([("b", "X"), ("a", "X"), ("c", "Y"), ("d", "Y")], "taxon string, clade string")
+    lines = dating.calibration_lines(cal, taxonomy, spark.createDataFrame([("a",), ("b",), ("c",)], "taxon string"), ["clade"])
+    assert dating.calibration_config(lines, 100, 8) == "numsites = 100\nmrca = N1 a b\nmin = N1 1.000000\nmax = N1 2.500000\nnthreads = 8\nthorough\n"
+
+
+def test_compacted_cache_goes_on(spark, tmp_path):
+    schema = "sid string, v int"
+    spark.createDataFrame([("a", 2), ("a", 1), ("b", 1)], schema).write.parquet(f"{tmp_path}/in")
+    cache.grow_cache(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/c", f"{tmp_path}/k").awaitTermination()
+    assert {(r.sid, r.v) for r in cache.read_cache(spark, f"{tmp_path}/c").collect()} == {("a", 1), ("b", 1)}
+    cache.compact_cache(spark, f"{tmp_path}/c", f"{tmp_path}/d")
+    spark.createDataFrame([("a", 0), ("c", 5)], schema).write.mode("overwrite").parquet(f"{tmp_path}/in")
+    cache.grow_cache(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/d", f"{tmp_path}/k2").awaitTermination()
+    assert {(r.sid, r.v) for r in cache.read_cache(spark, f"{tmp_path}/d").collect()} == {("a", 1), ("b", 1), ("c", 5)}
