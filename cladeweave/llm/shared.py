@@ -107,21 +107,13 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-def drop_ids(docs: DataFrame, id_col: str, dropped: DataFrame, bits: int = 24) -> DataFrame:
-    """``docs`` without the rows whose id is in the first column of ``dropped``.
-
-    A bitmap of ``2**bits`` places over hashed ids (4 MB at most, whatever the input is) is broadcast
-    as a table of words; rows that it excludes pass without a shuffle, and only the others meet the
-    exact anti join.  Rows without id stay.
-    """
-    free, rest, key = split_by_ids(docs, F.col(id_col).cast("long"), dropped, bits)
-    ids = dropped.select(F.col(dropped.columns[0]).cast("long").alias(key)).where(F.col(key).isNotNull()).distinct()
-    return free.union(rest.join(ids, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns)))
-
-
 def split_by_ids(docs: DataFrame, key: Column, ids: DataFrame, bits: int) -> tuple[DataFrame, DataFrame, str]:
     """Rows of ``docs`` whose ``key`` is not in the first column of ``ids``; those that may be in it, with
-    their key in one more column; and that column's name."""
+    their key in one more column; and that column's name.
+
+    A bitmap of ``2**bits`` places over hashed ids (4 MB at most, whatever the input is) is broadcast as a
+    table of words, so nothing is shuffled; a crowded bitmap lets more rows count as possible.
+    """
     name, word, held = fresh(docs.columns, "drop_id", "drop_word", "drop_bits")
     one = ids.select(F.col(ids.columns[0]).cast("long").alias(name)).where(F.col(name).isNotNull())
     place = F.pmod(F.xxhash64(name), F.lit(1 << bits))
@@ -138,8 +130,8 @@ def keep_decided(docs: DataFrame, id_col: str, text_col: str, decided: DataFrame
     """``docs`` with the rows that ``decided(id, key, kept)`` names dropped, or one row of each name kept.
 
     A row's name is its id, ``LAST_ID`` if it has none, and the key that ``keys`` makes of its text, so an
-    id that stands at several texts or is missing decides nothing alone.  Rows without an entry stay.  A
-    bitmap of ids, as in ``drop_ids``, lets the others pass without a shuffle; texts get keys behind it.
+    id that stands at several texts or is missing decides nothing alone.  Rows without an entry stay; those
+    that a bitmap of ids excludes pass without a shuffle, and only the others get keys.
     """
     decided = cut(decided)
     free, rest, name = split_by_ids(docs, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), decided, bits)

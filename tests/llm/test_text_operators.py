@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 
 from cladeweave.llm import chat, decontaminate, exact_dedup, features, html_extract, jaccard_join, language_id, quality, sentencepiece_codec, token_store, toxicity
 from cladeweave.llm.components import components
-from cladeweave.llm.shared import drop_ids, fold_of
+from cladeweave.llm.shared import fold_of, join_counted, split_by_ids
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SP = public_tokenizers.path("piece_bpe_32k.model")
@@ -175,10 +175,19 @@ def test_components_of_paths_and_stars(spark):
     assert got == {k: 0 for k in range(31)} | {100 + k: 100 for k in range(20)}
 
 
-def test_drop_ids_is_exact_with_a_crowded_bitmap(spark):
-    docs = frame(spark, [str(k) for k in range(500)]).unionByName(spark.createDataFrame([(None, "n", "en", "s", 1)], DOCS))
-    kept = drop_ids(docs, "doc_id", spark.createDataFrame([(k,) for k in range(0, 500, 3)], "x long"), bits=7)
-    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in kept.collect()) == [-1, *(k for k in range(500) if k % 3)]
+def test_bitmaps_lose_no_id_and_joins_by_count_no_row(spark):
+    docs = frame(spark, [str(k) for k in range(500)]).unionByName(spark.createDataFrame([(None, "n", "en", "s", 1)], DOCS)).selectExpr("*", "1 AS drop_id", "2 AS drop_word_")
+    asked = spark.createDataFrame([(k,) for k in range(0, 500, 3)] + [(None,)], "x long")
+    for bits, most in ((7, 500), (16, 200)):
+        free, rest, name = split_by_ids(docs, docs["doc_id"], asked, bits)
+        one, other = {r.doc_id for r in free.collect()}, {r[name]: r.doc_id for r in rest.collect()}
+        assert set(range(0, 500, 3)) <= set(other) and all(k == v for k, v in other.items()) and len(other) <= most
+        assert one | set(other) == {None, *range(500)} and not one & set(other) and free.columns == docs.columns
+    left = spark.createDataFrame([(k % 7 if k < 60 else 1000 + k, k) for k in range(80)], "key long, v long")
+    right = left.groupBy("key").count().where("key != 3 AND key != 1070")
+    for how, want in (("inner", 80 - 9 - 1), ("left", 80)):
+        got = join_counted(left, right, "key", "count", 80, how).collect()
+        assert len(got) == want and all((r["count"] is None) == (r.key in (3, 1070)) for r in got)
 
 
 @pytest.mark.parametrize("bits", [256, 3])
