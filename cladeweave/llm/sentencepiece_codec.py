@@ -48,7 +48,7 @@ class ChunkCodec:
         self.separable &= pieces[self.mark_ids[0]] == MARK
         self.end = self.sp.eos_id()
         self.entries = table_entries
-        self.table: dict[str, tuple[bytes, int, str, tuple[int, ...]]] = {}
+        self.table: dict[str, tuple[bytes, int, str, bytes]] = {}
         self.segmented = 0
 
     def chunks(self, text: str) -> list[str]:
@@ -57,27 +57,33 @@ class ChunkCodec:
             return text.split(" ")
         return [c[1:] for c in re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK))]
 
-    def _entry(self, chunk: str) -> tuple[bytes, int, str, tuple[int, ...]]:
+    def _entry(self, chunk: str) -> tuple[bytes, int, str, bytes]:
+        """Decimal digits, number, surface and 32-bit words of a chunk's ids."""
         self.segmented += 1
         ids = self.sp.encode(chunk) if chunk else self.mark_ids
-        made = (b"".join(b" %d" % i for i in ids), len(ids), " " + self.sp.decode(ids), tuple(ids))
+        made = (b"".join(b" %d" % i for i in ids), len(ids), " " + self.sp.decode(ids), np.array(ids, "<i4").tobytes())
         if len(chunk) <= CHUNK_CHARS:
             if len(self.table) >= self.entries:
                 self.table.clear()
             self.table[chunk] = made
         return made
 
-    def parts(self, text: str) -> list[tuple[bytes, int, str, tuple[int, ...]]]:
+    def parts(self, text: str) -> list[tuple[bytes, int, str, bytes]]:
         get = self.table.get
         return [get(c) or self._entry(c) for c in self.chunks(text)]
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of the text and the end id."""
-        if not text:
-            return [self.end]
-        if not self.separable:
-            return [*self.sp.encode(text), self.end]
-        return [i for p in self.parts(text) for i in p[3]] + [self.end]
+        return np.frombuffer(self.packed(text)[0], "<i4").tolist()
+
+    def packed(self, text: str | None) -> tuple[bytes, str]:
+        """Ids of the text and the end id as 32-bit words, and the text that they decode to."""
+        if not text or not self.separable:
+            ids = [*(self.sp.encode(text) if text else ()), self.end]
+            return np.array(ids, "<i4").tobytes(), self.decode(ids)
+        parts = self.parts(text)
+        words = b"".join([p[3] for p in parts]) + np.array([self.end], "<i4").tobytes()
+        return words, "".join([p[2] for p in parts])[1:]
 
     def decode(self, ids: list[int]) -> str:
         return self.sp.decode(ids)
@@ -120,11 +126,10 @@ def _task(model_file: str, run: Callable[[ChunkCodec, pa.RecordBatch], pa.Record
     return lean(over)
 
 
-def _lists(ids: list[list[int]]) -> pa.Array:
+def _lists(ids: list[bytes]) -> pa.Array:
     offsets = np.zeros(len(ids) + 1, np.int32)
-    np.cumsum([len(x) for x in ids], out=offsets[1:])
-    flat = np.fromiter((i for x in ids for i in x), np.int32, int(offsets[-1]))
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+    np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
 
 
 def encode_ids(docs: DataFrame, model_file: str, text_col: str = "text", out: str = "token_ids") -> DataFrame:
@@ -133,7 +138,7 @@ def encode_ids(docs: DataFrame, model_file: str, text_col: str = "text", out: st
     at = docs.columns.index(text_col)
 
     def run(c: ChunkCodec, part: pa.RecordBatch) -> pa.RecordBatch:
-        ids = _lists([c.encode(t) for t in part.column(at).to_pylist()])
+        ids = _lists([c.packed(t)[0] for t in part.column(at).to_pylist()])
         return pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, out])
 
     return docs.mapInArrow(_task(model_file, run), T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
@@ -158,9 +163,9 @@ def encode_and_decode(docs: DataFrame, model_file: str, text_col: str = "text",
     at = docs.columns.index(text_col)
 
     def run(c: ChunkCodec, part: pa.RecordBatch) -> pa.RecordBatch:
-        ids = [c.encode(t) for t in part.column(at).to_pylist()]
-        texts = pa.array([c.decode(x) for x in ids], pa.string())
-        return pa.RecordBatch.from_arrays([*part.columns, _lists(ids), texts], names=[*part.schema.names, ids_out, text_out])
+        rows = [c.packed(t) for t in part.column(at).to_pylist()]
+        texts = pa.array([text for _, text in rows], pa.string())
+        return pa.RecordBatch.from_arrays([*part.columns, _lists([ids for ids, _ in rows]), texts], names=[*part.schema.names, ids_out, text_out])
 
     added = [T.StructField(ids_out, T.ArrayType(T.IntegerType())), T.StructField(text_out, T.StringType())]
     return docs.mapInArrow(_task(model_file, run), T.StructType([*docs.schema.fields, *added]))
