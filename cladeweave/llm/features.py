@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeweave.llm import spans
-from cladeweave.llm.shared import fold_of, lean
+from cladeweave.llm.shared import cut, fold_of, lean
 
 Group = tuple[np.ndarray, np.ndarray]
 
@@ -114,17 +114,28 @@ def counted(column: pa.Array, features: HashedText) -> Iterator[tuple[np.ndarray
             yield np.unique(np.concatenate([b[at[d] : at[d + 1]] for b, at in groups]), return_counts=True)
 
 
-#: Distinct buckets of a document that is learned from, at most.
+#: Distinct buckets that stand for a document that is learned from; values of ``by`` and sampled rows of all values together.
 MOST_TERMS = 1 << 14
+MOST_LABELS = 256
+MOST_ROWS = 12_000
 
 
-def sample_ids(labelled: DataFrame, bound: int, by: str | None = None) -> DataFrame:
+def thinned(buckets: np.ndarray, counts: np.ndarray, most: int = MOST_TERMS) -> tuple[np.ndarray, np.ndarray]:
+    """A document's features, or the ``most`` of them with the least hashes: the same buckets stay in all long documents."""
+    if len(buckets) <= most:
+        return buckets, counts
+    kept = np.sort(np.argpartition(spans.mix64(buckets.astype(np.uint64)), most)[:most])
+    return buckets[kept], counts[kept]
+
+
+def sample_ids(labelled: DataFrame, bound: int, by: str | None = None, most_labels: int | None = None) -> DataFrame:
     """At most ``bound`` labelled rows (of each value of ``by``) outside the held-out fold.
 
     ``labelled(doc_id, label)``; rows are taken in the order of a hash of their id, so the sample does
-    not depend on partitioning.  The result is bounded, by rows for each value, and may be broadcast.
-    Values are as few as a model learns, so their counts are sent; from a count follows below which hash
-    about ``bound`` rows lie, so that no more than these meet in the task of a value.
+    not depend on partitioning.  The result is bounded, by rows for each value.
+    From a value's count follows below which hash about ``bound`` rows lie, so that no more than these meet
+    in the task of a value.  ``most_labels`` keeps the commonest values (equal counts: the first by name) and lowers
+    ``bound`` to keep the rows of all within ``MOST_ROWS``; without it every value has rows, however many there are.
     """
     rows = labelled.where("doc_id IS NOT NULL AND label IS NOT NULL").where(fold_of("doc_id") != 0)
     rows = rows.groupBy("doc_id").agg(F.min("label").alias("label"))
@@ -132,8 +143,12 @@ def sample_ids(labelled: DataFrame, bound: int, by: str | None = None) -> DataFr
     if by is None:
         return rows.orderBy(*order).limit(bound)
     counts = rows.groupBy("label").agg(F.count("*").alias("n"))
+    if most_labels is not None:
+        counts = cut(counts.orderBy(F.desc("n"), "label").limit(most_labels))
+        bound = min(bound, max(1, MOST_ROWS // max(1, counts.count())))
+        counts = F.broadcast(counts)
     share = (F.xxhash64("doc_id").cast("double") + 2.0**63) / 2.0**64
-    near = rows.join(F.broadcast(counts), "label").where(share * F.col("n") <= 1.2 * bound + 100).drop("n")
+    near = rows.join(counts, "label").where(share * F.col("n") <= 1.2 * bound + 100).drop("n")
     rank = F.row_number().over(Window.partitionBy("label").orderBy(*order))
     return near.withColumn("rank", rank).where(F.col("rank") <= bound).drop("rank")
 
@@ -141,20 +156,17 @@ def sample_ids(labelled: DataFrame, bound: int, by: str | None = None) -> DataFr
 def sample_features(docs: DataFrame, sample: DataFrame, make: Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray]]]) -> list[tuple[object, np.ndarray, np.ndarray]]:
     """``(label, buckets, counts)`` of the sampled documents, in the order of their ids.
 
-    Only the sample's features reach the driver: at most the sample's rows times ``MOST_TERMS`` buckets.  A
-    document with more distinct buckets is not learned from (its features would outweigh many others').
-    Repeated ids are learned each.
+    Only the sample's features reach the driver: at most the sample's rows times ``MOST_TERMS`` buckets (``thinned``).
+    Every sampled document is learned from, and repeated ids are learned each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 part = b.slice(lo, 64)
-                rows = list(make(part.column(1)))
-                fits = pa.array([len(x) <= MOST_TERMS for x, _ in rows], pa.bool_())
-                rows = [r for r in rows if len(r[0]) <= MOST_TERMS]
+                rows = [thinned(*r) for r in make(part.column(1))]
                 yield pa.record_batch(
-                    [part.column(0).filter(fits), part.column(2).filter(fits), pa.array([x.astype("<u4").tobytes() for x, _ in rows], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in rows], pa.binary())],
+                    [part.column(0), part.column(2), pa.array([x.astype("<u4").tobytes() for x, _ in rows], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in rows], pa.binary())],
                     names=["doc_id", "label", "buckets", "counts"],
                 )
 

@@ -76,7 +76,7 @@ class Ftrl:
 
     alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 3.0
+    l1: float = 6.0
     l2: float = 1.0
     size: int = (1 << BITS) + 1
 
@@ -108,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND, label: str = "to
     Terms in fewer than ``least_documents`` documents of the sample are not learned.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
-    got = features.sample_features(docs, features.sample_ids(rows, bound, by="label"), distinct_terms)
+    got = features.sample_features(docs, features.sample_ids(rows, bound, by="label", most_labels=features.MOST_LABELS), distinct_terms)
     if len({y for y, _, _ in got}) < 2:
         return np.empty(0, np.int64), np.empty(0), -1e-9
     seen = np.zeros(1 << BITS, dtype=np.int32)
