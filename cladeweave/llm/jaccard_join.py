@@ -47,22 +47,25 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeweave.llm import spans
 from cladeweave.llm.components import components
-from cladeweave.llm.shared import LAST_ID, ceil_div, cut, discard, join_counted, keep_decided, lean, require, split_by_ids
+from cladeweave.llm.shared import LAST_ID, bitmap_bits, ceil_div, cut, discard, join_counted, keep_decided, lean, require, split_by_ids
 
 U = np.uint64
-FLUSH_ROWS = 1 << 18
+HOT_ROWS = 1 << 12
+MOST_HOT = 100_000
+CHUNK_ROWS, CHUNK_SHARE = 1 << 20, 1 << 12
 MEMORY_NODES = 1024
 MEMORY_SHINGLES = 1 << 21
 BLOCK_NODES = 512
 PIVOTS = 8
 MOST_PIVOTS = 1024
 LEAF = 4
-BITMAP = 24
 SENT_ROWS = 500_000
 MOST_CLASHES = 10_000
 CLASS_GROWTH = 1.6
@@ -173,64 +176,83 @@ def _document_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def _nodes(rows: DataFrame, keys: Keys) -> tuple[DataFrame, Keys]:
-    """``doc_id, node, n``: the key and size of each document's set; and the keys with those that clash.
+def _nodes(rows: DataFrame, keys: Keys, slicing: Slicing) -> tuple[DataFrame, Keys]:
+    """``doc_id, node, n, sigs``: the key and size of each document's set, and the packed signatures of its slices; and the keys with those that clash.
 
-    Of the order of ``documents**2 / 2**65`` keys clash by chance, so the driver gets no more than a few.
+    Texts are cut into shingles once for all of these.  Equal sets of a task bring their signatures once.  Of the order of ``documents**2 / 2**65``
+    keys clash by chance, so the driver gets no more than a few.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [(keys.first(h), keys.second(h), len(h)) for h in keys.sets(b.column(1))]
-            columns = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.record_batch([b.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "node", "second", "n"])
-
-    made = cut(rows.mapInArrow(lean(run), "doc_id long, node long, second long, n long"))
+    def described(keys: Keys) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            for b in batches:
+                found: list[tuple] = []
+                for h in keys.sets(b.column(1)):
+                    node, sigs = keys.node(h), None
+                    if len(h) and node not in seen:
+                        if len(seen) >= 1 << 18:
+                            seen.clear()
+                        seen.add(node)
+                        sigs = slice_signatures(h, slicing).tobytes()
+                    found.append((node, keys.second(h), len(h), sigs))
+                columns = list(zip(*found, strict=True)) if found else [()] * 4
+                yield pa.record_batch([b.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], names=["doc_id", "node", "second", "n", "sigs"])
+
+        return cut(rows.mapInArrow(lean(run), "doc_id long, node long, second long, n long, sigs binary"))
+
+    made = described(keys)
     clash = made.where("n > 0").groupBy("node").agg(F.min("second").alias("a"), F.max("second").alias("b")).where("a != b").select("node")
     found = clash.limit(MOST_CLASHES + 1).collect()
     require(len(found) <= MOST_CLASHES, "too many set keys clash")
     if not found:
-        return made.drop("second"), keys
+        return made, keys
+    discard(made)
     keys = replace(keys, clash=frozenset(r[0] for r in found))
+    return described(keys), keys
+
 
-    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signatures(folder: DataFrame) -> DataFrame:
+    """``sig, node`` of each slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = list(keys.sets(b.column(1)))
-            yield pa.record_batch([b.column(0), pa.array([keys.node(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64())], names=["doc_id", "node", "n"])
+            sigs = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(1)]
+            if sigs:
+                node = np.repeat(b.column(0).to_numpy(), [len(x) for x in sigs])
+                yield pa.record_batch([pa.array(np.concatenate(sigs)), pa.array(node)], names=["sig", "node"])
 
-    return cut(rows.mapInArrow(lean(rename), "doc_id long, node long, n long")), keys
+    return folder.where("sigs IS NOT NULL").select("node", "sigs").mapInArrow(lean(run), "sig long, node long")
 
 
-def _signatures(rows: DataFrame, keys: Keys, slicing: Slicing) -> DataFrame:
-    """``sig, node`` of each slice; equal sets of a task are sent once."""
+def _hot(folder: DataFrame, least: int) -> DataFrame:
+    """``sig, salts``: signatures with ``least`` rows or more, and over how many shares each is dealt; ``MOST_HOT`` rows at most.
+
+    Tasks count their signatures in chunks and report those with more than ``1 / CHUNK_SHARE`` of a chunk, so
+    what has no such share anywhere isn't found; it fills no task either.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        sigs: list[np.ndarray] = []
-        nodes: list[int] = []
-        rows_held = 0
+        held: list[np.ndarray] = []
+        size = 0
 
-        def flush() -> pa.RecordBatch:
-            node = np.repeat(np.array(nodes, dtype=np.int64), [len(s) for s in sigs])
-            return pa.record_batch([pa.array(np.concatenate(sigs)), pa.array(node)], names=["sig", "node"])
+        def counted() -> pa.RecordBatch:
+            sig, n = np.unique(np.concatenate(held), return_counts=True)
+            many = n >= max(2, size // CHUNK_SHARE)
+            return pa.record_batch([pa.array(sig[many]), pa.array(n[many].astype(np.int64))], names=["sig", "n"])
 
         for b in batches:
-            for h in keys.sets(b.column(1)):
-                if len(h) and (node := keys.node(h)) not in seen:
-                    if len(seen) >= 1 << 18:
-                        seen.clear()
-                    seen.add(node)
-                    if len(sig := slice_signatures(h, slicing)):
-                        sigs.append(sig)
-                        nodes.append(node)
-                        rows_held += len(sig)
-                        if rows_held >= FLUSH_ROWS:
-                            yield flush()
-                            sigs, nodes, rows_held = [], [], 0
-        if sigs:
-            yield flush()
+            for x in b.column(0):
+                held.append(np.frombuffer(x.as_buffer(), np.int64))
+                size += len(held[-1])
+            if size >= CHUNK_ROWS:
+                yield counted()
+                held, size = [], 0
+        if size:
+            yield counted()
 
-    return rows.mapInArrow(lean(run), "sig long, node long")
+    counts = folder.where("sigs IS NOT NULL").select("sigs").mapInArrow(lean(run), "sig long, n long").groupBy("sig").agg(F.sum("n").alias("n"))
+    return counts.where(F.col("n") >= least).orderBy(F.desc("n"), "sig").limit(MOST_HOT).select("sig", F.ceil(F.col("n") / least).cast("long").alias("salts"))
 
 
 def _runs(sorted_keys: np.ndarray) -> np.ndarray:
@@ -245,9 +267,12 @@ def _meeting(batches: Iterator[pa.RecordBatch], block_nodes: int) -> Iterator[pa
 
     Slices with the same members make one region.  Members of a region are dealt into blocks of
     ``block_nodes``; a run that is longer than a few blocks leaves block by block, so memory holds no
-    whole hot slice.
+    whole hot slice.  Rows that are marked ``hot`` are a share of a slice whose others are in other tasks: all leave
+    in blocks, which are numbered by task.
     """
-    hold = max(1 << 15, 4 * block_nodes)
+    hold = _hold(block_nodes)
+    task = TaskContext.get().partitionId() if TaskContext.get() else 0
+    hot_blocks = 0
     seen: set[int] = set()
     carry_sig, carry_node = np.empty(0, np.int64), np.empty(0, np.int64)
     begun: list[int] = []  # the slice that has left in part, and its blocks so far
@@ -276,7 +301,31 @@ def _meeting(batches: Iterator[pa.RecordBatch], block_nodes: int) -> Iterator[pa
         inner = np.arange(len(at)) - np.repeat(np.cumsum(sizes[chosen]) - sizes[chosen], sizes[chosen])
         return made(np.repeat(members[chosen].view(np.int64), sizes[chosen]), inner // block_nodes, np.repeat(sizes[chosen] > block_nodes, sizes[chosen]), node[at])
 
+    hot_sig, hot_node = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def hot_part(last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal hot_sig, hot_node, hot_blocks
+        runs = _runs(hot_sig)
+        for a, z in zip(runs[:-1].tolist(), runs[1:].tolist(), strict=True):
+            over = last or z < len(hot_sig)
+            full = z if over else a + (z - a - 1) // block_nodes * block_nodes  # the newest row stays, to drop its repeats
+            if full > a:
+                yield part_of(int(hot_sig[a]), hot_node[a:full], (task << 32) + hot_blocks)
+                hot_blocks += ceil_div(full - a, block_nodes)
+            if not over:
+                hot_sig, hot_node = hot_sig[full:], hot_node[full:]
+                return
+        hot_sig, hot_node = hot_sig[:0], hot_node[:0]
+
     for b in batches:
+        if b.num_columns > 2 and b.num_rows:
+            hot = b.column(2)
+            share = b.filter(hot)
+            hot_sig, hot_node = np.concatenate((hot_sig, share.column(0).to_numpy())), np.concatenate((hot_node, share.column(1).to_numpy()))
+            new = np.concatenate(([True], (hot_sig[1:] != hot_sig[:-1]) | (hot_node[1:] != hot_node[:-1]))) if len(hot_sig) else np.empty(0, bool)
+            hot_sig, hot_node = hot_sig[new], hot_node[new]
+            yield from hot_part(False)
+            b = b.filter(pc.invert(hot))
         if not b.num_rows:
             continue
         sig, node = np.concatenate((carry_sig, b.column(0).to_numpy())), np.concatenate((carry_node, b.column(1).to_numpy()))
@@ -299,15 +348,24 @@ def _meeting(batches: Iterator[pa.RecordBatch], block_nodes: int) -> Iterator[pa
             yield part_of(int(carry_sig[0]), carry_node[:full], first)
             begun = [int(carry_sig[0]), first + full // block_nodes]
             carry_sig, carry_node = carry_sig[full:], carry_node[full:]
+    yield from hot_part(True)
     if begun and len(carry_sig):
         yield part_of(begun[0], carry_node, begun[1])
     elif len(carry_sig) and (out := complete(carry_sig, carry_node)) is not None:
         yield out
 
 
-def _members(rows: DataFrame, keys: Keys, slicing: Slicing, block_nodes: int) -> DataFrame:
-    """``region, block, many, node`` of all documents whose slices meet."""
-    dealt = _signatures(rows, keys, slicing).repartition("sig").sortWithinPartitions("sig", "node")
+def _hold(block_nodes: int) -> int:
+    """Rows of a slice from which on it leaves block by block."""
+    return max(HOT_ROWS, 4 * block_nodes)
+
+
+def _members(folder: DataFrame, block_nodes: int) -> DataFrame:
+    """``region, block, many, node`` of all documents whose slices meet; a hot slice is dealt over shares by node."""
+    hot = F.broadcast(_hot(folder, _hold(block_nodes)))
+    rows = _signatures(folder).join(hot, "sig", "left")
+    rows = rows.select("sig", F.coalesce(F.pmod(F.xxhash64("node"), F.col("salts")), F.lit(-1)).alias("share"), "node").repartition("sig", "share")
+    dealt = rows.sortWithinPartitions("sig", "share", "node").select("sig", "node", (F.col("share") >= 0).alias("hot"))
     return dealt.mapInArrow(lean(lambda batches: _meeting(batches, block_nodes)), "region long, block long, many boolean, node long").distinct()
 
 
@@ -734,11 +792,11 @@ def _chosen(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """``rows`` joined with ``wanted(doc_id, ...)``.
 
     A table of a checked size is sent to all tasks.  Beyond it a bitmap of hashed ids, of a fixed size, is
-    sent, so that only rows that may be wanted are shuffled; a crowded bitmap lets more of them pass.
+    sent (``bitmap_bits``), so that only rows that may be wanted are shuffled; a crowded bitmap lets more of them pass.
     """
-    if wanted.count() <= SENT_ROWS:
+    if (n := wanted.count()) <= SENT_ROWS:
         return rows.join(F.broadcast(wanted), "doc_id")
-    _, maybe, key = split_by_ids(rows, F.col("doc_id"), wanted.select("doc_id"), BITMAP)
+    _, maybe, key = split_by_ids(rows, F.col("doc_id"), wanted.select("doc_id"), bitmap_bits(n))
     return maybe.drop(key).join(wanted, "doc_id")
 
 
@@ -752,7 +810,7 @@ def _vectors(rows: DataFrame, wanted: DataFrame, keys: Keys) -> DataFrame:
             columns = zip(*found, strict=True) if found else ([], [], [])
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["node", "n", "vector"])
 
-    maybe = split_by_ids(rows, F.col("doc_id"), wanted.select("doc_id"), BITMAP)[1]
+    maybe = split_by_ids(rows, F.col("doc_id"), wanted.select("doc_id"), bitmap_bits(wanted.count()))[1]
     return maybe.select("text").mapInArrow(lean(run), "node long, n long, vector binary").dropDuplicates(["node"])
 
 
@@ -779,9 +837,9 @@ def _components_of_rows(
     component; and the keys that name nodes."""
     slicing = Slicing(num, den)
     rows = _document_rows(docs, id_col, text_col)
-    folder, keys = _nodes(rows, keys)
+    folder, keys = _nodes(rows, keys, slicing)
     keepers = cut(folder.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count("*").alias("docs")))
-    members = cut(_members(rows, keys, slicing, block_nodes))
+    members = cut(_members(folder, block_nodes))
     wanted = cut(keepers.join(members.select("node").distinct(), "node", "left_semi").where("doc_id IS NOT NULL"))
     # Sets are made again from the texts where they are needed: hashes are larger and do not compress.
     vectors = cut(_vectors(rows, wanted, keys))

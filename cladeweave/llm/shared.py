@@ -107,11 +107,16 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def bitmap_bits(ids: int) -> int:
+    """Bits of a place in a bitmap of so many ids: about 16 places an id, from 1 MB to 32 MB; beyond some hundred million ids it grows crowded."""
+    return min(28, max(23, (16 * ids).bit_length()))
+
+
 def split_by_ids(docs: DataFrame, key: Column, ids: DataFrame, bits: int) -> tuple[DataFrame, DataFrame, str]:
     """Rows of ``docs`` whose ``key`` is not in the first column of ``ids``; those that may be in it, with
     their key in one more column; and that column's name.
 
-    A bitmap of ``2**bits`` places over hashed ids (4 MB at most, whatever the input is) is broadcast as a
+    A bitmap of ``2**bits`` places over hashed ids (``bitmap_bits``) is broadcast as a
     table of words, so nothing is shuffled; a crowded bitmap lets more rows count as possible.
     """
     name, word, held = fresh(docs.columns, "drop_id", "drop_word", "drop_bits")
@@ -126,7 +131,7 @@ def split_by_ids(docs: DataFrame, key: Column, ids: DataFrame, bits: int) -> tup
     return marked.where(~hit).select(*columns), marked.where(hit).select(*columns, name), name
 
 
-def keep_decided(docs: DataFrame, id_col: str, text_col: str, decided: DataFrame, keys: Callable[[pa.Array], pa.Array], bits: int = 24) -> DataFrame:
+def keep_decided(docs: DataFrame, id_col: str, text_col: str, decided: DataFrame, keys: Callable[[pa.Array], pa.Array]) -> DataFrame:
     """``docs`` with the rows that ``decided(id, key, kept)`` names dropped, or one row of each name kept.
 
     A row's name is its id, ``LAST_ID`` if it has none, and the key that ``keys`` makes of its text, so an
@@ -134,7 +139,7 @@ def keep_decided(docs: DataFrame, id_col: str, text_col: str, decided: DataFrame
     that a bitmap of ids excludes pass without a shuffle, and only the others get keys.
     """
     decided = cut(decided)
-    free, rest, name = split_by_ids(docs, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), decided, bits)
+    free, rest, name = split_by_ids(docs, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), decided, bitmap_bits(decided.count()))
     key, kept = fresh(rest.columns, "text_key", "is_kept")
     decided = decided.toDF(name, key, kept)
     at, columns = docs.columns.index(text_col), [F.col(f"`{c}`") for c in docs.columns]
@@ -148,7 +153,9 @@ def keep_decided(docs: DataFrame, id_col: str, text_col: str, decided: DataFrame
     out = free.union(keyed.join(decided, both, "left_anti").select(*columns))
     if decided.where(kept).isEmpty():
         return out
-    return out.union(keyed.join(decided.where(kept), both, "left_semi").dropDuplicates(both).select(*columns))
+    # Rows of one name may be very many (those without id and of one text): each task drops its repeats before the join.
+    once = keyed.dropDuplicates(both)
+    return out.union(once.join(decided.where(kept), both, "left_semi").select(*columns))
 
 
 #: Keys that more than this share of all rows have are joined by a table that is sent.
