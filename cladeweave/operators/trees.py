@@ -1,8 +1,8 @@
 """Rooted and unrooted trees as node tables.
 
-A tree is rows ``tree_id, node_id, parent_id, label, branch_length, support, is_tip``.  Depths and
-ancestor closures are iterative joins that double the distance covered, so the number of rounds is
-logarithmic in the number of levels; many replicate trees are handled by the same plans, keyed on
+A tree is rows ``tree_id, node_id, parent_id, label, branch_length, support, is_tip``.  Depths, common ancestors and
+pruning rest on pointers that double their reach (``intervals``): a round has a row for each node, and there are
+logarithmically many in the number of levels; many replicate trees are handled by the same plans, keyed on
 ``tree_id``.  Splits are unrooted and non-trivial: the side without the reference (smallest) tip.  They
 are made of one tree in one Arrow task, as bit sets over numbered tips; names come back only for output.
 """
@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeweave.operators import intervals
 from cladeweave.operators.lineage import cut
 
 KEY = ["tree_id", "node_id"]
@@ -25,45 +26,15 @@ def rescale(nodes: DataFrame, factor: float = 100.0) -> DataFrame:
     return nodes.withColumn("branch_length", F.col("branch_length") * factor)
 
 
-def _pointers(nodes: DataFrame) -> DataFrame:
-    return nodes.select(*KEY, F.col("parent_id").alias("up"), F.coalesce(F.when(F.col("parent_id").isNotNull(), F.col("branch_length")), F.lit(0.0)).alias("far"))
-
-
 def root_distances(nodes: DataFrame) -> DataFrame:
-    """``tree_id, node_id, depth``: sum of branch lengths to the root, by pointer doubling."""
-    p = _pointers(nodes)
-    while True:
-        q = p.select("tree_id", F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2"))
-        p = p.join(q, ["tree_id", "up"], "left").select(*KEY, F.col("up2").alias("up"), (F.col("far") + F.coalesce("far2", F.lit(0.0))).alias("far"))
-        p = cut(p)
-        if p.where("up IS NOT NULL").isEmpty():
-            return p.select(*KEY, F.col("far").alias("depth"))
+    """``tree_id, node_id, depth``: sum of branch lengths to the root."""
+    return intervals.climb(nodes, {}).table.select(*KEY, "depth")
 
 
 def max_depth(nodes: DataFrame) -> DataFrame:
     return root_distances(nodes).groupBy("tree_id").agg(F.max("depth").alias("max_depth"))
 
 
-def ancestors(nodes: DataFrame) -> DataFrame:
-    """``tree_id, node_id, ancestor_id, steps``; every node is its own ancestor."""
-    reach = nodes.where("parent_id IS NOT NULL").select(*KEY, F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("steps"))
-    width = 1
-    while True:
-        far = reach.select("tree_id", F.col("node_id").alias("ancestor_id"), F.col("ancestor_id").alias("next"), F.col("steps").alias("more"))
-        added = reach.where(F.col("steps") == width).join(far, ["tree_id", "ancestor_id"]).select(*KEY, F.col("next").alias("ancestor_id"), (F.col("steps") + F.col("more")).alias("steps"))
-        new = cut(added)
-        if new.isEmpty():
-            return reach.union(nodes.select(*KEY, F.col("node_id").alias("ancestor_id"), F.lit(0).alias("steps")))
-        reach, width = reach.union(new), 2 * width
-
-
-def tips_below(nodes: DataFrame, closure: DataFrame | None = None) -> DataFrame:
-    """``tree_id, node_id, tip``: labels of the tips under each node."""
-    closure = ancestors(nodes) if closure is None else closure
-    tips = nodes.where("is_tip").select(*KEY, F.col("label").alias("tip"))
-    return closure.join(tips, KEY).select("tree_id", F.col("ancestor_id").alias("node_id"), "tip")
-
-
 def _masks(node: list, parent: list, tip: list) -> list[int]:
     """For each inner node the bits of the tips below; ``tip`` has a tip's place, else None (or -1 for a tip that does not count)."""
     at = {n: k for k, n in enumerate(node)}
@@ -187,23 +158,20 @@ def rename_tips(nodes: DataFrame, names: DataFrame) -> DataFrame:
     return renamed.withColumn("label", F.when(F.col("is_tip"), F.col("taxon")).otherwise(F.col("label"))).select(*kept.columns)
 
 
-def group_nodes(nodes: DataFrame, groups: DataFrame, min_tips: int = 2) -> DataFrame:
+def group_nodes(nodes: DataFrame, groups: DataFrame, min_tips: int = 2, labels: intervals.Labels | None = None) -> DataFrame:
     """Most recent common ancestor and monophyly of groups of tips.
 
-    ``groups``: ``grp, tip``.  The ancestor is the node with the fewest tips among those above all the
-    group's tips; the group is monophyletic if that node has no other tips.
+    ``groups``: ``tip`` and columns that name the group.  The ancestor is the deepest node whose interval holds the
+    least and the greatest entry number of the group's tips; the group is monophyletic if that node has no other tips.
     """
-    closure = cut(ancestors(nodes))
-    below = cut(tips_below(nodes, closure))
-    sizes = below.groupBy(*KEY).agg(F.count("*").alias("n_node"))
-    placed = groups.distinct().join(nodes.where("is_tip").select("tree_id", F.col("label").alias("tip")), "tip")
-    wanted = placed.groupBy("tree_id", "grp").agg(F.countDistinct("tip").alias("n_tips")).where(F.col("n_tips") >= min_tips)
-    held = below.join(placed, ["tree_id", "tip"]).groupBy("tree_id", "grp", "node_id").agg(F.count("*").alias("n_group"))
-    above = held.join(wanted, ["tree_id", "grp"]).where("n_group = n_tips").join(sizes, KEY)
-    # Unary nodes have the same tips as their child: the deepest of them is the ancestor.
-    depth = closure.groupBy(*KEY).agg(F.max("steps").alias("level"))
-    best = above.join(depth, KEY).groupBy("tree_id", "grp", "n_tips").agg(F.min(F.struct("n_node", (-F.col("level")).alias("l"), "node_id")).alias("m"))
-    return best.select("tree_id", "grp", "n_tips", F.col("m.node_id").alias("mrca"), F.col("m.n_node").alias("n_below"), (F.col("m.n_node") == F.col("n_tips")).alias("monophyletic"))
+    labels = intervals.interval_labels(nodes) if labels is None else labels
+    by = ["tree_id", *(c for c in groups.columns if c != "tip")]
+    tips = nodes.where("is_tip").select(*KEY, F.col("label").alias("tip")).join(labels.table.select(*KEY, "enter"), KEY)
+    placed = groups.distinct().join(tips, "tip")
+    wanted = placed.groupBy(*by).agg(F.countDistinct("tip").alias("n_tips"), F.min_by("node_id", "enter").alias("node_id"), F.max("enter").alias("last")).where(F.col("n_tips") >= min_tips)
+    found = intervals.common_ancestors(labels, cut(wanted))
+    below = labels.table.select("tree_id", F.col("node_id").alias("mrca"), F.col("n_tips").alias("n_below"))
+    return found.join(below, ["tree_id", "mrca"]).select(*by, "n_tips", "mrca", "n_below", (F.col("n_below") == F.col("n_tips")).alias("monophyletic"))
 
 
 def collapse(nodes: DataFrame, cutoff: float = 0.70, tiny: float = 1e-10) -> DataFrame:
@@ -215,13 +183,7 @@ def collapse(nodes: DataFrame, cutoff: float = 0.70, tiny: float = 1e-10) -> Dat
     internal = ~F.col("is_tip") & F.col("parent_id").isNotNull()
     length = F.when(internal & (F.col("support") < cutoff), 0.0).otherwise(F.col("branch_length"))
     marked = nodes.withColumn("branch_length", length).withColumn("_gone", internal & (F.coalesce(length, F.lit(1.0)) < tiny))
-    up = cut(marked.select(*KEY, "_gone", F.col("parent_id").alias("up")))
-    while True:
-        q = up.select("tree_id", F.col("node_id").alias("up"), F.col("_gone").alias("gone2"), F.col("up").alias("up2"))
-        step = up.join(q, ["tree_id", "up"], "left")
-        if step.where("gone2").isEmpty():
-            break
-        up = cut(step.select(*KEY, "_gone", F.when(F.col("gone2"), F.col("up2")).otherwise(F.col("up")).alias("up")))
+    up = intervals.nearest_kept(marked.select(*KEY, F.col("_gone").alias("gone"), F.col("parent_id").alias("up")))
     kept = marked.where("NOT _gone").drop("parent_id", "_gone")
     return kept.join(up.select(*KEY, F.col("up").alias("parent_id")), KEY).select(*nodes.columns)
 
@@ -283,19 +245,20 @@ def reroot(nodes: DataFrame, outgroup: list[str] | DataFrame) -> DataFrame:
 def prune(nodes: DataFrame, keep: DataFrame) -> DataFrame:
     """Trees restricted to tips in ``keep(tip)`` or ``keep(tree_id, tip)``; nodes left with one child are merged into it.
 
-    Works on closures: kept nodes are tips and nodes with two or more kept children lineages, and each
-    hangs on its nearest kept ancestor, with the lengths between summed.
+    Kept nodes are tips and nodes with kept tips below two or more of their children; each hangs on its nearest kept ancestor,
+    with the lengths between summed.  All steps double their reach and have a row for each node at most.
     """
-    closure = cut(ancestors(nodes))
+    labels = intervals.climb(nodes, {})
     by = ["tree_id", "label"] if "tree_id" in keep.columns else ["label"]
     tips = nodes.where("is_tip").join(keep.withColumnRenamed("tip", "label").select(*by).distinct(), by, "left_semi").select(*KEY)
-    alive = closure.join(tips, KEY, "left_semi").select("tree_id", F.col("ancestor_id").alias("node_id")).distinct()
-    children = nodes.join(alive, KEY, "left_semi").where("parent_id IS NOT NULL").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("k"))
-    kept = children.where("k >= 2").select(*KEY).union(tips).distinct()
-    up = closure.where("steps > 0").join(kept, KEY, "left_semi").join(kept.select("tree_id", F.col("node_id").alias("ancestor_id")), ["tree_id", "ancestor_id"], "left_semi")
-    nearest = up.groupBy(*KEY).agg(F.min_by("ancestor_id", "steps").alias("parent_id"))
-    depth = root_distances(nodes)
-    there = kept.join(nearest, KEY, "left").join(depth, KEY).join(depth.select("tree_id", F.col("node_id").alias("parent_id"), F.col("depth").alias("above")), ["tree_id", "parent_id"], "left")
+    alive = cut(labels.table.join(intervals.with_ancestors(labels, tips), KEY, "left_semi"))
+    children = alive.where("parent_id IS NOT NULL").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("k"))
+    kept = cut(children.where("k >= 2").select(*KEY).union(tips).distinct())
+    marked = alive.join(kept.withColumn("kept", F.lit(True)), KEY, "left")
+    up = intervals.nearest_kept(marked.select(*KEY, F.col("kept").isNull().alias("gone"), F.col("parent_id").alias("up")))
+    depth = alive.select(*KEY, "depth")
+    nearest = up.select(*KEY, F.col("up").alias("parent_id"))
+    there = kept.join(nearest, KEY).join(depth, KEY).join(depth.select("tree_id", F.col("node_id").alias("parent_id"), F.col("depth").alias("above")), ["tree_id", "parent_id"], "left")
     rest = nodes.select(*KEY, "label", "support", "is_tip")
     return there.join(rest, KEY).select(*KEY, "parent_id", "label", (F.col("depth") - F.col("above")).alias("branch_length"), "support", "is_tip")
 
@@ -497,18 +460,13 @@ def annotate_tips(nodes: DataFrame, taxonomy: DataFrame, name: Column) -> DataFr
 
 def annotation_registry(nodes: DataFrame, tips: DataFrame, main_values: list[str], supplementary_min: int = 10) -> DataFrame:
     """Monophyletic groups of four annotation levels, and the failed ones of levels 2 to 4."""
-    out = None
-    for level in range(1, 5):
-        groups = tips.where(f"level_{level} IS NOT NULL AND level_{level} != ''").select(F.col(f"level_{level}").alias("grp"), F.col("label").alias("tip"))
-        found = group_nodes(nodes, groups, 2)
-        if level < 4:
-            layer = F.lit(f"level_{level}")
-        else:
-            layer = F.when(F.col("grp").isin(main_values), "level_4_main").when(F.col("n_tips") >= supplementary_min, "level_4_supp")
-        layer = F.when(F.col("monophyletic"), layer).when(F.lit(level > 1), f"failed_{level}")
-        rows = found.withColumn("layer", layer).where("layer IS NOT NULL")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    levels = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.col(f"level_{k}").alias("grp")) for k in range(1, 5)))).alias("l")
+    groups = tips.select(levels, F.col("label").alias("tip")).select("l.level", "l.grp", "tip").where("grp IS NOT NULL AND grp != ''")
+    found = group_nodes(nodes, groups, 2)
+    supplementary = F.when(F.col("grp").isin(main_values), "level_4_main").when(F.col("n_tips") >= supplementary_min, "level_4_supp")
+    layer = F.when(F.col("level") < 4, F.concat(F.lit("level_"), F.col("level").cast("string"))).otherwise(supplementary)
+    failed = F.when(F.col("level") > 1, F.concat(F.lit("failed_"), F.col("level").cast("string")))
+    return found.withColumn("layer", F.when(F.col("monophyletic"), layer).otherwise(failed)).where("layer IS NOT NULL").drop("level")
 
 
 def augment_nodes(nodes: DataFrame, registry: DataFrame, layers: list[str]) -> DataFrame:

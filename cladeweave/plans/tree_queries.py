@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cladeweave.functions import names
-from cladeweave.operators import taxa, trees
+from cladeweave.operators import clades, taxa, trees, treesets
 from cladeweave.plans.catalogue import register
 from cladeweave.sources.adapters import canonical
 
@@ -155,6 +155,51 @@ register(
     least AS (SELECT split, size, tree_id, least(min(least(d, n - d)), least(any_value(size), any_value(n) - any_value(size)) - 1) AS d, least(any_value(size), any_value(n) - any_value(size)) AS p FROM apart, n GROUP BY split, size, tree_id)
     SELECT split, size, avg(1 - d / (p - 1)::DOUBLE) AS support FROM least GROUP BY split, size""".replace("WITH RECURSIVE up", "WITH RECURSIVE all_trees AS (SELECT * FROM tree_a UNION ALL SELECT * FROM replicate), up"), "tree_a replicate", "support",
 )
+# A clade is its sorted tips, by recursive closure over all trees; an age is how far the farthest tip is below.
+register(
+    "clade_age_intervals", lambda s, d: clades.clade_age_intervals(_a(s, d), canonical(s, d, "dated")),
+    """WITH RECURSIVE both_kinds AS (SELECT * FROM tree_a UNION ALL SELECT * FROM dated),
+    up AS (SELECT tree_id, node_id, node_id AS anc, parent_id AS nxt FROM both_kinds UNION ALL SELECT u.tree_id, u.node_id, t.node_id, t.parent_id FROM up u JOIN both_kinds t ON u.tree_id = t.tree_id AND u.nxt = t.node_id),
+    far AS (SELECT u.tree_id, u.node_id, sum(CASE WHEN t.parent_id IS NULL THEN 0 ELSE t.branch_length END) AS depth FROM up u JOIN both_kinds t ON u.tree_id = t.tree_id AND u.anc = t.node_id GROUP BY u.tree_id, u.node_id),
+    deepest AS (SELECT f.tree_id, max(f.depth) AS far FROM far f JOIN both_kinds t ON f.tree_id = t.tree_id AND f.node_id = t.node_id WHERE t.is_tip GROUP BY f.tree_id),
+    sets AS (SELECT u.tree_id, u.anc AS node_id, md5(string_agg(t.label, ',' ORDER BY t.label)) AS tips, count(*) AS n_tips FROM up u JOIN both_kinds t ON u.tree_id = t.tree_id AND u.node_id = t.node_id WHERE t.is_tip GROUP BY u.tree_id, u.anc HAVING count(*) >= 2),
+    ages AS (SELECT a.node_id AS node, a.n_tips, s.tree_id AS rep, min(d.far - f.depth) AS age FROM sets a JOIN sets s ON s.tips = a.tips AND s.tree_id <> 'A' JOIN far f ON f.tree_id = s.tree_id AND f.node_id = s.node_id JOIN deepest d ON d.tree_id = s.tree_id WHERE a.tree_id = 'A' GROUP BY ALL),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY age, rep) AS r, count(*) OVER (PARTITION BY node) AS n FROM ages),
+    spans AS (SELECT a.node, a.age AS low, b.age AS high, row_number() OVER (PARTITION BY a.node ORDER BY round(b.age - a.age, 9), a.age) AS best FROM ranked a JOIN ranked b ON a.node = b.node AND b.r = a.r + CAST(ceil(0.95 * a.n) AS INT) - 1)
+    SELECT s.node_id AS node, s.n_tips, count(g.rep) AS n_replicates, count(g.rep) / 20::DOUBLE AS support, avg(g.age) AS mean_age, any_value(w.low) AS hpd_low, any_value(w.high) AS hpd_high
+    FROM sets s LEFT JOIN ages g ON g.node = s.node_id LEFT JOIN spans w ON w.node = s.node_id AND w.best = 1 WHERE s.tree_id = 'A' GROUP BY s.node_id, s.n_tips""", "tree_a dated", "support mean_age hpd_low hpd_high",
+)
+
+
+def _tree_set(name):
+    order = F.col("tree_id").cast("int").alias("ord")
+    return lambda s, d: treesets.tree_set_rf(canonical(s, d, name), canonical(s, d, name).where("parent_id IS NULL").select("tree_id", order))
+
+
+# A split is its smaller side's (or smaller sum's) number and sum of hashes of tips.
+register(
+    "tree_set_rf", _tree_set("tree_set"),
+    """WITH RECURSIVE up AS (SELECT tree_id, node_id AS anc, parent_id AS nxt, label FROM tree_set WHERE is_tip UNION ALL SELECT u.tree_id, t.node_id, t.parent_id, u.label FROM up u JOIN tree_set t ON u.tree_id = t.tree_id AND u.nxt = t.node_id),
+    sized AS (SELECT tree_id, anc, count(*) AS k, sum(md5_number_lower(label)::HUGEINT) AS h FROM up GROUP BY tree_id, anc), whole AS (SELECT tree_id, max(k) AS n, arg_max(h, k) AS t FROM sized GROUP BY tree_id),
+    splits AS (SELECT DISTINCT s.tree_id, least(k, n - k) AS k, CASE WHEN 2 * k < n OR (2 * k = n AND h < t - h) THEN h ELSE t - h END AS h FROM sized s JOIN whole w ON s.tree_id = w.tree_id WHERE k >= 2 AND k <= n - 2),
+    per AS (SELECT w.tree_id, w.n, count(s.k) AS m FROM whole w LEFT JOIN splits s ON s.tree_id = w.tree_id GROUP BY w.tree_id, w.n),
+    twice AS (SELECT a.tree_id AS x, b.tree_id AS y, count(*) AS c FROM splits a JOIN splits b ON a.k = b.k AND a.h = b.h AND a.tree_id::INT > b.tree_id::INT GROUP BY a.tree_id, b.tree_id)
+    SELECT a.tree_id AS tree_1, b.tree_id AS tree_2, a.n AS n_common_tips, CASE WHEN a.n < 3 THEN NULL WHEN a.m + b.m = 0 THEN 0 ELSE (a.m + b.m - 2 * coalesce(c, 0)) / (a.m + b.m)::DOUBLE END AS rf
+    FROM per a JOIN per b ON a.tree_id::INT > b.tree_id::INT LEFT JOIN twice t ON t.x = a.tree_id AND t.y = b.tree_id""", "tree_set", "rf",
+)
+register(
+    "ragged_tree_set_rf", _tree_set("ragged_tree_set"),
+    """WITH RECURSIVE up AS (SELECT tree_id, node_id AS anc, parent_id AS nxt, label FROM ragged_tree_set WHERE is_tip UNION ALL SELECT u.tree_id, t.node_id, t.parent_id, u.label FROM up u JOIN ragged_tree_set t ON u.tree_id = t.tree_id AND u.nxt = t.node_id),
+    tips AS (SELECT tree_id, label FROM ragged_tree_set WHERE is_tip), every AS (SELECT a.tree_id AS x, b.tree_id AS y FROM (SELECT DISTINCT tree_id FROM ragged_tree_set) a JOIN (SELECT DISTINCT tree_id FROM ragged_tree_set) b ON a.tree_id::INT > b.tree_id::INT),
+    both_have AS (SELECT a.tree_id AS x, b.tree_id AS y, a.label FROM tips a JOIN tips b ON a.label = b.label AND a.tree_id::INT > b.tree_id::INT),
+    common AS (SELECT x, y, count(*) AS n, sum(md5_number_lower(label)::HUGEINT) AS t FROM both_have GROUP BY x, y),
+    sized AS (SELECT p.x, p.y, u.tree_id, u.anc, count(*) AS k, sum(md5_number_lower(p.label)::HUGEINT) AS h FROM both_have p JOIN up u ON u.label = p.label AND u.tree_id IN (p.x, p.y) GROUP BY p.x, p.y, u.tree_id, u.anc),
+    splits AS (SELECT DISTINCT s.x, s.y, s.tree_id, least(k, n - k) AS k, CASE WHEN 2 * k < n OR (2 * k = n AND h < t - h) THEN h ELSE t - h END AS h FROM sized s JOIN common c ON s.x = c.x AND s.y = c.y WHERE k >= 2 AND k <= n - 2),
+    per AS (SELECT x, y, count(*) AS m FROM splits GROUP BY x, y), twice AS (SELECT x, y, count(*) AS c FROM (SELECT x, y, k, h FROM splits GROUP BY x, y, k, h HAVING count(*) = 2) GROUP BY x, y)
+    SELECT e.x AS tree_1, e.y AS tree_2, coalesce(c.n, 0) AS n_common_tips, CASE WHEN coalesce(c.n, 0) < 3 THEN NULL WHEN coalesce(p.m, 0) = 0 THEN 0 ELSE (p.m - 2 * coalesce(w.c, 0)) / p.m::DOUBLE END AS rf
+    FROM every e LEFT JOIN common c ON e.x = c.x AND e.y = c.y LEFT JOIN per p ON e.x = p.x AND e.y = p.y LEFT JOIN twice w ON e.x = w.x AND e.y = w.y""", "ragged_tree_set", "rf",
+)
+register("bootstopping", lambda s, d: treesets.bootstopping(canonical(s, d, "tree_set")))
 register("bootstrap_convergence", lambda s, d: trees.convergence(canonical(s, d, "replicate")))
 
 

@@ -45,6 +45,25 @@ def tree(tree_id: str, moved: str, source: str = "") -> str:
     )
 
 
+def tree_set(trees: str, lacks: str) -> str:
+    """Many trees over customers in eight subgroups of each nation that differ by tree; tips for which ``lacks`` holds are missing."""
+    node = lambda i, p, frm: f"SELECT CAST(rep AS STRING) AS tree_id, CAST({i} AS BIGINT) AS node_id, CAST({p} AS BIGINT) AS parent_id, CAST(NULL AS STRING) AS label, CAST(1 AS DOUBLE) AS branch_length, CAST(NULL AS DOUBLE) AS support, false AS is_tip FROM {frm} CROSS JOIN ({trees}) t"
+    eight = "(" + " UNION ALL ".join(f"SELECT {k} AS g" for k in range(8)) + ") e"
+    return " UNION ALL ".join(
+        (
+            node("0", "NULL", "(SELECT 1 AS one) r"),
+            node("1 + r_regionkey", "0", "{region}"),
+            node("100 + n_nationkey", "1 + (n_regionkey + CASE WHEN n_nationkey % 5 = rep % 7 THEN rep ELSE 0 END) % 5", "{nation}"),
+            node("10000 + n_nationkey * 8 + g", "100 + n_nationkey", "{nation} CROSS JOIN " + eight),
+            f"SELECT CAST(rep AS STRING), CAST(1000000 + c_custkey AS BIGINT), CAST(10000 + c_nationkey * 8 + (c_custkey + c_custkey % (2 + rep % 6)) % 8 AS BIGINT), {_TIP}, CAST(1 AS DOUBLE), CAST(NULL AS DOUBLE), true FROM {{customer}} JOIN {{nation}} ON c_nationkey = n_nationkey CROSS JOIN ({trees}) t WHERE NOT ({lacks})",
+        )
+    )
+
+
+def _numbers(first: int, last: int) -> str:
+    return " UNION ALL ".join(f"SELECT {k} AS rep" for k in range(first, last + 1))
+
+
 ADAPTERS = {
     # Cluster members; rows of one accession in several clusters are plentiful.
     "member": (
@@ -80,6 +99,13 @@ ADAPTERS = {
     "tree_a": tree("'A'", "false"),
     "trees": " UNION ALL ".join((tree("'A'", "false"), tree("'B'", "c_custkey % 7 = 0"), tree("'C'", "c_custkey % 3 <> 0"))),
     "replicate": tree("CAST(rep AS STRING)", "(c_custkey * 31 + rep * 17) % 11 < rep % 3", " CROSS JOIN (SELECT 1 AS rep UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) p"),
+    # Twenty dated trees; their branch lengths and some groupings differ.
+    "dated": (
+        "SELECT tree_id, node_id, parent_id, label, branch_length * (1 + CAST((node_id % 1000 * 7 + CAST(tree_id AS BIGINT) * 3) % 5 AS DOUBLE) / 10) AS branch_length, support, is_tip FROM ("
+        + tree("CAST(rep AS STRING)", "(c_custkey * 31 + rep * 17) % 11 < rep % 3 AND c_nationkey % (2 + rep % 4) = 0", f" CROSS JOIN ({_numbers(1, 20)}) p") + ") d"
+    ),
+    "tree_set": tree_set(_numbers(1, 120), "false"),
+    "ragged_tree_set": tree_set(_numbers(1, 12), "rep % 3 > 0 AND c_custkey % (5 + rep) = rep % 2"),
     "taxonomy": f"SELECT {_TIP} AS taxon, replace(n_name, '_', '') AS clade, c_mktsegment AS family, CAST(n_regionkey AS STRING) AS subfamily, c_custkey AS ord FROM {{customer}} JOIN {{nation}} ON c_nationkey = n_nationkey",
     "tip": (
         f"SELECT t AS tree, {_TIP} AS taxon FROM {{customer}} JOIN {{nation}} ON c_nationkey = n_nationkey CROSS JOIN (SELECT 'A' AS t UNION ALL SELECT 'B' UNION ALL SELECT 'C') x "
