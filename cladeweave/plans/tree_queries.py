@@ -172,8 +172,11 @@ register(
 
 
 def _tree_set(name):
-    order = F.col("tree_id").cast("int").alias("ord")
-    return lambda s, d: treesets.tree_set_rf(canonical(s, d, name), canonical(s, d, name).where("parent_id IS NULL").select("tree_id", order))
+    def run(s, d):
+        nodes = canonical(s, d, name)
+        return treesets.tree_set_rf(nodes, nodes.where("parent_id IS NULL").selectExpr("tree_id", "CAST(tree_id AS INT) AS ord"))
+
+    return run
 
 
 # A split is its smaller side's (or smaller sum's) number and sum of hashes of tips.
