@@ -166,7 +166,7 @@ def sample_features(docs: DataFrame, sample: DataFrame, make: Callable[[pa.Array
                 part = b.slice(lo, 64)
                 rows = [thinned(*r) for r in make(part.column(1))]
                 yield pa.record_batch(
-                    [part.column(0), part.column(2), pa.array([x.astype("<u4").tobytes() for x, _ in rows], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in rows], pa.binary())],
+                    [part.column(0), part.column(2), pa.array([x.astype("<u4").tobytes() for x, _ in rows], pa.binary()), pa.array([b"" if (n == 1).all() else n.astype("<u4").tobytes() for _, n in rows], pa.binary())],  # indicators have no counts
                     names=["doc_id", "label", "buckets", "counts"],
                 )
 
@@ -179,7 +179,11 @@ def sample_features(docs: DataFrame, sample: DataFrame, make: Callable[[pa.Array
         .toArrow()
         .sort_by("doc_id")
     )
-    return [(y.as_py(), np.frombuffer(b.as_buffer(), "<u4"), np.frombuffer(n.as_buffer(), "<u4")) for y, b, n in zip(found["label"], found["buckets"], found["counts"], strict=True)]
+    out = []
+    for y, b, n in zip(found["label"], found["buckets"], found["counts"], strict=True):
+        buckets, counts = np.frombuffer(b.as_buffer(), "<u4"), np.frombuffer(n.as_buffer(), "<u4")
+        out.append((y.as_py(), buckets, counts if len(counts) else np.broadcast_to(np.uint32(1), len(buckets))))
+    return out
 
 
 def score_rows(docs: DataFrame, scorer: Callable[[], Callable[[pa.Array], dict[str, pa.Array]]], schema: str) -> DataFrame:

@@ -114,7 +114,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND, label: str = "to
     seen = np.zeros(1 << BITS, dtype=np.int32)
     for _, terms, _ in got:
         seen[terms] += 1
-    rows = [(y, terms[seen[terms] >= least_documents].astype(np.int64)) for y, terms, _ in got]
+    rows = [(y, terms[seen[terms] >= least_documents]) for y, terms, _ in got]
+    del got
     by_class = {c: [r for r in rows if r[0] == c] for c in sorted({y for y, _ in rows})}
     most = max(map(len, by_class.values()))
     # Where one class has fewer rows than the bound, they are learned as often as it takes to balance.
