@@ -33,6 +33,8 @@ STEMS = (5, 7, 9)
 AGAIN = (2, 4)
 #: Labelled rows of each class that are learned at most.
 BOUND = 2500
+#: L1 of the fitted model, chosen by four folds of the rows that are learned from.
+L1 = 6.0
 U = np.uint64
 
 
@@ -76,7 +78,7 @@ class Ftrl:
 
     alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 6.0
+    l1: float = 3.0
     l2: float = 1.0
     size: int = (1 << BITS) + 1
 
@@ -119,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND, label: str = "to
     by_class = {c: [r for r in rows if r[0] == c] for c in sorted({y for y, _ in rows})}
     most = max(map(len, by_class.values()))
     # Where one class has fewer rows than the bound, they are learned as often as it takes to balance.
-    weights = Ftrl().fit([r for own in by_class.values() for r in own * (most // len(own))])
+    weights = Ftrl(l1=L1).fit([r for own in by_class.values() for r in own * (most // len(own))])
     at = np.flatnonzero(weights[:-1])
     return at, weights[at], float(weights[-1])
 
