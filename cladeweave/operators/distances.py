@@ -1,7 +1,8 @@
 """Pairwise distances of aligned sequences, outliers and the saturation slope.
 
 All pairs of a marker are needed, so they are computed in Arrow tasks over blocks of sequences: a task
-holds two blocks of at most ``block`` sequences as byte matrices, whatever the marker's size is.
+holds two blocks of at most ``block`` sequences as byte matrices, whatever the marker's size is.  Outliers and the
+slope take only what the tasks add up (``pair_sums``): rows in proportion to sequences, not to pairs.
 """
 
 from __future__ import annotations
@@ -27,48 +28,112 @@ def _counts(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return valid, purine - same, valid - purine
 
 
-def pair_counts(aln: DataFrame, block: int = 512) -> DataFrame:
-    """``marker, ord_i, ord_j, valid, transitions, transversions`` for ``ord_i < ord_j``."""
+def _placed(aln: DataFrame, block: int) -> DataFrame:
+    """``marker, lo, hi, side, ord, seq``: every sequence once for each pair of blocks that it is in, sorted in its task."""
     sizes = aln.groupBy("marker").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     placed = aln.join(sizes, "marker").withColumn("own", F.pmod(F.xxhash64("ord"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = placed.select("marker", "ord", "seq", "own", other.alias("b")).select(
         "marker", "ord", "seq", F.least("own", "b").alias("lo"), F.greatest("own", "b").alias("hi"), (F.col("own") > F.col("b")).cast("int").alias("side")
     )
+    ordered = rows.select("marker", "lo", "hi", "side", "ord", "seq").repartition("marker", "lo", "hi")
+    return ordered.sortWithinPartitions("marker", "lo", "hi", "side", "ord")
+
+
+def _pairs_of(key: tuple, rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """``ord_i, ord_j`` and the counts of the pairs of two blocks (or of one with itself), some hundred sequences at a time."""
+    (_, lo, hi), sides = key, [r[0] for r in rows]
+    width = max(len(r[2]) for r in rows)
+    codes = np.stack([np.pad(_CODE[np.frombuffer(r[2].upper().encode(), np.uint8)], (0, width - len(r[2])), constant_values=9) for r in rows])
+    ords = np.array([r[1] for r in rows])
+    one = np.flatnonzero(np.array(sides) == 0)
+    two = one if lo == hi else np.flatnonzero(np.array(sides) == 1)
+    for at in range(0, len(one), 128):
+        part = one[at : at + 128]
+        counts = _counts(codes[part], codes[two])
+        i, j = np.repeat(ords[part], len(two)), np.tile(ords[two], len(part))
+        keep = i < j if lo == hi else np.ones(len(i), dtype=bool)
+        yield np.minimum(i, j)[keep], np.maximum(i, j)[keep], [np.rint(c.ravel()[keep]).astype(np.int64) for c in counts]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Key and rows ``side, ord, seq`` of each pair of blocks."""
+    key, rows = None, []
+    for b in batches:
+        for marker, lo, hi, side, o, seq in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+            if (marker, lo, hi) != key:
+                if rows:
+                    yield key, rows
+                key, rows = (marker, lo, hi), []
+            rows.append((side, o, seq or ""))
+    if rows:
+        yield key, rows
+
+
+def pair_counts(aln: DataFrame, block: int = 512) -> DataFrame:
+    """``marker, ord_i, ord_j, valid, transitions, transversions`` for ``ord_i < ord_j``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            (marker, lo, hi), sides = key, [r[0] for r in rows]
-            width = max(len(r[2]) for r in rows)
-            codes = np.stack([np.pad(_CODE[np.frombuffer(r[2].upper().encode(), np.uint8)], (0, width - len(r[2])), constant_values=9) for r in rows])
-            ords = np.array([r[1] for r in rows])
-            one = np.flatnonzero(np.array(sides) == 0)
-            two = one if lo == hi else np.flatnonzero(np.array(sides) == 1)
-            for at in range(0, len(one), 128):
-                part = one[at : at + 128]
-                counts = _counts(codes[part], codes[two])
-                i, j = np.repeat(ords[part], len(two)), np.tile(ords[two], len(part))
-                keep = i < j if lo == hi else np.ones(len(i), dtype=bool)
-                first, second = np.minimum(i, j)[keep], np.maximum(i, j)[keep]
+        for key, rows in _groups(batches):
+            for first, second, counts in _pairs_of(key, rows):
                 yield pa.record_batch(
-                    [pa.array([marker] * len(first), pa.string()), pa.array(first), pa.array(second), *(pa.array(np.rint(c.ravel()[keep]).astype(np.int64)) for c in counts)],
+                    [pa.array([key[0]] * len(first), pa.string()), pa.array(first), pa.array(second), *map(pa.array, counts)],
                     names=["marker", "ord_i", "ord_j", "valid", "transitions", "transversions"],
                 )
 
-        for b in batches:
-            for marker, lo, hi, side, o, seq in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
-                if (marker, lo, hi) != key:
-                    if rows:
-                        yield from flush()
-                    key, rows = (marker, lo, hi), []
-                rows.append((side, o, seq or ""))
-        if rows:
-            yield from flush()
+    return _placed(aln, block).mapInArrow(run, "marker string, ord_i long, ord_j long, valid long, transitions long, transversions long")
+
+
+def _distances(counts: list[np.ndarray], shape: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """K80, K80 with gamma rates and JC69 of counts, as ``distances``; NaN outside the domain of a formula."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        valid, transitions, transversions = (c.astype(np.float64) for c in counts)
+        p, q = transitions / valid, transversions / valid
+        a, b, c = 1 - 2 * p - q, 1 - 2 * q, 1 - 4 * (p + q) / 3
+        inside = (a > 0) & (b > 0)
+        k80 = np.where(inside, -0.5 * np.log(a) - 0.25 * np.log(b), np.nan)
+        gamma = np.where(inside, shape / 2 * (a ** (-1 / shape) + 0.5 * b ** (-1 / shape) - 1.5), np.nan)
+        return k80, gamma, np.where(c > 0, -0.75 * np.log(c), np.nan)
 
-    ordered = rows.select("marker", "lo", "hi", "side", "ord", "seq").repartition("marker", "lo", "hi").sortWithinPartitions("marker", "lo", "hi", "side", "ord")
-    return ordered.mapInArrow(run, "marker string, ord_i long, ord_j long, valid long, transitions long, transversions long")
+
+_SUMS = "marker string, ord long, n long, total double, mean_x double, mean_y double, sxx double, sxy double"
+
+
+def pair_sums(aln: DataFrame, gamma_shape: float = 1.0, block: int = 512) -> DataFrame:
+    """What outliers and saturation need of all pairs, made where the pairs are: no pair leaves its task.
+
+    Rows with ``ord``: number and total of the JC69 distances of a sequence within a pair of blocks.  Rows without: number,
+    means and centred moments of K80 (x) and K80 with gamma rates (y) of the pairs there.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in _SUMS.split(", ")]
+        for key, rows in _groups(batches):
+            ords = np.sort(np.array([r[1] for r in rows]))
+            total, number = np.zeros(len(ords)), np.zeros(len(ords), dtype=np.int64)
+            parts = []
+            for first, second, counts in _pairs_of(key, rows):
+                k80, gamma, jc69 = _distances(counts, gamma_shape)
+                ok = ~np.isnan(jc69)
+                for end in (first, second):
+                    at = np.searchsorted(ords, end[ok])
+                    total += np.bincount(at, jc69[ok], len(ords))
+                    number += np.bincount(at, minlength=len(ords))
+                both = ~(np.isnan(k80) | np.isnan(gamma))
+                if both.any():
+                    x, y = k80[both], gamma[both]
+                    parts.append((len(x), x.mean(), y.mean(), ((x - x.mean()) ** 2).sum(), ((x - x.mean()) * (y - y.mean())).sum()))
+            blank = [None] * len(ords)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(([key[0]] * len(ords), ords, number, total, blank, blank, blank, blank), _TYPES, strict=True)], names=names)
+            if parts:
+                n, mx, my, sxx, sxy = map(list, zip(*parts, strict=True))
+                none = [None] * len(n)
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(([key[0]] * len(n), none, n, none, mx, my, sxx, sxy), _TYPES, strict=True)], names=names)
+
+    return _placed(aln, block).mapInArrow(run, _SUMS)
+
+
+_TYPES = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.float64())
 
 
 def distances(counts: DataFrame, gamma_shape: float = 1.0) -> DataFrame:
@@ -85,26 +150,53 @@ def distances(counts: DataFrame, gamma_shape: float = 1.0) -> DataFrame:
     )
 
 
-def outliers(aln: DataFrame, pairs: DataFrame, multiplier: float = 1.5) -> DataFrame:
-    """Mean distance of each sequence (its own zero included) and whether it is above the upper fence."""
-    both = pairs.select("marker", F.col("ord_i").alias("ord"), "jc69").union(pairs.select("marker", "ord_j", "jc69"))
-    mean = both.groupBy("marker", "ord").agg((F.sum("jc69") / (F.count("jc69") + 1)).alias("mean_dist"))
+def _above_fence(aln: DataFrame, mean: DataFrame, multiplier: float) -> DataFrame:
     fence = mean.groupBy("marker").agg(F.percentile("mean_dist", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
     fence = fence.select("marker", (F.col("q")[1] + multiplier * (F.col("q")[1] - F.col("q")[0])).alias("upper_cut"))
     named = aln.select("marker", "ord", "name").join(mean, ["marker", "ord"])
     return named.join(fence, "marker").withColumn("is_outlier", F.col("mean_dist") > F.col("upper_cut"))
 
 
+def outliers(aln: DataFrame, pairs: DataFrame, multiplier: float = 1.5) -> DataFrame:
+    """Mean distance of each sequence (its own zero included) and whether it is above the upper fence, from ``distances``."""
+    both = pairs.select("marker", F.col("ord_i").alias("ord"), "jc69").union(pairs.select("marker", "ord_j", "jc69"))
+    mean = both.groupBy("marker", "ord").agg((F.sum("jc69") / (F.count("jc69") + 1)).alias("mean_dist"))
+    return _above_fence(aln, mean, multiplier)
+
+
+def outliers_of_sums(aln: DataFrame, sums: DataFrame, multiplier: float = 1.5) -> DataFrame:
+    """``outliers`` from ``pair_sums``."""
+    found = sums.where("ord IS NOT NULL").groupBy("marker", "ord").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    several = aln.groupBy("marker").agg(F.count("*").alias("size")).where("size > 1").select("marker")
+    mean = found.join(several, "marker").select("marker", "ord", F.when(F.col("n") > 0, F.col("total") / (F.col("n") + 1)).alias("mean_dist"))
+    return _above_fence(aln, mean, multiplier)
+
+
+def _judged(fit: DataFrame, cutoff: float) -> DataFrame:
+    usable = (F.col("n_pairs") >= 5) & (F.col("sxx") > 0)
+    slope = F.when(usable, F.col("sxy") / F.col("sxx"))
+    return fit.select(
+        "marker", "n_pairs", slope.alias("slope"), F.when(usable, slope < cutoff).alias("saturated"),
+        F.when(F.col("n_pairs") < 5, "insufficient_data").when(~usable, "regression_failed").otherwise("ok").alias("reason"),
+    )
+
+
 def saturation(pairs: DataFrame, cutoff: float = 0.3) -> DataFrame:
-    """Slope of gamma K80 on K80: a proxy, not a published index."""
+    """Slope of gamma K80 on K80: a proxy, not a published index; from ``distances``."""
     ok = F.col("k80").isNotNull() & F.col("k80_gamma").isNotNull()
     x, y = F.when(ok, F.col("k80")), F.when(ok, F.col("k80_gamma"))
-    fit = pairs.groupBy("marker").agg(F.count(x).alias("n_pairs"), F.regr_slope(y, x).alias("_s"), F.var_samp(x).alias("_v"))
-    usable = (F.col("n_pairs") >= 5) & (F.col("_v") > 0)
-    return fit.select(
-        "marker", "n_pairs", F.when(usable, F.col("_s")).alias("slope"), F.when(usable, F.col("_s") < cutoff).alias("saturated"),
-        F.when(F.col("n_pairs") < 5, "insufficient_data").when(~(F.col("_v") > 0), "regression_failed").otherwise("ok").alias("reason"),
-    )
+    return _judged(pairs.groupBy("marker").agg(F.count(x).alias("n_pairs"), F.regr_sxx(y, x).alias("sxx"), F.regr_sxy(y, x).alias("sxy")), cutoff)
+
+
+def saturation_of_sums(aln: DataFrame, sums: DataFrame, cutoff: float = 0.3) -> DataFrame:
+    """``saturation`` from ``pair_sums``: moments of all pairs of a marker follow from those of its blocks around their own means."""
+    parts = sums.where("ord IS NULL")
+    weighted = lambda c: F.sum(F.col("n") * F.col(c)) / F.sum("n")
+    whole = parts.groupBy("marker").agg(F.sum("n").alias("n_pairs"), weighted("mean_x").alias("x"), weighted("mean_y").alias("y"))
+    dx, dy = F.col("mean_x") - F.col("x"), F.col("mean_y") - F.col("y")
+    moments = parts.join(whole, "marker").groupBy("marker", "n_pairs").agg(F.sum(F.col("sxx") + F.col("n") * dx * dx).alias("sxx"), F.sum(F.col("sxy") + F.col("n") * dx * dy).alias("sxy"))
+    several = aln.groupBy("marker").agg(F.count("*").alias("size")).where("size > 1").select("marker")
+    return _judged(several.join(moments, "marker", "left").withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0))), cutoff)
 
 
 def decide(stats: DataFrame, slopes: DataFrame, sequences: DataFrame, min_columns: int = 50, min_length: int = 200, min_sequences: int = 100, keep_slope: float = 0.7, max_missing: float = 0.5) -> DataFrame:

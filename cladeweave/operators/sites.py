@@ -1,13 +1,17 @@
 """Per-site and per-sequence statistics of alignments.
 
-An alignment is rows ``marker, name, ord, seq``; sites are exploded only after projecting marker and
-sequence, and counts of (marker, position, base) come before everything by position, so the second
-shuffle is small.
+An alignment is rows ``marker, name, ord, seq``.  Profiles, the counts of (marker, position, base), are made of whole
+batches in the tasks that read them and come before everything by position, so both shuffles are small.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeweave.functions import names
@@ -19,8 +23,46 @@ def explode_sites(aln: DataFrame, *keep: str) -> DataFrame:
     return cells.where("base != ''").withColumn("pos", F.col("pos") + 1)
 
 
+#: Cells of a table of counts that a task holds; beyond it the cells that occur are sorted instead.
+TABLE_CELLS = 1 << 22
+
+
+def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``marker, pos, base, n`` of the sequences of each batch; positions and bases are characters, not bytes."""
+    for b in batches:
+        markers = b.column(0).dictionary_encode()
+        names = [*markers.dictionary.to_pylist(), None]
+        marker = markers.indices.fill_null(len(names) - 1).to_numpy(zero_copy_only=False)
+        lengths = pc.utf8_length(b.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        codes = np.frombuffer("".join(x or "" for x in b.column(1).to_pylist()).encode("utf-32-le"), "<u4")
+        if not len(codes):
+            continue
+        bases, code = np.unique(codes, return_inverse=True)
+        pos = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        width = int(lengths.max())
+        cell = (np.repeat(marker, lengths).astype(np.int64) * width + pos) * len(bases) + code
+        if len(names) * width * len(bases) <= TABLE_CELLS:
+            counts = np.bincount(cell)
+            cell = np.flatnonzero(counts)
+            counts = counts[cell]
+        else:
+            cell, counts = np.unique(cell, return_counts=True)
+        place, base = np.divmod(cell, len(bases))
+        marker, pos = np.divmod(place, width)
+        letters = [chr(x) for x in bases]
+        yield pa.record_batch(
+            [pa.array(names, pa.string()).take(pa.array(marker)), pa.array((pos + 1).astype(np.int32)), pa.array(letters).take(pa.array(base)), pa.array(counts.astype(np.int64))],
+            names=["marker", "pos", "base", "n"],
+        )
+
+
 def base_counts(aln: DataFrame) -> DataFrame:
-    return explode_sites(aln).groupBy("marker", "pos", "base").agg(F.count("*").alias("n"))
+    """``marker, pos, base, n``: the profile of each marker, counted in tasks and added up; no cell becomes a row.
+
+    Sequences may be ragged or in lower case; a missing one has no cells.
+    """
+    rows = aln.select(F.col("marker").cast("string").alias("marker"), F.upper("seq").alias("seq"))
+    return rows.mapInArrow(_count_cells, "marker string, pos int, base string, n long").groupBy("marker", "pos", "base").agg(F.sum("n").alias("n"))
 
 
 def _by_site(counts: DataFrame, valid: Column) -> DataFrame:
@@ -115,6 +157,42 @@ def mask_columns(aln: DataFrame, max_gaps: float = 0.8, min_information: float =
     return _keep_columns(aln, sites.select("marker", "pos", F.coalesce(keep, F.lit(False)).alias("keep")))
 
 
+def _information(sites: DataFrame) -> DataFrame:
+    """``marker, pos, share, bits``: share of gaps and information of each column, corrected for small samples; a column without a base has none."""
+    bits = (F.log("valid") - F.col("nlogn") / F.col("valid")) / F.log(F.lit(2.0))
+    information = 2 - bits - 3 / (2 * F.log(F.lit(2.0)) * F.col("valid"))
+    held = F.when(F.col("valid") > 0, F.greatest(information, F.lit(0.0))).otherwise(0.0)
+    return sites.select("marker", "pos", (F.col("gaps") / F.col("cells")).alias("share"), held.alias("bits"))
+
+
+def conserved_stretches(aln: DataFrame, reach: int = 3, min_information: float = 0.5, max_gaps: float = 0.5, min_length: int = 8) -> DataFrame:
+    """``marker, stretch, first, last, n_sites, mean_information``: runs of columns that stay after smoothing.
+
+    An own, documented rule.  A column's information (2 bits less its entropy in bits less the small-sample term
+    ``3 / (2 ln 2 n)``, not below 0) is averaged with ``reach`` neighbours on either side; so is its share of gaps.  A column is
+    conserved if the means are at least ``min_information`` and at most ``max_gaps``; runs of fewer than ``min_length`` conserved columns go.
+    Windows run over the columns of a marker, one row each, whatever its number of sequences.
+    """
+    columns = _information(_by_site(base_counts(aln), F.col("base").isin("A", "C", "G", "T")))
+    near = Window.partitionBy("marker").orderBy("pos").rowsBetween(-reach, reach)
+    judged = columns.select("marker", "pos", "bits", ((F.avg("bits").over(near) >= min_information) & (F.avg("share").over(near) <= max_gaps)).alias("keep"))
+    # Conserved columns whose place less their rank is the same stand side by side.
+    rank = F.row_number().over(Window.partitionBy("marker").orderBy("pos"))
+    runs = judged.where("keep").withColumn("island", F.col("pos") - rank)
+    found = runs.groupBy("marker", "island").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("n_sites"), F.avg("bits").alias("mean_information"))
+    long = found.where(F.col("n_sites") >= min_length)
+    number = F.row_number().over(Window.partitionBy("marker").orderBy("first"))
+    return long.select("marker", number.alias("stretch"), "first", "last", "n_sites", "mean_information")
+
+
+def mask_to_stretches(aln: DataFrame, **rule: float) -> DataFrame:
+    """Alignments with only the columns of their ``conserved_stretches``; a marker without any has empty sequences."""
+    widths = aln.groupBy("marker").agg(F.max(F.length("seq")).alias("w")).where("w > 0")
+    stretches = conserved_stretches(aln, **rule).select("marker", F.explode(F.sequence("first", "last")).alias("pos"), F.lit(True).alias("keep"))
+    every = widths.select("marker", F.explode(F.sequence(F.lit(1), "w")).alias("pos"))
+    return _keep_columns(aln, every.join(stretches, ["marker", "pos"], "left").withColumn("keep", F.coalesce("keep", F.lit(False))))
+
+
 def filter_sequences(aln: DataFrame, min_non_gap: float = 0.3, max_missing: float = 0.3) -> DataFrame:
     """Every sequence with its coverage, missing fraction and which filter removes it."""
     width = aln.groupBy("marker").agg(F.max(F.length("seq")).alias("_w"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cladeweave.functions import names
 from cladeweave.operators import concatenation, curation, distances, registry, sites
+from cladeweave.operators.lineage import cut
 from cladeweave.plans.catalogue import register
 from cladeweave.sources.adapters import SITES, canonical
 
@@ -114,6 +115,29 @@ register(
     "SELECT marker, name, ord FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ord) AS r FROM alignment WHERE name IN (SELECT name FROM alignment WHERE marker = 'src3')) WHERE r = 1", ALN,
 )
 # Draws are with replacement: their definition is the MD5 of the seed, the replicate, the marker and the place.
+# Means over neighbours in a bounded frame; runs of conserved columns by place less rank.
+_CONSERVED = (
+    f"{_STATE}, ent AS (SELECT marker, pos, sum(n) FILTER (WHERE {_ACGT}) AS t, sum(n * ln(n)) FILTER (WHERE {_ACGT}) AS nl, coalesce(sum(n) FILTER (WHERE base = '-'), 0) / sum(n)::DOUBLE AS share FROM st GROUP BY marker, pos), "
+    "info AS (SELECT marker, pos, share, CASE WHEN t > 0 THEN greatest(0, 2 - (ln(t) - nl / t) / ln(2) - 3 / (2 * ln(2) * t)) ELSE 0 END AS bits FROM ent), "
+    "near AS (SELECT marker, pos, bits, avg(bits) OVER w AS b, avg(share) OVER w AS g FROM info WINDOW w AS (PARTITION BY marker ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)), "
+    "runs AS (SELECT *, pos - row_number() OVER (PARTITION BY marker ORDER BY pos) AS island FROM near WHERE b >= 0.9::DOUBLE AND g <= 0.06::DOUBLE), "
+    "stretches AS (SELECT marker, min(pos) AS first, max(pos) AS last, count(*) AS n_sites, avg(bits) AS mean_information FROM runs GROUP BY marker, island HAVING count(*) >= 5)"
+)
+_RULE = {"reach": 3, "min_information": 0.9, "max_gaps": 0.06, "min_length": 5}
+register(
+    "conserved_stretches", lambda s, d: sites.conserved_stretches(_aln(s, d), **_RULE),
+    f"{_CONSERVED} SELECT marker, CAST(row_number() OVER (PARTITION BY marker ORDER BY first) AS INTEGER) AS stretch, first, last, n_sites, mean_information FROM stretches", ALN, "mean_information",
+)
+register(
+    "masked_to_stretches", lambda s, d: sites.mask_to_stretches(_aln(s, d), **_RULE).select("marker", "ord", "seq"),
+    f"{_CONSERVED} SELECT a.marker, a.ord, coalesce(string_agg(s.base, '' ORDER BY s.pos) FILTER (WHERE t.marker IS NOT NULL), '') AS seq FROM alignment a JOIN site s ON a.marker = s.marker AND a.ord = s.ord LEFT JOIN stretches t ON t.marker = s.marker AND s.pos BETWEEN t.first AND t.last GROUP BY a.marker, a.ord", ALN,
+)
+# Sequences as long as their texts, in both cases, with letters of all kinds; columns beyond a sequence's end have no cell.
+register(
+    "ragged_statistics", lambda s, d: sites.marker_stats(canonical(s, d, "ragged")),
+    f"""WITH st AS (SELECT marker, pos, base, count(*) AS n FROM (SELECT marker, unnest(string_split(upper(seq), '')) AS base, unnest(range(1, length(seq) + 1)) AS pos FROM ragged WHERE length(seq) > 0) GROUP BY marker, pos, base)
+    {_BYPOS2[_BYPOS2.index(', by_pos'):]} SELECT b.marker, {_CONCAT.format('alignment_length')}, any_value(t.n) AS n_taxa FROM by_pos b JOIN (SELECT marker, count(*) AS n FROM ragged GROUP BY marker) t ON b.marker = t.marker GROUP BY b.marker""", "ragged", "missing_pct gaps_pct gc_pct",
+)
 register(
     "bootstrap_resample", lambda s, d: sites.resample_columns(_aln(s, d), 3).select("replicate", "marker", "name", "seq"),
     f"""WITH drawn AS (SELECT marker, CAST(r AS INT) AS replicate, list_transform(range(1, {SITES + 1}), lambda k: CAST(('0x' || substr(md5('111:' || r || ':' || marker || ':' || k), 1, 15))::BIGINT % {SITES} + 1 AS INT)) AS at FROM (SELECT DISTINCT marker FROM alignment), range(1, 4) t(r))
@@ -143,13 +167,19 @@ def _pairs(s, d):
 for _name in ("k80", "k80_gamma", "jc69"):
     register(f"pair_{_name}", lambda s, d, n=_name: _pairs(s, d).select("marker", "ord_i", "ord_j", n), f"{_PAIR} SELECT marker, ord_i, ord_j, {_name} FROM dist", ALN, _name)
 register(
-    "outliers_iqr", lambda s, d: distances.outliers(_aln(s, d), _pairs(s, d)),
+    "outliers_iqr", lambda s, d: distances.outliers_of_sums(_aln(s, d), distances.pair_sums(_aln(s, d))),
     f"{_OUT} SELECT a.marker, a.ord, a.name, md.mean_dist, f.upper_cut, md.mean_dist > f.upper_cut AS is_outlier FROM alignment a JOIN md ON a.marker = md.marker AND a.ord = md.ord JOIN fence f ON a.marker = f.marker", ALN, "mean_dist upper_cut",
 )
-register("saturation_slope", lambda s, d: distances.saturation(_pairs(s, d)), f"{_PAIR}, {_SLOPE} SELECT * FROM slope", ALN, "slope")
+
+
+def _slopes(s, d):
+    return distances.saturation_of_sums(_aln(s, d), cut(distances.pair_sums(_aln(s, d))))
+
+
+register("saturation_slope", _slopes, f"{_PAIR}, {_SLOPE} SELECT * FROM slope", ALN, "slope")
 _REASONS = "concat_ws(';', CASE WHEN coalesce(saturated, false) THEN 'flagged_as_saturated' END, CASE WHEN slope IS NULL THEN 'slope_na' END, CASE WHEN slope <= 0.7 THEN 'slope_le_0.7' END, CASE WHEN missing >= 0.5 THEN 'missing_ge_0.5' END, CASE WHEN var_sites <= 0 THEN 'no_variable_sites' END, CASE WHEN aln_len < 200 THEN 'aln_len_lt_200' END, CASE WHEN n < 100 THEN 'nseq_lt_100' END)"
 register(
-    "marker_decision", lambda s, d: distances.decide(sites.screening_stats(_aln(s, d)), distances.saturation(_pairs(s, d)), _aln(s, d)),
+    "marker_decision", lambda s, d: distances.decide(sites.screening_stats(_aln(s, d)), _slopes(s, d), _aln(s, d)),
     f"""{_SCREEN.replace(_SITE + ',', _PAIR[5:] + ',')}, {_SLOPE} SELECT marker, CASE WHEN total_cols < 50 THEN 'skipped_short_alignment' WHEN why = '' THEN 'processed_retained' ELSE 'processed_rejected' END AS status, CASE WHEN total_cols >= 50 AND why = '' THEN 'YES' ELSE 'NO' END AS decision,
     CASE WHEN total_cols < 50 THEN 'alignment_shorter_than_50_columns' WHEN why = '' THEN 'passed_all_thresholds' ELSE why END AS decision_reason, n AS n_sequences, aln_len, var_sites
     FROM (SELECT s.*, l.slope, l.saturated, t.n, {_REASONS} AS why FROM screen s LEFT JOIN slope l ON s.marker = l.marker LEFT JOIN (SELECT marker, count(*) AS n FROM alignment GROUP BY marker) t ON s.marker = t.marker)""", ALN,

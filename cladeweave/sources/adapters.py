@@ -91,6 +91,8 @@ ADAPTERS = {
     ),
     # Aligned sequences around a mutated consensus; integer arithmetic only.
     "alignment": f"SELECT source AS marker, 'Taxon_' || CAST(CAST(floor(doc_id / 20) AS BIGINT) AS STRING) AS name, doc_id AS ord, {{#join:{_BASE}}} AS seq FROM {{documents}} WHERE source IS NOT NULL",
+    # Whole texts as sequences: of any length, in both cases; only letters of the Latin alphabet count as states.
+    "ragged": "SELECT source AS marker, 'Taxon_' || CAST(doc_id AS STRING) AS name, doc_id AS ord, translate(text, ' .,;:!?ß', '--NN') AS seq FROM {documents} WHERE source IS NOT NULL",
     "file_name": "SELECT doc_id, 'in/' || CASE doc_id % 4 WHEN 0 THEN 'ALN_masked_final_' WHEN 1 THEN 'MARKER_' WHEN 2 THEN 'Masked_' ELSE '' END || lang || '-' || source || '.fasta' AS path FROM {documents}",
     "sequence_header": (
         "SELECT source AS marker, doc_id AS ord, CASE doc_id % 4 WHEN 0 THEN 'genus  SPECIES-' || lang || '|x|S' || CAST(doc_id AS STRING) WHEN 1 THEN 'Genus_' || lang || '_AB' || CAST(doc_id AS STRING) "
