@@ -36,6 +36,32 @@ def supermatrix(aln: DataFrame, ranges: DataFrame) -> DataFrame:
     return cells.groupBy("name").agg(F.array_join(ordered, "").alias("seq"))
 
 
+def full_markers(aln: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``marker, name, ord, seq``: every marker with all taxa, gaps where a taxon has no sequence, in the order of names."""
+    width = F.col("end") - F.col("start") + 1
+    grid = aln.select("name").distinct().crossJoin(ranges.select("marker", width.cast("int").alias("width")))  # the result itself
+    first = aln.groupBy("marker", "name").agg(F.min_by("seq", "ord").alias("seq"))
+    return grid.join(first, ["marker", "name"], "left").select("marker", "name", F.col("name").alias("ord"), F.rpad(F.coalesce("seq", F.lit("")), F.col("width"), F.lit("-")).alias("seq"))
+
+
+def partition_files(ranges: DataFrame, alignment: str) -> dict[str, DataFrame]:
+    """``ord, line`` of the partition files of four programs, by file name."""
+    lines = partition_lines(ranges).withColumn("ord", F.format_string("1%020d", "start"))
+    of = lambda name: lines.where(F.col("format") == name).select("ord", "line")
+    spark = ranges.sparkSession
+    fixed = lambda first, text: spark.createDataFrame([(f"{first}{k:03d}", x) for k, x in enumerate(text)], "ord string, line string")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("start", "marker"))), lambda x: x["marker"])
+    combined = ranges.agg(F.count("*").alias("n"), F.array_join(ordered, ", ").alias("all")).select(F.lit("2000").alias("ord"), F.concat(F.lit("   partition combined = "), F.col("n").cast("string"), F.lit(": "), "all", F.lit(";")).alias("line"))
+    # Sections of a PartitionFinder 2 configuration and of a MrBayes block.
+    before = [f"alignment = {alignment};", "branchlengths = linked;", "models = all;", "model_selection = AICc;", "[data_blocks]"]
+    return {
+        "partition_raxml_ng.txt": of("raxml"),
+        "partition_iqtree.part": of("iqtree"),
+        "partition_partitionfinder.cfg": fixed("0", before).unionByName(of("partitionfinder")).unionByName(fixed("2", ["[schemes]", "search = greedy;"])),
+        "partition_mrbayes.nex": fixed("0", ["#nexus", "begin mrbayes;"]).unionByName(of("mrbayes")).unionByName(combined).unionByName(fixed("3", ["   set partition = combined;", "end;"])),
+    }
+
+
 def occupancy(headers: DataFrame, n_markers: int) -> DataFrame:
     """Markers of each species and their share of all markers."""
     return headers.groupBy("species").agg(F.count("*").alias("retained_markers"), F.round(100 * F.count("*") / n_markers, 2).alias("pct_markers"))

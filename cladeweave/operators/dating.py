@@ -133,7 +133,7 @@ def date_replicates(trees: DataFrame, run: Callable[[str, str], str], base: str,
     """``tree_no, dated, status`` of ``n`` replicate trees ``tree_no, newick`` drawn without replacement.
 
     Every tree is dated in a task with the options and the smoothing of the best tree; a failure is kept in
-    its row and does not stop the others.
+    its row and does not stop the others.  ``factor`` multiplies the branch lengths first.
     """
     order = F.md5(F.concat_ws(":", F.lit(int(seed)), "tree_no"))
     drawn = trees.select("tree_no", "newick", order.alias("_o")).orderBy("_o", "tree_no")

@@ -199,7 +199,7 @@ def saturation_of_sums(aln: DataFrame, sums: DataFrame, cutoff: float = 0.3) ->
     return _judged(several.join(moments, "marker", "left").withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0))), cutoff)
 
 
-def decide(stats: DataFrame, slopes: DataFrame, sequences: DataFrame, min_columns: int = 50, min_length: int = 200, min_sequences: int = 100, keep_slope: float = 0.7, max_missing: float = 0.5) -> DataFrame:
+def decide(stats: DataFrame, slopes: DataFrame, sequences: DataFrame, min_columns: int = 50, min_length: int = 200, min_sequences: int = 100, keep_slope: float = 0.5, max_missing: float = 0.7) -> DataFrame:
     """Keep or reject each marker, with the reasons in a fixed order."""
     df = stats.join(slopes, "marker", "left").join(sequences.groupBy("marker").agg(F.count("*").alias("n_sequences")), "marker", "left")
     slope, text = F.col("slope"), lambda v: f"{v:g}"

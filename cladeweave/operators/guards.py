@@ -15,7 +15,7 @@ def require_columns(df: DataFrame, columns: list[str] | tuple[str, ...], name: s
     """``df``, or ``ValueError`` with the columns that it lacks."""
     absent = [c for c in columns if c not in df.columns]
     if absent:
-        raise ValueError(f"{name} is missing required columns: {', '.join(absent)}")
+        raise ValueError(f"{name} lacks the columns {', '.join(absent)}")
     return df
 
 

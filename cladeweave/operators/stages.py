@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeweave.functions import names
-from cladeweave.operators import curation, integration, sites, taxa, trees
+from cladeweave.operators import clades, concatenation, curation, dating, distances, integration, sites, taxa, trees
 from cladeweave.operators.guards import require_columns
 from cladeweave.operators.lineage import cut
+from cladeweave.sources import formats
 
 Tables = dict[str, DataFrame]
 
@@ -112,6 +113,129 @@ def run_joint_realignment(markers: DataFrame, align: Callable[[DataFrame], DataF
     return {"final": final, "sequence_filter_log": log, "collapsed": collapsed}
 
 
+_MEASURES = ("aln_len", "missing", "gc", "var_sites", "pi_sites", "entropy", "slope", "saturated", "reason")
+
+
+def run_marker_screening(
+    aln: DataFrame, min_columns: int = 50, min_length: int = 200, min_sequences: int = 100, max_missing: float = 0.7, flag_slope: float = 0.3, keep_slope: float = 0.5, multiplier: float = 1.5
+) -> Tables:
+    """Screen aligned markers ``marker, name, ord, seq``: outlying sequences go, then each marker is kept or not.
+
+    Every state but A, C, G and T counts as missing.  ``summary`` has a row for each marker with its figures before and after outliers
+    went, and the reasons; ``retained`` has the sequences of the markers that stay.  Markers of fewer than ``min_columns``
+    columns are not judged.
+    """
+    require_columns(aln, ["marker", "name", "ord", "seq"], "sequences")
+    clean = cut(aln.select("marker", "name", "ord", F.regexp_replace(F.upper("seq"), "[^ACGT]", "-").alias("seq")))
+    sums = cut(distances.pair_sums(clean))
+    above = cut(distances.outliers_of_sums(clean, sums, multiplier).where("is_outlier").select("marker", "ord", "name"))
+    kept = cut(clean.join(above, ["marker", "ord"], "left_anti"))
+    figures = []
+    for rows, found, when in ((clean, sums, "before"), (kept, cut(distances.pair_sums(kept)), "after")):
+        stats = sites.screening_stats(rows).join(distances.saturation_of_sums(rows, found, flag_slope), "marker", "left")
+        counts = rows.groupBy("marker").agg(F.count("*").alias("n"))
+        figures.append((when, cut(stats.join(counts, "marker"))))
+    _, after = figures[1]
+    decision = distances.decide(after.drop("n", "n_pairs", "slope", "saturated", "reason"), after.select("marker", "slope", "saturated"), kept, min_columns, min_length, min_sequences, keep_slope, max_missing)
+    out = clean.groupBy("marker").agg(F.max(F.length("seq")).alias("width"))
+    for when, table in figures:
+        out = out.join(table.select("marker", F.col("n").alias(f"n_{when}"), *(F.col(c).alias(f"{c}_{when}") for c in _MEASURES)), "marker", "left")
+    gone = above.groupBy("marker").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]), ";").alias("removed"))
+    out = out.join(decision.select("marker", "status", "decision", "decision_reason"), "marker", "left").join(gone, "marker", "left")
+    short = F.col("width") < min_columns
+    blank = [F.when(~short, F.col(f"{c}_{when}")).alias(f"{c}_{when}") for c in _MEASURES[1:] for when in ("before", "after")]
+    summary = cut(
+        out.select(
+            "marker", F.when(short, "skipped_short_alignment").otherwise(F.col("status")).alias("status"), F.when(short, "NO").otherwise(F.col("decision")).alias("decision"),
+            F.when(short, f"alignment_shorter_than_{min_columns}_columns").otherwise(F.col("decision_reason")).alias("decision_reason"),
+            F.col("n_before").alias("n_original"), F.when(short, F.col("n_before")).otherwise(F.col("n_after")).alias("n_filtered"), F.when(short, 0).otherwise(F.col("n_before") - F.col("n_after")).alias("n_removed"),
+            *(F.when(short, F.col("width")).otherwise(F.col(f"aln_len_{when}")).alias(f"aln_len_{when}") for when in ("before", "after")), *blank, F.when(short, "-").otherwise(F.coalesce("removed", F.lit("-"))).alias("removed"),
+        )
+    )
+    retained = kept.join(summary.where("decision = 'YES'").select("marker"), "marker", "left_semi")
+    return {"summary": summary, "outliers": above, "retained": retained}
+
+
+def run_concatenation_pipeline(aln: DataFrame, records: DataFrame | None = None) -> Tables:
+    """Markers ``marker, name, ord, seq`` (names as in their files) to the supermatrix, its partitions and all tables.
+
+    Of names that are the same once cleaned, the first sequence of a marker counts.  ``records`` (``species, source_branch, accepted_or_outgroup``,
+    species as names of files) adds the class of each species to its summary.  ``write_concatenation`` writes the files.
+    """
+    require_columns(aln, ["marker", "name", "ord", "seq"], "sequences")
+    named = aln.select("marker", "ord", F.col("name").alias("original_name"), names.clean_taxon_name("name").alias("name"), names.header_accession("name").alias("sid"), F.upper("seq").alias("seq"))
+    first = cut(named.groupBy("marker", "name").agg(F.min_by(F.struct("ord", "seq", "sid"), "ord").alias("r")).select("marker", "name", "r.*"))
+    ranges = cut(concatenation.marker_ranges(first))
+    markers = [r[0] for r in ranges.orderBy("start").select("marker").collect()]  # one column each
+    held = first.select(F.col("name").alias("species"), "marker", "ord", "sid")
+    summary = concatenation.occupancy(held, len(markers)).join(concatenation.occupancy_matrix(held, markers), "species")
+    if records is not None:
+        require_columns(records, ["species", "source_branch", "accepted_or_outgroup"], "records")
+        classes = records.groupBy(names.clean_taxon_name("species").alias("species")).agg(F.min(F.struct(F.col("source_branch").alias("species_class"), "accepted_or_outgroup")).alias("c"))
+        summary = summary.join(classes.select("species", "c.*"), "species", "left").select("species", "species_class", "accepted_or_outgroup", *summary.columns[1:])
+    return {
+        "taxon_name_crosswalk": named.select("marker", "original_name", F.col("name").alias("cleaned_name")),
+        "marker_statistics": sites.marker_stats(first),
+        "marker_ranges": ranges,
+        "supermatrix_statistics": sites.supermatrix_stats(first),
+        "final_species_alignment_summary": summary,
+        "supermatrix": cut(concatenation.supermatrix(first, ranges)),
+        "individual_markers": concatenation.full_markers(first, ranges),
+    }
+
+
+def write_concatenation(tables: Tables, folder: str, mode: str = "error") -> None:
+    """The tables of ``run_concatenation_pipeline`` and its files: three alignment formats, four partition formats, a FASTA file for each marker."""
+    matrix, ranges = tables["supermatrix"], tables["marker_ranges"]
+    drawn = {"supermatrix", "individual_markers"}
+    for name, table in tables.items():
+        if name not in drawn:
+            table.write.mode(mode).csv(f"{folder}/final_tables/{name}", header=True, nullValue="", emptyValue="")
+    at = f"{folder}/concatenated_alignments"
+    fasta = matrix.select(F.col("name").alias("ord"), F.format_string(">%s\n%s", "name", "seq").alias("line"))
+    for name, lines in {"supermatrix.fasta": fasta, "supermatrix.phy": formats.phylip_lines(matrix), "supermatrix.nex": formats.nexus_lines(matrix)}.items():
+        formats.write_lines(lines, f"{at}/{name}", mode)
+    for name, lines in concatenation.partition_files(ranges, "supermatrix.phy").items():
+        formats.write_lines(lines, f"{at}/{name}", mode)
+    formats.write_fasta(tables["individual_markers"], f"{folder}/individual_markers", mode)
+
+
+def run_dating(
+    best: str, replicates: DataFrame, run: Callable[[str, str], str], config: str, outgroup: list[str], n: int | None = None, seed: int = 2025, factor: float = 100.0, primings: int = 100
+) -> Tables:
+    """Date the best tree and its replicates ``tree_no, newick``, and unite their ages.
+
+    Unrooted trees (three or more branches at the root) are rooted on the outgroup tips that they have, and branch
+    lengths are multiplied by ``factor``.  The best tree is primed, cross-validated and dated; ``n`` replicates, drawn without replacement, are
+    dated in tasks with its options and smoothing.  ``run(configuration, name)`` executes the dating program, whose name for the tree's file is
+    the tree itself in ``treefile``.  ``clade_ages`` has the mean age and shortest interval of each clade of the dated best tree.
+    """
+    require_columns(replicates, ["tree_no", "newick"], "replicates")
+    spark = replicates.sparkSession
+    texts = replicates.select(F.col("tree_no").cast("string").alias("tree_id"), "newick").unionByName(spark.createDataFrame([("best", best)], "tree_id string, newick string"))
+    ready = cut(formats.newick_texts(trees.rescale(rooted_where_needed(formats.newick_nodes(texts), outgroup), factor)))
+    first = ready.where("tree_id = 'best'").select("newick").first()[0]
+    dated, smoothing, options = dating.date_tree(run, config, first, "ML_tree", primings)
+    drawn = ready.where("tree_id != 'best'").select(F.col("tree_id").cast("long").alias("tree_no"), "newick")
+    told = cut(dating.date_replicates(drawn, run, config, options, smoothing, n, seed, factor=1.0))
+    target = formats.newick_nodes(spark.createDataFrame([("best", dated)], "tree_id string, newick string"))
+    aged = formats.newick_nodes(told.where("status = 'OK'").select(F.col("tree_no").cast("string").alias("tree_id"), F.col("dated").alias("newick")))
+    return {
+        "best": spark.createDataFrame([(dated, float(smoothing), options)], "dated string, smoothing double, options array<string>"),
+        "replicates": told,
+        "clade_ages": clades.clade_age_intervals(cut(target), cut(aged)),
+    }
+
+
+def rooted_where_needed(nodes: DataFrame, outgroup: list[str]) -> DataFrame:
+    """``nodes`` with the unrooted trees among them rooted on the outgroup tips that they have."""
+    at_root = nodes.join(nodes.where("parent_id IS NULL").select("tree_id", F.col("node_id").alias("parent_id")), ["tree_id", "parent_id"], "left_semi")
+    unrooted = at_root.groupBy("tree_id").agg(F.count("*").alias("branches")).where("branches > 2").select("tree_id")
+    columns = ["tree_id", "node_id", "parent_id", "label", "branch_length", "support", "is_tip"]
+    turned = trees.reroot(nodes.join(unrooted, "tree_id", "left_semi").select(columns), outgroup).select(columns)
+    return nodes.join(unrooted, "tree_id", "left_anti").select(columns).unionByName(turned)
+
+
 def integrate_and_clean_markers(headers: DataFrame, metadata: DataFrame, checklist: DataFrame, name: str = "pureName") -> Tables:
     """Headers of both branches and accession metadata to accepted, selected and exported records, with audits."""
     require_columns(headers, ["marker_key", "source_branch", "species", "fasta_name"], "headers")
@@ -144,7 +268,7 @@ def validate_phylogenies(nodes: DataFrame, order: DataFrame, checklist: DataFram
     """Compare trees on shared tips: pruning and shared sets by stage, four analyses, distances, tree space.
 
     ``nodes``: all trees; ``order``: ``tree_id, ord``; ``checklist`` and ``constraints``: ``taxon``; ``main``:
-    the trees of the second analysis; ``outgroup``: tips to root on.
+    the trees of the second analysis; ``outgroup``: tips to root on (one column), or ``tree_id, label`` for each tree.
     """
     require_columns(nodes, ["tree_id", "node_id", "parent_id", "label", "branch_length", "support", "is_tip"], "nodes")
     names_of = [r[0] for r in order.orderBy("ord").select("tree_id").collect()]

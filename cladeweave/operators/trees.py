@@ -195,7 +195,7 @@ def axis_breaks(depths: DataFrame, by: float = 5.0) -> DataFrame:
 
 
 def reroot(nodes: DataFrame, outgroup: list[str] | DataFrame) -> DataFrame:
-    """Trees rooted on the edge above the common ancestor of their outgroup tips (a list, or a column of tips).
+    """Trees rooted on the edge above the common ancestor of their outgroup tips (a list, a column of tips, or ``tree_id, label``).
 
     Trees without any outgroup tip, or in which the outgroup spans the root, stay as they are.  Whole
     trees are handled in a task each; ``note`` says what happened.
@@ -204,8 +204,10 @@ def reroot(nodes: DataFrame, outgroup: list[str] | DataFrame) -> DataFrame:
 
     if isinstance(outgroup, list):
         outgroup = nodes.sparkSession.createDataFrame([(x,) for x in outgroup], "label string")
-    marks = outgroup.toDF("label").distinct().withColumn("is_outgroup", F.lit(True))
-    nodes = nodes.join(marks, "label", "left").withColumn("is_outgroup", F.coalesce("is_outgroup", F.lit(False)) & F.col("is_tip"))
+    by = ["tree_id", "label"] if "tree_id" in outgroup.columns else ["label"]
+    outgroup = outgroup.select(*by) if len(by) > 1 else outgroup.toDF("label")
+    marks = outgroup.distinct().withColumn("is_outgroup", F.lit(True))
+    nodes = nodes.join(marks, by, "left").withColumn("is_outgroup", F.coalesce("is_outgroup", F.lit(False)) & F.col("is_tip"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         parent = {k: None if pd.isna(v) else int(v) for k, v in zip(pdf.node_id, pdf.parent_id, strict=True)}

@@ -177,7 +177,7 @@ def _slopes(s, d):
 
 
 register("saturation_slope", _slopes, f"{_PAIR}, {_SLOPE} SELECT * FROM slope", ALN, "slope")
-_REASONS = "concat_ws(';', CASE WHEN coalesce(saturated, false) THEN 'flagged_as_saturated' END, CASE WHEN slope IS NULL THEN 'slope_na' END, CASE WHEN slope <= 0.7 THEN 'slope_le_0.7' END, CASE WHEN missing >= 0.5 THEN 'missing_ge_0.5' END, CASE WHEN var_sites <= 0 THEN 'no_variable_sites' END, CASE WHEN aln_len < 200 THEN 'aln_len_lt_200' END, CASE WHEN n < 100 THEN 'nseq_lt_100' END)"
+_REASONS = "concat_ws(';', CASE WHEN coalesce(saturated, false) THEN 'flagged_as_saturated' END, CASE WHEN slope IS NULL THEN 'slope_na' END, CASE WHEN slope <= 0.5 THEN 'slope_le_0.5' END, CASE WHEN missing >= 0.7 THEN 'missing_ge_0.7' END, CASE WHEN var_sites <= 0 THEN 'no_variable_sites' END, CASE WHEN aln_len < 200 THEN 'aln_len_lt_200' END, CASE WHEN n < 100 THEN 'nseq_lt_100' END)"
 register(
     "marker_decision", lambda s, d: distances.decide(sites.screening_stats(_aln(s, d)), _slopes(s, d), _aln(s, d)),
     f"""{_SCREEN.replace(_SITE + ',', _PAIR[5:] + ',')}, {_SLOPE} SELECT marker, CASE WHEN total_cols < 50 THEN 'skipped_short_alignment' WHEN why = '' THEN 'processed_retained' ELSE 'processed_rejected' END AS status, CASE WHEN total_cols >= 50 AND why = '' THEN 'YES' ELSE 'NO' END AS decision,

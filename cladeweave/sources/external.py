@@ -161,6 +161,30 @@ def fetch_summaries(ids: list[str]) -> list[tuple[str, str, str]]:
     return parse_summaries(get(summary_url(ids)))
 
 
+RED_LIST = "https://api.iucnredlist.org/api/v4"
+
+
+def red_list_record(name: str, token: str, read: Callable[[str, dict], str] = get) -> str | None:
+    """The nested record of a species from the public red list's API, as ``registry.flatten_records`` reads it.
+
+    Two calls: the taxon with its assessments, and the latest of these (the first, if none is marked) in full.  A name
+    of one word, or a taxon without assessments, has no record.
+    """
+    from urllib.parse import urlencode
+
+    words = name.split()
+    if len(words) < 2:
+        return None
+    headers = {"Authorization": f"Bearer {token}", "Accept": "application/json"}
+    found = json.loads(read(f"{RED_LIST}/taxa/scientific_name?" + urlencode({"genus_name": words[0], "species_name": words[1]}), headers))
+    listed = found.get("assessments") or []
+    if not listed:
+        return None
+    chosen = next((a for a in listed if a.get("latest")), listed[0])
+    full = json.loads(read(f"{RED_LIST}/assessment/{int(chosen['assessment_id'])}", headers))
+    return json.dumps({"taxon": found.get("taxon"), "assessments": listed, "assessment": full})
+
+
 def fetch_records(species: DataFrame, fetch: Callable[[str], str | None], pause: float = 1.0) -> DataFrame:
     """``species_clean, json`` of conservation records, one call for each species with a pause after it.
 

@@ -264,6 +264,45 @@ def newick_nodes(trees: DataFrame) -> DataFrame:
     return trees.select(F.col("tree_id").cast("string"), "newick").mapInArrow(run, NODE_SCHEMA)
 
 
+def newick_texts(nodes: DataFrame, values: list[str] | None = None) -> DataFrame:
+    """``tree_id, newick`` of node rows; a tree is written in one task.
+
+    Inner nodes are labelled with their support where they have one.  ``values`` are columns that go into the comment of each node as
+    ``&name=value`` (numbers plain, arrays in braces, texts in quotes), as readers of annotated trees expect; nulls are left out.
+    """
+    values = values or []
+
+    def pair(name: str, kind: str) -> Column:
+        c = F.col(f"`{name}`")
+        quoted = lambda x: F.concat(F.lit('"'), F.regexp_replace(x, '["\\[\\]]', "_"), F.lit('"'))
+        if kind.startswith("array"):
+            text = F.concat(F.lit("{"), F.array_join(c.cast("array<string>"), ","), F.lit("}"))
+        else:
+            text = quoted(c) if kind == "string" else c.cast("string")
+        return F.concat(F.lit(f"{name}="), text)
+
+    kinds = dict(nodes.dtypes)
+    pairs = F.array_compact(F.array(*(pair(c, kinds[c]) for c in values))) if values else F.array().cast("array<string>")
+    comment = F.when(F.size(pairs) > 0, F.concat(F.lit("&"), F.array_join(pairs, ",")))
+    label = F.when(F.col("is_tip") | F.col("support").isNull(), F.col("label")).otherwise(F.col("support").cast("string"))
+    rows = nodes.select(F.col("tree_id").cast("string"), F.col("node_id").cast("long"), F.col("parent_id").cast("long"), label.alias("label"), F.col("branch_length").cast("double"), comment.alias("comment"))
+
+    def one(tree: pa.Table) -> pa.Table:
+        columns = (tree[c].to_pylist() for c in ("node_id", "parent_id", "label", "branch_length", "comment"))
+        text = format_newick([(n, p, label, length, None, None, comment) for n, p, label, length, comment in zip(*columns, strict=True)])
+        return pa.table([tree["tree_id"][:1], pa.array([text], pa.string())], names=["tree_id", "newick"])
+
+    return rows.groupBy("tree_id").applyInArrow(one, "tree_id string, newick string")
+
+
+def tree_block(texts: DataFrame) -> DataFrame:
+    """``ord, line`` of a NEXUS file with a tree line for each ``tree_id, newick`` (rooted)."""
+    name = F.regexp_replace("tree_id", r"[^A-Za-z0-9_.]", "_")
+    lines = texts.select(F.concat(F.lit("1"), "tree_id").alias("ord"), F.concat(F.lit("  TREE "), name, F.lit(" = [&R] "), "newick").alias("line"))
+    frame = texts.sparkSession.createDataFrame([("0", "#NEXUS"), ("00", "BEGIN TREES;"), ("2", "END;")], "ord string, line string")
+    return frame.unionByName(lines)
+
+
 def read_trees(spark: SparkSession, path: str) -> DataFrame:
     """``tree_id, newick`` of Newick or NEXUS tree files: one row for each tree line."""
     rows = spark.read.option("recursiveFileLookup", "true").text(path).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.monotonically_increasing_id().alias("ord"), F.trim("value").alias("value"))
