@@ -18,29 +18,31 @@ _CODE = np.full(256, 9, dtype=np.int8)
 _CODE[[65, 71, 67, 84]] = (0, 1, 2, 3)  # A G | C T: transitions stay within a half
 
 
-def _counts(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Valid sites, transitions and transversions of every pair of rows."""
+def _counts(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Valid sites, transitions and transversions of every pair of rows; columns count by their weights."""
     hot = lambda m: [(m == k).astype(np.float32) for k in range(4)]
     a, b = hot(x), hot(y)
+    if weights is not None:
+        a = [m * weights for m in a]
     same = sum(a[k] @ b[k].T for k in range(4))
     purine = (a[0] + a[1]) @ (b[0] + b[1]).T + (a[2] + a[3]) @ (b[2] + b[3]).T
     valid = sum(a) @ sum(b).T
     return valid, purine - same, valid - purine
 
 
-def _placed(aln: DataFrame, block: int) -> DataFrame:
+def placed(aln: DataFrame, block: int) -> DataFrame:
     """``marker, lo, hi, side, ord, seq``: every sequence once for each pair of blocks that it is in, sorted in its task."""
     sizes = aln.groupBy("marker").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = aln.join(sizes, "marker").withColumn("own", F.pmod(F.xxhash64("ord"), F.col("blocks")).cast("int"))
+    known = aln.join(sizes, "marker").withColumn("own", F.pmod(F.xxhash64("ord"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = placed.select("marker", "ord", "seq", "own", other.alias("b")).select(
+    rows = known.select("marker", "ord", "seq", "own", other.alias("b")).select(
         "marker", "ord", "seq", F.least("own", "b").alias("lo"), F.greatest("own", "b").alias("hi"), (F.col("own") > F.col("b")).cast("int").alias("side")
     )
     ordered = rows.select("marker", "lo", "hi", "side", "ord", "seq").repartition("marker", "lo", "hi")
     return ordered.sortWithinPartitions("marker", "lo", "hi", "side", "ord")
 
 
-def _pairs_of(key: tuple, rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+def pairs_of(key: tuple, rows: list[tuple], weights: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
     """``ord_i, ord_j`` and the counts of the pairs of two blocks (or of one with itself), some hundred sequences at a time."""
     (_, lo, hi), sides = key, [r[0] for r in rows]
     width = max(len(r[2]) for r in rows)
@@ -50,7 +52,7 @@ def _pairs_of(key: tuple, rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.nd
     two = one if lo == hi else np.flatnonzero(np.array(sides) == 1)
     for at in range(0, len(one), 128):
         part = one[at : at + 128]
-        counts = _counts(codes[part], codes[two])
+        counts = _counts(codes[part], codes[two], None if weights is None else weights[:width])
         i, j = np.repeat(ords[part], len(two)), np.tile(ords[two], len(part))
         keep = i < j if lo == hi else np.ones(len(i), dtype=bool)
         yield np.minimum(i, j)[keep], np.maximum(i, j)[keep], [np.rint(c.ravel()[keep]).astype(np.int64) for c in counts]
@@ -75,13 +77,13 @@ def pair_counts(aln: DataFrame, block: int = 512) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, rows in _groups(batches):
-            for first, second, counts in _pairs_of(key, rows):
+            for first, second, counts in pairs_of(key, rows):
                 yield pa.record_batch(
                     [pa.array([key[0]] * len(first), pa.string()), pa.array(first), pa.array(second), *map(pa.array, counts)],
                     names=["marker", "ord_i", "ord_j", "valid", "transitions", "transversions"],
                 )
 
-    return _placed(aln, block).mapInArrow(run, "marker string, ord_i long, ord_j long, valid long, transitions long, transversions long")
+    return placed(aln, block).mapInArrow(run, "marker string, ord_i long, ord_j long, valid long, transitions long, transversions long")
 
 
 def _distances(counts: list[np.ndarray], shape: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,7 +114,7 @@ def pair_sums(aln: DataFrame, gamma_shape: float = 1.0, block: int = 512) -> Dat
             ords = np.sort(np.array([r[1] for r in rows]))
             total, number = np.zeros(len(ords)), np.zeros(len(ords), dtype=np.int64)
             parts = []
-            for first, second, counts in _pairs_of(key, rows):
+            for first, second, counts in pairs_of(key, rows):
                 k80, gamma, jc69 = _distances(counts, gamma_shape)
                 ok = ~np.isnan(jc69)
                 for end in (first, second):
@@ -130,7 +132,7 @@ def pair_sums(aln: DataFrame, gamma_shape: float = 1.0, block: int = 512) -> Dat
                 none = [None] * len(n)
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(([key[0]] * len(n), none, n, none, mx, my, sxx, sxy), _TYPES, strict=True)], names=names)
 
-    return _placed(aln, block).mapInArrow(run, _SUMS)
+    return placed(aln, block).mapInArrow(run, _SUMS)
 
 
 _TYPES = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.float64())

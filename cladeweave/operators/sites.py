@@ -93,16 +93,23 @@ def screening_stats(aln: DataFrame) -> DataFrame:
 def marker_stats(aln: DataFrame) -> DataFrame:
     """Concatenation definitions: states are all but gap and N; informative needs two states twice."""
     taxa = aln.groupBy("marker").agg(F.count("*").alias("n_taxa"))
-    sites = _by_site(base_counts(aln), ~F.col("base").isin("-", "N"))
-    return sites.groupBy("marker").agg(*_concatenation_columns()).join(taxa, "marker")
+    return site_table(aln).groupBy("marker").agg(*concatenation_columns()).join(taxa, "marker")
 
 
-def _concatenation_columns() -> list[Column]:
-    total = F.sum("cells")
+def site_table(aln: DataFrame) -> DataFrame:
+    """``marker, pos`` and what ``concatenation_columns`` needs of each column."""
+    return _by_site(base_counts(aln), ~F.col("base").isin("-", "N"))
+
+
+def concatenation_columns(weight: Column | None = None) -> list[Column]:
+    """Aggregates over the columns of ``site_table``, each as often as its weight says (once, if there is none)."""
+    w = F.lit(1) if weight is None else weight
+    total = F.sum(F.col("cells") * w)
+    number = lambda which: F.sum(F.when(which, w).otherwise(0)).cast("long")
     return [
-        F.count("*").alias("alignment_length"), F.round(100 * F.sum("ns") / total, 3).alias("missing_pct"), F.round(100 * F.sum("gaps") / total, 3).alias("gaps_pct"),
-        F.round(100 * F.sum("gc") / F.nullif(F.sum("acgt"), F.lit(0)), 3).alias("gc_pct"), F.count_if(F.col("states") > 1).alias("variable_sites"),
-        F.count_if(F.col("states2") >= 2).alias("parsimony_informative"), F.count_if(F.col("states") == 1).alias("invariant_sites"),
+        F.sum(w).cast("long").alias("alignment_length"), F.round(100 * F.sum(F.col("ns") * w) / total, 3).alias("missing_pct"), F.round(100 * F.sum(F.col("gaps") * w) / total, 3).alias("gaps_pct"),
+        F.round(100 * F.sum(F.col("gc") * w) / F.nullif(F.sum(F.col("acgt") * w), F.lit(0)), 3).alias("gc_pct"), number(F.col("states") > 1).alias("variable_sites"),
+        number(F.col("states2") >= 2).alias("parsimony_informative"), number(F.col("states") == 1).alias("invariant_sites"),
     ]
 
 
@@ -112,9 +119,9 @@ def supermatrix_stats(aln: DataFrame) -> DataFrame:
     Absent taxa only add gap cells: the number of taxa times the length, less the cells there are.
     """
     taxa = aln.agg(F.countDistinct("name").alias("n_taxa"))
-    sites = _by_site(base_counts(aln), ~F.col("base").isin("-", "N")).crossJoin(F.broadcast(taxa))
+    sites = site_table(aln).crossJoin(F.broadcast(taxa))
     full = sites.withColumn("gaps", F.col("gaps") + F.col("n_taxa") - F.col("cells")).withColumn("cells", F.col("n_taxa"))
-    return full.groupBy("n_taxa").agg(*_concatenation_columns()).withColumnRenamed("alignment_length", "total_alignment_length")
+    return full.groupBy("n_taxa").agg(*concatenation_columns()).withColumnRenamed("alignment_length", "total_alignment_length")
 
 
 def stage_stats(aln: DataFrame) -> DataFrame:
@@ -126,7 +133,7 @@ def stage_stats(aln: DataFrame) -> DataFrame:
     )
 
 
-def _keep_columns(aln: DataFrame, sites: DataFrame) -> DataFrame:
+def keep_columns(aln: DataFrame, sites: DataFrame) -> DataFrame:
     """Alignments with only the columns that ``sites(marker, pos, keep)`` keeps.
 
     A marker's columns are one row, an array of flags, that meets its sequences; cells are not shuffled,
@@ -141,7 +148,7 @@ def _keep_columns(aln: DataFrame, sites: DataFrame) -> DataFrame:
 def drop_common_gaps(aln: DataFrame) -> DataFrame:
     """Alignments without the columns that are gaps in all rows."""
     held = F.max(F.col("base") != "-").alias("keep")
-    return _keep_columns(aln, base_counts(aln).groupBy("marker", "pos").agg(held))
+    return keep_columns(aln, base_counts(aln).groupBy("marker", "pos").agg(held))
 
 
 def mask_columns(aln: DataFrame, max_gaps: float = 0.8, min_information: float = 0.2) -> DataFrame:
@@ -154,7 +161,7 @@ def mask_columns(aln: DataFrame, max_gaps: float = 0.8, min_information: float =
     bits = (F.log("valid") - F.col("nlogn") / F.col("valid")) / F.log(F.lit(2.0))
     information = 2 - bits - 3 / (2 * F.log(F.lit(2.0)) * F.col("valid"))
     keep = (F.col("gaps") / F.col("cells") <= max_gaps) & (F.col("valid") > 0) & (information >= min_information)
-    return _keep_columns(aln, sites.select("marker", "pos", F.coalesce(keep, F.lit(False)).alias("keep")))
+    return keep_columns(aln, sites.select("marker", "pos", F.coalesce(keep, F.lit(False)).alias("keep")))
 
 
 def _information(sites: DataFrame) -> DataFrame:
@@ -190,7 +197,7 @@ def mask_to_stretches(aln: DataFrame, **rule: float) -> DataFrame:
     widths = aln.groupBy("marker").agg(F.max(F.length("seq")).alias("w")).where("w > 0")
     stretches = conserved_stretches(aln, **rule).select("marker", F.explode(F.sequence("first", "last")).alias("pos"), F.lit(True).alias("keep"))
     every = widths.select("marker", F.explode(F.sequence(F.lit(1), "w")).alias("pos"))
-    return _keep_columns(aln, every.join(stretches, ["marker", "pos"], "left").withColumn("keep", F.coalesce("keep", F.lit(False))))
+    return keep_columns(aln, every.join(stretches, ["marker", "pos"], "left").withColumn("keep", F.coalesce("keep", F.lit(False))))
 
 
 def filter_sequences(aln: DataFrame, min_non_gap: float = 0.3, max_missing: float = 0.3) -> DataFrame:

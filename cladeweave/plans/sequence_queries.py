@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cladeweave.functions import names
-from cladeweave.operators import concatenation, curation, distances, registry, sites
+from cladeweave.operators import concatenation, curation, distances, patterns, registry, sites
 from cladeweave.operators.lineage import cut
 from cladeweave.plans.catalogue import register
 from cladeweave.sources.adapters import SITES, canonical
@@ -150,6 +150,46 @@ _PAIR = (
     "pq AS (SELECT marker, ord_i, ord_j, ts / n::DOUBLE AS p, tv / n::DOUBLE AS q FROM pc), dist AS (SELECT marker, ord_i, ord_j, CASE WHEN 1 - 2 * p - q > 0 AND 1 - 2 * q > 0 THEN -0.5 * ln(1 - 2 * p - q) - 0.25 * ln(1 - 2 * q) END AS k80, "
     "CASE WHEN 1 - 2 * p - q > 0 AND 1 - 2 * q > 0 THEN 0.5 * (1 / (1 - 2 * p - q) + 0.5 / (1 - 2 * q) - 1.5) END AS k80_gamma, CASE WHEN 1 - 4 * (p + q) / 3 > 0 THEN -0.75 * ln(1 - 4 * (p + q) / 3) END AS jc69 FROM pq)"
 )
+# Replicates from weights of distinct columns; the SQL repeats every column as often as it is drawn.
+_DRAWS = f"draws AS (SELECT marker, r AS replicate, k, CAST(('0x' || substr(md5('111:' || r || ':' || marker || ':' || k), 1, 15))::BIGINT % {SITES} + 1 AS INT) AS p FROM (SELECT DISTINCT marker FROM alignment), range(1, {{0}}) t(r), range(1, {SITES + 1}) u(k))"
+
+
+def _replicates(s, d, n):
+    aln = _aln(s, d)
+    found = cut(patterns.site_patterns(aln))
+    return aln, found, cut(patterns.replicate_weights(aln, found, n))
+
+
+register(
+    "replicate_weights", lambda s, d: _replicates(s, d, 5)[2],
+    f"WITH {_SITE}, columns_ AS (SELECT marker, pos, string_agg(base, '' ORDER BY ord) AS c FROM site GROUP BY marker, pos), firsts AS (SELECT marker, pos, min(pos) OVER (PARTITION BY marker, c) AS pattern FROM columns_), {_DRAWS.format(6)} "
+    "SELECT d.marker, CAST(d.replicate AS INTEGER) AS replicate, CAST(f.pattern AS INTEGER) AS pattern, count(*) AS weight FROM draws d JOIN firsts f ON d.marker = f.marker AND d.p = f.pos GROUP BY 1, 2, 3", ALN,
+)
+
+
+def _replicate_statistics(s, d):
+    aln, _, weights = _replicates(s, d, 20)
+    return patterns.replicate_statistics(aln, weights)
+
+
+register(
+    "replicate_statistics", _replicate_statistics,
+    f"{_BYPOS2}, {_DRAWS.format(21)} SELECT b.marker, CAST(d.replicate AS INTEGER) AS replicate, {_CONCAT.format('alignment_length')}, any_value(t.n) AS n_taxa FROM by_pos b JOIN draws d ON b.marker = d.marker AND b.pos = d.p JOIN (SELECT marker, count(*) AS n FROM alignment GROUP BY marker) t ON b.marker = t.marker GROUP BY 1, 2",
+    ALN, "missing_pct gaps_pct gc_pct",
+)
+
+
+def _replicate_k80(s, d):
+    aln, found, weights = _replicates(s, d, 2)
+    counts = patterns.replicate_pair_counts(aln, found, weights).withColumn("marker", F.concat_ws("|", "marker", "replicate"))
+    return distances.distances(counts).select(F.split_part("marker", F.lit("|"), F.lit(1)).alias("marker"), F.split_part("marker", F.lit("|"), F.lit(2)).cast("int").alias("replicate"), "ord_i", "ord_j", "k80")
+
+
+register(
+    "replicate_k80", _replicate_k80,
+    _PAIR.replace(_SITE, f"{_DRAWS.format(3)}, site AS (SELECT a.marker || '|' || d.replicate AS marker, a.ord, d.k AS pos, substr(a.seq, d.p, 1) AS base FROM alignment a JOIN draws d ON a.marker = d.marker)")
+    + " SELECT split_part(marker, '|', 1) AS marker, CAST(split_part(marker, '|', 2) AS INTEGER) AS replicate, ord_i, ord_j, k80 FROM dist", ALN, "k80",
+)
 _OUT = (
     f"{_PAIR}, both_ways AS (SELECT marker, ord_i AS ord, jc69 FROM dist UNION ALL SELECT marker, ord_j, jc69 FROM dist), md AS (SELECT marker, ord, sum(jc69) / (count(jc69) + 1) AS mean_dist FROM both_ways GROUP BY marker, ord), "
     "fence AS (SELECT marker, quantile_cont(mean_dist, 0.75) + 1.5 * (quantile_cont(mean_dist, 0.75) - quantile_cont(mean_dist, 0.25)) AS upper_cut FROM md GROUP BY marker)"
