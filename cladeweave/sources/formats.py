@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeweave.functions import names
+from cladeweave.sources import ranges
 
 
 def read_fasta(spark: SparkSession, path: str, keep_file: bool = False) -> DataFrame:
@@ -35,32 +36,14 @@ def write_fasta(aln: DataFrame, path: str, mode: str = "error") -> None:
     aln.repartition("marker").sortWithinPartitions("marker", "ord").select("marker", lines).write.mode(mode).partitionBy("marker").text(path)
 
 
-def _files_below(spark: SparkSession, path: str) -> list[str]:
-    """All files below a path of any file system, empty ones too."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    found, out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True), []
-    while found.hasNext():
-        out.append(re.sub("^([a-z0-9]+):/+", r"\1:/", found.next().getPath().toUri().toString()))
-    return sorted(out)
-
-
 def _plain_uri(file: Column) -> Column:
-    return F.regexp_replace(file, "^([a-z0-9]+):/+", "$1:/")
+    """One form of a file's path: a scheme and one slash, or for local files none."""
+    return F.regexp_replace(F.regexp_replace(file, "^([a-z0-9]+):/+", "$1:/"), "^file:", "")
 
 
 def fasta_status(spark: SparkSession, path: str) -> DataFrame:
     """``file, n_records, status`` of every file under a path: OK, EMPTY or NOT_FASTA (text before the first ``>``)."""
-    raw = spark.read.option("lineSep", "\n>").option("recursiveFileLookup", "true").text(path)
-    first = F.trim(F.col("value"))
-    per = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), first.alias("t")).where("t != ''")
-    bad = F.max((F.col("at") == 0) & F.col("head") & ~F.col("t").startswith(">"))
-    marked = per.withColumn("n", F.monotonically_increasing_id())
-    heads = marked.where("at = 0").groupBy("file").agg(F.min("n").alias("n")).withColumn("head", F.lit(True))
-    known = marked.join(heads, ["file", "n"], "left").withColumn("head", F.coalesce("head", F.lit(False))).groupBy("file").agg(F.count("*").alias("n_records"), bad.alias("bad"))
-    files = spark.createDataFrame([(f,) for f in _files_below(spark, path)], "key string")  # scans skip empty files
-    out = files.join(known.withColumn("key", _plain_uri(F.col("file"))).drop("file"), "key", "left").withColumnRenamed("key", "file")
-    status = F.when(F.col("n_records").isNull(), "EMPTY").when(F.col("bad"), "NOT_FASTA").otherwise("OK")
-    return out.select("file", F.when(status == "OK", F.col("n_records")).otherwise(0).alias("n_records"), status.alias("status"))
+    return ranges.fasta_file_status(spark, path).withColumn("file", _plain_uri(F.col("file")))
 
 
 def read_fasta_safe(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -104,9 +87,9 @@ def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = ",")
 
 def read_table(spark: SparkSession, path: str, columns: list[str], header: bool = True) -> DataFrame:
     """Text columns separated by runs of blanks; quotes around a field are dropped; short rows end in nulls."""
-    rows = spark.read.text(path).select(F.trim(F.col("value")).alias("v"), F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("n")).where("v != ''")
+    rows = ranges.read_lines(spark, path).select("file", "at", F.trim(F.regexp_replace("value", "\\s", " ")).alias("v")).where("v != ''")
     if header:
-        rows = rows.join(rows.groupBy("f").agg(F.min("n").alias("n")), ["f", "n"], "left_anti")
+        rows = rows.join(rows.groupBy("file").agg(F.min("at").alias("at")), ["file", "at"], "left_anti")
     fields = F.regexp_extract_all("v", F.lit(r"\"[^\"]*\"|\S+"), F.lit(0))
     return rows.select(fields.alias("x")).select(*(F.regexp_replace(F.get("x", F.lit(k)), "^\"|\"$", "").alias(c) for k, c in enumerate(columns)))
 
