@@ -334,8 +334,33 @@ def phylogenetic_information_distance(one: np.ndarray, two: np.ndarray) -> float
         shared[at] = np.maximum(shared[at], (h1[:, None] + h2[None, :])[at] - joint)
     same = ((only1 == 0) & (only2 == 0)) | ((both == 0) & (neither == 0))
     shared[same] = np.broadcast_to(h1[:, None], shared.shape)[same]
-    best = -assignment(-shared) if len(a) <= len(b) else -assignment(-shared.T)
-    return float((total - 2 * best) / total)
+    return float((total - 2 * best_matching(shared, same)) / total)
+
+
+def best_matching(shared: np.ndarray, same: np.ndarray) -> float:
+    """Most shared information of a one-to-one matching of the rows (splits of one tree) with the columns.
+
+    Equal splits are paired first: shared information obeys the triangle inequality, so no matching loses by it.  What is left
+    falls into parts that share nothing with each other, and each is matched alone.
+    """
+    best = float(shared[same].sum())
+    rows, columns = ~same.any(axis=1), ~same.any(axis=0)
+    rest = shared[np.ix_(rows, columns)]
+    linked = rest > 0
+    open_rows = linked.any(axis=1)
+    while open_rows.any():
+        part = np.zeros(len(rest), dtype=bool)
+        part[int(open_rows.argmax())] = True
+        while True:
+            across = linked[part].any(axis=0)
+            wider = linked[:, across].any(axis=1)
+            if (wider == part).all():
+                break
+            part = wider
+        cost = -rest[np.ix_(part, across)]
+        best -= assignment(cost) if cost.shape[0] <= cost.shape[1] else assignment(cost.T)
+        open_rows &= ~part
+    return best
 
 
 def _bit_rows(masks: list[int], n: int) -> np.ndarray:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from cladeweave.functions import names
@@ -154,33 +156,43 @@ _E1 = "header metadata checklist"
 
 
 class _Integration:
-    """The stages of integration over one set of inputs."""
+    """The stages of integration over one set of inputs; ``written`` ones are written once, for queries that read them several times."""
 
-    def __init__(self, s, d):
+    def __init__(self, s, d, written=()):
         self.headers, self.metadata = canonical(s, d, "header"), canonical(s, d, "metadata")
-        self.raw = integration.raw_records(self.headers, self.metadata)
         self.accepted = integration.accepted_species(canonical(s, d, "checklist"))
-        self.flagged = integration.with_acceptance(self.raw, self.accepted, self.metadata)
+        self.written = written
+
+    def _once(self, name, table):
+        return cut(table) if name in self.written else table
+
+    @cached_property
+    def raw(self):
+        return integration.raw_records(self.headers, self.metadata)
+
+    @cached_property
+    def flagged(self):
+        return self._once("flagged", integration.with_acceptance(self.raw, self.accepted, self.metadata))
 
-    @property
+    @cached_property
     def groups(self):
-        return integration.duplicate_groups(self.flagged)
+        return self._once("groups", integration.duplicate_groups(self.flagged))
 
-    @property
+    @cached_property
     def selected(self):
-        return integration.select_records(self.flagged)
+        return self._once("selected", integration.select_records(self.flagged))
 
-    @property
+    @cached_property
     def mapped(self):
         return integration.header_map(self.flagged, self.selected)
 
-    @property
+    @cached_property
     def exported(self):
-        return integration.exported_records(self.headers, self.mapped)
+        return self._once("exported", integration.exported_records(self.headers, self.mapped))
 
 
-def _e1(pick):
-    return lambda s, d: pick(_Integration(s, d))
+def _e1(pick, *written):
+    return lambda s, d: pick(_Integration(s, d, written))
 
 
 register("raw_species_metadata", _e1(lambda i: i.raw), f"{_RAW} SELECT species, marker_key, source_branch, fasta_name, sid, is_outgroup FROM raw", _E1)
@@ -215,14 +227,14 @@ def _composition(stage, source, group, record):
 
 
 register(
-    "marker_taxon_composition", _e1(lambda i: integration.taxon_composition(i.flagged, i.selected, i.exported)),
+    "marker_taxon_composition", _e1(lambda i: integration.taxon_composition(i.flagged, i.selected, i.exported), "flagged", "selected"),
     f"{_EXPORTED} " + " UNION ALL ".join((
         _composition("raw", "flagged", "source_branch", "fasta_name"), _composition("selected", "final", "CASE WHEN is_outgroup_species THEN 'outgroup' ELSE 'ingroup' END", "sid"),
         _composition("exported", "exported", "CASE WHEN source_branch = 'outgroup' THEN 'outgroup' ELSE 'ingroup' END", "fasta_name"))), _E1,
 )
 _Z = lambda cs: ", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in cs.split())
 register(
-    "marker_summary_integration", _e1(lambda i: integration.integration_summary(i.flagged, i.groups, i.selected, i.exported)),
+    "marker_summary_integration", _e1(lambda i: integration.integration_summary(i.flagged, i.groups, i.selected, i.exported), "flagged", "selected", "exported"),
     f"""{_EXPORTED}, r AS (SELECT marker_key, count(DISTINCT fasta_name) AS n_records_raw_total, count(DISTINCT fasta_name) FILTER (WHERE source_branch = 'ingroup') AS n_records_raw_ingroup, count(DISTINCT fasta_name) FILTER (WHERE source_branch = 'outgroup') AS n_records_raw_outgroup,
     count(DISTINCT species) AS n_species_raw_total, count(DISTINCT species) FILTER (WHERE source_branch = 'ingroup') AS n_species_raw_ingroup, count(DISTINCT species) FILTER (WHERE source_branch = 'outgroup') AS n_species_raw_outgroup,
     count(DISTINCT species) FILTER (WHERE source_branch = 'ingroup' AND accepted_in_checklist) AS n_species_raw_accepted_ingroup, count(DISTINCT species) FILTER (WHERE source_branch = 'ingroup' AND NOT accepted_in_checklist) AS n_species_raw_rejected_ingroup FROM flagged GROUP BY marker_key),

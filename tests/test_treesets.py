@@ -239,3 +239,64 @@ def test_bootstopping_tells_agreeing_from_random_trees(spark):
     run = lambda rows: [(r.n_trees, r.converged) for r in treesets.bootstopping(spark.createDataFrame(rows, NODES), permutations=50).orderBy("n_trees").collect()]
     assert run(same) == [(50, True), (60, True)] and run(other) == [(50, False), (60, False)]
     assert treesets.bootstopping(spark.createDataFrame(one, NODES)).count() == 0
+
+
+def test_information_distance_against_all_matchings():
+    rng = random.Random(12)
+    for n in (6, 7, 9, 9, 12):
+        tips = [f"x{j}" for j in range(n)]
+        one = random_tree(rng, "a", tips, unary=0)
+        two = one if n == 12 else random_tree(rng, "b", tips, unary=0)
+        if n == 9:  # share some splits
+            two = _joined(rng, tips[:5], tips[5:], one)
+        bits = [np.array(sorted([1 if t in side else 0 for t in tips] for side in split_sets(x, set(tips))), dtype=np.uint8).reshape(-1, n) for x in (one, two)]
+        bits = [np.where(b[:, :1] == 1, 1 - b, b) for b in bits]
+        a, b = bits
+        got = trees.phylogenetic_information_distance(a, b)
+        full = _plain_information(a, b)
+        assert math.isclose(got, full, abs_tol=1e-9), n
+
+
+def _joined(rng, left, right, one):
+    """A tree that has the split between ``left`` and ``right``."""
+    rows, at = [], 1000
+    rows.append(("b", 999, None, None, 1.0, None, False))
+    for part in (left, right):
+        for r in random_tree(rng, "b", part, unary=0):
+            rows.append(("b", at + r[1], 999 if r[2] is None else at + r[2], *r[3:]))
+        at += 1000
+    return rows
+
+
+def _plain_information(a, b):
+    """The distance with the best of all one-to-one matchings, tried one by one."""
+    n = a.shape[1]
+    double = lambda m: sum(math.log2(k) for k in range(m, 0, -2)) if m > 0 else 0.0
+    unrooted = lambda k: double(2 * k - 5) if k >= 3 else 0.0
+    rooted = lambda k: double(2 * k - 3) if k >= 2 else 0.0
+    info = lambda k: unrooted(n) - rooted(k) - rooted(n - k)
+
+    def shared(x, y):
+        sides = [(set(np.flatnonzero(x)), set(np.flatnonzero(1 - x))), (set(np.flatnonzero(y)), set(np.flatnonzero(1 - y)))]
+        if sides[0][0] in sides[1]:
+            return info(len(sides[0][0]))
+        best = 0.0
+        for p in sides[0]:
+            for q in sides[1]:
+                if not p & q:
+                    joint = unrooted(n) - rooted(len(p)) - rooted(len(q)) - unrooted(n - len(p) - len(q) + 2)
+                    best = max(best, info(len(p)) + info(len(q)) - joint)
+        return best
+
+    table = [[shared(x, y) for y in b] for x in a]
+    if len(a) > len(b):
+        table = [list(r) for r in zip(*table, strict=True)]
+
+    def most(k, free):
+        if k == len(table):
+            return 0.0
+        return max(table[k][j] + most(k + 1, free - {j}) for j in free)
+
+    total = sum(info(int(x.sum())) for x in (*a, *b))
+    wide = max(len(a), len(b))
+    return (total - 2 * (most(0, frozenset(range(wide))) if len(table) else 0.0)) / total if total else 0.0
