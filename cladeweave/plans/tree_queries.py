@@ -155,9 +155,14 @@ register(
     least AS (SELECT split, size, tree_id, least(min(least(d, n - d)), least(any_value(size), any_value(n) - any_value(size)) - 1) AS d, least(any_value(size), any_value(n) - any_value(size)) AS p FROM apart, n GROUP BY split, size, tree_id)
     SELECT split, size, avg(1 - d / (p - 1)::DOUBLE) AS support FROM least GROUP BY split, size""".replace("WITH RECURSIVE up", "WITH RECURSIVE all_trees AS (SELECT * FROM tree_a UNION ALL SELECT * FROM replicate), up"), "tree_a replicate", "support",
 )
+def _clade_ages(s, d):
+    # Mean ages are sums of few decimals over sixteen trees, which may lie just between two numbers of nine places.
+    return clades.clade_age_intervals(_a(s, d), canonical(s, d, "dated")).withColumns({c: F.round(c, 6) for c in ("mean_age", "hpd_low", "hpd_high")})
+
+
 # A clade is its sorted tips, by recursive closure over all trees; an age is how far the farthest tip is below.
 register(
-    "clade_age_intervals", lambda s, d: clades.clade_age_intervals(_a(s, d), canonical(s, d, "dated")),
+    "clade_age_intervals", _clade_ages,
     """WITH RECURSIVE both_kinds AS (SELECT * FROM tree_a UNION ALL SELECT * FROM dated),
     up AS (SELECT tree_id, node_id, node_id AS anc, parent_id AS nxt FROM both_kinds UNION ALL SELECT u.tree_id, u.node_id, t.node_id, t.parent_id FROM up u JOIN both_kinds t ON u.tree_id = t.tree_id AND u.nxt = t.node_id),
     far AS (SELECT u.tree_id, u.node_id, sum(CASE WHEN t.parent_id IS NULL THEN 0 ELSE t.branch_length END) AS depth FROM up u JOIN both_kinds t ON u.tree_id = t.tree_id AND u.anc = t.node_id GROUP BY u.tree_id, u.node_id),
@@ -166,7 +171,7 @@ register(
     ages AS (SELECT a.node_id AS node, a.n_tips, s.tree_id AS rep, min(d.far - f.depth) AS age FROM sets a JOIN sets s ON s.tips = a.tips AND s.tree_id <> 'A' JOIN far f ON f.tree_id = s.tree_id AND f.node_id = s.node_id JOIN deepest d ON d.tree_id = s.tree_id WHERE a.tree_id = 'A' GROUP BY ALL),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY age, rep) AS r, count(*) OVER (PARTITION BY node) AS n FROM ages),
     spans AS (SELECT a.node, a.age AS low, b.age AS high, row_number() OVER (PARTITION BY a.node ORDER BY round(b.age - a.age, 9), a.age) AS best FROM ranked a JOIN ranked b ON a.node = b.node AND b.r = a.r + CAST(ceil(0.95 * a.n) AS INT) - 1)
-    SELECT s.node_id AS node, s.n_tips, count(g.rep) AS n_replicates, count(g.rep) / 20::DOUBLE AS support, avg(g.age) AS mean_age, any_value(w.low) AS hpd_low, any_value(w.high) AS hpd_high
+    SELECT s.node_id AS node, s.n_tips, count(g.rep) AS n_replicates, count(g.rep) / 20::DOUBLE AS support, round(avg(g.age), 6) AS mean_age, round(any_value(w.low), 6) AS hpd_low, round(any_value(w.high), 6) AS hpd_high
     FROM sets s LEFT JOIN ages g ON g.node = s.node_id LEFT JOIN spans w ON w.node = s.node_id AND w.best = 1 WHERE s.tree_id = 'A' GROUP BY s.node_id, s.n_tips""", "tree_a dated", "support mean_age hpd_low hpd_high",
 )
 
