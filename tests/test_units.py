@@ -49,6 +49,11 @@ def test_marker_pattern_is_longest_first(spark):
     assert got == [("trnL-trnF, trnL, trnS(GCU)-trnG(UUC)",), ("",), ("",)]
 
 
+def test_age_labels_keep_the_sign_of_zero(spark):
+    df = spark.createDataFrame([(-0.04,), (-0.05,), (-0.06,), (0.04,), (0.0,), (-1.96,), (None,)], "age double")
+    assert [r[0] for r in df.select(names.age_label("age")).collect()] == ["-0", "-0", "-0.1", "0", "0", "-2", None]
+
+
 def test_age_labels_and_support_classes(spark):
     assert [r[0] for r in values(spark, [(2.0,), (2.25,), (2.75,)], "a double", names.age_label("a"))] == ["2", "2.2", "2.8"]
     assert values(spark, [(0.9,), (0.7,), (0.1,), (None,)], "s double", names.support_class("s")) == [(">= 90",), ("70-89",), ("< 70",), ("< 70",)]
