@@ -300,3 +300,20 @@ def _plain_information(a, b):
     total = sum(info(int(x.sum())) for x in (*a, *b))
     wide = max(len(a), len(b))
     return (total - 2 * (most(0, frozenset(range(wide))) if len(table) else 0.0)) / total if total else 0.0
+
+
+def test_only_inner_nodes_climb_and_few_tips_stand_for_all(spark):
+    """Many tips on few nodes: tables of rounds do not grow with the tips, nor do the bit sets of bootstopping."""
+    n, inner = 2000, [(0, None), (1, 0), (2, 0), (3, 1)]
+    rows = [(t, i, p, None, 1.0, None, False) for t in ("1", "2") for i, p in inner]
+    rows += [(t, 10 + j, 1 + (j + int(t) * (j % 2)) % 3, f"x{j:04}", 1.0, None, True) for t in ("1", "2") for j in range(n)]
+    nodes = spark.createDataFrame(rows, NODES)
+    held = intervals.inner_nodes(nodes, trees.tip_sums())
+    assert held.count() == 8 and held.groupBy("tree_id").agg(F.sum("k").alias("k")).where(f"k = {n}").count() == 2
+    names, tips = treesets.representatives(nodes)
+    assert tips == n and len(names) == 12  # two tips of each of six classes
+    order = spark.createDataFrame([("1", 1), ("2", 2)], "tree_id string, ord int")
+    by_tree = [[r for r in rows if r[0] == t] for t in ("1", "2")]
+    assert [(r.n_common_tips, r.rf) for r in treesets.tree_set_rf(nodes, order).collect()] == [rf(*by_tree)]
+    sets = nodes.where("is_tip").selectExpr("'X' AS analysis_id", "tree_id AS tree", "label", "label AS taxon")
+    assert [tuple(r) for r in trees.common_tip_counts(sets, order).collect()] == [("X", "2", "1", n)]
