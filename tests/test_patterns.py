@@ -36,3 +36,23 @@ def test_replicates_from_weights_equal_those_written_out(spark):
         mine = {(r.marker, r.ord_i, r.ord_j): (r.valid, r.transitions, r.transversions) for r in patterns.replicate_pair_counts(aln, found, weights, block=3).where(f"replicate = {rep}").collect()}
         assert pairs == mine
     assert patterns.site_patterns(aln.limit(0)).count() == 0
+
+
+def test_profiles_are_laid_out_in_bounded_slices(monkeypatch):
+    """A batch of long texts is counted piece by piece, with the same sums."""
+    import pyarrow as pa
+
+    texts = ["ACGT" * k for k in range(1, 60)] + [None, "", "A" * 5000]
+    batch = pa.record_batch([pa.array(["m"] * len(texts)), pa.array(texts, pa.string())], names=["marker", "seq"])
+    monkeypatch.setattr(sites, "SLICE_CELLS", 400)
+    pieces = list(sites._slices([batch]))
+    assert sum(p.num_rows for p in pieces) == len(texts)
+    assert all(p.num_rows == 1 or sum(len(x or "") for x in p.column(1).to_pylist()) <= 400 for p in pieces)
+    got, want = {}, {}
+    for out in sites._count_cells([batch]):
+        for r in out.to_pylist():
+            got[r["pos"], r["base"]] = got.get((r["pos"], r["base"]), 0) + r["n"]
+    for x in texts:
+        for k, c in enumerate(x or ""):
+            want[k + 1, c] = want.get((k + 1, c), 0) + 1
+    assert got == want
