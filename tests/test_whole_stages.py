@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +39,37 @@ def test_pair_sums_equal_all_pairs(spark):
         assert a.keys() == b.keys() and all(near(a[k][c], b[k][c]) for k in a for c in one.columns)
 
 
+@pytest.mark.parametrize("width", (0, 1, 120, 127, 128, 255, 256, 700, 5000))
+def test_packed_counts_of_pairs(width):
+    """One product has all three counts, in slices where a single one would not be exact."""
+    rng = np.random.default_rng(width)
+    codes = rng.choice(np.array([0, 1, 2, 3, 9], dtype=np.int8), (9, width))
+    if width:
+        codes[0] = codes[1] = 2  # as many sites as there are
+    for transitions in (False, True):
+        packing = distances._Packed(width, transitions)
+        valid, ts, tv = packing.unpack(packing.counts(codes, codes, packing.right(codes)))
+        for i in range(len(codes)):
+            ok = (codes < 4) & (codes[i] < 4)
+            differ, across = ok & (codes != codes[i]), ok & (codes // 2 != codes[i] // 2)
+            assert valid[i].tolist() == ok.sum(axis=1).tolist() and (ts + tv)[i].tolist() == differ.sum(axis=1).tolist()
+            assert not transitions or tv[i].tolist() == across.sum(axis=1).tolist()
+
+
+def test_pair_distances_equal_those_of_counts(spark):
+    rng = random.Random(2)
+    rows = aligned(rng, "m", 23, 60, odd=4) + aligned(rng, "wide", 5, 300, first=100) + [("gap", "x", 300, "----"), ("gap", "y", 301, "NN"), ("gap", "z", 302, None), ("gap", "u", 303, "A\u00e9G"), ("gap", "v", 304, "ACG")]
+    aln = spark.createDataFrame(rows, SEQS)
+    want = {(r.marker, r.ord_i, r.ord_j): r for r in distances.distances(distances.pair_counts(aln.where("ord < 303"), block=5)).collect()}
+    for which in ("k80", "k80_gamma", "jc69"):
+        got = {(r[0], r[1], r[2]): r[3] for r in distances.pair_distances(aln, which, block=5).collect()}
+        assert got.pop(("gap", 303, 304)) == 0  # a letter outside ASCII is one cell
+        got = {k: v for k, v in got.items() if k[2] < 303}
+        assert got.keys() == want.keys()
+        assert all(v == want[k][which] or v == pytest.approx(want[k][which]) for k, v in got.items())
+    assert distances.pair_distances(aln, "jc69").rdd.getNumPartitions() == 4  # not merged by bytes
+
+
 def test_profiles_of_ragged_and_lower_case_sequences(spark, monkeypatch):
     rows = [("m", "a", 1, "ACgt-N"), ("m", "b", 2, "ac"), ("m", "c", 3, None), ("n", "d", 4, ""), (None, "e", 5, "é日R"), ("m", "f", 6, "TTTTTTTT")]
     want: dict = {}
