@@ -57,6 +57,9 @@ from cladeweave.llm.components import components
 from cladeweave.llm.shared import LAST_ID, bitmap_bits, ceil_div, cut, discard, join_counted, keep_decided, lean, require, split_by_ids
 
 U = np.uint64
+#: Bits of a slice's signature.  Slices of one signature only meet, so a chance match costs a comparison and no link; of so many
+#: rows, random bytes that do not compress, this is what the join shuffles most.
+SIGNATURE_BITS = 40
 HOT_ROWS = 1 << 12
 MOST_HOT = 100_000
 CHUNK_ROWS, CHUNK_SHARE = 1 << 20, 1 << 12
@@ -152,7 +155,7 @@ def slice_signatures(h: np.ndarray, slicing: Slicing) -> np.ndarray:
             empty = np.setdiff1d(np.arange(ranges, dtype=U), places, assume_unique=True)
             sums, places = np.concatenate((sums, np.zeros(len(empty), dtype=U))), np.concatenate((places, empty))
         out.append(spans.mix64(sums + spans.mix64((U(c) << U(40)) + places + U(1))))
-    return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
+    return (np.concatenate(out) >> U(64 - SIGNATURE_BITS)).view(np.int64) if out else np.empty(0, np.int64)
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:

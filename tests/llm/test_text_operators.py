@@ -169,6 +169,12 @@ def test_linked_sets_share_a_slice(values, changes, num):
         assert set(jaccard_join.slice_signatures(key(a), slicing)) & set(jaccard_join.slice_signatures(key(b), slicing))
 
 
+def test_signatures_are_short():
+    h = np.sort(jaccard_join.spans.mix64(np.arange(5000, dtype=np.uint64)))
+    found = jaccard_join.slice_signatures(h, jaccard_join.Slicing(80, 100))
+    assert len(set(found.tolist())) == len(found) > 1000 and found.min() >= 0 and int(found.max()).bit_length() == 40
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, 100 + k) for k in range(1, 20)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
