@@ -12,8 +12,8 @@
   their number.  A document asks the filter of its digest's shard first; if that says no, it is unique.
   Where all filters together would be too large to send, documents go to the runs without asking.
 * **Byte verification.**  The normalised texts of a hit are compared byte by byte: within a task with
-  the first text under the digest, then the first texts of all tasks in two steps (salted by task, then
-  by digest).  Groups whose texts differ (a digest collision) are grouped again by their texts.
+  the first text under the digest, then the first texts of all tasks by digest, those of large groups in
+  two steps (salted by task, then by digest).  Groups whose texts differ (a digest collision) are grouped again by their texts.
 
 Defined results: a null text is an empty text; equal rows are copies of each other; a null id is
 larger than any other id; an id may repeat; other columns are not read.
@@ -39,6 +39,8 @@ HELD_BYTES = 16 << 20
 #: Runs that one merge takes, and entries of a shard.
 FAN_IN = 16
 SHARD_ROWS = 1 << 20
+#: Copies from which on the texts of a group are compared in two steps.
+LARGE_GROUP = 1 << 12
 #: Bytes of all filters that are sent to the executors.
 FILTER_BYTES = 16 << 20
 _ODD = re.compile(rb"[\x09-\x0D]|\x20{2}")
@@ -263,8 +265,11 @@ def _verified(asked: DataFrame, hits: DataFrame) -> DataFrame:
     """``digest, same`` of every hit: whether all texts under it are the same bytes."""
     bodies = asked.where("body IS NOT NULL").select("digest", "body", "clash", F.pmod(F.spark_partition_id(), F.lit(16)).alias("salt"))
     ends = [F.min("body").alias("low"), F.max("body").alias("high"), F.max("clash").alias("clash")]
-    part = bodies.groupBy("digest", "salt").agg(*ends)
+    # One row in LARGE_GROUP at most, so it may be sent.  Texts of the other groups are shuffled once.
+    large = F.broadcast(hits.where(F.col("n") >= LARGE_GROUP).select("digest"))
+    part = bodies.join(large, "digest", "left_semi").groupBy("digest", "salt").agg(*ends)
     whole = part.groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("clash").alias("clash"))
+    whole = whole.unionByName(bodies.join(large, "digest", "left_anti").groupBy("digest").agg(*ends))
     return whole.select("digest", ((F.col("low") == F.col("high")) & ~F.col("clash")).alias("same")).join(hits.select("digest"), "digest", "left_semi")
 
 
@@ -278,9 +283,11 @@ def exact_groups(
     groups without any id, it is true for all, and ``deduplicate`` keeps one of them.
     """
     hits, asked = _hits(docs, id_col, text_col, digest_bits, memtable_rows, fan_in, shard_rows)
-    maybe = asked.where("digest IS NOT NULL").select("doc_id", "text_sha256", "digest")
-    unique = asked.where("digest IS NULL").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).alias("n"), "text_sha256")
     checked = cut(_verified(asked, hits))
+    named = cut(asked.select("doc_id", "text_sha256", "digest"))
+    discard(asked)  # its texts are compared
+    maybe = named.where("digest IS NOT NULL")
+    unique = named.where("digest IS NULL").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).alias("n"), "text_sha256")
     sound = cut(hits.join(checked.where("same"), "digest", "left_semi"))
     # Documents that the filters let pass without a hit are unique, too.
     found = join_counted(maybe, sound, "digest", "n", sound.agg(F.sum("n")).first()[0] or 0, "left")

@@ -60,6 +60,8 @@ U = np.uint64
 #: Bits of a slice's signature.  Slices of one signature only meet, so a chance match costs a comparison and no link; of so many
 #: rows, random bytes that do not compress, this is what the join shuffles most.
 SIGNATURE_BITS = 40
+#: Shingles of all sets for a round of the slices' shuffle, and rounds at most.
+ROUND_SHINGLES, MOST_ROUNDS = 1 << 25, 8
 HOT_ROWS = 1 << 12
 MOST_HOT = 100_000
 CHUNK_ROWS, CHUNK_SHARE = 1 << 20, 1 << 12
@@ -215,12 +217,14 @@ def _nodes(rows: DataFrame, keys: Keys, slicing: Slicing) -> tuple[DataFrame, Ke
     return described(keys), keys
 
 
-def _signatures(folder: DataFrame) -> DataFrame:
-    """``sig, node`` of each slice."""
+def _signatures(folder: DataFrame, rounds: int = 1, turn: int = 0) -> DataFrame:
+    """``sig, node`` of each slice whose turn it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sigs = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(1)]
+            if rounds > 1:
+                sigs = [x[x % rounds == turn] for x in sigs]
             if sigs:
                 node = np.repeat(b.column(0).to_numpy(), [len(x) for x in sigs])
                 yield pa.record_batch([pa.array(np.concatenate(sigs)), pa.array(node)], names=["sig", "node"])
@@ -363,13 +367,31 @@ def _hold(block_nodes: int) -> int:
     return max(HOT_ROWS, 4 * block_nodes)
 
 
-def _members(folder: DataFrame, block_nodes: int) -> DataFrame:
-    """``region, block, many, node`` of all documents whose slices meet; a hot slice is dealt over shares by node."""
-    hot = F.broadcast(_hot(folder, _hold(block_nodes)))
-    rows = _signatures(folder).join(hot, "sig", "left")
-    rows = rows.select("sig", F.coalesce(F.pmod(F.xxhash64("node"), F.col("salts")), F.lit(-1)).alias("share"), "node").repartition("sig", "share")
-    dealt = rows.sortWithinPartitions("sig", "share", "node").select("sig", "node", (F.col("share") >= 0).alias("hot"))
-    return dealt.mapInArrow(lean(lambda batches: _meeting(batches, block_nodes)), "region long, block long, many boolean, node long").distinct()
+def _members(folder: DataFrame, block_nodes: int, rounds: int = 1) -> DataFrame:
+    """``region, block, many, node`` of all documents whose slices meet; a hot slice is dealt over shares by node.
+
+    Each of the ``rounds`` takes a share of the signatures, so that no more than this share of the slices is on disk as a shuffle.
+    A round has as much fewer partitions: rows of one node follow each other in a partition and compress, the more the fewer there are.
+    """
+    spark = folder.sparkSession
+    hot, all_parts = F.broadcast(cut(_hot(folder, _hold(block_nodes)))), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts_of = [max(ceil_div(all_parts, rounds), min(all_parts, spark.sparkContext.defaultParallelism))] if rounds > 1 else []
+
+    def met(turn: int) -> DataFrame:
+        rows = _signatures(folder, rounds, turn).join(hot, "sig", "left")
+        rows = rows.select("sig", F.coalesce(F.pmod(F.xxhash64("node"), F.col("salts")), F.lit(-1)).alias("share"), "node").repartition(*parts_of, "sig", "share")
+        dealt = rows.sortWithinPartitions("sig", "share", "node").select("sig", "node", (F.col("share") >= 0).alias("hot"))
+        return dealt.mapInArrow(lean(lambda batches: _meeting(batches, block_nodes)), "region long, block long, many boolean, node long")
+
+    if rounds == 1:
+        return cut(met(0).distinct())
+    parts = [cut(met(turn)) for turn in range(rounds)]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    out = cut(out.distinct())
+    discard(*parts)
+    return out
 
 
 def count_vector(h: np.ndarray) -> bytes:
@@ -842,7 +864,11 @@ def _components_of_rows(
     rows = _document_rows(docs, id_col, text_col)
     folder, keys = _nodes(rows, keys, slicing)
     keepers = cut(folder.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count("*").alias("docs")))
-    members = cut(_members(folder, block_nodes))
+    shingles = keepers.agg(F.sum("n")).first()[0] or 0
+    members = _members(folder, block_nodes, min(MOST_ROUNDS, max(1, ceil_div(shingles, ROUND_SHINGLES))))
+    slim = cut(folder.drop("sigs"))
+    discard(folder)
+    folder = slim
     wanted = cut(keepers.join(members.select("node").distinct(), "node", "left_semi").where("doc_id IS NOT NULL"))
     # Sets are made again from the texts where they are needed: hashes are larger and do not compress.
     vectors = cut(_vectors(rows, wanted, keys))

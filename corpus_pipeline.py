@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cladeweave.llm import decontaminate, exact_dedup, jaccard_join, sentencepiece_codec, toxicity
-from cladeweave.llm.shared import new_folder, read_table
+from cladeweave.llm.shared import new_folder, read_table, shuffles_removed
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +57,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "pipeline")
     for name, stage in STAGES:
         path = f"{folder}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        made = stage(spark, docs, sf_dir)
+        with shuffles_removed(spark):
+            made.write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
