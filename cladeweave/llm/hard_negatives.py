@@ -8,7 +8,9 @@ read twice: for the best rows of each anchor's own label (its positives), and th
 labels within the window that each positive's score opens.  Each tile gives its own top lists; windows with a
 rank limit, which Spark applies before it shuffles, merge them.
 
-Anchors are worked off in panels, so the tiles that are on disk at a time stay within ``tile_bytes``.
+Anchors are worked off in panels, so the tiles that are on disk at a time stay within ``tile_bytes`` and the windows that are
+sent within ``WINDOWS``.  Blocks are shuffled to their cells without a join: their copies for each column of the grid grow with anchors
+times rows, but the planner goes by the size before they are made, so it would send them from the driver.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ ROWS, ANCHORS = 4096, 128
 CHUNK, MOST_CHUNKS = 32, 8
 SCALE = 256.0
 TILE_BYTES = 1 << 40
+#: Windows of a panel, unless one block of anchors has more.
+WINDOWS = 1 << 16
 
 _OUT = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
 
@@ -74,6 +78,16 @@ def _ints(x: pa.Scalar) -> np.ndarray:
     return np.frombuffer(x.as_buffer(), "<i8")
 
 
+def _tile_bytes(x: np.ndarray) -> bytes:
+    """Scores in 32 bits where all fit, else in 64."""
+    return np.ascontiguousarray(x, dtype="<i4" if np.abs(x).max(initial=0) < 1 << 31 else "<i8").tobytes()
+
+
+def _tile(x: pa.Scalar, n: int, m: int) -> np.ndarray:
+    packed = x.as_buffer()
+    return np.frombuffer(packed, "<i4" if len(packed) == 4 * n * m else "<i8").reshape(n, m)
+
+
 def _blocks(rows: DataFrame, count: int, size: int, width: int, chunk: int) -> DataFrame:
     """``block, chunk, ids, labels, data``: blocks of up to ``size`` rows, sorted by id, as packed int64."""
     parts = min(ceil_div(max(count, 1), size), 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -110,46 +124,57 @@ def _blocks(rows: DataFrame, count: int, size: int, width: int, chunk: int) -> D
     return rows.repartition(parts).mapInArrow(lean(run), "block long, chunk int, ids binary, labels binary, data binary")
 
 
-def _tiles(anchors: DataFrame, rows: DataFrame, grid: tuple[int, int]) -> DataFrame:
-    """``block, stripe, ids, labels, other_ids, other_labels, tile``: summed scores of each anchor block with each row block."""
+def _tiles(anchors: DataFrame, rows: DataFrame, grid: tuple[int, int], chunks: int) -> DataFrame:
+    """``block, ids, labels, other_ids, other_labels, tile``: summed scores of each anchor block with each row block."""
     down, across = grid
     here = lambda k: F.pmod(F.xxhash64("block"), F.lit(k)).cast("int")
     left = anchors.withColumn("down", here(down)).withColumn("across", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
-    right = rows.toDF("other", "chunk", "other_ids", "other_labels", "other_data").withColumn("across", F.pmod(F.xxhash64("other"), F.lit(across)).cast("int")).withColumn("down", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
-    met = left.join(right, ["down", "across", "chunk"]).select("block", "other", "across", "chunk", "ids", "labels", "other_ids", "other_labels", "data", "other_data")
-    names = ["block", "other", "stripe", "ids", "labels", "other_ids", "other_labels", "tile"]
+    right = rows.withColumn("across", here(across)).withColumn("down", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+    # By number: few bytes of blocks are large tiles, and partitions merged by bytes would leave cores idle.
+    cell, partitions = ["down", "across", "chunk"], int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1))).select(*cell, "side", "block", "ids", "labels", "data")
+    met = both.repartition(min(partitions, 2 * down * across * chunks), *cell).sortWithinPartitions(*cell, "side")
+    names = ["block", "other", "ids", "labels", "other_ids", "other_labels", "tile"]
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held = None, []  # the anchors of a cell come first, and a panel has few
         for b in batches:
             for k in range(b.num_rows):
-                block, other, stripe, chunk, ids, labels, other_ids, other_labels, data, other_data = (b.column(c)[k] for c in range(10))
-                n, m = len(_ints(ids)), len(_ints(other_ids))
-                tile = product(_ints(data).reshape(n, -1), _ints(other_data).reshape(m, -1))
-                kept = [x.as_py() if not chunk.as_py() else None for x in (ids, labels, other_ids, other_labels)]  # one chunk brings them
-                yield pa.record_batch([pa.array([block.as_py()]), pa.array([other.as_py()]), pa.array([stripe.as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in kept), pa.array([_bytes(tile)], pa.binary())], names=names)
+                *key, side, block, ids, labels = (b.column(c)[k].as_py() for c in range(7))
+                if key != own:
+                    own, held = key, []
+                data = _ints(b.column(7)[k]).reshape(len(ids) // 8, -1)
+                if not side:
+                    held.append((block, ids, labels, data.copy()))
+                    continue
+                for anchor_block, anchor_ids, anchor_labels, anchor_data in held:
+                    kept = [x if not key[2] else None for x in (anchor_ids, anchor_labels, ids, labels)]  # one chunk brings them
+                    tile = _tile_bytes(product(anchor_data, data))
+                    yield pa.record_batch([pa.array([anchor_block]), pa.array([block]), *(pa.array([x], pa.binary()) for x in (*kept, tile))], names=names)
 
     def add(parts: pa.Table) -> pa.Table:
-        total, most = None, 0
+        kept = [next(x.as_py() for x in parts[c] if x.is_valid) for c in names[2:6]]
+        n, m = len(kept[0]) // 8, len(kept[2]) // 8
+        total, most = np.zeros((n, m), dtype=np.int64), 0
         for part in parts["tile"]:
-            one = _ints(part)
+            one = _tile(part, n, m)
             most += int(np.abs(one).max(initial=0))
             if most >= 1 << 63:
                 raise ValueError("a score does not fit into 64 bits")
-            total = one.copy() if total is None else np.add(total, one, out=total)
-        kept = [next(x.as_py() for x in parts[c] if x.is_valid) for c in names[3:7]]
-        return pa.table([pa.array([parts["block"][0].as_py()]), pa.array([parts["stripe"][0].as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in kept), pa.array([_bytes(total)], pa.binary())], names=["block", *names[2:]])
+            total += one
+        return pa.table([pa.array([parts["block"][0].as_py()]), *(pa.array([x], pa.binary()) for x in kept), pa.array([_tile_bytes(total)], pa.binary())], names=["block", *names[2:]])
 
-    partial = met.mapInArrow(lean(multiply), "block long, other long, stripe int, ids binary, labels binary, other_ids binary, other_labels binary, tile binary")
-    return partial.groupBy("block", "other").applyInArrow(add, "block long, stripe int, ids binary, labels binary, other_ids binary, other_labels binary, tile binary")
+    partial = met.mapInArrow(lean(multiply), "block long, other long, ids binary, labels binary, other_ids binary, other_labels binary, tile binary")
+    return partial.groupBy("block", "other").applyInArrow(add, "block long, ids binary, labels binary, other_ids binary, other_labels binary, tile binary")
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """``(block, stripe, ids, labels, other_ids, other_labels, tile, further column)`` of each tile."""
+    """``(block, ids, labels, other_ids, other_labels, tile, further column)`` of each tile."""
     for b in batches:
         for k in range(b.num_rows):
-            block, stripe, *packed = (b.column(c)[k] for c in range(7))
-            ids, labels, other_ids, other_labels, tile = (_ints(x) for x in packed)
-            yield block.as_py(), stripe.as_py(), ids, labels, other_ids, other_labels, tile.reshape(len(ids), -1), b.column(7)[k].as_py() if b.num_columns > 7 else None
+            block, *packed, tile = (b.column(c)[k] for c in range(6))
+            ids, labels, other_ids, other_labels = (_ints(x) for x in packed)
+            yield block.as_py(), ids, labels, other_ids, other_labels, _tile(tile, len(ids), len(other_ids)), b.column(6)[k].as_py() if b.num_columns > 6 else None
 
 
 def _record(columns: list[list], names: str) -> pa.RecordBatch:
@@ -187,22 +212,24 @@ def hard_negatives(vectors: DataFrame, every: int = 100, positives: int = 5, neg
     cells = int(spark.conf.get("spark.sql.shuffle.partitions"))
     down = max(1, min(ceil_div(n_anchors, ANCHORS), round((cells * n_anchors / n) ** 0.5)))
     grid = (down, max(1, min(ceil_div(n, ROWS), ceil_div(cells, down))))
-    panels = min(ceil_div(n_anchors, ANCHORS), ceil_div(8 * n * n_anchors * (1 + ceil_div(width, chunk)), tile_bytes))
+    panels = max(ceil_div(8 * n * n_anchors * (1 + ceil_div(width, chunk)), tile_bytes), ceil_div(n_anchors * positives, WINDOWS))
+    panels = max(1, min(ceil_div(n_anchors, ANCHORS), panels))
     out = None
     for panel in range(panels):
         own = anchors.where(F.pmod(F.xxhash64("block", F.lit("panel")), F.lit(panels)) == panel) if panels > 1 else anchors
-        tiles = cut(_tiles(own, blocks, grid))
-        found = cut(_panel(tiles, grid[1], positives, negatives, low, high))
-        discard(tiles)
+        tiles = cut(_tiles(own, blocks, grid, ceil_div(width, chunk)))
+        windows = cut(_windows(tiles, positives))
+        found = cut(_found(tiles, windows, negatives, low, high))
+        discard(tiles, windows)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _panel(tiles: DataFrame, stripes: int, positives: int, negatives: int, low: int, high: int) -> DataFrame:
-    """The result for the anchors of some tiles."""
+def _windows(tiles: DataFrame, positives: int) -> DataFrame:
+    """``block, windows``: the positives of the anchors of each block, ``ANCHORS * positives`` at most."""
 
     def own_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, ids, labels, other_ids, other_labels, tile, _ in _each(batches):
+        for block, ids, labels, other_ids, other_labels, tile, _ in _each(batches):
             columns: list[list] = [[] for _ in range(5)]
             for slot in range(len(ids)):
                 may = np.flatnonzero((other_labels == labels[slot]) & (other_ids != ids[slot]))
@@ -213,13 +240,15 @@ def _panel(tiles: DataFrame, stripes: int, positives: int, negatives: int, low:
 
     listed = tiles.mapInArrow(lean(own_label), "block long, slot long, anchor_id long, positive_id long, positive_score long")
     best = _best(listed, ["block", "slot"], "positive_score", "positive_id", positives, "place")
-    # A block has ANCHORS * positives windows at most.
-    windows = best.groupBy("block").agg(F.collect_list(F.struct("slot", "place", "positive_id", "positive_score")).alias("windows"))
-    spread = windows.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
-    met = tiles.join(spread, ["block", "stripe"]).select(*tiles.columns, "windows")
+    return best.groupBy("block").agg(F.collect_list(F.struct("slot", "place", "positive_id", "positive_score")).alias("windows"))
+
+
+def _found(tiles: DataFrame, windows: DataFrame, negatives: int, low: int, high: int) -> DataFrame:
+    """The result for the anchors of some tiles and their windows, which are few enough to send."""
+    met = tiles.join(F.broadcast(windows), "block").select(*tiles.columns, "windows")
 
     def other_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, ids, labels, other_ids, other_labels, tile, opened in _each(batches):
+        for block, ids, labels, other_ids, other_labels, tile, opened in _each(batches):
             columns: list[list] = [[] for _ in range(8)]
             by_slot: dict[int, list] = {}
             for w in opened:

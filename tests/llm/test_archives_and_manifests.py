@@ -229,6 +229,19 @@ def test_hard_negatives_against_all_pairs(spark, monkeypatch, rows_per_block, ch
     assert got == plain_negatives(rows, every=10) and len(got) > 100
 
 
+def test_copies_of_blocks_for_the_grid_are_not_sent(spark, monkeypatch):
+    for name, value in (("ROWS", 16), ("ANCHORS", 4), ("WINDOWS", 15)):
+        monkeypatch.setattr(hard_negatives, name, value, raising=False)
+    plans, cut = [], hard_negatives.cut
+    monkeypatch.setattr(hard_negatives, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1])
+    rng = np.random.default_rng(3)
+    rows = [(int(i), int(rng.integers(0, 4)), [float(x) for x in rng.normal(0.3, 0.5, 11)]) for i in range(200)]
+    rows += [(200, 1, [2.0**16, 2.0**16, 1.0]), (201, 1, [2.0**16, 2.0**15, 1.0]), (202, 2, [2.0**15, 2.0**15, 1.0])]  # scores beyond 32 bits
+    got = sorted(tuple(r) for r in hard_negatives.hard_negatives(spark.createDataFrame(rows, VECTORS), every=10).collect())
+    assert got == plain_negatives(rows, every=10) and max(r[-1] for r in got) >= 1 << 32
+    assert plans and not any("Broadcast" in p and "Generate" in p for p in plans)
+
+
 def test_hard_negatives_of_few_and_large_rows(spark):
     frame = lambda rows: spark.createDataFrame(rows, VECTORS)
     assert hard_negatives.hard_negatives(frame([])).count() == 0
