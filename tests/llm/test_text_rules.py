@@ -41,6 +41,44 @@ def test_skipped_inline_elements_do_not_end_a_block():
     assert text("<p>one</p><div class=ad>x</div>two") == "one\ntwo"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div><nav>menu</div><article><p>t</p></article>", "t"),
+        ("<article><p>a</p><div class=ad>x<p>y</div><p>b</p></article>", "a\nb"),
+        ("<article><div><form><p>f</div><p>b</p></article>", "b"),
+        ("<article><ul><li class=ad>x<ul><li>y</ul><li>b</ul><p>c</p></article>", "b\nc"),
+        ("<article><dl><dt class=ad>x<dd>b</dl></article>", "b"),
+        ("<article><table><tr class=ad><td>x<tr><td>a<td class=ad>y<td>b</table></article>", "a b"),
+        ("<article><div class=ad><table><tr><td></div>x</table></div>b</article>", "b"),
+        ("<article><p>a <span class=ad>x</p>b<p>c</p></article>", "a\nb\nc"),
+        ("<article><b class=ad>x<div>q</b>y</div></b>b</article>", "b"),
+        ("<article><nav/><p>We <span class=ad />go</p><div class=ad data-u=/x/>y</div></article>", "We go"),
+        ("<head><title>t</title><body><p>b</p>", "b"),
+        ("<div role=main><span class=ad>x</div>b", "b"),
+    ],
+)
+def test_elements_that_are_not_closed_end_with_those_around_them(page, text):
+    assert html_extract.main_text(page) == text
+
+
+@pytest.mark.parametrize("between", ["<svg-icon></svg-icon>", "<title-bar></title-bar>", '<svg class="x"/>', "<!-->", "<!-- c --!>", "<script>x</script foo>", "<a title=it's></a>", "<!--[if !IE]><!-->"])
+def test_tags_end_where_html_ends_them(between):
+    assert html_extract.main_text(f"<article><p>a</p>{between}<p>it's b</p></article>") == "a\nit's b"
+
+
+def test_marks_of_comments_and_cards_do_not_replace_the_text():
+    text = html_extract.main_text
+    for around in ("<div class=comments><article>c</article></div>", "<aside><article>card</article></aside>", "<div data-role='main'></div>", "<nav role=main-nav>m</nav>"):
+        assert text(f"<div class=post><p>The whole story</p></div>{around}") == "The whole story"
+    assert text("<div>Logo</div><div class=sidebar><article>The whole story</article></div>") == "The whole story"
+
+
+def test_many_open_elements_take_linear_time():
+    deep = "<article>" + "<div class=ad><span><p>x</q></div>" * 20_000 + "<b>" * 20_000 + "<p>a</i>" * 20_000
+    assert html_extract.main_text(deep) == "\n".join(["a"] * 20_000)
+
+
 def plain_extract(pages, least_tokens, least_pages):
     """Text of unmarked pages without the windows of tokens that are on enough different pages of the host."""
     blocks = {k: [p for p in body] for k, (_, body) in enumerate(pages)}
