@@ -56,6 +56,28 @@ def test_packed_counts_of_pairs(width):
             assert not transitions or tv[i].tolist() == across.sum(axis=1).tolist()
 
 
+def test_pairs_leave_tasks_as_arrays_and_are_rounded_there(spark):
+    from cladeweave.plans import catalogue
+
+    rng = random.Random(8)
+    aln = spark.createDataFrame(aligned(rng, "m", 300, 30, rate=0.3) + aligned(rng, "n", 9, 700, first=1000), SEQS).repartition(3)
+    counts = distances.distances(distances.pair_counts(aln)).collect()
+    for which in ("k80", "k80_gamma", "jc69"):
+        found = distances.pair_distances(aln, which, block=100, places=9)
+        want = spark.createDataFrame([(r.marker, r.ord_i, r.ord_j, r[which]) for r in counts], "marker string, ord_i long, ord_j long, d double").select("marker", "ord_i", "ord_j", F.round("d", 9))
+        assert sorted(tuple(r) for r in found.select("marker", "ord_i", "ord_j", F.coalesce(which, F.lit(-1.0))).collect()) == sorted((*r[:3], -1.0 if r[3] is None else r[3]) for r in want.collect())
+        plan = catalogue.QUERIES[f"pair_{which}"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "round(" not in plan and "posexplode" in plan
+
+
+def test_half_up_rounds_as_spark_does(spark):
+    values = [0.0, -0.0, 1.0000000005, 2.5e-9, 0.5e-9, 1.5e-9, -1.5e-9, 1e-300, 123456.7890123455, 9e15, 1e300, float("inf"), 0.30000000049999999, 0.1234567885]
+    values += [random.Random(k).randrange(10**7) / 10**10 for k in range(500)] + [random.Random(k).expovariate(1) for k in range(500)]
+    want = [r[0] for r in spark.createDataFrame([(x,) for x in values], "x double").select(F.round("x", 9)).collect()]
+    assert [str(x) for x in distances.half_up(np.array(values), 9).tolist()] == [str(x) for x in want]
+    assert np.isnan(distances.half_up(np.array([np.nan]), 9)).all()
+
+
 def test_pair_distances_equal_those_of_counts(spark):
     rng = random.Random(2)
     rows = aligned(rng, "m", 23, 60, odd=4) + aligned(rng, "wide", 5, 300, first=100) + [("gap", "x", 300, "----"), ("gap", "y", 301, "NN"), ("gap", "z", 302, None), ("gap", "u", 303, "A\u00e9G"), ("gap", "v", 304, "ACG")]
